@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding, token_counts
+from . import language_id, packing, sharding, token_counts
 from .common import read
 
 
@@ -16,17 +16,26 @@ def tokenizer(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(read(spark, sf_dir, "documents"), tokenizer(), tokenizer("byte_bpe_50k.tiktoken"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(read(spark, sf_dir, "documents"), shards=24)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language_id.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, tokenizer(), limit=512).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_sharding, op10_token_counts)}
+    return {f.__name__: f for f in (op1_packing, op4_sharding, op8_language_id, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
