@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, packing, sharding, token_counts
+from . import language_id, packing, quality_rules, sharding, token_counts
 from .common import read
 
 
@@ -24,6 +24,12 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(read(spark, sf_dir, "documents"), shards=24)
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found, _ = quality_rules.judge(docs, read(spark, sf_dir, "labels"))
+    return found.select("doc_id", *quality_rules.BASE, "base_failed", "kept", "rule")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return language_id.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
@@ -35,7 +41,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op4_sharding, op8_language_id, op10_token_counts)}
+    return {f.__name__: f for f in (op1_packing, op4_sharding, op6_quality_rules, op8_language_id, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
