@@ -48,3 +48,12 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     """df without columns of these names, as Spark compares names; results then add their own."""
     own = {n.lower() for n in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in own])
+
+
+#: Frames of at most so many bytes may be broadcast.
+BROADCAST_BYTES = 24 << 20
+
+
+def by_size(df: DataFrame, row_bytes: int) -> DataFrame:
+    """df, marked for broadcast if its counted rows of about row_bytes bytes stay below the bound; else it's shuffled."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, packing, quality_rules, sharding, token_counts
+from . import language_id, line_dedup, packing, quality_rules, sharding, token_counts
 from .common import read
 
 
@@ -24,6 +24,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(read(spark, sf_dir, "documents"), shards=24)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.deduplicate(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", "removed", "text")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found, _ = quality_rules.judge(docs, read(spark, sf_dir, "labels"))
@@ -41,7 +46,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op4_sharding, op6_quality_rules, op8_language_id, op10_token_counts)}
+    return {f.__name__: f for f in (op1_packing, op4_sharding, op5_line_dedup, op6_quality_rules, op8_language_id, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
