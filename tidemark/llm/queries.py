@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, line_dedup, packing, quality_rules, sharding, token_counts
+from . import decontamination, language_id, line_dedup, packing, quality_rules, sharding, token_counts
 from .common import read
 
 
@@ -40,13 +40,17 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, tokenizer(), limit=512).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op4_sharding, op5_line_dedup, op6_quality_rules, op8_language_id, op10_token_counts)}
+    return {f.__name__: f for f in (op1_packing, op4_sharding, op5_line_dedup, op6_quality_rules, op8_language_id, op9_decontamination, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
