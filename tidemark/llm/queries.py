@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, line_dedup, packing, quality_rules, sharding, token_counts
+from . import decontamination, language_id, line_dedup, near_dup, packing, quality_rules, sharding, token_counts
 from .common import read
 
 
@@ -20,6 +20,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(read(spark, sf_dir, "documents"), tokenizer(), tokenizer("byte_bpe_50k.tiktoken"))
 
 
+def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.find_components(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(read(spark, sf_dir, "documents"), shards=24)
 
@@ -50,7 +54,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op4_sharding, op5_line_dedup, op6_quality_rules, op8_language_id, op9_decontamination, op10_token_counts)}
+    return {f.__name__: f for f in (op1_packing, op2_near_dup, op4_sharding, op5_line_dedup, op6_quality_rules, op8_language_id, op9_decontamination, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
