@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, line_dedup, near_dup, packing, quality_rules, sharding, token_counts
+from . import decontamination, language_id, license_scan, line_dedup, near_dup, packing, quality_rules, sharding, token_counts
 from .common import read
 
 
@@ -39,6 +39,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *quality_rules.BASE, "base_failed", "kept", "rule")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return language_id.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
@@ -54,7 +58,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_near_dup, op4_sharding, op5_line_dedup, op6_quality_rules, op8_language_id, op9_decontamination, op10_token_counts)}
+    return {f.__name__: f for f in (op1_packing, op2_near_dup, op4_sharding, op5_line_dedup, op6_quality_rules, op7_license_scan, op8_language_id, op9_decontamination, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

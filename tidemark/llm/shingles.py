@@ -36,8 +36,8 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def _word_hashes(b: np.ndarray) -> np.ndarray:
-    space = _SPACE[b]
+def _word_hashes(b: np.ndarray, between: np.ndarray) -> np.ndarray:
+    space = between[b]
     edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     up, down = powers(len(b) + 1)
@@ -45,32 +45,36 @@ def _word_hashes(b: np.ndarray) -> np.ndarray:
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * U(0xD6E8FEB86659FD93))
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """Hashes of the words between ASCII white space, A-Z as a-z."""
+def word_hashes(text: str, between: np.ndarray = _SPACE) -> np.ndarray:
+    """Hashes of the words between the given bytes (ASCII white space), A-Z as a-z."""
     b = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
     if len(b) <= PART_BYTES:
-        return _word_hashes(b)
+        return _word_hashes(b, between)
     parts, start = [], 0
     while start < len(b):
         end = min(start + PART_BYTES, len(b))
         while end < len(b):
-            after = np.flatnonzero(_SPACE[b[end : end + PART_BYTES]])
+            after = np.flatnonzero(between[b[end : end + PART_BYTES]])
             if len(after):
                 end += int(after[0])
                 break
             end = min(end + PART_BYTES, len(b))
-        parts.append(_word_hashes(b[start:end]))
+        parts.append(_word_hashes(b[start:end], between))
         start = end
     return np.concatenate(parts)
 
 
-def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of the text's shingles; with fewer words the whole sequence is one; without words none."""
-    w = word_hashes(text or "")
+def shingle_list(w: np.ndarray, size: int = SHINGLE) -> np.ndarray:
+    """Hashes of the shingles of a sequence of words, by place; with fewer words the whole sequence is one; without words none."""
     if not len(w):
         return w
     k = min(size, len(w))
     h = np.full(len(w) - k + 1, U(k), dtype=np.uint64)
     for i in range(k):
         h = mix(h * U(0xFF51AFD7ED558CCD) + w[i : len(w) - k + 1 + i])
-    return np.unique(h)
+    return h
+
+
+def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of the text's shingles."""
+    return np.unique(shingle_list(word_hashes(text or ""), size))
