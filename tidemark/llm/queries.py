@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, license_scan, line_dedup, near_dup, packing, quality_rules, sharding, token_counts
+from . import decontamination, language_id, license_scan, line_dedup, lm_scoring, near_dup, packing, quality_rules, sharding, token_counts
 from .common import read
 
 
@@ -24,6 +24,10 @@ def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.find_components(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer(), tokenizer("byte_bpe_50k.tiktoken"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(read(spark, sf_dir, "documents"), shards=24)
 
@@ -58,7 +62,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_near_dup, op4_sharding, op5_line_dedup, op6_quality_rules, op7_license_scan, op8_language_id, op9_decontamination, op10_token_counts)}
+    return {f.__name__: f for f in (op1_packing, op2_near_dup, op3_lm_scoring, op4_sharding, op5_line_dedup, op6_quality_rules, op7_license_scan, op8_language_id, op9_decontamination, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
