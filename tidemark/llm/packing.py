@@ -54,7 +54,10 @@ class Encoder:
 
             model = Tokenizer.from_file(path)
             self.encode = lambda text: np.asarray(model.encode(text, add_special_tokens=False).ids, dtype="<u4")
-            self.byte_level = "ByteLevel" in open(path, encoding="utf-8").read(4000)
+            with open(path, encoding="utf-8") as file:
+                self.byte_level = (json.load(file)["pre_tokenizer"] or {}).get("type") == "ByteLevel"
+            #: Of each id: does it begin with a space?
+            self.after_space = np.array([model.decode([i], skip_special_tokens=False).startswith(" ") for i in range(model.get_vocab_size())])
             return
         import tiktoken
         from public_tokenizers import PATTERN
@@ -72,6 +75,8 @@ class Encoder:
         allowed = set(special)
         self.encode = lambda text: own.encode_to_numpy(text, allowed_special=allowed)
         self.byte_level = True
+        self.after_space = np.zeros(max(*ranks.values(), *special.values()) + 1, dtype=bool)
+        self.after_space[[i for token, i in ranks.items() if token.startswith(b" ")]] = True
 
     def ids(self, text: str) -> np.ndarray:
         if len(text) <= LONG_CHARS or not self.byte_level:

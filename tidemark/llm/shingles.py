@@ -36,20 +36,20 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def _word_hashes(b: np.ndarray, between: np.ndarray) -> np.ndarray:
+def _spans(b: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     space = between[b]
     edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     up, down = powers(len(b) + 1)
     total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_LETTER[b] * up[: len(b)], dtype=np.uint64)])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * U(0xD6E8FEB86659FD93))
+    hashes = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * U(0xD6E8FEB86659FD93))
+    return starts, ends, hashes
 
 
-def word_hashes(text: str, between: np.ndarray = _SPACE) -> np.ndarray:
-    """Hashes of the words between the given bytes (ASCII white space), A-Z as a-z."""
-    b = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+def word_spans(b: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the words between the given bytes (ASCII white space), A-Z as a-z."""
     if len(b) <= PART_BYTES:
-        return _word_hashes(b, between)
+        return _spans(b, between)
     parts, start = [], 0
     while start < len(b):
         end = min(start + PART_BYTES, len(b))
@@ -59,9 +59,14 @@ def word_hashes(text: str, between: np.ndarray = _SPACE) -> np.ndarray:
                 end += int(after[0])
                 break
             end = min(end + PART_BYTES, len(b))
-        parts.append(_word_hashes(b[start:end], between))
+        s, e, h = _spans(b[start:end], between)
+        parts.append((s + start, e + start, h))
         start = end
-    return np.concatenate(parts)
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def word_hashes(text: str, between: np.ndarray = _SPACE) -> np.ndarray:
+    return word_spans(np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8), between)[2]
 
 
 def shingle_list(w: np.ndarray, size: int = SHINGLE) -> np.ndarray:
