@@ -512,3 +512,78 @@ def origins_insert_if_absent(spark, sf):
     fresh, clash = identity.insert_if_absent(old, new, ["class", "producer", "origin_key"], "record_id")
     count = lambda d, kind: d.agg(F.lit(kind).alias("kind"), F.count("*").alias("n"))
     return count(fresh, "fresh").unionByName(count(clash, "conflict"))
+
+
+# ---- store --------------------------------------------------------------------------------------------------------
+
+CUSTOMER_TABLE = {
+    "name": "sales",
+    "tables": [
+        {"name": "nation", "columns": [{"name": "id", "type": "string", "constraints": ["primary_key", "required"]}, {"name": "name", "type": "string", "constraints": ["required"]}]},
+        {
+            "name": "customer",
+            "columns": [
+                {"name": "id", "type": "string", "constraints": ["primary_key", "required"]},
+                {"name": "name", "type": "string", "constraints": ["required"]},
+                {"name": "segment", "type": "string"},
+                {"name": "number", "type": "integer", "range": {"min": 0}},
+                {"name": "nation", "type": "string", "constraints": ["foreign_key"], "references": {"table": "nation", "column": "id"}},
+            ],
+        },
+    ],
+}
+
+
+def _sales_store(spark: SparkSession, sf: str):
+    """A new store with two batches: nations and customers, then customers of whom every third has another segment."""
+    import json
+    import uuid
+
+    from .plans.plan import Provenance, ingest
+    from .sources.contract import from_table_dictionary
+    from .sources.store import Store
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/tidemark-checkpoints"
+    store = Store.open(spark, f"{base}/stores/{uuid.uuid4().hex}", from_table_dictionary(json.dumps(CUSTOMER_TABLE)))
+    nations = t.read(spark, sf, "nation").select(t.key("nation", "n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    c = t.read(spark, sf, "customer")
+    customers = c.select(t.key("customer", "c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.col("c_custkey").cast("string").alias("number"), t.key("nation", "c_nationkey").alias("nation"))
+    ingest(store, {"nation": nations, "customer": customers}, Provenance("sales", "1"), "2024-01-01T00:00:00")
+    third = F.col("number").cast("bigint") % 3 == 0
+    changed = customers.withColumn("segment", F.when(third, F.lit("MOVED")).otherwise(F.col("segment")))
+    ingest(store, {"customer": changed}, Provenance("sales", "2"), "2024-01-02T00:00:00")
+    return store
+
+
+@query("select 1 as commit_order, 'insert' as disposition, (select count(*) from nation) + (select count(*) from customer) as n union all select 2, 'update', count(*) from customer where c_custkey % 3 = 0 and c_mktsegment <> 'MOVED' union all select 2, 'match', count(*) from customer where c_custkey % 3 <> 0")
+def store_dispositions(spark, sf):
+    return _sales_store(spark, sf).observations().groupBy("commit_order", "disposition").agg(F.count("*").alias("n"))
+
+
+@query("select 'customer:' || c_custkey as record_id, case when c_custkey % 3 = 0 then 2 else 1 end as revision_number, c_name as name, case when c_custkey % 3 = 0 then 'MOVED' else c_mktsegment end as segment, c_custkey as number, 'nation:' || c_nationkey as nation from customer")
+def store_records(spark, sf):
+    return _sales_store(spark, sf).records("customer")
+
+
+@query("select 'customer:' || c_custkey as record_id, 'segment' as matched_fields from customer where c_custkey % 3 = 0")
+def store_find(spark, sf):
+    return _sales_store(spark, sf).find("moved", "customer").select("record_id", "matched_fields")
+
+
+@query("select class, count(*) as n from (select 'nation' as class from nation union all select 'customer' from customer) group by 1")
+def store_pages(spark, sf):
+    from .operators import files
+
+    return files.pages(_sales_store(spark, sf)).filter(F.col("content").startswith("---\nid: ")).groupBy("class").agg(F.count("*").alias("n"))
+
+
+@query("select 'customer' as class, 'customer:' || c_custkey as record_id, x.field, x.rule from customer, (values ('name', 'required'), ('number', 'type_integer'), ('nation', 'reference_exists')) x(field, rule) where (x.rule = 'required' and c_custkey % 5 = 1) or (x.rule = 'type_integer' and c_custkey % 7 = 2) or (x.rule = 'reference_exists' and c_nationkey = 3)")
+def store_plan_issues(spark, sf):
+    from .plans.plan import Provenance, plan
+
+    n = F.col("c_custkey")
+    bad = t.read(spark, sf, "customer").select(
+        t.key("customer", "c_custkey").alias("id"), F.when(n % 5 == 1, F.lit(" ")).otherwise(F.col("c_name")).alias("name"), F.when(n % 7 == 2, F.lit("1.5")).otherwise(n.cast("string")).alias("number"),
+        F.when(F.col("c_nationkey") == 3, F.lit("nation:none")).otherwise(t.key("nation", "c_nationkey")).alias("nation"),
+    )
+    return plan(_sales_store(spark, sf), {"customer": bad}, Provenance("sales", "bad")).issues
