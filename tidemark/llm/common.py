@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +51,13 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in own])
 
 
+def shielded(docs: DataFrame, used: tuple[str, ...], f: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """f of docs, in the columns that docs has: those that f doesn't use go by other names meanwhile, so none can clash."""
+    names = {c: c if c in used else f"__own{i}" for i, c in enumerate(docs.columns)}
+    out = f(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]))
+    return out.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 #: Frames of at most so many bytes may be broadcast.
 BROADCAST_BYTES = 24 << 20
 

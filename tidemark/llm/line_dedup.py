@@ -1,9 +1,12 @@
 """Line deduplication by an exact set-similarity join, in DataFrame functions only.
 
-Documents are split at line feeds. A line of at least MIN_TOKENS distinct words is the set of its lower-cased words. It is
-removed if an earlier line, in order of (doc_id, line number), has a set with a Jaccard similarity of PERCENT / 100 or
-more; shorter lines stay. Lines with equal sets are one node of the join, however many there are; nodes meet through
-the tokens of their prefixes in rarity order, pass length and positional filters, and are verified on their full sets.
+Documents are split at line feeds. A line of SHINGLE words or more is the set of its distinct shingles of SHINGLE lower-cased
+words. It is removed if an earlier line, in order of (doc_id, line number), has a set with a Jaccard similarity of
+PERCENT / 100 or more; shorter lines stay. Lines with equal sets are one node, at the place of the first, however many there
+are. Nodes meet through the tokens of their prefixes in rarity order, pass length and positional filters, and are verified
+on their full sets. A node only has to meet one earlier node like it: at each token it meets the first node there and the
+NEAR nodes before it, and where it is found unlike all of these, every other earlier node of the token too. So many
+variants of a line cost a few pairs each, and no match is missed.
 
 Defined results: null text counts as empty (no lines, stays null); repeated rows with one doc_id are one document in
 order, so the lines of the second copy are earlier lines' copies only if that document repeats them; white space alone is
@@ -12,63 +15,105 @@ no line; documents without an id neither lose lines nor take any; an empty table
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import setjoin
-from .common import SPACE, by_size, cut_table, text_of, without
+from .common import SPACE, by_size, cut_table, shielded, text_of, without
 
-PERCENT = 80
-MIN_TOKENS = 4
+PERCENT = 75
+SHINGLE = 5
+#: Nodes before it that a node meets at a token besides the first one.
+NEAR = 4
 
 
-def _words(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), f"[{SPACE}]+"), lambda w: w != "")
+def _lines(docs: DataFrame) -> DataFrame:
+    """doc_id, line (its number from 0) and its text."""
+    split = F.posexplode_outer(F.split(text_of("text"), "\n", -1)).alias("line", "words")
+    return docs.filter(F.col("doc_id").isNotNull()).select("doc_id", split)
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line (its number from 0) and its text, for lines with a word."""
-    return docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.posexplode(F.split(text_of("text"), "\n", -1)).alias("line", "words"))
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, also where f uses it inside a lambda function."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _shingles(text: Column) -> Column:
+    """Hashes of the shingles of a text, by place; none for fewer than SHINGLE words."""
+    words = F.split(F.btrim(F.lower(text), F.lit(" \t\n\x0b\f\r")), f"[{SPACE}]+")
+
+    def hashes(h: Column) -> Column:
+        every = F.transform(h, lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, SHINGLE)]))
+        return F.slice(every, F.lit(1), F.greatest(F.size(h) - (SHINGLE - 1), F.lit(0)))
 
+    return _once(F.transform(words, lambda w: F.xxhash64(w)), hashes)
 
-def _tokens(ranks: Column) -> Column:
-    return F.sort_array(F.array_distinct(F.transform(_words(F.col("words")), lambda w: setjoin.token(F.xxhash64(w), ranks))))
+
+def _tokens(text: Column, ranks: Column) -> Column:
+    return F.sort_array(F.array_distinct(F.transform(_shingles(text), lambda h: setjoin.token(h, ranks))))
 
 
 def line_sets(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, Column]:
     """A row for each line that takes part: doc_id, line, id (of its set), n, prefix; and the ranks behind the tokens."""
-    words = docs.select(F.explode(F.split(F.lower(text_of("text")), f"[{SPACE}]+")).alias("w"))
-    ranks = setjoin.rarity_ranks(words.select(F.xxhash64("w").alias("h")), "h")
     # a line is at least as many characters long as its words and the spaces between them
-    long = F.length("words") >= 2 * MIN_TOKENS - 1
-    sets = _lines(docs).filter(long).select("doc_id", "line", _tokens(ranks).alias("t")).withColumn("n", F.size("t")).filter(F.col("n") >= MIN_TOKENS)
-    prefix = F.slice("t", F.lit(1), setjoin.prefix_length(F.col("n"), percent))
-    return cut_table(sets.select("doc_id", "line", F.xxhash64("t").alias("id"), "n", prefix.alias("prefix"))), ranks
-
-
-def find_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """lines (doc_id, line, id), nodes (id, n, first: the earliest line) and links (a, b: ids of different sets)."""
-    lines, ranks = line_sets(docs, percent)
-    nodes = cut_table(lines.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
-    pairs = cut_table(setjoin.candidate_pairs(nodes.select("id", "n", "prefix"), percent))
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = cut_table(ends.join(nodes, "id").select("id", F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line")))
-    holders = by_size(wanted.select("doc_id").distinct(), 16)
-    texts = docs.select("doc_id", "text").join(holders, "doc_id", "left_semi")
-    sets = _lines(texts).join(by_size(wanted, 32), ["doc_id", "line"]).select("id", _tokens(ranks).alias("t")).dropDuplicates(["id"])
-    sets = cut_table(sets)
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
+    lines = _lines(docs).filter(F.length("words") >= 2 * SHINGLE - 1)
+    # explode_outer here and the filter after the write: a filter on a computed array would compute it twice
+    ranks = setjoin.rarity_ranks(lines.select(F.explode_outer(_shingles(F.col("words"))).alias("h")), "h")
+    n = F.size("t")
+    described = lines.select("doc_id", "line", _tokens(F.col("words"), ranks).alias("t")).select(
+        "doc_id", "line", F.xxhash64("t").alias("id"), n.alias("n"), F.slice("t", F.lit(1), setjoin.prefix_length(n, percent)).alias("prefix")
+    )
+    return cut_table(described).filter("n > 0"), ranks
+
+
+def meetings(nodes: DataFrame, percent: int) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """Pairs (earlier, first) of nodes that may be alike; and, for nodes that are settled, all further pairs of the others."""
+    rows = nodes.select("first", "n", F.posexplode("prefix").alias("pos", "token")).withColumn("me", F.struct("first", "n", "pos"))
+    by_token = W.partitionBy("token").orderBy("first")
+    earlier = [F.first("me").over(by_token), *[F.lag("me", k).over(by_token) for k in range(1, NEAR + 1)]]
+    names = [f"b{k}" for k in range(NEAR + 1)]
+    met = rows.withColumns({"place": F.row_number().over(by_token), **dict(zip(names, earlier, strict=True))}).filter("place > 1")
+    fits = lambda x: setjoin.may_match(x["n"], x["pos"], F.col("n"), F.col("pos"), percent)
+    close = F.array_compact(F.array(*[F.when((F.col(b)["first"] < F.col("first")) & fits(F.col(b)), F.col(b)["first"]) for b in names]))
+    met = cut_table(met.select("first", "n", "pos", "token", "place", close.alias("close")))
+    pairs = met.select("first", F.explode("close").alias("earlier")).distinct()
+
+    def further(settled: DataFrame) -> DataFrame:
+        y = cut_table(met.filter(F.col("place") > NEAR + 2).join(settled.select("first"), "first", "left_anti").select("first", "n", "pos", "token", "place"))
+        x = met.select(F.col("first").alias("earlier"), F.col("n").alias("xn"), F.col("pos").alias("xpos"), F.col("place").alias("xplace"), "token")
+        rest = y.join(x, "token").filter((F.col("xplace") < F.col("place") - NEAR) & setjoin.may_match(F.col("xn"), F.col("xpos"), F.col("n"), F.col("pos"), percent))
+        return rest.select("first", "earlier").distinct()
+
+    return pairs, further
+
+
+def alike(docs: DataFrame, pairs: DataFrame, ranks: Column, percent: int) -> DataFrame:
+    """first and other: nodes with the earliest node that the pairs show to be like them, on full sets."""
+    pairs = cut_table(pairs)
+    ends = pairs.select(F.explode(F.array("first", "earlier")).alias("at")).distinct()
+    wanted = cut_table(ends.select("at.doc_id", "at.line"))
+    texts = docs.select("doc_id", "text").join(by_size(wanted.select("doc_id").distinct(), 16), "doc_id", "left_semi")
+    sets = _lines(texts).join(by_size(wanted, 32), ["doc_id", "line"])
+    sets = cut_table(sets.select(F.struct("doc_id", "line").alias("at"), _tokens(F.col("words"), ranks).alias("t")))
+    both = pairs.join(sets.select(F.col("at").alias("first"), F.col("t").alias("ta")), "first").join(sets.select(F.col("at").alias("earlier"), F.col("t").alias("tb")), "earlier")
     shared = F.size(F.array_intersect("ta", "tb"))
-    links = both.filter(setjoin.similar(shared, F.size("ta"), F.size("tb"), percent)).select("a", "b")
-    return lines.select("doc_id", "line", "id"), nodes, cut_table(links)
+    found = both.filter(setjoin.similar(shared, F.size("ta"), F.size("tb"), percent))
+    return found.groupBy("first").agg(F.min("earlier").alias("other"))
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """A row for each removed line: doc_id, line, and the earliest line like it: first_doc, first_line."""
-    lines, nodes, links = find_links(docs, percent)
-    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    earliest = ends.join(nodes.select(F.col("id").alias("b"), "first"), "b").groupBy(F.col("a").alias("id")).agg(F.min("first").alias("other"), F.count("*").alias("links"))
-    known = nodes.select("id", "first").join(earliest, "id", "left").withColumn("earliest", F.least("first", "other"))
+    """A row for each removed line: doc_id, line, and an earlier line like it: first_doc, first_line."""
+    lines, ranks = line_sets(docs, percent)
+    place = F.struct("doc_id", "line")
+    nodes = lines.groupBy("id").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    pairs, further = meetings(nodes, percent)
+    settled = cut_table(alike(docs, pairs, ranks, percent))
+    settled = cut_table(settled.unionByName(alike(docs, further(settled), ranks, percent)))
+    firsts = lines.groupBy("id").agg(F.min(place).alias("first")).join(settled, "first", "left")
+    known = firsts.select("id", F.coalesce("other", "first").alias("earliest"))
     own = lines.join(known, "id").filter(F.struct("doc_id", "line") != F.col("earliest"))
     return own.select("doc_id", "line", F.col("earliest.doc_id").alias("first_doc"), F.col("earliest.line").alias("first_line"))
 
@@ -87,4 +132,4 @@ def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def stage(docs: DataFrame) -> DataFrame:
     """The documents with the removed lines taken out, in the columns that docs has."""
-    return deduplicate(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return shielded(docs, ("doc_id", "text"), deduplicate)

@@ -16,26 +16,24 @@ _REST_BITS = 63 - BIN_BITS
 
 
 def bin_of(hashed: Column) -> Column:
-    return hashed.bitwiseAND(F.lit(BINS - 1)).cast("int")
+    return F.shiftrightunsigned(hashed, 64 - BIN_BITS).cast("int")
 
 
 def rarity_ranks(hashes: DataFrame, col: str) -> Column:
-    """A constant array: the rank of each bin, rarest first, counted over all rows of hashes."""
-    counts = hashes.groupBy(bin_of(F.col(col)).alias("bin")).agg(F.count("*").alias("n")).collect()
-    found = {r["bin"]: r["n"] for r in counts}
+    """A constant array: the rank of each bin, rarest first, in the high bits of tokens, counted over all rows of hashes."""
+    counts = hashes.groupBy(bin_of(F.col(col)).alias("bin")).agg(F.count(col).alias("n")).collect()
+    found = {r["bin"]: r["n"] for r in counts if r["bin"] is not None}
     order = sorted(range(BINS), key=lambda b: (found.get(b, 0), b))
     ranks = [0] * BINS
     for rank, b in enumerate(order):
         ranks[b] = rank
     # folded into one constant when the plan is optimized
-    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
+    return F.split(F.lit(",".join(str(r << _REST_BITS) for r in ranks)), ",").cast("array<bigint>")
 
 
 def token(hashed: Column, ranks: Column) -> Column:
     """The token of a 64-bit hash: one-to-one up to the 63 bits it keeps."""
-    rank = F.coalesce(F.get(ranks, bin_of(hashed)), F.lit(0).cast("long"))
-    rest = F.shiftrightunsigned(hashed, BIN_BITS).bitwiseAND(F.lit((1 << _REST_BITS) - 1))
-    return F.shiftleft(rank, _REST_BITS).bitwiseOR(rest)
+    return F.coalesce(F.get(ranks, bin_of(hashed)), F.lit(0).cast("long")).bitwiseOR(hashed.bitwiseAND(F.lit((1 << _REST_BITS) - 1)))
 
 
 def prefix_length(n: Column, percent: int) -> Column:
@@ -55,15 +53,19 @@ def candidate_pairs(sets: DataFrame, percent: int, group: str | None = None) ->
         shared = rows.groupBy("token").agg(F.min(group).alias("low"), F.max(group).alias("high"))
         rows = rows.join(shared.filter("low != high").select("token"), "token", "left_semi")
     x, y = rows.alias("x"), rows.alias("y")
-    t = percent / 100
-    need = F.ceil((F.col("x.n") + F.col("y.n")) * F.lit(t / (1 + t)) - 1e-9)
-    left = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-    holds = (F.col("x.id") < F.col("y.id")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & (left >= need)
+    holds = (F.col("x.id") < F.col("y.id")) & may_match(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent)
     if group:
         holds = holds & (F.col(f"x.{group}") != F.col(f"y.{group}"))
     return x.join(y, F.expr("x.token = y.token") & holds).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
+def may_match(n_a: Column, pos_a: Column, n_b: Column, pos_b: Column, percent: int) -> Column:
+    """Length and positional filters for a token at these places of two sets: true for the first token of every match."""
+    t = percent / 100
+    need = F.ceil((n_a + n_b) * F.lit(t / (1 + t)) - 1e-9)
+    return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (F.least(n_a - pos_a, n_b - pos_b) >= need)
+
+
 def similar(shared: Column, n_a: Column, n_b: Column, percent: int) -> Column:
     return 100 * shared >= percent * (n_a + n_b - shared)
 
