@@ -457,6 +457,14 @@ def test_decontamination(spark):
     assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == {2, 3, 4, 8, 9, None}
 
 
+def test_stages_keep_columns_of_any_name(spark, corpus):
+    docs = corpus.select("doc_id", "text", "lang", F.lit("a").alias("removed"), F.lit("b").alias("score"), F.lit("c").alias("n_words"), F.lit("d").alias("label"), F.lit("e").alias("item_id"), F.lit("f").alias("kept"))
+    bench = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
+    for out in (language_id.keep_identified(docs), line_dedup.stage(docs), near_dup.stage(docs), decontamination.stage(docs, bench), quality_rules.filter_documents(docs, [])):
+        assert out.columns == docs.columns
+        assert {tuple(r)[3:] for r in out.collect()} <= {("a", "b", "c", "d", "e", "f")}
+
+
 # ---- empty tables, all operators
 
 

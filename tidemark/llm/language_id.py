@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, without
+from .common import shielded, text_of, without
 
 DIMS = 1 << 14
 #: Bounds of the sample: documents for each language, and landmarks in all.
@@ -168,5 +168,5 @@ def identify(docs: DataFrame, per_lang: int = PER_LANG, landmarks: int = LANDMAR
 
 def keep_identified(docs: DataFrame, per_lang: int = PER_LANG, landmarks: int = LANDMARKS) -> DataFrame:
     """The documents whose language could be identified, with the columns that docs has."""
-    found = predict(docs.withColumn("__text", F.col("text")), learn(docs, per_lang, landmarks), "__text")
-    return found.filter(F.col("lang_pred") != UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])
+    model = learn(docs, per_lang, landmarks)
+    return shielded(docs, ("doc_id", "text", "lang"), lambda d: predict(d, model).filter(F.col("lang_pred") != UNKNOWN))

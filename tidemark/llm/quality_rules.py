@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, text_of, without
+from .common import SPACE, cut, shielded, text_of, without
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 COUNTS = (*BASE, "n_lines", "n_upper", "n_distinct_words")
@@ -231,5 +231,4 @@ def judge(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[Rule]]:
 
 def filter_documents(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """The documents, texts included, that pass the base rules and a learned list."""
-    found = statistics(docs.withColumn("__own", F.col("text")), "__own")
-    return found.filter(~base_failed() & verdict(rules)[0]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return shielded(docs, ("text",), lambda d: statistics(d).filter(~base_failed() & verdict(rules)[0]))
