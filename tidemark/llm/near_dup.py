@@ -2,9 +2,9 @@
 
 Each text is the set of its distinct five-word shingles. Its sketch has REGISTERS registers: the least hash of a bucket is
 kept as its count of leading zeros and MANTISSA bits after them. Equal sets are one node from here on, however many
-documents share them. Bands of ROWS registers are keys; nodes that share a key are candidates. Linking is by stars: every
-node of a key's group is paired with the group's least node, so a group of m nodes gives m - 1 pairs; pairs whose
-collision-corrected estimate is far below the threshold are dropped, the others are verified on their full sets, and
+documents share them. Bands of ROWS registers are keys; nodes that share a key are candidates. Linking is by stars: the
+nodes of a key's group are paired with the group's least node, so a group of m nodes gives m - 1 pairs at most, and only
+as long as they aren't of one component; pairs whose collision-corrected estimate is far below the threshold are dropped, the others are verified on their full sets, and
 connected components follow. Where a group then still spans several components, its nodes are joined once more by the
 exact prefix join of setjoin, across components only, so a link between two nodes that a star missed is found as well.
 
@@ -168,20 +168,48 @@ def components(links: DataFrame) -> DataFrame:
     return labels.unionByName(labels.select(F.col("label").alias("node"), "label").distinct())
 
 
-def missed_links(docs: DataFrame, groups: DataFrame, links: DataFrame, nodes: DataFrame, percent: int) -> DataFrame | None:
-    """Links across components between nodes of groups that span several components, by an exact prefix join."""
+def still_open(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """key, node, center and label (of the node's component) for the groups whose nodes aren't all of one component."""
     found = groups.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    found = cut_table(found.select("key", "node", "label"))
+    found = cut_table(found.select("key", "node", "center", "label"))
     open_keys = found.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("key")
-    left = cut_table(found.join(open_keys, "key", "left_semi").select("node", "label").distinct())
+    return cut_table(found.join(open_keys, "key", "left_semi"))
+
+
+def linked(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that are links: those the sketches allow, verified on the sets of their texts."""
+    pairs = cut_table(plausible(pairs, nodes, percent))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = cut_table(node_sets(docs, cut_table(ends.join(nodes, "node").select("node", "doc_id"))))
+    return cut_table(verified(pairs, sets, percent))
+
+
+def star_links(docs: DataFrame, groups: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Links of nodes with the centers of their groups.
+
+    First each node meets the least of its centers. In groups that still span several components, nodes then meet the
+    center if it is of another component; for the others, the link would change nothing.
+    """
+    away = groups.filter("node != center")
+    first = away.groupBy("node").agg(F.min("center").alias("center")).select(F.col("center").alias("a"), F.col("node").alias("b"))
+    links = linked(docs, first, nodes, percent)
+    left = still_open(groups, links)
+    centers = left.groupBy("key").agg(F.max(F.when(F.col("node") == F.col("center"), F.col("label"))).alias("center_label"))
+    others = left.join(centers, "key").filter("label != center_label").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
+    return links.unionByName(linked(docs, others, nodes, percent))
+
+
+def missed_links(docs: DataFrame, groups: DataFrame, links: DataFrame, nodes: DataFrame, percent: int) -> DataFrame | None:
+    """Links across components between nodes of groups that span several components, by an exact prefix join."""
+    left = cut_table(still_open(groups, links).select("node", "label").distinct())
     if left.isEmpty():
         return None
     sets = cut_table(node_sets(docs, left.join(nodes, "node").select("node", "doc_id")))
-    ranks = setjoin.rarity_ranks(sets.select(F.explode("shingles").alias("h")), "h")
+    ranks = setjoin.rarity_ranks(sets.select(F.explode_outer("shingles").alias("h")), "h")
     tokens = F.sort_array(F.transform("shingles", lambda h: setjoin.token(h, ranks)))
     n = F.size("shingles")
     rows = sets.select(F.col("node").alias("id"), n.alias("n"), F.slice(tokens, F.lit(1), setjoin.prefix_length(n, percent)).alias("prefix"))
-    rows = rows.join(left.withColumnRenamed("node", "id"), "id")
+    rows = cut_table(rows.join(left.withColumnRenamed("node", "id"), "id"))
     pairs = cut_table(setjoin.candidate_pairs(rows, percent, "label"))
     return cut_table(verified(plausible(pairs, nodes, percent), sets, percent))
 
@@ -193,12 +221,8 @@ def find_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     nodes = cut_table(own.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")))
     rows = own.select(F.explode("keys").alias("key"), "node").distinct()
     groups = cut_table(star_pairs(rows))
-    pairs = groups.filter("node != center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = cut_table(plausible(pairs, nodes, percent))
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = cut_table(node_sets(docs, cut_table(ends.join(nodes, "node").select("node", "doc_id"))))
-    links = cut_table(verified(pairs, sets, percent))
-    more = missed_links(docs, groups.select("key", "node"), links, nodes, percent)
+    links = star_links(docs, groups, nodes, percent)
+    more = missed_links(docs, groups, links, nodes, percent)
     labels = components(links if more is None else links.unionByName(more))
     labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     labelled = cut_table(labelled)
