@@ -73,7 +73,7 @@ def shared_windows(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT
     """doc_id, item_id, n_shared, n_windows, for items of which a document holds enough windows."""
     items = by_size(cut_table(item_windows(benchmark)), 48)
     words = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", template_words(text_of()).alias("w"))
-    own = words.select("doc_id", F.explode(windows(F.col("w"))).alias("window"))
+    own = words.select("doc_id", F.explode_outer(windows(F.col("w"))).alias("window"))
     met = own.join(items, "window").groupBy("doc_id", "item_id", "window").agg(F.first("n_windows").alias("n_windows"))
     found = met.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"), F.first("n_windows").alias("n_windows"))
     return found.filter(100 * F.col("n_shared") >= percent * F.col("n_windows"))
