@@ -488,3 +488,26 @@ def test_native_plans_have_no_python(spark, corpus):
 def test_prefix_lengths(spark):
     got = spark.range(1, 60).select("id", setjoin.prefix_length(F.col("id"), 75).alias("p")).collect()
     assert all(r["p"] == r["id"] - math.ceil(r["id"] * 0.75) + 1 for r in got)
+
+
+# ---- whole subword stream, all training texts
+
+
+def test_attention_scores_every_subword(spark):
+    model = Tokenizer.from_file(JSON)
+    pieces = collections.defaultdict(list)
+    r = random.Random(8)
+    for w in sorted({word(r) for _ in range(3000)}):
+        ids = model.encode(" " + w, add_special_tokens=False).ids
+        pieces[ids[0], len(ids)].append(w)
+    same = max((v for k, v in pieces.items() if k[1] > 2), key=len)  # words alike in their first subword and length
+    a, b = same[: len(same) // 2], same[len(same) // 2 :]
+    docs = [(i, " ".join(r.choice(a) for _ in range(60))) for i in range(120)]
+    held = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    docs += [(held[0], " ".join(a)), (held[1], " ".join(b[: len(a)]))]
+    got = {x["doc_id"]: x for x in lm_scoring.score_documents(spark.createDataFrame(docs, "doc_id long, text string"), JSON, RANKS).collect()}
+    assert got[held[0]]["attention_score"] > got[held[1]]["attention_score"] + 1
+    found = lm_scoring.words_of(["Bakelomi é  x", "", "x"])
+    own = lm_scoring.stream_of(found, 7, JSON, RANKS)
+    want = [[*model.encode(" " + w, add_special_tokens=False).ids] for w in ("bakelomi", "é", "x")]
+    assert own.ids.tolist() == [*want[0], *want[1], *want[2], 7, 7, *want[2], 7] and own.first.tolist() == np.cumsum([0, len(want[0]), len(want[1]), len(want[2]), 1, 1, len(want[2])]).tolist()
