@@ -511,3 +511,32 @@ def test_attention_scores_every_subword(spark):
     own = lm_scoring.stream_of(found, 7, JSON, RANKS)
     want = [[*model.encode(" " + w, add_special_tokens=False).ids] for w in ("bakelomi", "é", "x")]
     assert own.ids.tolist() == [*want[0], *want[1], *want[2], 7, 7, *want[2], 7] and own.first.tolist() == np.cumsum([0, len(want[0]), len(want[1]), len(want[2]), 1, 1, len(want[2])]).tolist()
+
+
+def test_attention_learns_from_texts_outside_the_sample(spark):
+    r = random.Random(12)
+    cycle = list(dict.fromkeys(word(r) for _ in range(12)))
+    long = " ".join(cycle * 1500)  # the only text with an order, too long for the sample
+    loose = [" ".join(r.choice(cycle) for _ in range(60)) for _ in range(60)]
+    mixed = cycle * 5
+    r.shuffle(mixed)
+    held = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    own = next(i for i in range(2000, 2100) if zlib.crc32(str(i).encode()) % 7 != 2)
+    rows = [*enumerate(loose), (own, long), (held[0], " ".join(cycle * 5)), (held[1], " ".join(mixed))]
+    assert len(long) > lm_scoring.SAMPLE_TEXT
+    got = {x["doc_id"]: x["attention_score"] for x in lm_scoring.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), JSON, RANKS).collect()}
+    assert got[held[0]] > 0.75 * got[held[1]]
+
+
+def test_learner_goes_on_in_slabs(monkeypatch):
+    r = np.random.default_rng(4)
+    stream, owner = np.tile(r.integers(0, attention.UNITS, 40), 60), np.repeat([0, 1], 1200)
+    start = attention.Net.new(np.bincount(stream, minlength=attention.UNITS))
+    monkeypatch.setattr(attention, "SLAB", 8)
+    learner = attention.Learner(start, batch=4)
+    learner.learn(stream, owner, 5)
+    assert learner.n == len(stream)
+    before, after = (attention.score(x, stream, owner, 5, np.ones(attention.UNITS))[0].sum() for x in (start, learner.net))
+    assert after > 0.9 * before
+    again = start.filled(learner.net.flat())
+    assert all((again.p[k] == v).all() for k, v in learner.net.p.items())
