@@ -1,8 +1,8 @@
 """Line deduplication by an exact set-similarity join, in DataFrame functions only.
 
-Documents are split at line feeds. A line of SHINGLE words or more is the set of its distinct shingles of SHINGLE lower-cased
-words. It is removed if an earlier line, in order of (doc_id, line number), has a set with a Jaccard similarity of
-PERCENT / 100 or more; shorter lines stay. Lines with equal sets are one node, at the place of the first, however many there
+Documents are split at line feeds. A line is the set of its distinct shingles of `size` lower-cased words. It is removed if
+an earlier line, in order of (doc_id, line number), has a set with a Jaccard similarity of PERCENT / 100 or more. Lines of
+fewer words are one shingle of the whole line where `short` is set, as in the query and the pipeline, else they stay. Lines with equal sets are one node, at the place of the first, however many there
 are. Nodes meet through the tokens of their prefixes in rarity order, pass length and positional filters, and are verified
 on their full sets. A node only has to meet one earlier node like it: at each token it meets the first node there and the
 NEAR nodes before it, and where it is found unlike all of these, every other earlier node of the token too. So many
@@ -41,29 +41,32 @@ def _once(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def _shingles(text: Column) -> Column:
-    """Hashes of the shingles of a text, by place; none for fewer than SHINGLE words."""
+def _shingles(text: Column, size: int, short: bool) -> Column:
+    """Hashes of the shingles of a text with a word, by place; fewer words than a shingle are one of their own or none."""
     words = F.split(F.btrim(F.lower(text), F.lit(" \t\n\x0b\f\r")), f"[{SPACE}]+")
+    if size == 1:
+        return F.transform(words, lambda w: F.xxhash64(w))
 
     def hashes(h: Column) -> Column:
-        every = F.transform(h, lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, SHINGLE)]))
-        return F.slice(every, F.lit(1), F.greatest(F.size(h) - (SHINGLE - 1), F.lit(0)))
+        every = F.transform(h, lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, size)]))
+        whole = F.slice(every, F.lit(1), F.greatest(F.size(h) - (size - 1), F.lit(0)))
+        return F.when(F.size(h) < size, F.array(F.xxhash64(h, F.size(h)))).otherwise(whole) if short else whole
 
     return _once(F.transform(words, lambda w: F.xxhash64(w)), hashes)
 
 
-def _tokens(text: Column, ranks: Column) -> Column:
-    return F.sort_array(F.array_distinct(F.transform(_shingles(text), lambda h: setjoin.token(h, ranks))))
+def _tokens(text: Column, ranks: Column, size: int, short: bool) -> Column:
+    return F.sort_array(F.array_distinct(F.transform(_shingles(text, size, short), lambda h: setjoin.token(h, ranks))))
 
 
-def line_sets(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, Column]:
+def line_sets(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, short: bool = False) -> tuple[DataFrame, Column]:
     """A row for each line that takes part: doc_id, line, id (of its set), n, prefix; and the ranks behind the tokens."""
     # a line is at least as many characters long as its words and the spaces between them
-    lines = _lines(docs).filter(F.length("words") >= 2 * SHINGLE - 1)
+    lines = _lines(docs).filter(F.col("words").rlike(f"[^{SPACE}]") if short or size == 1 else F.length("words") >= 2 * size - 1)
     # explode_outer here and the filter after the write: a filter on a computed array would compute it twice
-    ranks = setjoin.rarity_ranks(lines.select(F.explode_outer(_shingles(F.col("words"))).alias("h")), "h")
+    ranks = setjoin.rarity_ranks(lines.select(F.explode_outer(_shingles(F.col("words"), size, short)).alias("h")), "h")
     n = F.size("t")
-    described = lines.select("doc_id", "line", _tokens(F.col("words"), ranks).alias("t")).select(
+    described = lines.select("doc_id", "line", _tokens(F.col("words"), ranks, size, short).alias("t")).select(
         "doc_id", "line", F.xxhash64("t").alias("id"), n.alias("n"), F.slice("t", F.lit(1), setjoin.prefix_length(n, percent)).alias("prefix")
     )
     return cut_table(described).filter("n > 0"), ranks
@@ -90,37 +93,37 @@ def meetings(nodes: DataFrame, percent: int) -> tuple[DataFrame, Callable[[DataF
     return pairs, further
 
 
-def alike(docs: DataFrame, pairs: DataFrame, ranks: Column, percent: int) -> DataFrame:
+def alike(docs: DataFrame, pairs: DataFrame, ranks: Column, percent: int, size: int, short: bool) -> DataFrame:
     """first and other: nodes with the earliest node that the pairs show to be like them, on full sets."""
     pairs = cut_table(pairs)
     ends = pairs.select(F.explode(F.array("first", "earlier")).alias("at")).distinct()
     wanted = cut_table(ends.select("at.doc_id", "at.line"))
     texts = docs.select("doc_id", "text").join(by_size(wanted.select("doc_id").distinct(), 16), "doc_id", "left_semi")
     sets = _lines(texts).join(by_size(wanted, 32), ["doc_id", "line"])
-    sets = cut_table(sets.select(F.struct("doc_id", "line").alias("at"), _tokens(F.col("words"), ranks).alias("t")))
+    sets = cut_table(sets.select(F.struct("doc_id", "line").alias("at"), _tokens(F.col("words"), ranks, size, short).alias("t")))
     both = pairs.join(sets.select(F.col("at").alias("first"), F.col("t").alias("ta")), "first").join(sets.select(F.col("at").alias("earlier"), F.col("t").alias("tb")), "earlier")
     shared = F.size(F.array_intersect("ta", "tb"))
     found = both.filter(setjoin.similar(shared, F.size("ta"), F.size("tb"), percent))
     return found.groupBy("first").agg(F.min("earlier").alias("other"))
 
 
-def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def removed_lines(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, short: bool = False) -> DataFrame:
     """A row for each removed line: doc_id, line, and an earlier line like it: first_doc, first_line."""
-    lines, ranks = line_sets(docs, percent)
+    lines, ranks = line_sets(docs, percent, size, short)
     place = F.struct("doc_id", "line")
     nodes = lines.groupBy("id").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     pairs, further = meetings(nodes, percent)
-    settled = cut_table(alike(docs, pairs, ranks, percent))
-    settled = cut_table(settled.unionByName(alike(docs, further(settled), ranks, percent)))
+    settled = cut_table(alike(docs, pairs, ranks, percent, size, short))
+    settled = cut_table(settled.unionByName(alike(docs, further(settled), ranks, percent, size, short)))
     firsts = lines.groupBy("id").agg(F.min(place).alias("first")).join(settled, "first", "left")
     known = firsts.select("id", F.coalesce("other", "first").alias("earliest"))
     own = lines.join(known, "id").filter(F.struct("doc_id", "line") != F.col("earliest"))
     return own.select("doc_id", "line", F.col("earliest.doc_id").alias("first_doc"), F.col("earliest.line").alias("first_line"))
 
 
-def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def deduplicate(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, short: bool = False) -> DataFrame:
     """docs with their text less the removed lines, n_lines (with a word), n_removed and removed (their numbers)."""
-    gone = removed_lines(docs, percent).groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("removed"))
+    gone = removed_lines(docs, percent, size, short).groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("removed"))
     kept = without(docs, "removed", "n_lines", "n_removed")
     found = kept.join(by_size(cut_table(gone), 64), "doc_id", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
     split = F.split(F.col("text"), "\n", -1)
@@ -132,4 +135,4 @@ def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def stage(docs: DataFrame) -> DataFrame:
     """The documents with the removed lines taken out, in the columns that docs has."""
-    return shielded(docs, ("doc_id", "text"), deduplicate)
+    return shielded(docs, ("doc_id", "text"), lambda own: deduplicate(own, short=True))
