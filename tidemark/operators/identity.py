@@ -16,27 +16,35 @@ def keys_of(candidates: DataFrame, identifiers: DataFrame, origins: DataFrame |
     return out.join(candidates.select("candidate"), "candidate", "left_semi").distinct()
 
 
-def components(keys: DataFrame, rounds: int = 50) -> DataFrame:
+def components(keys: DataFrame) -> DataFrame:
     """candidate and component: the least candidate of those linked by shared keys, over any number of steps.
 
-    Labels fall along the keys until none changes; each round is two aggregations, and a checkpoint cuts the plan.
+    Each key links its candidates with the least of them; large and small stars alternate until no link changes, in a number
+    of rounds that grows with the logarithm of the longest chain. Checkpoints cut the plan.
     """
     spark = keys.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir("/tmp/tidemark-checkpoints")
     keys = keys.checkpoint()
-    labels = keys.select("candidate", F.col("candidate").alias("component")).distinct()
-    for _ in range(rounds):
-        by_key = keys.join(labels, "candidate").groupBy("key").agg(F.min("component").alias("least"))
-        lower = keys.join(by_key, "key").groupBy("candidate").agg(F.min("least").alias("least"))
-        # jump: the label of the label
-        now = lower.join(labels.select(F.col("candidate").alias("least"), F.col("component").alias("jump")), "least", "left")
-        now = now.select("candidate", F.least("least", "jump").alias("component")).checkpoint()
-        moved = now.join(labels.withColumnRenamed("component", "was"), "candidate").filter("component <> was").isEmpty()
-        labels = now
-        if moved:
+
+    def star(links: DataFrame, large: bool) -> DataFrame:
+        if large:
+            sides = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        else:
+            sides = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        least = sides.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        out = sides.join(least, "a").filter("b > a" if large else "true").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        return (out if large else out.unionByName(least.select("a", F.col("m").alias("b")))).filter("a != b").distinct()
+
+    centers = keys.groupBy("key").agg(F.min("candidate").alias("b"))
+    links = keys.join(centers, "key").filter("candidate != b").select(F.col("candidate").alias("a"), "b").distinct().checkpoint()
+    while True:
+        now = star(star(links, True), False).checkpoint()
+        if now.count() == links.count() and now.join(links, ["a", "b"], "left_anti").isEmpty():
             break
-    return labels
+        links = now
+    labels = links.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "candidate")
+    return keys.select("candidate").distinct().join(labels, "candidate", "left").withColumn("component", F.coalesce("component", "candidate"))
 
 
 def resolve(candidates: DataFrame, found: DataFrame, policy: str, record_class: str, key_columns: list[str]) -> DataFrame:
