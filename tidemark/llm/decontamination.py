@@ -2,7 +2,8 @@
 
 Texts become templates: numbers, names and units are replaced by typed placeholders, the rest is lower-cased and loses its
 punctuation. Windows of WINDOW template words of the documents meet those of the benchmark items in a hash join. An item
-is found in a document that holds PERCENT of its distinct windows. Where such an item has placeholders, its values are
+is found in a document that holds PERCENT of its distinct windows, by their own or by their second keys, in which every
+capitalised word is a name, also where it opens a sentence. Where such an item has placeholders, its values are
 laid beside the document's: each value of the item must stand for one value of the document and the other way round.
 Equal values mean a copy, other consistent ones a re-parameterised question, inconsistent ones no leak.
 
@@ -26,24 +27,27 @@ PERCENT = 75
 NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
 
 UNITS = "km|m|cm|mm|kg|g|mg|lb|lbs|oz|l|ml|s|sec|min|h|hours?|minutes?|seconds?|days?|weeks?|months?|years?|miles?|feet|inch(?:es)?|dollars?|euros?|cents?|percent|degrees?|%|°C|°F"
-NUMBER_WORDS = "two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|twenty|thirty|forty|fifty|hundred|thousand|million"
+NUMBER_WORDS = "zero|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety|hundred|thousand|million|billion"
 _EDGE, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 #: In order; none spans white space, so words keep their places.
 STEPS = (
     (rf"(?<=\d ?)(?:{UNITS}){_END}", UNIT),
     (rf"{_EDGE}[+-]?\d+(?:[.,:/]\d+)*", NUMBER),
-    (rf"{_EDGE}(?:{NUMBER_WORDS}){_END}", NUMBER),
+    (rf"{_EDGE}(?i:{NUMBER_WORDS}){_END}", NUMBER),
     (r"(?<=[\p{Ll}\p{N},;] )\p{Lu}[\p{L}\p{N}'’-]*", NAME),
 )
 
+#: Besides, for the second key: any capitalised word, as at the start of a text or sentence, after a colon or a quote.
+OPENING = (rf"{_EDGE}\p{{Lu}}[\p{{L}}\p{{N}}'’-]*", NAME)
 
-def template(text: Column) -> Column:
-    out = reduce(lambda c, step: F.regexp_replace(c, *step), STEPS, text)
+
+def template(text: Column, opening: bool = False) -> Column:
+    out = reduce(lambda c, step: F.regexp_replace(c, *step), (*STEPS, OPENING) if opening else STEPS, text)
     return F.regexp_replace(F.lower(out), rf"[^\p{{L}}\p{{N}}{SPACE}{NUMBER}{NAME}{UNIT}]+", "")
 
 
-def template_words(text: Column) -> Column:
-    return F.filter(F.split(template(text), f"[{SPACE}]+"), lambda w: w != "")
+def template_words(text: Column, opening: bool = False) -> Column:
+    return F.filter(F.split(template(text, opening), f"[{SPACE}]+"), lambda w: w != "")
 
 
 def raw_words(text: Column) -> Column:
@@ -63,19 +67,24 @@ def windows(words: Column) -> Column:
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, window and n_windows, for the distinct windows of each item."""
-    words = benchmark.filter(F.col("item_id").isNotNull()).select("item_id", template_words(text_of()).alias("w"))
-    own = words.select("item_id", F.explode(windows(F.col("w"))).alias("window")).distinct()
-    return own.join(own.groupBy("item_id").agg(F.count("*").alias("n_windows")), "item_id")
+    """item_id, window, key, plain and n_windows: the distinct windows of each item, by their own and their second keys."""
+    words = benchmark.filter(F.col("item_id").isNotNull()).select("item_id", template_words(text_of()).alias("w"), template_words(text_of(), True).alias("o"))
+    both = F.arrays_zip(windows(F.col("w")).alias("window"), windows(F.col("o")).alias("second"))
+    own = words.select("item_id", F.explode(both).alias("x")).select("item_id", "x.window", F.explode(F.array("x.window", "x.second")).alias("key")).distinct()
+    counted = own.groupBy("item_id").agg(F.count_distinct("window").alias("n_windows"))
+    return own.withColumn("plain", F.col("key") == F.col("window")).join(counted, "item_id")
 
 
 def shared_windows(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, item_id, n_shared, n_windows, for items of which a document holds enough windows."""
-    items = by_size(cut_table(item_windows(benchmark)), 48)
-    words = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", template_words(text_of()).alias("w"))
-    own = words.select("doc_id", F.explode_outer(windows(F.col("w"))).alias("window"))
-    met = own.join(items, "window").groupBy("doc_id", "item_id", "window").agg(F.first("n_windows").alias("n_windows"))
-    found = met.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"), F.first("n_windows").alias("n_windows"))
+    """doc_id, item_id, n_shared, n_plain (without second keys), n_windows, for items of which a document holds enough windows."""
+    items = by_size(cut_table(item_windows(benchmark)), 64)
+    words = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", template_words(text_of()).alias("w"), template_words(text_of(), True).alias("o"))
+    both = words.select("doc_id", windows(F.col("w")).alias("w"), windows(F.col("o")).alias("o"))
+    # all plain windows, then those that the second key changes
+    keys = both.select("doc_id", F.size("w").alias("n"), F.posexplode_outer(F.concat("w", F.array_except("o", "w"))).alias("at", "key"))
+    own = keys.select("doc_id", "key", (F.col("at") < F.col("n")).alias("first"))
+    met = own.join(items, "key").groupBy("doc_id", "item_id", "window").agg(F.first("n_windows").alias("n_windows"), F.max(F.col("plain") & F.col("first")).alias("plain"))
+    found = met.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"), F.count_if("plain").alias("n_plain"), F.first("n_windows").alias("n_windows"))
     return found.filter(100 * F.col("n_shared") >= percent * F.col("n_windows"))
 
 
@@ -84,9 +93,9 @@ def _slots(words: DataFrame, key: str) -> DataFrame:
     return words.select(key, F.posexplode(F.arrays_zip(F.col("r"), F.col("w"))).alias("place", "x")).select(key, "place", F.col("x.r").alias("raw"), F.col("x.w").alias("word"))
 
 
-def slot_checks(pairs: DataFrame, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def slot_checks(pairs: DataFrame, docs: DataFrame, benchmark: DataFrame, opening: bool = False) -> DataFrame:
     """doc_id, item_id, n_slots, n_changed and consistent, over the placeholders of shared windows laid side by side."""
-    both = lambda df, key: df.select(key, template_words(text_of()).alias("w"), raw_words(text_of()).alias("r"))
+    both = lambda df, key: df.select(key, template_words(text_of(), opening).alias("w"), raw_words(text_of()).alias("r"))
     items = both(benchmark.filter(F.col("item_id").isNotNull()), "item_id").dropDuplicates(["item_id"])
     slotted = items.filter(F.exists("w", lambda w: w.rlike(f"[{NUMBER}{NAME}{UNIT}]")))
     wanted = cut_table(pairs.join(slotted.select("item_id"), "item_id", "left_semi").select("doc_id", "item_id"))
@@ -117,12 +126,20 @@ def slot_checks(pairs: DataFrame, docs: DataFrame, benchmark: DataFrame) -> Data
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, item_id, n_shared, n_windows, n_slots, n_changed: a row for each item leaked into a document."""
+    """doc_id, item_id, n_shared, n_windows, n_slots, n_changed: a row for each item leaked into a document.
+
+    A pair that isn't found by its plain windows and their values is looked at again with the second keys and theirs.
+    """
     pairs = cut_table(shared_windows(docs, benchmark, percent))
-    checked = pairs.join(slot_checks(pairs, docs, benchmark), ["doc_id", "item_id"], "left")
     none = F.lit(0).cast("long")
-    found = checked.filter(F.coalesce("consistent", F.lit(True)))
-    return found.select("doc_id", "item_id", "n_shared", "n_windows", F.coalesce("n_slots", none).alias("n_slots"), F.coalesce("n_changed", none).alias("n_changed"))
+
+    def consistent(some: DataFrame, n_shared: str, opening: bool) -> DataFrame:
+        checked = some.join(slot_checks(some, docs, benchmark, opening), ["doc_id", "item_id"], "left").filter(F.coalesce("consistent", F.lit(True)))
+        return checked.select("doc_id", "item_id", F.col(n_shared).alias("n_shared"), "n_windows", F.coalesce("n_slots", none).alias("n_slots"), F.coalesce("n_changed", none).alias("n_changed"))
+
+    plain = cut_table(consistent(pairs.filter(100 * F.col("n_plain") >= percent * F.col("n_windows")), "n_plain", False))
+    rest = cut_table(pairs.join(plain.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_anti"))
+    return plain.unionByName(consistent(rest, "n_shared", True))
 
 
 def stage(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
