@@ -1,8 +1,9 @@
 """Line deduplication by an exact set-similarity join, in DataFrame functions only.
 
 Documents are split at line feeds. A line is the set of its distinct shingles of `size` lower-cased words. It is removed if
-an earlier line, in order of (doc_id, line number), has a set with a Jaccard similarity of PERCENT / 100 or more. Lines of
-fewer words are one shingle of the whole line where `short` is set, as in the query and the pipeline, else they stay. Lines with equal sets are one node, at the place of the first, however many there
+an earlier line, in order of (doc_id, line number), has a set with a Jaccard similarity of PERCENT / 100 or more. The query
+and the pipeline take single words (TOKEN), so every line with a word takes part. With larger shingles, lines of fewer
+words are one shingle of the whole line where `short` is set, else they stay. Lines with equal sets are one node, at the place of the first, however many there
 are. Nodes meet through the tokens of their prefixes in rarity order, pass length and positional filters, and are verified
 on their full sets. A node only has to meet one earlier node like it: at each token it meets the first node there and the
 NEAR nodes before it, and where it is found unlike all of these, every other earlier node of the token too. So many
@@ -26,6 +27,8 @@ from .common import SPACE, by_size, cut_table, shielded, text_of, without
 
 PERCENT = 75
 SHINGLE = 5
+#: Size of the shingles of the query and the pipeline: the words themselves.
+TOKEN = 1
 #: Nodes before it that a node meets at a token besides the first one.
 NEAR = 4
 
@@ -135,4 +138,4 @@ def deduplicate(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, sh
 
 def stage(docs: DataFrame) -> DataFrame:
     """The documents with the removed lines taken out, in the columns that docs has."""
-    return shielded(docs, ("doc_id", "text"), lambda own: deduplicate(own, short=True))
+    return shielded(docs, ("doc_id", "text"), lambda own: deduplicate(own, size=TOKEN, short=True))

@@ -33,7 +33,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.deduplicate(read(spark, sf_dir, "documents").select("doc_id", "text"), short=True)
+    found = line_dedup.deduplicate(read(spark, sf_dir, "documents").select("doc_id", "text"), size=line_dedup.TOKEN, short=True)
     return found.select("doc_id", "n_lines", "n_removed", "removed", "text")
 
 
