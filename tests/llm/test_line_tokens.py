@@ -12,7 +12,7 @@ def texts(rows, spark):
 def test_short_copies_go(spark):
     rows = [(1, "Read more\nx\n \nfirst line here"), (2, "read more\n\nX\nother"), (3, "Read  more")]
     assert texts(rows, spark) == {1: rows[0][1], 2: "\nother", 3: ""}
-    kept = line_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), short=True)  # five-word shingles
+    kept = line_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r["doc_id"]: r["removed"] for r in kept.collect()} == {1: [], 2: [0, 2], 3: [0]}
 
 

@@ -1,141 +1,115 @@
 """Line deduplication by an exact set-similarity join, in DataFrame functions only.
 
-Documents are split at line feeds. A line is the set of its distinct shingles of `size` lower-cased words. It is removed if
-an earlier line, in order of (doc_id, line number), has a set with a Jaccard similarity of PERCENT / 100 or more. The query
-and the pipeline take single words (TOKEN), so every line with a word takes part. With larger shingles, lines of fewer
-words are one shingle of the whole line where `short` is set, else they stay. Lines with equal sets are one node, at the place of the first, however many there
-are. Nodes meet through the tokens of their prefixes in rarity order, pass length and positional filters, and are verified
-on their full sets. A node only has to meet one earlier node like it: at each token it meets the first node there and the
-NEAR nodes before it, and where it is found unlike all of these, every other earlier node of the token too. So many
-variants of a line cost a few pairs each, and no match is missed.
-
-Defined results: null text counts as empty (no lines, stays null); repeated rows with one doc_id are one document in
-order, so the lines of the second copy are earlier lines' copies only if that document repeats them; white space alone is
-no line; documents without an id neither lose lines nor take any; an empty table gives an empty result; other columns stay, and input columns named like an added one are replaced.
+Documents are split at line feeds. A line with a word is the set of its distinct lower-cased words, its tokens, in the order of
+their rarity over all lines. It is removed if an earlier line, in order of (doc_id, line number), has a set with a Jaccard
+similarity of PERCENT / 100 or more. Lines with equal sets are one node, at the place of the first, however many there are.
+Nodes meet through the tokens of their prefixes (setjoin), pass length, positional and parity filters, and are verified on
+their full sets. At keys that are common however long they are made, nodes first meet the first node there; only those
+that aren't like it meet the other earlier ones.
+
+Defined results: null text counts as empty (no lines, stays null); white space alone is no line; rows that repeat a doc_id are
+one document in order, so lines at the same place don't remove one another; documents without an id neither lose lines nor
+take any; an empty table gives an empty result; other columns stay, and input columns named like an added one are replaced.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import setjoin
 from .common import SPACE, by_size, cut_table, shielded, text_of, without
 
 PERCENT = 75
-SHINGLE = 5
-#: Size of the shingles of the query and the pipeline: the words themselves.
-TOKEN = 1
-#: Nodes before it that a node meets at a token besides the first one.
-NEAR = 4
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line (its number from 0) and its text."""
+    """doc_id, line (its number from 0) and its text, for lines with a word."""
     split = F.posexplode_outer(F.split(text_of("text"), "\n", -1)).alias("line", "words")
-    return docs.filter(F.col("doc_id").isNotNull()).select("doc_id", split)
-
-
-def _once(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f of a value that is computed once, also where f uses it inside a lambda function."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
-def _shingles(text: Column, size: int, short: bool) -> Column:
-    """Hashes of the shingles of a text with a word, by place; fewer words than a shingle are one of their own or none."""
-    words = F.split(F.btrim(F.lower(text), F.lit(" \t\n\x0b\f\r")), f"[{SPACE}]+")
-    if size == 1:
-        return F.transform(words, lambda w: F.xxhash64(w))
-
-    def hashes(h: Column) -> Column:
-        every = F.transform(h, lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, size)]))
-        whole = F.slice(every, F.lit(1), F.greatest(F.size(h) - (size - 1), F.lit(0)))
-        return F.when(F.size(h) < size, F.array(F.xxhash64(h, F.size(h)))).otherwise(whole) if short else whole
+    return docs.filter(F.col("doc_id").isNotNull()).select("doc_id", split).filter(F.col("words").rlike(f"[^{SPACE}]"))
 
-    return _once(F.transform(words, lambda w: F.xxhash64(w)), hashes)
 
+def _words(text: Column) -> Column:
+    return F.split(F.btrim(F.lower(text), F.lit(" \t\n\x0b\f\r")), f"[{SPACE}]+")
 
-def _tokens(text: Column, ranks: Column, size: int, short: bool) -> Column:
-    return F.sort_array(F.array_distinct(F.transform(_shingles(text, size, short), lambda h: setjoin.token(h, ranks))))
 
+def _tokens(text: Column, levels: Column) -> Column:
+    return setjoin.tokens(F.transform(_words(text), lambda w: F.xxhash64(w)), levels)
 
-def line_sets(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, short: bool = False) -> tuple[DataFrame, Column]:
-    """A row for each line that takes part: doc_id, line, id (of its set), n, prefix; and the ranks behind the tokens."""
-    # a line is at least as many characters long as its words and the spaces between them
-    lines = _lines(docs).filter(F.col("words").rlike(f"[^{SPACE}]") if short or size == 1 else F.length("words") >= 2 * size - 1)
-    # explode_outer here and the filter after the write: a filter on a computed array would compute it twice
-    ranks = setjoin.rarity_ranks(lines.select(F.explode_outer(_shingles(F.col("words"), size, short)).alias("h")), "h")
-    n = F.size("t")
-    described = lines.select("doc_id", "line", _tokens(F.col("words"), ranks, size, short).alias("t")).select(
-        "doc_id", "line", F.xxhash64("t").alias("id"), n.alias("n"), F.slice("t", F.lit(1), setjoin.prefix_length(n, percent)).alias("prefix")
-    )
-    return cut_table(described).filter("n > 0"), ranks
 
+def line_sets(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, Column]:
+    """A row for each line with a word: doc_id, line, id (of its set) and the columns of setjoin.described; and the rarity levels."""
+    words = docs.filter(F.col("doc_id").isNotNull()).select(F.explode(_words(text_of("text"))).alias("w"))
+    levels = setjoin.rarity_levels(words.select(F.xxhash64("w").alias("h")), "h")
+    sets = _lines(docs).select("doc_id", "line", _tokens(F.col("words"), levels).alias("t"))
+    return cut_table(sets.select("doc_id", "line", F.xxhash64("t").alias("id"), *[v.alias(k) for k, v in setjoin.described(F.col("t"), percent).items()])), levels
 
-def meetings(nodes: DataFrame, percent: int) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
-    """Pairs (earlier, first) of nodes that may be alike; and, for nodes that are settled, all further pairs of the others."""
-    rows = nodes.select("first", "n", F.posexplode("prefix").alias("pos", "token")).withColumn("me", F.struct("first", "n", "pos"))
-    by_token = W.partitionBy("token").orderBy("first")
-    earlier = [F.first("me").over(by_token), *[F.lag("me", k).over(by_token) for k in range(1, NEAR + 1)]]
-    names = [f"b{k}" for k in range(NEAR + 1)]
-    met = rows.withColumns({"place": F.row_number().over(by_token), **dict(zip(names, earlier, strict=True))}).filter("place > 1")
-    fits = lambda x: setjoin.may_match(x["n"], x["pos"], F.col("n"), F.col("pos"), percent)
-    close = F.array_compact(F.array(*[F.when((F.col(b)["first"] < F.col("first")) & fits(F.col(b)), F.col(b)["first"]) for b in names]))
-    met = cut_table(met.select("first", "n", "pos", "token", "place", close.alias("close")))
-    pairs = met.select("first", F.explode("close").alias("earlier")).distinct()
 
-    def further(settled: DataFrame) -> DataFrame:
-        y = cut_table(met.filter(F.col("place") > NEAR + 2).join(settled.select("first"), "first", "left_anti").select("first", "n", "pos", "token", "place"))
-        x = met.select(F.col("first").alias("earlier"), F.col("n").alias("xn"), F.col("pos").alias("xpos"), F.col("place").alias("xplace"), "token")
-        rest = y.join(x, "token").filter((F.col("xplace") < F.col("place") - NEAR) & setjoin.may_match(F.col("xn"), F.col("xpos"), F.col("n"), F.col("pos"), percent))
-        return rest.select("first", "earlier").distinct()
-
-    return pairs, further
+def line_nodes(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A row of lines for each set, at its first place; and id and first (that place) of the sets of several lines."""
+    place = F.struct("doc_id", "line")
+    several = cut_table(lines.groupBy("id").agg(F.count("*").alias("k"), F.min(place).alias("first")).filter("k > 1").select("id", "first"))
+    marked = lines.join(by_size(several, 32), "id", "left")
+    once = marked.filter(F.col("first").isNull()).drop("first")
+    firsts = marked.filter(F.col("first") == place).drop("first").dropDuplicates(["id"])
+    return once.unionByName(firsts), several
 
 
-def alike(docs: DataFrame, pairs: DataFrame, ranks: Column, percent: int, size: int, short: bool) -> DataFrame:
-    """first and other: nodes with the earliest node that the pairs show to be like them, on full sets."""
-    pairs = cut_table(pairs)
-    ends = pairs.select(F.explode(F.array("first", "earlier")).alias("at")).distinct()
-    wanted = cut_table(ends.select("at.doc_id", "at.line"))
+def alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, levels: Column, percent: int) -> DataFrame:
+    """id, first and other: nodes with their place and that of the earliest node that the pairs show to be like them, on full sets."""
+    ends = cut_table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    wanted = cut_table(nodes.select("id", "doc_id", "line").join(by_size(ends, 16), "id"))
     texts = docs.select("doc_id", "text").join(by_size(wanted.select("doc_id").distinct(), 16), "doc_id", "left_semi")
-    sets = _lines(texts).join(by_size(wanted, 32), ["doc_id", "line"])
-    sets = cut_table(sets.select(F.struct("doc_id", "line").alias("at"), _tokens(F.col("words"), ranks, size, short).alias("t")))
-    both = pairs.join(sets.select(F.col("at").alias("first"), F.col("t").alias("ta")), "first").join(sets.select(F.col("at").alias("earlier"), F.col("t").alias("tb")), "earlier")
-    shared = F.size(F.array_intersect("ta", "tb"))
-    found = both.filter(setjoin.similar(shared, F.size("ta"), F.size("tb"), percent))
-    return found.groupBy("first").agg(F.min("earlier").alias("other"))
-
-
-def removed_lines(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, short: bool = False) -> DataFrame:
+    sets = _lines(texts).join(by_size(wanted, 40), ["doc_id", "line"]).select("id", F.struct("doc_id", "line").alias("at"), _tokens(F.col("words"), levels).alias("t"))
+    # of rows that repeat a doc_id, the one whose line has this set
+    sets = cut_table(sets.filter(F.xxhash64("t") == F.col("id")).dropDuplicates(["id"]))
+    end = lambda name: by_size(sets, 600).select(F.col("id").alias(name), F.col("at").alias(f"at_{name}"), F.col("t").alias(f"t_{name}"))
+    both = pairs.join(end("a"), "a").join(end("b"), "b").filter(F.col("at_a") != F.col("at_b"))
+    both = both.filter(setjoin.similar(F.size(F.array_intersect("t_a", "t_b")), F.size("t_a"), F.size("t_b"), percent))
+    later = F.when(F.col("at_a") < F.col("at_b"), F.struct("b", "at_b")).otherwise(F.struct(F.col("a").alias("b"), F.col("at_a").alias("at_b")))
+    found = both.select(later.alias("x"), F.least("at_a", "at_b").alias("other")).groupBy(F.col("x.b").alias("id"))
+    return found.agg(F.first("x.at_b").alias("first"), F.min("other").alias("other"))
+
+
+def like_earlier(docs: DataFrame, nodes: DataFrame, levels: Column, percent: int) -> DataFrame:
+    """id, first and other of the nodes that have an earlier node like them."""
+    pairs, hot = setjoin.join(nodes, percent)
+    found = cut_table(alike(docs, nodes, pairs, levels, percent))
+    if hot is None:
+        return found
+    rows = cut_table(hot.join(nodes.select("id", F.struct("doc_id", "line").alias("at")), "id"))
+    top = setjoin.levels_of(percent)
+    centers = rows.groupBy("key").agg(F.min(F.struct("at", *setjoin.OWN)).alias("c")).select("key", "c.*")
+    own = lambda x, y: setjoin.met(x, y, percent, top, F.col("x.at") < F.col("y.at"))
+    star = cut_table(own(centers, rows))
+    settled = cut_table(found.unionByName(alike(docs, nodes, star, levels, percent)))
+    left = rows.join(settled.select("id"), "id", "left_anti")
+    return settled.unionByName(alike(docs, nodes, cut_table(own(rows, left)), levels, percent))
+
+
+def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """A row for each removed line: doc_id, line, and an earlier line like it: first_doc, first_line."""
-    lines, ranks = line_sets(docs, percent, size, short)
-    place = F.struct("doc_id", "line")
-    nodes = lines.groupBy("id").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    pairs, further = meetings(nodes, percent)
-    settled = cut_table(alike(docs, pairs, ranks, percent, size, short))
-    settled = cut_table(settled.unionByName(alike(docs, further(settled), ranks, percent, size, short)))
-    firsts = lines.groupBy("id").agg(F.min(place).alias("first")).join(settled, "first", "left")
-    known = firsts.select("id", F.coalesce("other", "first").alias("earliest"))
-    own = lines.join(known, "id").filter(F.struct("doc_id", "line") != F.col("earliest"))
+    lines, levels = line_sets(docs, percent)
+    nodes, several = line_nodes(lines)
+    like = like_earlier(docs, nodes, levels, percent)
+    known = several.select("id", F.col("first").alias("earliest")).unionByName(like.select("id", F.col("other").alias("earliest")))
+    known = cut_table(known.groupBy("id").agg(F.min("earliest").alias("earliest")))
+    own = lines.select("doc_id", "line", "id").join(by_size(known, 32), "id").filter(F.struct("doc_id", "line") != F.col("earliest"))
     return own.select("doc_id", "line", F.col("earliest.doc_id").alias("first_doc"), F.col("earliest.line").alias("first_line"))
 
 
-def deduplicate(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, short: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs with their text less the removed lines, n_lines (with a word), n_removed and removed (their numbers)."""
-    gone = removed_lines(docs, percent, size, short).groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("removed"))
-    kept = without(docs, "removed", "n_lines", "n_removed")
-    found = kept.join(by_size(cut_table(gone), 64), "doc_id", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
-    split = F.split(F.col("text"), "\n", -1)
-    left = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("removed", i)), "\n")
+    gone = removed_lines(docs, percent).groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("removed"))
+    names = ("removed", "n_lines", "n_removed", "__text", "__split")
+    found = without(docs, *names).join(by_size(cut_table(gone), 64), "doc_id", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
+    left = lambda split: F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("removed")), lambda i: F.get(split, i))
+    text = F.when(F.size("removed") > 0, F.array_join(setjoin.once(F.split(F.col("text"), "\n", -1), left), "\n")).otherwise(F.col("text"))
     n_lines = F.size(F.filter(F.split(text_of("text"), "\n", -1), lambda x: x.rlike(f"[^{SPACE}]")))
-    found = found.withColumns({"n_lines": n_lines, "n_removed": F.size("removed"), "__text": F.when(F.size("removed") > 0, left).otherwise(F.col("text"))})
+    found = found.withColumns({"n_lines": n_lines, "n_removed": F.size("removed"), "__text": text})
     return found.withColumn("text", F.col("__text")).drop("__text")
 
 
 def stage(docs: DataFrame) -> DataFrame:
     """The documents with the removed lines taken out, in the columns that docs has."""
-    return shielded(docs, ("doc_id", "text"), lambda own: deduplicate(own, size=TOKEN, short=True))
+    return shielded(docs, ("doc_id", "text"), deduplicate)

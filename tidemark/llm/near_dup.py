@@ -205,12 +205,12 @@ def missed_links(docs: DataFrame, groups: DataFrame, links: DataFrame, nodes: Da
     if left.isEmpty():
         return None
     sets = cut_table(node_sets(docs, left.join(nodes, "node").select("node", "doc_id")))
-    ranks = setjoin.rarity_ranks(sets.select(F.explode_outer("shingles").alias("h")), "h")
-    tokens = F.sort_array(F.transform("shingles", lambda h: setjoin.token(h, ranks)))
-    n = F.size("shingles")
-    rows = sets.select(F.col("node").alias("id"), n.alias("n"), F.slice(tokens, F.lit(1), setjoin.prefix_length(n, percent)).alias("prefix"))
-    rows = cut_table(rows.join(left.withColumnRenamed("node", "id"), "id"))
-    pairs = cut_table(setjoin.candidate_pairs(rows, percent, "label"))
+    levels = setjoin.rarity_levels(sets.select(F.explode_outer("shingles").alias("h")), "h")
+    described = setjoin.described(F.col("t"), percent)
+    rows = sets.select(F.col("node").alias("id"), setjoin.tokens(F.col("shingles"), levels).alias("t")).select("id", *[v.alias(k) for k, v in described.items()])
+    pairs, hot = setjoin.join(cut_table(rows.join(left.withColumnRenamed("node", "id"), "id")), percent, "label")
+    if hot is not None:
+        pairs = cut_table(pairs.unionByName(setjoin.self_join(hot, percent, setjoin.levels_of(percent), "label")).distinct())
     return cut_table(verified(plausible(pairs, nodes, percent), sets, percent))
 
 

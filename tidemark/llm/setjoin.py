@@ -1,39 +1,62 @@
 """Exact set-similarity join in DataFrame functions: rarity order, prefix, length and positional filters.
 
-A token is a 63-bit number whose high bits are the rarity rank of its hash bin, so the natural order of a sorted array of
-tokens is the rarity order. Bins are counted over all rows; their number is fixed, so the ranks are a small constant.
+A token is a long whose high byte is the rarity level of its hash bin and whose low 56 bits are the token's hash, so the
+natural order of a sorted array of tokens is the rarity order. Bins are counted over all rows; their number is fixed, so
+the levels are a small constant.
+
+Two sets that reach the threshold share a token of their prefixes. A token that stands in the prefixes of more than HOT sets
+isn't joined by itself: there the second token that both share is in their prefixes longer by one, so pairs of tokens are the
+keys, and where such a pair is still hot, triples. So the join does work in proportion to its rows, up to keys that are hot as triples,
+and no pair is missed. Besides, each set carries the parity of its tokens' hashes in 64 or 128 cells: the cells in which two sets
+differ are never more than the tokens in which they do, so most unlike pairs end inside the join.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bins of the rarity count: 2 ** BIN_BITS ranks are all that reaches the driver.
-BIN_BITS = 14
+from .common import by_size, cut_table
+
+#: Bins of the rarity count: 2 ** BIN_BITS levels are all that reaches the driver.
+BIN_BITS = 16
 BINS = 1 << BIN_BITS
-_REST_BITS = 63 - BIN_BITS
+_HASH = (1 << 56) - 1
+#: A key in more sets' prefixes than so many is lengthened by a token.
+HOT = 48
+#: Tokens of the longest key.
+LEVELS = 3
+#: Sets of more tokens have their parities in two words.
+WIDE = 64
+#: Columns of a set that its keys carry.
+OWN = ("id", "n", "pos", "low", "high")
 
 
 def bin_of(hashed: Column) -> Column:
     return F.shiftrightunsigned(hashed, 64 - BIN_BITS).cast("int")
 
 
-def rarity_ranks(hashes: DataFrame, col: str) -> Column:
-    """A constant array: the rank of each bin, rarest first, in the high bits of tokens, counted over all rows of hashes."""
-    counts = hashes.groupBy(bin_of(F.col(col)).alias("bin")).agg(F.count(col).alias("n")).collect()
-    found = {r["bin"]: r["n"] for r in counts if r["bin"] is not None}
-    order = sorted(range(BINS), key=lambda b: (found.get(b, 0), b))
-    ranks = [0] * BINS
-    for rank, b in enumerate(order):
-        ranks[b] = rank
+def rarity_levels(hashes: DataFrame, col: str) -> Column:
+    """A constant array: the level of each bin, 4 to each doubling of its count over all rows of hashes."""
+    level = F.floor(4 * F.log2(F.count(F.lit(1)) + 1)).cast("int")
+    counts = hashes.filter(F.col(col).isNotNull()).groupBy(bin_of(F.col(col)).alias("bin")).agg(level.alias("level"))
+    found = {r["bin"]: min(r["level"], 127) for r in counts.collect()}  # BINS rows at most
     # folded into one constant when the plan is optimized
-    return F.split(F.lit(",".join(str(r << _REST_BITS) for r in ranks)), ",").cast("array<bigint>")
+    return F.split(F.lit(",".join(str(found.get(b, 0)) for b in range(BINS))), ",").cast("array<tinyint>")
+
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, also where f uses it inside a lambda function."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
-def token(hashed: Column, ranks: Column) -> Column:
-    """The token of a 64-bit hash: one-to-one up to the 63 bits it keeps."""
-    return F.coalesce(F.get(ranks, bin_of(hashed)), F.lit(0).cast("long")).bitwiseOR(hashed.bitwiseAND(F.lit((1 << _REST_BITS) - 1)))
+
+def tokens(hashes: Column, levels: Column) -> Column:
+    """The sorted distinct tokens of an array of 64-bit hashes."""
+    level = lambda h: F.coalesce(F.get(levels, bin_of(h)), F.lit(0).cast("tinyint")).cast("long")
+    return F.sort_array(F.array_distinct(F.transform(hashes, lambda h: F.shiftleft(level(h), 56).bitwiseOR(h.bitwiseAND(F.lit(_HASH))))))
 
 
 def prefix_length(n: Column, percent: int) -> Column:
@@ -41,32 +64,98 @@ def prefix_length(n: Column, percent: int) -> Column:
     return (n - F.ceil(n * percent / F.lit(100.0)) + 1).cast("int")
 
 
-def candidate_pairs(sets: DataFrame, percent: int, group: str | None = None) -> DataFrame:
-    """Distinct pairs (a < b) of ids that may reach the threshold; none that reaches it is missing.
+def levels_of(percent: int) -> int:
+    """How many tokens a key may have: unlike sets that reach the threshold share so many at least."""
+    return max(1, min(LEVELS, math.ceil(percent / (100 - percent)))) if percent < 100 else LEVELS
 
-    sets: a row for each id, with n (size) and prefix (its first prefix_length tokens, in rarity order). With group, pairs
-    inside a group aren't wanted, and tokens that occur in one group alone are dropped before the join.
-    """
-    extra = [group] if group else []
-    rows = sets.select("id", "n", *extra, F.posexplode("prefix").alias("pos", "token"))
-    if group:
-        shared = rows.groupBy("token").agg(F.min(group).alias("low"), F.max(group).alias("high"))
-        rows = rows.join(shared.filter("low != high").select("token"), "token", "left_semi")
-    x, y = rows.alias("x"), rows.alias("y")
-    holds = (F.col("x.id") < F.col("y.id")) & may_match(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent)
+
+def described(t: Column, percent: int) -> dict[str, Column]:
+    """What the join needs of a set of tokens: its size, the hashes of its longest prefix, and its parities."""
+    n = F.size(t)
+
+    def parity(half: int) -> Column:
+        cell = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+        return F.aggregate(t, F.lit(0).cast("long"), lambda a, x: F.when(x.bitwiseAND(F.lit(64)) == 64 * half, a.bitwiseXOR(cell(x))).otherwise(a))
+
+    def whole() -> Column:
+        cell = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+        return F.aggregate(t, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(cell(x)))
+
+    first = F.slice(t, F.lit(1), prefix_length(n, percent) + (levels_of(percent) - 1))
+    return {
+        "n": n,
+        "prefix": F.transform(first, lambda x: F.hash(x)),
+        "low": F.when(n > WIDE, parity(0)).otherwise(whole()),
+        "high": F.when(n > WIDE, parity(1)).otherwise(F.lit(0).cast("long")),
+    }
+
+
+def may_match(a: Callable[[str], Column], b: Callable[[str], Column], percent: int, shared: int = 1) -> Column:
+    """Length, positional and parity filters for two sets at a key whose last token, the shared-th of it, is at pos."""
+    both, least = a("n") + b("n"), F.least(a("n"), b("n"))
+    lengths = 100 * least >= percent * F.greatest(a("n"), b("n"))
+    places = (100 + percent) * (F.least(a("n") - a("pos"), b("n") - b("pos")) + (shared - 1)) >= percent * both
+    wide = F.bit_count(a("low").bitwiseXOR(b("low"))) + F.bit_count(a("high").bitwiseXOR(b("high")))
+    fold = lambda x: x("low").bitwiseXOR(x("high"))
+    differ = F.when(least > WIDE, wide).otherwise(F.bit_count(fold(a).bitwiseXOR(fold(b))))
+    return lengths & places & ((100 + percent) * differ <= (100 - percent) * both)
+
+
+def _side(name: str) -> Callable[[str], Column]:
+    return lambda c: F.col(f"{name}.{c}")
+
+
+def met(x: DataFrame, y: DataFrame, percent: int, shared: int, further: Column) -> DataFrame:
+    """Distinct pairs (a, b) of the ids of rows x and y that meet at a key and pass the filters and a further condition."""
+    holds = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & may_match(_side("x"), _side("y"), percent, shared)
+    pairs = x.alias("x").join(y.alias("y"), holds & further)
+    return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
+def self_join(keyed: DataFrame, percent: int, shared: int, group: str | None) -> DataFrame:
+    """Distinct pairs (a < b) of ids that meet at a key, pass the filters and, with group, are of different groups."""
+    further = F.col("x.id") < F.col("y.id")
     if group:
-        holds = holds & (F.col(f"x.{group}") != F.col(f"y.{group}"))
-    return x.join(y, F.expr("x.token = y.token") & holds).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+        further = further & (F.col(f"x.{group}") != F.col(f"y.{group}"))
+    return met(keyed, keyed, percent, shared, further)
+
 
+def join(nodes: DataFrame, percent: int, group: str | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Candidate pairs (a, b), and the rows of keys that are hot at every length, None where there are none.
 
-def may_match(n_a: Column, pos_a: Column, n_b: Column, pos_b: Column, percent: int) -> Column:
-    """Length and positional filters for a token at these places of two sets: true for the first token of every match."""
-    t = percent / 100
-    need = F.ceil((n_a + n_b) * F.lit(t / (1 + t)) - 1e-9)
-    return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (F.least(n_a - pos_a, n_b - pos_b) >= need)
+    nodes: a row for each id with the columns of described() and, if given, group. A pair that reaches the threshold is among the
+    candidates or meets at a key of the hot rows.
+    """
+    extra = [group] if group else []
+    top = levels_of(percent)
+    whole = nodes.select("id", "n", "low", "high", *extra, "prefix")
+    rows = whole.select("*", F.posexplode(F.slice("prefix", F.lit(1), prefix_length(F.col("n"), percent))).alias("pos", "token")).withColumn("key", F.col("token").cast("long"))
+    found: list[DataFrame] = []
+    for shared in range(1, top + 1):
+        counts = rows.groupBy("key").count().filter(F.col("count") > HOT).select("key")
+        hot = cut_table(counts)
+        none = hot.isEmpty()
+        hot = hot if none else by_size(hot, 16)
+        keyed = rows.select(*OWN, *extra, "key")
+        found.append(self_join(keyed if none else keyed.join(hot, "key", "left_anti"), percent, shared, group))
+        if none:
+            return _all(found), None
+        rows = rows.join(hot, "key", "left_semi")
+        if shared == top:
+            return _all(found), cut_table(rows.select(*OWN, *extra, "key"))
+        # one token more, from the rest of the prefix that is longer by one
+        rest = F.slice("prefix", F.col("pos") + 2, F.greatest(prefix_length(F.col("n"), percent) + shared - 1 - F.col("pos"), F.lit(0)))
+        rows = rows.select("id", "n", "low", "high", *extra, "prefix", F.col("pos").alias("__pos"), F.col("key").alias("__key"), F.posexplode(rest).alias("__k", "token"))
+        rows = rows.select("id", "n", "low", "high", *extra, "prefix", (F.col("__pos") + 1 + F.col("__k")).alias("pos"), F.xxhash64("__key", "token").alias("key"))
+    raise AssertionError("not reached")
+
+
+def _all(found: list[DataFrame]) -> DataFrame:
+    out = found[0]
+    for other in found[1:]:
+        out = out.unionByName(other)
+    return cut_table(out if len(found) == 1 else out.distinct())
 
 
 def similar(shared: Column, n_a: Column, n_b: Column, percent: int) -> Column:
     return 100 * shared >= percent * (n_a + n_b - shared)
-
-
