@@ -30,18 +30,21 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _words(text: Column) -> Column:
-    return F.split(F.btrim(F.lower(text), F.lit(" \t\n\x0b\f\r")), f"[{SPACE}]+")
+    """Lower-cased words of a text without line feeds, some of which may be empty; only rare white space needs a slow pattern."""
+    low = F.lower(text)
+    return F.when(low.rlike(r"[\x09\x0B-\x0D]"), F.split(low, f"[{SPACE}]")).otherwise(F.split(low, " "))
 
 
-def _tokens(text: Column, levels: Column) -> Column:
-    return setjoin.tokens(F.transform(_words(text), lambda w: F.xxhash64(w)), levels)
+def _with_tokens(lines: DataFrame, levels: Column) -> DataFrame:
+    """Lines with t, their tokens, instead of their words."""
+    return setjoin.tokens(lines, F.array_remove(F.transform(_words(F.col("words")), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))), levels, "t").drop("words")
 
 
 def line_sets(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, Column]:
     """A row for each line with a word: doc_id, line, id (of its set) and the columns of setjoin.described; and the rarity levels."""
-    words = docs.filter(F.col("doc_id").isNotNull()).select(F.explode(_words(text_of("text"))).alias("w"))
-    levels = setjoin.rarity_levels(words.select(F.xxhash64("w").alias("h")), "h")
-    sets = _lines(docs).select("doc_id", "line", _tokens(F.col("words"), levels).alias("t"))
+    words = docs.filter(F.col("doc_id").isNotNull()).select(F.explode(_words(F.replace(text_of("text"), F.lit("\n"), F.lit(" ")))).alias("w"))
+    levels = setjoin.rarity_levels(words.filter("w <> ''").select(F.xxhash64("w").alias("h")), "h")
+    sets = _with_tokens(_lines(docs), levels)
     return cut_table(sets.select("doc_id", "line", F.xxhash64("t").alias("id"), *[v.alias(k) for k, v in setjoin.described(F.col("t"), percent).items()])), levels
 
 
@@ -60,7 +63,7 @@ def alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, levels: Column, p
     ends = cut_table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     wanted = cut_table(nodes.select("id", "doc_id", "line").join(by_size(ends, 16), "id"))
     texts = docs.select("doc_id", "text").join(by_size(wanted.select("doc_id").distinct(), 16), "doc_id", "left_semi")
-    sets = _lines(texts).join(by_size(wanted, 40), ["doc_id", "line"]).select("id", F.struct("doc_id", "line").alias("at"), _tokens(F.col("words"), levels).alias("t"))
+    sets = _with_tokens(_lines(texts).join(by_size(wanted, 40), ["doc_id", "line"]), levels).select("id", F.struct("doc_id", "line").alias("at"), "t")
     # of rows that repeat a doc_id, the one whose line has this set
     sets = cut_table(sets.filter(F.xxhash64("t") == F.col("id")).dropDuplicates(["id"]))
     end = lambda name: by_size(sets, 600).select(F.col("id").alias(name), F.col("at").alias(f"at_{name}"), F.col("t").alias(f"t_{name}"))

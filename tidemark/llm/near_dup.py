@@ -3,16 +3,18 @@
 Each text is the set of its distinct five-word shingles. Its sketch has REGISTERS registers: the least hash of a bucket is
 kept as its count of leading zeros and MANTISSA bits after them. Equal sets are one node from here on, however many
 documents share them. Bands of ROWS registers are keys; nodes that share a key are candidates. Linking is by stars: the
-nodes of a key's group are paired with the group's least node, so a group of m nodes gives m - 1 pairs at most, and only
-as long as they aren't of one component; pairs whose collision-corrected estimate is far below the threshold are dropped, the others are verified on their full sets, and
+nodes of a key's group are paired with the group's least node, so a group of m nodes gives m - 1 pairs at most; pairs whose
+collision-corrected estimate is far below the threshold are dropped, the others are verified on their full sets, and
 connected components follow. Where a group then still spans several components, its nodes are joined once more by the
 exact prefix join of setjoin, across components only, so a link between two nodes that a star missed is found as well.
 
-A pair at the threshold shares no band with a probability of about (1 - 0.75 ** ROWS) ** BANDS, 3e-6.
+Two ways to lose a link are left: a pair at the threshold shares no band with a probability of about (1 - 0.75 ** ROWS) ** BANDS,
+3e-6, and its estimate lies DEVIATIONS standard deviations too low with one of about 1e-9.
 
 Defined results: null text, empty text and text without words have the empty set and are linked with nothing; fewer than
-five words are one shingle; repeated rows and copies share a component; the kept document of a component has its least
-doc_id; documents with a null id take no part; an empty table gives an empty result; other columns stay.
+five words are one shingle; repeated rows and copies share a component, whose id is its least one; documents without an id
+take part and have the id of their component, null if nothing in it has one, and are kept where theirs is null too; an empty table gives an
+empty result; other columns stay.
 """
 
 from __future__ import annotations
@@ -22,11 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import setjoin
-from .common import by_size, cut_table, text_of
+from .common import by_size, cut_table, shielded, text_of
 from .shingles import U, mix, shingle_set
 
 PERCENT = 75
@@ -75,8 +77,19 @@ def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum(equal - chance, 0) / np.maximum(n - chance, 1), n
 
 
+def node_of(s: np.ndarray) -> np.int64:
+    """A hash of a whole set."""
+    with np.errstate(over="ignore"):
+        return mix(np.array([np.add.reduce(mix(s ^ U(0xA4093822299F31D0))) + U(len(s))], dtype=np.uint64)).view(np.int64)[0]
+
+
+def row_key() -> Column:
+    """A hash of a row's id and text, by which rows are found again: ids may be null or repeated."""
+    return F.xxhash64("doc_id", text_of())
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, node (a hash of its set), n_shingles, keys and registers for every document with an id."""
+    """doc_id, row (its row_key), node (a hash of its set), n_shingles, keys and registers for every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,25 +97,24 @@ def sketches(docs: DataFrame) -> DataFrame:
             for text in batch.column("text"):
                 s = shingle_set(text.as_py())
                 r = sketch(s)
-                with np.errstate(over="ignore"):
-                    nodes.append(mix(np.array([np.add.reduce(mix(s ^ U(0xA4093822299F31D0))) + U(len(s))], dtype=np.uint64)).view(np.int64)[0])
+                nodes.append(node_of(s))
                 sizes.append(len(s))
                 keys.append(band_keys(r))
                 registers.append(r.astype("<u2").tobytes())
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*keys, np.empty(0, np.int64)])))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), listed, pa.array(registers, pa.binary())],
-                names=["doc_id", "node", "n_shingles", "keys", "registers"],
+                [batch.column("doc_id"), batch.column("row"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), listed, pa.array(registers, pa.binary())],
+                names=["doc_id", "row", "node", "n_shingles", "keys", "registers"],
             )
 
-    narrow = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", text_of().alias("text"))
+    narrow = docs.select("doc_id", row_key().alias("row"), text_of().alias("text"))
     id_type = narrow.schema["doc_id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"doc_id {id_type}, node long, n_shingles long, keys array<long>, registers binary")
+    return narrow.mapInArrow(run, f"doc_id {id_type}, row long, node long, n_shingles long, keys array<long>, registers binary")
 
 
 def node_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node and shingles (signed, sorted) for the documents of wanted (node, doc_id), one for each node."""
+    """node and shingles (signed, sorted) for the rows of wanted (node, row), one for each node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,7 +123,7 @@ def node_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*sets, np.empty(0, np.int64)])))
             yield pa.RecordBatch.from_arrays([batch.column("node"), listed], names=["node", "shingles"])
 
-    texts = docs.select("doc_id", text_of().alias("text")).join(by_size(wanted, 32), "doc_id").select("node", "text")
+    texts = docs.select(row_key().alias("row"), text_of().alias("text")).join(by_size(wanted, 32), "row").select("node", "text")
     return texts.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
 
 
@@ -168,74 +180,81 @@ def components(links: DataFrame) -> DataFrame:
     return labels.unionByName(labels.select(F.col("label").alias("node"), "label").distinct())
 
 
-def still_open(groups: DataFrame, links: DataFrame) -> DataFrame:
-    """key, node, center and label (of the node's component) for the groups whose nodes aren't all of one component."""
-    found = groups.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    found = cut_table(found.select("key", "node", "center", "label"))
+def still_open(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """node and label (of its component) of the nodes of groups that aren't all of one component."""
+    found = cut_table(groups.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
     open_keys = found.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("key")
-    return cut_table(found.join(open_keys, "key", "left_semi"))
+    return found.join(open_keys, "key", "left_semi").select("node", "label").distinct()
 
 
 def linked(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs that are links: those the sketches allow, verified on the sets of their texts."""
     pairs = cut_table(plausible(pairs, nodes, percent))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = cut_table(node_sets(docs, cut_table(ends.join(nodes, "node").select("node", "doc_id"))))
+    sets = cut_table(node_sets(docs, cut_table(ends.join(nodes, "node").select("node", "row"))))
     return cut_table(verified(pairs, sets, percent))
 
 
-def star_links(docs: DataFrame, groups: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Links of nodes with the centers of their groups.
-
-    First each node meets the least of its centers. In groups that still span several components, nodes then meet the
-    center if it is of another component; for the others, the link would change nothing.
-    """
-    away = groups.filter("node != center")
-    first = away.groupBy("node").agg(F.min("center").alias("center")).select(F.col("center").alias("a"), F.col("node").alias("b"))
-    links = linked(docs, first, nodes, percent)
-    left = still_open(groups, links)
-    centers = left.groupBy("key").agg(F.max(F.when(F.col("node") == F.col("center"), F.col("label"))).alias("center_label"))
-    others = left.join(centers, "key").filter("label != center_label").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-    return links.unionByName(linked(docs, others, nodes, percent))
-
-
-def missed_links(docs: DataFrame, groups: DataFrame, links: DataFrame, nodes: DataFrame, percent: int) -> DataFrame | None:
+def missed_links(docs: DataFrame, left: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Links across components between nodes of groups that span several components, by an exact prefix join."""
-    left = cut_table(still_open(groups, links).select("node", "label").distinct())
-    if left.isEmpty():
-        return None
-    sets = cut_table(node_sets(docs, left.join(nodes, "node").select("node", "doc_id")))
+    sets = cut_table(node_sets(docs, cut_table(left.join(nodes, "node").select("node", "row"))))
     levels = setjoin.rarity_levels(sets.select(F.explode_outer("shingles").alias("h")), "h")
     described = setjoin.described(F.col("t"), percent)
-    rows = sets.select(F.col("node").alias("id"), setjoin.tokens(F.col("shingles"), levels).alias("t")).select("id", *[v.alias(k) for k, v in described.items()])
+    rows = setjoin.tokens(sets.withColumnRenamed("node", "id"), F.col("shingles"), levels, "t").select("id", *[v.alias(k) for k, v in described.items()])
     pairs, hot = setjoin.join(cut_table(rows.join(left.withColumnRenamed("node", "id"), "id")), percent, "label")
     if hot is not None:
         pairs = cut_table(pairs.unionByName(setjoin.self_join(hot, percent, setjoin.levels_of(percent), "label")).distinct())
     return cut_table(verified(plausible(pairs, nodes, percent), sets, percent))
 
 
-def find_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row with an id."""
+def labelled_rows(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, row, n_shingles, component_id (the least id of the row's component) and first (the row that stands for it) for every row."""
     own = cut_table(sketches(docs))
-    members = own.select("doc_id", "node", "n_shingles")
-    nodes = cut_table(own.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")))
-    rows = own.select(F.explode("keys").alias("key"), "node").distinct()
-    groups = cut_table(star_pairs(rows))
-    links = star_links(docs, groups, nodes, percent)
-    more = missed_links(docs, groups, links, nodes, percent)
-    labels = components(links if more is None else links.unionByName(more))
-    labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    labelled = cut_table(labelled)
-    least = labelled.filter("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    out = labelled.join(least, "label", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    nodes = cut_table(own.filter("n_shingles > 0").groupBy("node").agg(F.min("row").alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")))
+    groups = cut_table(star_pairs(own.select(F.explode("keys").alias("key"), "node").distinct()))
+    pairs = groups.filter("node != center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
+    links = linked(docs, pairs, nodes, percent)
+    labels = cut_table(components(links))
+    left = cut_table(still_open(groups, labels))
+    if not left.isEmpty():
+        more = missed_links(docs, left, nodes, percent)
+        if not more.isEmpty():
+            labels = components(links.unionByName(more))
+    # the least row of a node before those of a component: copies are folded first
+    firsts = own.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min(_order()).alias("first"))
+    known = cut_table(firsts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    least = known.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.min("first").alias("first"))
+    of_node = cut_table(known.select("node", "label").join(least, "label").select("node", "component_id", F.col("first.row").alias("first")))
+    out = own.select("doc_id", "row", "node", "n_shingles").join(by_size(of_node, 48), "node", "left")
+    alone = F.col("n_shingles") == 0
+    return out.select("doc_id", "row", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, F.col("row")).otherwise(F.col("first")).alias("first"))
+
+
+def _order() -> Column:
+    """Rows with an id come first, in its order."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+
+
+def find_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row."""
+    found = labelled_rows(docs, percent)
+    return found.select("doc_id", "n_shingles", "component_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """One document of each component, in the columns that docs has; documents without an id stay."""
-    gone = cut_table(find_components(docs).filter(~F.col("kept")).select("doc_id"))
-    return docs.join(by_size(gone, 16), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One row of each component, in the columns that docs has: the first by id, of repeated rows any one."""
+
+    def one_each(own: DataFrame) -> DataFrame:
+        found = cut_table(labelled_rows(own).withColumn("stays", F.col("row") == F.col("first")))
+        gone = found.filter(~F.col("stays")).select(F.col("row").alias("__row")).distinct()
+        twice = cut_table(found.filter(F.col("stays") & (F.col("n_shingles") > 0)).groupBy(F.col("row").alias("__row")).count().filter("count > 1").select("__row"))
+        left = own.withColumn("__row", row_key()).join(by_size(gone, 16), "__row", "left_anti")
+        if not twice.isEmpty():
+            repeated = left.join(by_size(twice, 16), "__row", "left_semi").dropDuplicates(["__row"])
+            left = left.join(by_size(twice, 16), "__row", "left_anti").unionByName(repeated)
+        return left.drop("__row")
+
+    return shielded(docs, ("doc_id", "text"), one_each)
 
 
 def expected_miss(percent: int = PERCENT) -> float:

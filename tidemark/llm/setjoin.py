@@ -26,7 +26,7 @@ BIN_BITS = 16
 BINS = 1 << BIN_BITS
 _HASH = (1 << 56) - 1
 #: A key in more sets' prefixes than so many is lengthened by a token.
-HOT = 48
+HOT = 512
 #: Tokens of the longest key.
 LEVELS = 3
 #: Sets of more tokens have their parities in two words.
@@ -53,10 +53,12 @@ def once(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def tokens(hashes: Column, levels: Column) -> Column:
-    """The sorted distinct tokens of an array of 64-bit hashes."""
-    level = lambda h: F.coalesce(F.get(levels, bin_of(h)), F.lit(0).cast("tinyint")).cast("long")
-    return F.sort_array(F.array_distinct(F.transform(hashes, lambda h: F.shiftleft(level(h), 56).bitwiseOR(h.bitwiseAND(F.lit(_HASH))))))
+def tokens(df: DataFrame, hashes: Column, levels: Column, name: str) -> DataFrame:
+    """df with a column of the sorted distinct tokens of an array of 64-bit hashes."""
+    level = lambda h: F.shiftleft(F.get(levels, bin_of(h)).cast("long"), 56)
+    made = F.transform(hashes, lambda h: level(h).bitwiseOR(h.bitwiseAND(F.lit(_HASH))))
+    # the explosion of one element parts the lambda functions, which are interpreted, from sorting, which is compiled
+    return df.withColumn(name, F.explode(F.array(made))).withColumn(name, F.sort_array(F.array_distinct(name)))
 
 
 def prefix_length(n: Column, percent: int) -> Column:
@@ -73,20 +75,18 @@ def described(t: Column, percent: int) -> dict[str, Column]:
     """What the join needs of a set of tokens: its size, the hashes of its longest prefix, and its parities."""
     n = F.size(t)
 
-    def parity(half: int) -> Column:
-        cell = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
-        return F.aggregate(t, F.lit(0).cast("long"), lambda a, x: F.when(x.bitwiseAND(F.lit(64)) == 64 * half, a.bitwiseXOR(cell(x))).otherwise(a))
+    cell = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+    none = F.lit(0).cast("long")
 
-    def whole() -> Column:
-        cell = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
-        return F.aggregate(t, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(cell(x)))
+    def parity(half: int) -> Column:
+        return F.aggregate(t, none, lambda a, x: F.when(x.bitwiseAND(F.lit(64)) == 64 * half, a.bitwiseXOR(cell(x))).otherwise(a))
 
     first = F.slice(t, F.lit(1), prefix_length(n, percent) + (levels_of(percent) - 1))
     return {
         "n": n,
         "prefix": F.transform(first, lambda x: F.hash(x)),
-        "low": F.when(n > WIDE, parity(0)).otherwise(whole()),
-        "high": F.when(n > WIDE, parity(1)).otherwise(F.lit(0).cast("long")),
+        "low": F.when(n > WIDE, parity(0)).otherwise(F.aggregate(t, none, lambda a, x: a.bitwiseXOR(cell(x)))),
+        "high": F.when(n > WIDE, parity(1)).otherwise(none),
     }
 
 
