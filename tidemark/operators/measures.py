@@ -1,13 +1,16 @@
-"""Reviewed aggregate measures: named expressions over a class, evaluated by Spark after a check of what they use.
+"""Reviewed aggregate measures: named expressions over a class, read into a tree of typed columns and evaluated by Spark.
 
-An expression may use the columns it is given, literals, arithmetic, comparison and boolean operators, and the aggregates
-SUM, COUNT, AVG, MIN and MAX, DISTINCT inside COUNT alone. The check is on its lexemes; Spark parses it.
+An expression may use the columns it is given, numbers, text in single quotes (a quote in it is doubled), TRUE and FALSE, arithmetic,
+one comparison at a time, NOT, AND, OR, parentheses, and the aggregates SUM, COUNT, AVG, MIN and MAX, DISTINCT inside COUNT
+alone. Its rules are checked while the tree is made: operands have kinds (number, boolean, text, time) that their operators take, aggregates
+aren't nested, and a column stands inside an aggregate. Booleans are summed as 0 and 1; division by zero gives null.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -15,81 +18,187 @@ from pyspark.sql import functions as F
 
 from ..errors import MeasureError
 
-AGGREGATES = ("SUM", "COUNT", "AVG", "MIN", "MAX")
-KEYWORDS = ("AND", "OR", "NOT", "TRUE", "FALSE", "DISTINCT")
+#: Aggregates with their functions, in the spelling of the language.
+AGGREGATES: dict[str, Callable[[Column], Column]] = {"SUM": F.sum, "COUNT": F.count, "AVG": F.avg, "MIN": F.min, "MAX": F.max}
+#: Most rows that one evaluation by dimensions gives.
 MAX_ROWS = 1000
 _LEXEME = re.compile(r"\s*(?:(?P<number>\d+(?:\.\d+)?)|(?P<text>'(?:[^']|'')*')|(?P<name>[A-Za-z_]\w*)|(?P<op>!=|<=|>=|[=<>+*/(),-]))")
+#: How tightly binary operators bind; comparisons take no comparison beside them.
+_BINDS = {"OR": 1, "AND": 2, "=": 4, "!=": 4, "<": 4, "<=": 4, ">": 4, ">=": 4, "+": 5, "-": 5, "*": 6, "/": 6}
+_NOT, _COMPARE, _SIGN = 3, 4, 7
+NUMBER, BOOLEAN, TEXT, TIME = "number", "boolean", "text", "time"
 
 
-def issues(expression: str, columns: list[str]) -> list[str]:
-    """The rules that an expression breaks."""
-    found, at, lexemes = [], 0, []
-    stripped = expression.rstrip()
-    while at < len(stripped):
-        m = _LEXEME.match(stripped, at)
-        if not m:
-            return ["measure_expr_parse"]
-        lexemes.append((m.lastgroup, m[m.lastgroup]))
-        at = m.end()
-    inside: list[str] = []
-    for i, (kind, text) in enumerate(lexemes):
-        after = lexemes[i + 1][1] if i + 1 < len(lexemes) else ""
-        if kind == "name" and after == "(" and text.upper() not in KEYWORDS:
-            if text.upper() not in AGGREGATES:
-                found.append("measure_expr_function")
-            elif any(x in AGGREGATES for x in inside):
-                found.append("measure_expr_nested")
-        elif kind == "name" and text.upper() == "DISTINCT":
-            if not (i > 1 and lexemes[i - 1][1] == "(" and lexemes[i - 2][1].upper() == "COUNT"):
-                found.append("measure_expr_distinct")
-        elif kind == "name" and text.upper() not in KEYWORDS and text not in columns:
-            found.append("measure_expr_column")
-        elif text == "(":
-            inside.append(lexemes[i - 1][1].upper() if i and lexemes[i - 1][0] == "name" else "")
-        elif text == ")":
-            if not inside:
-                found.append("measure_expr_parse")
-            else:
-                inside.pop()
-    if inside or not lexemes or not _shaped(lexemes):
-        found.append("measure_expr_parse")
-    if not any(k == "name" and t.upper() in AGGREGATES for k, t in lexemes) and not found:
-        found.append("measure_expr_aggregate")
-    return list(dict.fromkeys(found))
-
-
-def _shaped(lexemes: list[tuple[str, str]]) -> bool:
-    """No two operands and no two binary operators in a row."""
-    operand = False
-    for i, (kind, text) in enumerate(lexemes):
-        before = lexemes[i - 1][1] if i else "("
-        starts = kind in ("number", "text") or kind == "name" and text.upper() not in ("AND", "OR")
-        if starts and operand and text.upper() != "NOT":
-            return False
-        if kind == "op" and text not in "()-" and not operand and not (text == "*" and before == "("):
-            return False
-        if kind == "name":
-            operand = text.upper() not in ("AND", "OR", "NOT", "DISTINCT")
-        elif kind == "op":
-            operand = text == ")" or text == "*" and before == "("
+class _Unreadable(Exception):
+    pass
+
+
+@dataclass(frozen=True)
+class Term:
+    """A part of an expression: what makes its column, its kind (None after an issue), whether it holds a bare column or an aggregate."""
+
+    value: Callable[[], Column]
+    kind: str | None
+    bare: bool = False
+    aggregate: bool = False
+
+
+def kind_of(spark_type: str) -> str:
+    if spark_type == "boolean":
+        return BOOLEAN
+    if spark_type.startswith(("date", "timestamp", "interval")):
+        return TIME
+    return NUMBER if re.match(r"(tinyint|smallint|int|bigint|float|double|decimal)", spark_type) else TEXT
+
+
+class _Reader:
+    """Reads one expression by the binding of its operators, noting the rules that it breaks."""
+
+    def __init__(self, expression: str, types: dict[str, str]):
+        self.types, self.at, self.broken = types, 0, []
+        self.lexemes: list[tuple[str, str]] = []
+        place, stripped = 0, expression.rstrip()
+        while place < len(stripped):
+            m = _LEXEME.match(stripped, place)
+            if not m:
+                raise _Unreadable
+            self.lexemes.append((m.lastgroup, m[m.lastgroup]))
+            place = m.end()
+        self.lexemes.append(("end", ""))
+
+    def note(self, rule: str) -> None:
+        if rule not in self.broken:
+            self.broken.append(rule)
+
+    def operator(self) -> str:
+        """The operator or keyword at this place in capitals; other lexemes have none."""
+        kind, text = self.lexemes[self.at]
+        return text.upper() if kind in ("op", "name") else ""
+
+    def take(self, text: str) -> None:
+        if self.operator() != text:
+            raise _Unreadable
+        self.at += 1
+
+    def whole(self) -> Term:
+        out = self.expression(0)
+        if self.lexemes[self.at][0] != "end":
+            raise _Unreadable
+        if out.bare or not out.aggregate:
+            self.note("measure_expr_aggregate")
+        return out
+
+    def expression(self, above: int) -> Term:
+        left = self.operand()
+        while (binds := _BINDS.get(self.operator(), 0)) > above:
+            op = self.operator()
+            self.at += 1
+            left = self.combined(op, left, self.expression(binds))
+            if binds == _COMPARE:  # no second comparison at this level
+                above = max(above, _COMPARE) if _BINDS.get(self.operator()) == _COMPARE else above
+        return left
+
+    def operand(self) -> Term:
+        kind, text = self.lexemes[self.at]
+        self.at += 1
+        if kind == "number":
+            return Term(lambda: F.lit(float(text)) if "." in text else F.lit(int(text)), NUMBER)
+        if kind == "text":
+            return Term(lambda: F.lit(text[1:-1].replace("''", "'")), TEXT)
+        if text == "(":
+            inner = self.expression(0)
+            self.take(")")
+            return inner
+        if text == "-":
+            inner = self.expression(_SIGN)
+            return self.typed(inner, (NUMBER,), lambda: -inner.value(), NUMBER)
+        if kind != "name":
+            raise _Unreadable
+        if text.upper() == "NOT":
+            inner = self.expression(_NOT)
+            return self.typed(inner, (BOOLEAN,), lambda: ~inner.value(), BOOLEAN)
+        if text.upper() in ("TRUE", "FALSE"):
+            return Term(lambda: F.lit(text.upper() == "TRUE"), BOOLEAN)
+        if self.operator() == "(":
+            return self.call(text.upper())
+        if text not in self.types:
+            self.note("measure_expr_column")
+            return Term(lambda: F.lit(None), None, bare=True)
+        return Term(lambda: F.col(f"`{text}`"), kind_of(self.types[text]), bare=True)
+
+    def call(self, name: str) -> Term:
+        self.take("(")
+        if name not in AGGREGATES:
+            self.note("measure_expr_function")
+        distinct = False
+        if name == "COUNT" and self.operator() == "*":
+            self.at += 1
+            inner = Term(lambda: F.lit(1), NUMBER)
         else:
-            operand = True
-        if kind == "name" and i + 1 < len(lexemes) and lexemes[i + 1][1] == "(" and text.upper() in AGGREGATES:
-            operand = False
-    return operand
+            if distinct := self.operator() == "DISTINCT":
+                self.at += 1
+                if name != "COUNT":
+                    self.note("measure_expr_distinct")
+            inner = self.expression(0)
+        self.take(")")
+        if inner.aggregate:
+            self.note("measure_expr_nested")
+        if name in ("SUM", "AVG") and inner.kind not in (NUMBER, BOOLEAN, None):
+            self.note("measure_expr_type")
+
+        def made() -> Column:
+            own = inner.value().cast("int") if inner.kind == BOOLEAN and name in ("SUM", "AVG") else inner.value()
+            return F.count_distinct(own) if distinct else AGGREGATES[name](own)
+
+        return Term(made, inner.kind if name in ("MIN", "MAX") else NUMBER, aggregate=True)
+
+    def typed(self, inner: Term, takes: tuple[str, ...], value: Callable[[], Column], kind: str) -> Term:
+        if inner.kind is not None and inner.kind not in takes:
+            self.note("measure_expr_type")
+        return Term(value, kind, inner.bare, inner.aggregate)
+
+    def combined(self, op: str, a: Term, b: Term) -> Term:
+        x, y = a.value, b.value
+        if op in ("AND", "OR"):
+            takes, kind, value = (BOOLEAN,), BOOLEAN, (lambda: x() & y()) if op == "AND" else (lambda: x() | y())
+        elif op in ("+", "-", "*", "/"):
+            made = {"+": lambda: x() + y(), "-": lambda: x() - y(), "*": lambda: x() * y(), "/": lambda: x() / F.nullif(y(), F.lit(0))}
+            takes, kind, value = (NUMBER,), NUMBER, made[op]
+        else:
+            made = {"=": lambda: x() == y(), "!=": lambda: x() != y(), "<": lambda: x() < y(), "<=": lambda: x() <= y(), ">": lambda: x() > y(), ">=": lambda: x() >= y()}
+            takes, kind, value = (a.kind or b.kind or TEXT,), BOOLEAN, made[op]
+            if TIME in (a.kind, b.kind) and TEXT in (a.kind, b.kind):  # a time beside its text
+                takes = (TIME, TEXT)
+        for side in (a, b):
+            if side.kind is not None and side.kind not in takes:
+                self.note("measure_expr_type")
+        return Term(value, kind, a.bare or b.bare, a.aggregate or b.aggregate)
+
+
+def read(expression: str, types: dict[str, str]) -> tuple[Callable[[], Column] | None, list[str]]:
+    """What makes the column of an expression over columns of these types, None where it breaks rules; and the rules."""
+    reader = None
+    try:
+        reader = _Reader(expression, types)
+        term = reader.whole()
+    except _Unreadable:
+        return None, [*(reader.broken if reader else []), "measure_expr_parse"]
+    return (None if reader.broken else term.value), reader.broken
+
+
+def issues(expression: str, columns: list[str] | dict[str, str]) -> list[str]:
+    """The rules that an expression breaks; without types of the columns, those of types aren't looked at."""
+    typed = isinstance(columns, dict)
+    found = read(expression, columns if typed else dict.fromkeys(columns, "double"))[1]
+    return found if typed else [r for r in found if r != "measure_expr_type"]
 
 
 def column(expression: str, types: dict[str, str]) -> Column:
-    """The expression as a column, by the engine's own grammar; division by zero gives null, booleans are summed as numbers."""
-    broken = issues(expression, list(types))
+    """The expression as a column."""
+    made, broken = read(expression, types)
     if broken:
         raise MeasureError(f"measure expression breaks {', '.join(broken)}", rule=broken[0], field="expr")
-    for fn, text in re.findall(r"(?i)\b(SUM|AVG)\s*\(\s*([A-Za-z_]\w*)\s*\)", expression):
-        if types.get(text) in ("string", "date", "timestamp"):
-            raise MeasureError(f"{fn} of {text}, which isn't a number", rule="measure_expr_type", field="expr")
-    safe = re.sub(r"(?i)\b(SUM|AVG)\s*\(([^()]*[=<>][^()]*)\)", r"\1(CAST((\2) AS INT))", expression)
-    # a divisor is an aggregate, a column or a number; a zero one gives null
-    return F.expr(re.sub(r"/\s*((?:[A-Za-z_]\w*\s*\([^()]*\))|[A-Za-z_]\w*|\d+(?:\.\d+)?)", r"/ nullif(\1, 0)", safe))
+    return made()
 
 
 @dataclass(frozen=True)
@@ -107,7 +216,10 @@ class Measure:
 
 
 def evaluate(records: DataFrame, measure: Measure, arguments: dict[str, object] | None = None, by: tuple[str, ...] = ()) -> DataFrame:
-    """The measure's value, for each group of the dimensions in `by`, over the records that the arguments select."""
+    """The measure's value, for each group of the dimensions in `by`, over the records that the arguments select.
+
+    By dimensions, the first MAX_ROWS groups come back, in the order of the dimensions; nulls are last.
+    """
     types = dict(records.dtypes)
     for name, value in (arguments or {}).items():
         if name not in measure.parameters:
@@ -116,5 +228,6 @@ def evaluate(records: DataFrame, measure: Measure, arguments: dict[str, object]
     if odd := [d for d in by if d not in measure.dimensions]:
         raise MeasureError(f"{odd[0]} is no dimension of {measure.name}", rule="measure_dimension", field=odd[0])
     value = column(measure.expr, types).alias("value")
-    out = records.groupBy(*by).agg(value) if by else records.agg(value)
-    return out.orderBy(*[F.asc_nulls_last(d) for d in by]) if by else out
+    if not by:
+        return records.agg(value)
+    return records.groupBy(*by).agg(value).orderBy(*[F.asc_nulls_last(d) for d in by]).limit(MAX_ROWS)

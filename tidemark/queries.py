@@ -397,6 +397,32 @@ def measure_ratio(spark, sf):
     return _measure(spark, sf, "part", "SUM(p_size) / COUNT(*)", ["p_type"]).select("p_type", F.round(F.col("value") * 1000000).cast("bigint").alias("value"))
 
 
+@query("select o_orderpriority, cast(sum(case when o_orderstatus <> 'a/b' and o_orderpriority <> 'it''s' then 1 else 0 end) as bigint) as value from orders group by 1")
+def measure_text_literals(spark, sf):
+    return _measure(spark, sf, "orders", "SUM(o_orderstatus != 'a/b' AND NOT o_orderpriority = 'it''s')", ["o_orderpriority"])
+
+
+@query("select p_brand, cast(sum(p_size) + 1 as bigint) as value from part group by 1")
+def measure_double_minus(spark, sf):
+    return _measure(spark, sf, "part", "SUM(p_size) --1", ["p_brand"])
+
+
+@query("select l_linenumber, cast(round(1000.0 * count(*) / nullif(count(*) - count(distinct l_orderkey) + max(l_linenumber) - 1, 0)) as bigint) as value from lineitem group by 1")
+def measure_zero_divisor(spark, sf):
+    found = _measure(spark, sf, "lineitem", "1000 * COUNT(*) / (COUNT(*) - COUNT(DISTINCT l_orderkey) + MAX(l_linenumber) - 1)", ["l_linenumber"])
+    return found.select("l_linenumber", F.round("value").cast("bigint").alias("value"))
+
+
+@query("select l_linestatus, cast(sum(case when (l_returnflag = 'A') = (l_linenumber = 3) then 1 else 0 end) as bigint) as value from lineitem group by 1")
+def measure_nested_boolean(spark, sf):
+    return _measure(spark, sf, "lineitem", "SUM((l_returnflag = 'A') = (l_linenumber = 3))", ["l_linestatus"])
+
+
+@query("select p_type, cast(-min(p_size) + max(p_size * -1) * 2 - count(*) as bigint) as value from part group by 1")
+def measure_precedence(spark, sf):
+    return _measure(spark, sf, "part", "-MIN(p_size) + MAX(p_size * -1) * 2 - COUNT(*)", ["p_type"])
+
+
 # ---- validation and identity -------------------------------------------------------------------------------------
 
 
