@@ -229,12 +229,10 @@ def test_near_duplicates_equal_brute_force(corpus):
 
 
 def test_missed_links_are_found_by_the_prefix_join(spark, corpus):
-    """With one wide band per document as the only group, all links come from the completion."""
+    """With all documents in one open group, all links come from the completion."""
     own = near_dup.sketches(corpus)
-    nodes = own.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")).cache()
-    groups = nodes.select(F.lit(1).cast("long").alias("key"), "node").withColumn("center", F.lit(nodes.agg(F.min("node")).first()[0]))
-    none = spark.createDataFrame([], "a long, b long")
-    links = near_dup.missed_links(corpus, groups, none, nodes, 75)
+    nodes = own.filter("n_shingles > 0").groupBy("node").agg(F.min("row").alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")).cache()
+    links = near_dup.missed_links(corpus, nodes.select("node", F.col("node").alias("label")), nodes, 75)
     labels = {r["node"]: r["label"] for r in near_dup.components(links).collect()}
     node_of = {r["doc_id"]: r["node"] for r in own.collect()}
     sets = shingle_sets(texts_of(corpus))
@@ -246,6 +244,16 @@ def test_missed_links_are_found_by_the_prefix_join(spark, corpus):
                 assert same == (want[a] == want[b])
 
 
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(7, a), (None, a + " more"), (3, a), (3, a), (None, b), (None, b), (5, c), (5, b + " x"), (None, None), (9, ""), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter((r["doc_id"], r["component_id"], r["kept"]) for r in near_dup.find_components(docs).collect())
+    assert got == {(7, 3, False): 1, (None, 3, False): 1, (3, 3, True): 2, (None, 5, False): 2, (5, 5, True): 2, (None, None, True): 1, (9, 9, True): 2}
+    left = collections.Counter((r["doc_id"], r["text"]) for r in near_dup.stage(docs).collect())
+    assert left == {(3, a): 1, (5, c): 1, (5, b + " x"): 1, (None, None): 1, (9, ""): 2}
+
+
 def test_sketch_estimates():
     r = np.random.default_rng(1)
     assert near_dup.expected_miss() < 1e-5
@@ -448,11 +456,13 @@ def test_decontamination(spark):
         (1, "Intro. A train travels 90 km in 3 hours while Maria waits 90 minutes. How fast does the train go for Maria? End."),
         (2, "A train travels 90 km in 3 hours while Maria waits 80 minutes. How fast does the train go for Bob? x"),
         (3, "Nothing here"), (4, None), (5, "well plain words without any placeholder in this question at all ok"), (6, item), (7, "Hi there!"), (8, ""),
-        (9, "plain words without any placeholder"), (None, item), (6, item),
+        (9, "plain words without any placeholder"), (None, item), (6, item), (10, "He said hi there and left."),
+        (11, "A train travels 90 km in 3 hours while Maria waits 80 minutes. How fast does the train go for Bob? Then: a train travels 90 km in 3 hours while Maria waits 90 minutes. How fast does the train go for Maria?"),
+        (12, "A train travels one hundred and five km in twenty-two hours while Eve waits one hundred and five minutes. How fast does the train go for Eve?"),
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item_id", F.lit(0))
     got = {(r["doc_id"], r["item_id"]): r["n_changed"] for r in decontamination.find_leaks(docs, bench).collect()}
-    assert got == {(1, 1): 5, (5, 2): 0, (6, 1): 0, (7, 4): 0}
+    assert got == {(1, 1): 5, (5, 2): 0, (6, 1): 0, (7, 4): 0, (10, 4): 0, (11, 1): 5, (12, 1): 5}
     left = decontamination.stage(docs, bench)
     assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == {2, 3, 4, 8, 9, None}
 

@@ -1,15 +1,16 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
-Texts become templates: numbers, names and units are replaced by typed placeholders, the rest is lower-cased and loses its
-punctuation. Windows of WINDOW template words of the documents meet those of the benchmark items in a hash join. An item
-is found in a document that holds PERCENT of its distinct windows, by their own or by their second keys, in which every
-capitalised word is a name, also where it opens a sentence. Where such an item has placeholders, its values are
-laid beside the document's: each value of the item must stand for one value of the document and the other way round.
-Equal values mean a copy, other consistent ones a re-parameterised question, inconsistent ones no leak.
-
-Defined results: null text is empty and contains nothing; an item with fewer than WINDOW words is one window and is found
-in documents that are no longer than it; items without a word are found nowhere; repeated rows of a document or an item
-count once; a document of a null id or an item of a null id takes no part; empty tables give an empty result.
+Texts become templates: numbers (digits, or number words, also several in a row), names and units are replaced by typed
+placeholders, the rest is lower-cased and loses its punctuation. Windows of WINDOW template words of the documents meet those of
+the benchmark items in a hash join; an item of fewer words is one window of its own length, which is looked for in every
+document. An item is found in a document that holds PERCENT of its distinct windows, by their own or by their second keys, in
+which every capitalised word is a name, also where it opens a sentence. Where such an item has placeholders, its values are
+laid beside the document's: at one alignment each value of the item must stand for one value of the document and the other way
+round; all alignments that show nearly all placeholders are judged. Equal values mean a copy, other consistent ones a
+re-parameterised question, inconsistent ones no leak.
+
+Defined results: null text is empty and contains nothing; items without a word are found nowhere; repeated rows of a document
+or an item count once; a document of a null id or an item of a null id takes no part; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -26,16 +27,26 @@ PERCENT = 75
 #: Placeholders, from the private use area: number, name, unit.
 NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
 
-UNITS = "km|m|cm|mm|kg|g|mg|lb|lbs|oz|l|ml|s|sec|min|h|hours?|minutes?|seconds?|days?|weeks?|months?|years?|miles?|feet|inch(?:es)?|dollars?|euros?|cents?|percent|degrees?|%|°C|°F"
-NUMBER_WORDS = "zero|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety|hundred|thousand|million|billion"
+# Units as they follow a number, and the words of the grammar of English numbers.
+UNITS = (
+    "km|m|cm|mm|mi|ft|yd|in|kg|g|mg|lb|lbs|oz|t|l|ml|s|sec|min|h|hr|hrs|mph|kph|Hz|kHz|MHz|GHz|V|A|W|kW|kWh|J|kJ|N|Pa|mol|K|B|KB|MB|GB|TB|%|°C|°F|"
+    "hours?|minutes?|seconds?|days?|weeks?|months?|years?|miles?|foot|feet|inch(?:es)?|yards?|acres?|tons?|tonnes?|gallons?|(?:kilo|centi|milli)?(?:meters?|metres?|grams?|liters?|litres?)|"
+    "pounds?|ounces?|dollars?|euros?|cents?|percent|degrees?"
+)
+NUMBER_WORDS = (
+    "zero|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|(?:thir|four|fif|six|seven|eigh|nine)teen|(?:twen|thir|for|fif|six|seven|eigh|nine)ty|hundreds?|thousands?|millions?|billions?|"
+    "half|halves|thirds?|quarters?|dozens?|once|twice|thrice"
+)
 _EDGE, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
-#: In order; none spans white space, so words keep their places.
+#: In order. Only a number in several words spans white space; raw_words joins its words too, so places stay the same.
 STEPS = (
-    (rf"(?<=\d ?)(?:{UNITS}){_END}", UNIT),
     (rf"{_EDGE}[+-]?\d+(?:[.,:/]\d+)*", NUMBER),
-    (rf"{_EDGE}(?i:{NUMBER_WORDS}){_END}", NUMBER),
-    (r"(?<=[\p{Ll}\p{N},;] )\p{Lu}[\p{L}\p{N}'’-]*", NAME),
+    (rf"{_EDGE}(?i:{NUMBER_WORDS})(?:(?: +(?:and +)?|-)(?i:{NUMBER_WORDS}){_END})*{_END}", NUMBER),
+    (rf"(?<={NUMBER} ?)(?:{UNITS}){_END}", UNIT),
+    (r"(?<=[\p{Ll}\p{N},;\uE000\uE002] )\p{Lu}[\p{L}\p{N}'’-]*", NAME),
 )
+#: The space inside a number in several words.
+_WITHIN = (rf"({_EDGE}(?i:{NUMBER_WORDS})) +(?:(and) +)?(?=(?i:{NUMBER_WORDS}){_END})", "$1-$2")
 
 #: Besides, for the second key: any capitalised word, as at the start of a text or sentence, after a colon or a quote.
 OPENING = (rf"{_EDGE}\p{{Lu}}[\p{{L}}\p{{N}}'’-]*", NAME)
@@ -52,24 +63,44 @@ def template_words(text: Column, opening: bool = False) -> Column:
 
 def raw_words(text: Column) -> Column:
     """The words behind template_words, one for one."""
-    return F.filter(F.split(text, f"[{SPACE}]+"), lambda w: w.rlike(rf"[\p{{L}}\p{{N}}{NUMBER}{NAME}{UNIT}%]"))
+    return F.filter(F.split(F.regexp_replace(text, *_WITHIN), f"[{SPACE}]+"), lambda w: w.rlike(rf"[\p{{L}}\p{{N}}{NUMBER}{NAME}{UNIT}%]"))
 
 
-def windows(words: Column) -> Column:
-    """Hashes of all windows, by place; fewer words than a window are one."""
+def windows(words: Column, size: int = WINDOW) -> Column:
+    """Hashes of all windows of a size, by place; fewer words give none."""
     n = F.size(words)
 
     def hashes(h: Column) -> Column:
-        whole = lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)])
-        return F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), whole)).when(n > 0, F.array(F.xxhash64(h, n)))
+        whole = lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(size)])
+        return F.when(n >= size, F.transform(F.sequence(F.lit(0), n - size), whole))
 
     return F.coalesce(F.get(F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), hashes), F.lit(0)), F.array().cast("array<bigint>"))
 
 
+def item_sizes(benchmark: DataFrame) -> list[int]:
+    """Sizes of the windows that a benchmark needs: WINDOW, and for shorter items their own length."""
+    n = F.size(template_words(text_of()))
+    short = benchmark.filter(F.col("item_id").isNotNull()).select(n.alias("n")).filter(F.col("n").between(1, WINDOW - 1)).distinct().collect()
+    return sorted(r["n"] for r in short) + [WINDOW]  # WINDOW numbers at most
+
+
+def own_windows(words: Column) -> Column:
+    """The windows of an item: a short one is one window of its own length."""
+    out = windows(words)
+    for k in range(1, WINDOW):
+        out = F.when(F.size(words) == k, windows(words, k)).otherwise(out)
+    return out
+
+
+def all_windows(words: Column, sizes: list[int]) -> Column:
+    """The windows of a document in these sizes, by place, one size after the other."""
+    return F.concat(*[windows(words, k) for k in sizes]) if len(sizes) > 1 else windows(words, sizes[0])
+
+
 def item_windows(benchmark: DataFrame) -> DataFrame:
     """item_id, window, key, plain and n_windows: the distinct windows of each item, by their own and their second keys."""
     words = benchmark.filter(F.col("item_id").isNotNull()).select("item_id", template_words(text_of()).alias("w"), template_words(text_of(), True).alias("o"))
-    both = F.arrays_zip(windows(F.col("w")).alias("window"), windows(F.col("o")).alias("second"))
+    both = F.arrays_zip(own_windows(F.col("w")).alias("window"), own_windows(F.col("o")).alias("second"))
     own = words.select("item_id", F.explode(both).alias("x")).select("item_id", "x.window", F.explode(F.array("x.window", "x.second")).alias("key")).distinct()
     counted = own.groupBy("item_id").agg(F.count_distinct("window").alias("n_windows"))
     return own.withColumn("plain", F.col("key") == F.col("window")).join(counted, "item_id")
@@ -79,7 +110,8 @@ def shared_windows(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT
     """doc_id, item_id, n_shared, n_plain (without second keys), n_windows, for items of which a document holds enough windows."""
     items = by_size(cut_table(item_windows(benchmark)), 64)
     words = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", template_words(text_of()).alias("w"), template_words(text_of(), True).alias("o"))
-    both = words.select("doc_id", windows(F.col("w")).alias("w"), windows(F.col("o")).alias("o"))
+    sizes = item_sizes(benchmark)
+    both = words.select("doc_id", all_windows(F.col("w"), sizes).alias("w"), all_windows(F.col("o"), sizes).alias("o"))
     # all plain windows, then those that the second key changes
     keys = both.select("doc_id", F.size("w").alias("n"), F.posexplode_outer(F.concat("w", F.array_except("o", "w"))).alias("at", "key"))
     own = keys.select("doc_id", "key", (F.col("at") < F.col("n")).alias("first"))
@@ -102,27 +134,35 @@ def slot_checks(pairs: DataFrame, docs: DataFrame, benchmark: DataFrame, opening
     held = docs.select("doc_id", "text").join(by_size(wanted.select("doc_id").distinct(), 16), "doc_id", "left_semi")
     held = both(held, "doc_id").dropDuplicates(["doc_id", "w", "r"])
 
-    def placed(df: DataFrame, key: str) -> DataFrame:
-        return df.select(key, "r", "w", F.posexplode(windows(F.col("w"))).alias("at", "window"))
+    def placed(df: DataFrame, key: str, at: Column) -> DataFrame:
+        return df.select(key, "r", "w", F.explode(at).alias("x")).select(key, "r", "w", "x.at", "x.window", "x.k")
+
+    def by_place(found: Column, k: Column) -> Column:
+        return F.transform(found, lambda h, i: F.struct(i.alias("at"), h.alias("window"), k.alias("k")))
 
-    item_side = placed(slotted, "item_id").select("item_id", "window", F.col("at").alias("item_at"), F.slice("r", F.col("at") + 1, WINDOW).alias("item_raw"), F.slice("w", F.col("at") + 1, WINDOW).alias("word"))
-    doc_side = placed(held, "doc_id").select("doc_id", "window", "at", F.slice("r", F.col("at") + 1, WINDOW).alias("doc_raw"))
-    laid = wanted.join(doc_side, "doc_id").join(item_side, ["item_id", "window"])
+    w = F.col("w")
+    item_at = by_place(own_windows(w), F.least(F.size(w), F.lit(WINDOW)))
+    doc_at = F.concat(*[by_place(windows(w, k), F.lit(k)) for k in item_sizes(benchmark)])
+    item_side = placed(slotted, "item_id", item_at).select("item_id", "window", "k", F.col("at").alias("item_at"), F.slice("r", F.col("at") + 1, F.col("k")).alias("item_raw"), F.slice("w", F.col("at") + 1, F.col("k")).alias("word"))
+    doc_side = placed(held, "doc_id", doc_at).select("doc_id", "window", "k", "at", F.slice("r", F.col("at") + 1, F.col("k")).alias("doc_raw"))
+    laid = wanted.join(doc_side, "doc_id").join(item_side, ["item_id", "window", "k"]).drop("k")
     laid = laid.withColumn("shift", F.col("at") - F.col("item_at"))
     slots = laid.select("doc_id", "item_id", "shift", "item_at", F.posexplode(F.arrays_zip("item_raw", "doc_raw", "word")).alias("k", "x"))
     slots = slots.filter(F.col("x.word").rlike(f"[{NUMBER}{NAME}{UNIT}]")).select(
         "doc_id", "item_id", "shift", (F.col("item_at") + F.col("k")).alias("place"), F.lower("x.item_raw").alias("ours"), F.lower("x.doc_raw").alias("theirs")
     ).distinct()
-    # the alignment with the most placeholders speaks for the pair
+    # every alignment with nearly as many placeholders as the fullest one is judged; one consistent alignment is enough
     by_shift = slots.groupBy("doc_id", "item_id", "shift").agg(
         F.count("*").alias("n_slots"),
         F.count_distinct("ours").alias("a"),
         F.count_distinct("theirs").alias("b"),
         F.count_distinct("ours", "theirs").alias("ab"),
         F.sum((F.col("ours") != F.col("theirs")).cast("long")).alias("n_changed"),
-    )
-    best = by_shift.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_slots", -F.col("n_changed"), -F.col("shift"), "a", "b", "ab", "n_changed")).alias("x"))
-    return best.select("doc_id", "item_id", "x.n_slots", "x.n_changed", ((F.col("x.a") == F.col("x.ab")) & (F.col("x.b") == F.col("x.ab"))).alias("consistent"))
+    ).withColumn("consistent", (F.col("a") == F.col("ab")) & (F.col("b") == F.col("ab")))
+    most = by_shift.groupBy("doc_id", "item_id").agg(F.max("n_slots").alias("most"))
+    judged = by_shift.join(most, ["doc_id", "item_id"]).filter(100 * F.col("n_slots") >= PERCENT * F.col("most"))
+    best = judged.groupBy("doc_id", "item_id").agg(F.max(F.struct("consistent", "n_slots", -F.col("n_changed"), -F.col("shift"), "n_changed")).alias("x"))
+    return best.select("doc_id", "item_id", "x.n_slots", "x.n_changed", "x.consistent")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -26,7 +26,7 @@ BIN_BITS = 16
 BINS = 1 << BIN_BITS
 _HASH = (1 << 56) - 1
 #: A key in more sets' prefixes than so many is lengthened by a token.
-HOT = 512
+HOT = 4096
 #: Tokens of the longest key.
 LEVELS = 3
 #: Sets of more tokens have their parities in two words.
@@ -39,11 +39,14 @@ def bin_of(hashed: Column) -> Column:
     return F.shiftrightunsigned(hashed, 64 - BIN_BITS).cast("int")
 
 
+def level_of(count: int) -> int:
+    return min(127, math.floor(4 * math.log2(count + 1) + 1e-9))
+
+
 def rarity_levels(hashes: DataFrame, col: str) -> Column:
     """A constant array: the level of each bin, 4 to each doubling of its count over all rows of hashes."""
-    level = F.floor(4 * F.log2(F.count(F.lit(1)) + 1)).cast("int")
-    counts = hashes.filter(F.col(col).isNotNull()).groupBy(bin_of(F.col(col)).alias("bin")).agg(level.alias("level"))
-    found = {r["bin"]: min(r["level"], 127) for r in counts.collect()}  # BINS rows at most
+    counts = hashes.filter(F.col(col).isNotNull()).groupBy(bin_of(F.col(col)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    found = {r["bin"]: level_of(r["n"]) for r in counts.collect()}  # BINS rows at most
     # folded into one constant when the plan is optimized
     return F.split(F.lit(",".join(str(found.get(b, 0)) for b in range(BINS))), ",").cast("array<tinyint>")
 
@@ -72,7 +75,7 @@ def levels_of(percent: int) -> int:
 
 
 def described(t: Column, percent: int) -> dict[str, Column]:
-    """What the join needs of a set of tokens: its size, the hashes of its longest prefix, and its parities."""
+    """What the join needs of a set of tokens: its size, the hashes and levels of its longest prefix, and its parities."""
     n = F.size(t)
 
     cell = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
@@ -85,6 +88,7 @@ def described(t: Column, percent: int) -> dict[str, Column]:
     return {
         "n": n,
         "prefix": F.transform(first, lambda x: F.hash(x)),
+        "levels": F.transform(first, lambda x: F.shiftright(x, 56).cast("tinyint")),
         "low": F.when(n > WIDE, parity(0)).otherwise(F.aggregate(t, none, lambda a, x: a.bitwiseXOR(cell(x)))),
         "high": F.when(n > WIDE, parity(1)).otherwise(none),
     }
@@ -128,12 +132,14 @@ def join(nodes: DataFrame, percent: int, group: str | None = None) -> tuple[Data
     """
     extra = [group] if group else []
     top = levels_of(percent)
-    whole = nodes.select("id", "n", "low", "high", *extra, "prefix")
-    rows = whole.select("*", F.posexplode(F.slice("prefix", F.lit(1), prefix_length(F.col("n"), percent))).alias("pos", "token")).withColumn("key", F.col("token").cast("long"))
+    whole = nodes.select("id", "n", "low", "high", *extra, "prefix", "levels")
+    rows = whole.select("*", F.posexplode(F.slice("prefix", F.lit(1), prefix_length(F.col("n"), percent))).alias("pos", "token"))
+    rows = rows.withColumns({"key": F.col("token").cast("long"), "level": F.get("levels", F.col("pos"))}).drop("levels", "token")
     found: list[DataFrame] = []
     for shared in range(1, top + 1):
-        counts = rows.groupBy("key").count().filter(F.col("count") > HOT).select("key")
-        hot = cut_table(counts)
+        # a token in a bin of at most HOT rows isn't hot
+        some = rows.filter(F.col("level") >= level_of(HOT + 1)) if shared == 1 else rows
+        hot = cut_table(some.groupBy("key").count().filter(F.col("count") > HOT).select("key"))
         none = hot.isEmpty()
         hot = hot if none else by_size(hot, 16)
         keyed = rows.select(*OWN, *extra, "key")
