@@ -1,12 +1,13 @@
 """Contracts, plans, commits, replays, boundaries and streams on a small store."""
 
 import json
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.errors import ContractError, InvalidPlanError, ReferenceError_, ReplayConflictError, SnapshotError, StalePlanError
-from tidemark.plans.plan import Provenance, commit, ingest, plan
+from tidemark.plans.plan import ORIGIN, Provenance, commit, ingest, plan
 from tidemark.sources import contract as C
 from tidemark.sources.store import Snapshot, Store
 from tidemark.streaming.ingest import ingest_stream
@@ -146,7 +147,38 @@ def test_identifiers_and_minted_ids(spark, tmp_path):
     assert {r["normalized"] for r in own.identifiers().collect()} == {"10.1/x", "10.1/y"}
     again = spark.createDataFrame([("s9", "C", "doi:10.1/x")], "id string, label string, doi string")
     rules = {r["rule"] for r in plan(own, {"Source": again}, Provenance("p", "2")).issues.collect()}
-    assert rules == {"consistent_exact_identity"}
+    assert rules == {"consistent_exact_identity", "internal_external_identity_agreement"}
+    # without an id, the same identifier in another spelling is the same record
+    met = plan(own, {"Source": spark.createDataFrame([("A2", "DOI: 10.1/x"), ("New", "10.1/z"), ("New", "doi:10.1/z ")], "label string, doi string")}, Provenance("p", "3"))
+    assert sorted((r["action"], r["reason"]) for r in met.changes.collect()) == [("insert", "exact_identifier_mint"), ("insert", "exact_identifier_mint"), ("update", "identifier")]
+    assert {r["rule"] for r in met.issues.collect()} == {"unique_batch_id"}
+
+
+def test_origins_meet_their_records(spark, tmp_path):
+    own = Store.open(spark, f"file://{tmp_path}/k", C.from_linkml(LINKML))
+    source = spark.createDataFrame([("s1", "A", "10.1/x")], "id string, label string, doi string")
+    schema = f"id string, about array<string>, kind string, score string, `{ORIGIN}` string"
+    rows = lambda *r: spark.createDataFrame(list(r), schema)
+    assert ingest(own, {"Source": source, "Claim": rows((None, ["s1"], "a", "0.5", "k1"), (None, ["s1"], "b", "0.5", "k2"))}, Provenance("p", "1"), "2024-01-01T00:00:00") == {"insert": 3}
+    again = {"Claim": rows((None, ["s1"], "a", "0.75", "k1"), (None, ["s1"], "b", "0.5", "k3"))}
+    assert ingest(own, again, Provenance("p", "2"), "2024-01-02T00:00:00") == {"update": 1, "insert": 1}
+    # another producer's keys are its own
+    assert sorted(r["action"] for r in plan(own, again, Provenance("q", "1")).changes.collect()) == ["insert", "insert"]
+    assert own.audit().collect() == []
+
+
+def test_tampered_plans_and_read_only_stores(spark, store):
+    made = plan(store, {"organization": orgs(spark, ("o1", "A"))}, Provenance("x", "a"))
+    for odd in (replace(made, changes=made.changes.withColumn("payload", F.lit("{}"))), replace(made, base_order=7), replace(made, provenance=Provenance("y", "a"))):
+        with pytest.raises(InvalidPlanError):
+            commit(store, odd, "2024-01-01T00:00:00")
+    commit(store, made, "2024-01-01T00:00:00")
+    reader = Store.open(spark, store.path, store.contract, read_only=True)
+    assert reader.get("o1")["record"]["name"] == "A"
+    with pytest.raises(SnapshotError):
+        ingest(reader, {"organization": orgs(spark, ("o2", "B"))}, Provenance("x", "b"), "2024-01-02T00:00:00")
+    with pytest.raises(ReferenceError_):
+        Store.open(spark, store.path + "-none", store.contract, read_only=True)
 
 
 def test_stream_is_committed_once(spark, store, tmp_path):

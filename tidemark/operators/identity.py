@@ -1,19 +1,11 @@
-"""Identity resolution: known records by identifier and origin, groups of candidates that share a key, ids for new ones."""
+"""Identity helpers: groups of candidates that share a key, registries that keep what they know. plans.plan resolves with them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import record_id
-
-
-def keys_of(candidates: DataFrame, identifiers: DataFrame, origins: DataFrame | None = None) -> DataFrame:
-    """candidate and key for everything that candidates are recognized by: identifiers in normal form, origins."""
-    out = identifiers.select("candidate", F.concat_ws("\x1f", F.lit("i"), "class", "namespace", "normalized").alias("key"))
-    if origins is not None:
-        out = out.unionByName(origins.select("candidate", F.concat_ws("\x1f", F.lit("o"), "class", "producer", "origin_key").alias("key")))
-    return out.join(candidates.select("candidate"), "candidate", "left_semi").distinct()
+from ..shared import cut
 
 
 def components(keys: DataFrame) -> DataFrame:
@@ -22,10 +14,7 @@ def components(keys: DataFrame) -> DataFrame:
     Each key links its candidates with the least of them; large and small stars alternate until no link changes, in a number
     of rounds that grows with the logarithm of the longest chain. Checkpoints cut the plan.
     """
-    spark = keys.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir("/tmp/tidemark-checkpoints")
-    keys = keys.checkpoint()
+    keys = cut(keys)
 
     def star(links: DataFrame, large: bool) -> DataFrame:
         if large:
@@ -37,9 +26,9 @@ def components(keys: DataFrame) -> DataFrame:
         return (out if large else out.unionByName(least.select("a", F.col("m").alias("b")))).filter("a != b").distinct()
 
     centers = keys.groupBy("key").agg(F.min("candidate").alias("b"))
-    links = keys.join(centers, "key").filter("candidate != b").select(F.col("candidate").alias("a"), "b").distinct().checkpoint()
+    links = cut(keys.join(centers, "key").filter("candidate != b").select(F.col("candidate").alias("a"), "b").distinct())
     while True:
-        now = star(star(links, True), False).checkpoint()
+        now = cut(star(star(links, True), False))
         if now.count() == links.count() and now.join(links, ["a", "b"], "left_anti").isEmpty():
             break
         links = now
@@ -47,36 +36,6 @@ def components(keys: DataFrame) -> DataFrame:
     return keys.select("candidate").distinct().join(labels, "candidate", "left").withColumn("component", F.coalesce("component", "candidate"))
 
 
-def resolve(candidates: DataFrame, found: DataFrame, policy: str, record_class: str, key_columns: list[str]) -> DataFrame:
-    """candidates with resolved_id, reason and rule (null: no issue).
-
-    found: candidate and known_id, from supplied ids and registries. Several known ids are an issue; one is taken; none is
-    left to the policy: `require` is an issue, `deterministic` and `resolve_exact` hash the key columns, which must be
-    there for the former, `mint` hashes keys and the candidate's number.
-    """
-    known = found.groupBy("candidate").agg(F.count_distinct("known_id").alias("n_known"), F.min("known_id").alias("known_id"))
-    out = candidates.join(known, "candidate", "left").withColumn("n_known", F.coalesce("n_known", F.lit(0)))
-    keys = [F.col(c).cast("string") for c in key_columns]
-    complete = F.lit(True)
-    for k in keys:
-        complete = complete & k.isNotNull()
-    hashed = record_id(record_class, *[F.coalesce(k, F.lit("")) for k in keys])
-    minted = record_id(record_class, F.col("candidate"), *[F.coalesce(k, F.lit("")) for k in keys])
-    fresh = {"require": F.lit(None).cast("string"), "deterministic": F.when(complete, hashed), "resolve_exact": F.when(complete, hashed).otherwise(minted), "mint": minted}[policy]
-    rule = F.when(F.col("n_known") > 1, "consistent_exact_identity")
-    if policy == "require":
-        rule = rule.when(F.col("n_known") == 0, "required_internal_id")
-    if policy == "deterministic":
-        rule = rule.when((F.col("n_known") == 0) & ~complete, "deterministic_key_complete")
-    return out.withColumns(
-        {
-            "resolved_id": F.when(F.col("n_known") == 1, F.col("known_id")).when(F.col("n_known") == 0, fresh),
-            "reason": F.when(F.col("n_known") >= 1, "known").otherwise(policy),
-            "rule": rule,
-        }
-    ).drop("known_id", "n_known")
-
-
 def insert_if_absent(existing: DataFrame, new: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, DataFrame]:
     """New registry rows with unknown keys, and conflicts: known keys that stand for something else."""
     clash = new.join(existing.select(*keys, F.col(value).alias("known")), keys).filter(F.col(value) != F.col("known"))

@@ -22,13 +22,16 @@ def _issues(df: DataFrame, issue: str, detail: str = "") -> DataFrame:
     )
 
 
-def checks(revisions: DataFrame, observations: DataFrame, batches: DataFrame, heads: DataFrame, schemas: DataFrame, identifiers: DataFrame, origins: DataFrame, content: list[str]) -> dict[str, DataFrame]:
-    """A frame of issues for each check; heads, identifiers and origins are caches that the ledger must agree with."""
+def checks(revisions: DataFrame, observations: DataFrame, batches: DataFrame, heads: DataFrame | None, schemas: DataFrame, identifiers: DataFrame, origins: DataFrame, content: list[str]) -> dict[str, DataFrame]:
+    """A frame of issues for each check; heads, identifiers and origins are caches that the ledger must agree with.
+
+    Where heads are derived from the revisions, as in a store, there is nothing to check in them: heads is None.
+    """
     key = ["class", "record_id"]
     order = W.partitionBy(*key).orderBy("revision_number")
     committed = batches.filter(F.col("status") == "committed")
     b = committed.select("batch_id", F.col("commit_order").alias("b_order"), F.col("schema_digest").alias("b_schema"))
-    r, h, o = revisions.alias("r"), heads.alias("h"), observations.alias("o")
+    r, h, o = revisions.alias("r"), (revisions.limit(0) if heads is None else heads).alias("h"), observations.alias("o")
     head_rows = h.join(r, F.col("h.revision_id") == F.col("r.revision_id")).select("h.class", "h.record_id", "h.revision_id", F.col("h.revision_number").alias("hn"), F.col("r.class").alias("rc"), F.col("r.record_id").alias("ri"), F.col("r.revision_number").alias("rn"), "r.batch_id")
     newest = revisions.groupBy(*key).agg(F.max("revision_number").alias("last"))
     in_batch = revisions.join(b, "batch_id")
@@ -37,12 +40,14 @@ def checks(revisions: DataFrame, observations: DataFrame, batches: DataFrame, he
     fits = F.when(F.col("rb") == F.col("batch_id"), F.col("disposition") == F.col("op")).otherwise(F.col("disposition") == "match")
     records = revisions.select(*key).distinct()
     payload = digest(*[F.col(c) for c in content])
-    return {
+    of_heads = {} if heads is None else {
         "orphan_head_revision": _issues(heads.join(revisions.select("revision_id"), "revision_id", "left_anti"), "orphan_head_revision"),
         "head_identity_mismatch": _issues(head_rows.filter("class <> rc or record_id <> ri"), "head_identity_mismatch"),
         "head_revision_number_mismatch": _issues(head_rows.filter("hn <> rn"), "head_revision_number_mismatch"),
         "head_not_latest": _issues(heads.join(newest, key).filter("revision_number < last"), "head_not_latest"),
         "latest_revision_head_mismatch": _issues(newest.join(heads.select(*key, "revision_number"), key, "left").filter("revision_number is null or revision_number <> last"), "latest_revision_head_mismatch"),
+    }
+    return of_heads | {
         "orphan_revision_batch": _issues(revisions.join(committed.select("batch_id"), "batch_id", "left_anti"), "orphan_revision_batch"),
         "revision_commit_order_mismatch": _issues(in_batch.filter("commit_order <> b_order"), "revision_commit_order_mismatch"),
         "revision_batch_schema_mismatch": _issues(in_batch.filter("schema_digest <> b_schema"), "revision_batch_schema_mismatch"),
@@ -67,7 +72,7 @@ def audit(*args, **kwargs) -> DataFrame:
     return reduce(DataFrame.unionByName, checks(*args, **kwargs).values())
 
 
-def payload_issues(revisions: DataFrame, schema: str) -> DataFrame:
+def payload_issues(revisions: DataFrame, schema) -> DataFrame:
     """Revisions whose JSON payload doesn't parse, or isn't the text that encoding its values again gives."""
     parsed = F.from_json("payload", schema, {"mode": "PERMISSIVE"})
     valid = F.get_json_object("payload", "$").isNotNull()

@@ -1,9 +1,15 @@
-"""Proposing and accepting changes: candidates become a plan of frames with issues, a valid plan becomes one batch."""
+"""Proposing and accepting changes: candidates become a plan of frames with issues, a valid plan becomes one batch.
+
+The input frames are evaluated once: `plan` writes the staged candidates below the store's path and goes on from there, so a
+frame that isn't deterministic can't commit other content than its digest. Candidates without an id meet their records by
+registered identifiers and by their producer's origin keys; candidates that share such a key are one record.
+"""
 
 from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -11,9 +17,14 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidPlanError, ReplayConflictError, StalePlanError
 from ..functions import iso_micros, normalize_identifier, record_id
-from ..operators import validation
+from ..operators import identity, validation
 from ..sources.contract import STRICT, RecordClass, Slot
-from ..sources.store import IDENTIFIER, Commit, Store, content_digest, union
+from ..sources.store import Commit, Store, columns_of, content_digest, union
+
+#: Column of a candidate frame with the producer's own key of a record; else it comes from the class's origin slots.
+ORIGIN = ".origin_key"
+ISSUE = ["class", "record_id", "field", "rule"]
+OWN_SLOTS = ("id", "created_at", "updated_at")
 
 
 @dataclass(frozen=True)
@@ -34,132 +45,231 @@ class Plan:
     changes: DataFrame  # class, record_id, action, payload, content_digest, prior...
     issues: DataFrame
     identifiers: DataFrame
+    origins: DataFrame
     input_digest: str
     plan_digest: str
     valid: bool
+    folder: str
 
 
-def _typed(own: RecordClass, slot: Slot) -> Column:
+def _typed(slot: Slot) -> Column:
     value = F.col(slot.name)
     if slot.multivalued:
         return F.transform(value, lambda x: STRICT[slot.type](x.cast("string")))
-    typed = STRICT[slot.type](value.cast("string"))
-    return F.when(~validation.missing(value), typed)
+    return F.when(~validation.missing(value), STRICT[slot.type](value.cast("string")))
 
 
-def _payload(own: RecordClass) -> Column:
-    """Canonical JSON of a record: slots in the contract's order, nulls kept, exact numbers and times as text."""
+def _rest(own: RecordClass) -> Column:
+    """Canonical JSON of a record but for its id: slots in the contract's order, nulls kept, exact numbers and times as text."""
 
     def shown(slot):
-        value = F.col(slot.name)
         if slot.multivalued:
-            return value
+            return _typed(slot)
         if slot.type in ("integer", "decimal"):
-            return value.cast("string")
-        return iso_micros(value) if slot.type == "datetime" else value
+            return _typed(slot).cast("string")
+        return iso_micros(_typed(slot)) if slot.type == "datetime" else _typed(slot)
+
+    columns = [shown(s).alias(s.name) for s in own.slots if s.name not in OWN_SLOTS]
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}) if columns else F.lit("{}")
+
+
+def payload(rid: Column, rest: Column) -> Column:
+    """The JSON of a record: its id before the rest."""
+    first = F.to_json(F.struct(rid.alias("id")), {"ignoreNullFields": "false"})
+    return F.when(rest == "{}", first).otherwise(F.concat(F.regexp_replace(first, r"\}$", ","), F.substring(rest, 2, 1 << 30)))
+
+
+def _rules(own: RecordClass, unknown: list[str]) -> list[tuple[str, str, Column]]:
+    known = {s.name for s in own.slots}
+    rules = [(s.name, rule, broken) for s in own.slots if s.name != "id" for rule, broken in validation.rules_for(s)]
+    rules += [(c, "known_field", F.lit(True)) for c in unknown]
+    if {"valid_from", "valid_to"} <= known:
+        rules.append(("valid_to", "valid_time_order", STRICT["datetime"](F.col("valid_from").cast("string")) > STRICT["datetime"](F.col("valid_to").cast("string"))))
+    if {"object_entity", "object_value"} <= known:
+        rules.append(("object_value", "exactly_one_semantic_object", validation.exactly_one("object_entity", "object_value")))
+    return rules
+
+
+def _staged(own: RecordClass, frame: DataFrame) -> DataFrame:
+    """Candidates of a class in the form that all classes share."""
+    known = {s.name for s in own.slots}
+    unknown = [c for c in frame.columns if c not in known and c != ORIGIN]
+    for s in own.slots:
+        if s.name not in frame.columns:
+            frame = frame.withColumn(s.name, F.lit(None).cast("array<string>" if s.multivalued else "string"))
+    text = lambda name: F.when(~validation.missing(F.col(f"`{name}`")), F.trim(F.col(f"`{name}`").cast("string")))
+    keys = F.array(*[text(c) for c in own.origin_slots]).cast("array<string>")
+    complete = F.size(keys) > 0 if own.origin_slots else F.lit(False)
+    derived = F.when(complete & ~F.exists(keys, lambda x: x.isNull()), F.concat(F.lit("origin-v1:"), F.sha2(F.to_json(keys), 256)))
+    ids = [F.struct(F.lit(s.namespace).alias("namespace"), F.lit(s.name).alias("field"), normalize_identifier(F.lit(s.namespace), F.col(s.name).cast("string")).alias("normalized")) for s in own.slots if s.namespace]
+    targets = lambda s: F.transform(F.col(s.name) if s.multivalued else F.array(text(s.name)), lambda x: F.struct(F.lit(s.name).alias("field"), F.trim(x).alias("target")))
+    refs = [targets(s) for s in own.slots if s.reference]
+    broken = [F.when(F.coalesce(b, F.lit(False)), F.struct(F.lit(f).alias("field"), F.lit(r).alias("rule"))) for f, r, b in _rules(own, unknown)]
+    none = lambda kind: F.array().cast(f"array<struct<{kind}>>")
+    return frame.select(
+        F.lit(own.name).alias("class"),
+        F.lit(own.id_policy).alias("policy"),
+        text("id").alias("supplied"),
+        (F.coalesce(text(ORIGIN), derived) if ORIGIN in frame.columns else derived).alias("origin_key"),
+        F.when(~F.exists(keys, lambda x: x.isNull()) & complete, keys).alias("keys"),
+        F.filter(F.array(*ids), lambda x: x["normalized"].isNotNull()).alias("ids") if ids else none("namespace:string,field:string,normalized:string").alias("ids"),
+        F.filter(F.flatten(F.array(*[F.coalesce(r, none("field:string,target:string")) for r in refs])), lambda x: x["target"].isNotNull()).alias("refs") if refs else none("field:string,target:string").alias("refs"),
+        _rest(own).alias("rest"),
+        F.array_compact(F.array(*broken)).alias("broken") if broken else none("field:string,rule:string").alias("broken"),
+    )
 
-    columns = [(F.col("record_id") if s.name == "id" else shown(s)).alias(s.name) for s in own.slots if s.name not in ("created_at", "updated_at")]
-    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+def resolve(store: Store, staged: DataFrame, producer: str) -> tuple[DataFrame, DataFrame]:
+    """candidate, record_id and reason for every candidate; and issues (candidate, field, rule) of identity.
+
+    What is known of a candidate: its supplied id, the records of its identifiers and of its origin key. Candidates that
+    share an identifier or an origin key are one component, and so are their known ids: one is taken, several are an issue, none is left to the class's policy.
+    """
+    supplied = staged.filter("supplied is not null").select("candidate", F.col("supplied").alias("known_id"), F.lit("id").alias("how"))
+    ids = staged.select("candidate", "class", F.explode("ids").alias("x")).select("candidate", "class", "x.namespace", "x.field", "x.normalized")
+    by_identifier = ids.join(store.identifiers().select("class", "namespace", "normalized", F.col("record_id").alias("known_id")), ["class", "namespace", "normalized"])
+    origins = staged.filter("origin_key is not null").select("candidate", "class", "origin_key")
+    of_producer = store.origins().filter(F.col("producer") == producer).select("class", "origin_key", F.col("record_id").alias("known_id"))
+    by_origin = origins.join(of_producer, ["class", "origin_key"]).select("candidate", "known_id", F.lit("origin").alias("how"))
+    known = union([supplied, by_identifier.select("candidate", "known_id", F.lit("identifier").alias("how")), by_origin]).distinct()
+    per = known.groupBy("candidate").agg(
+        *[F.count_distinct(F.when(F.col("how") == h, F.col("known_id"))).alias(f"n_{h}") for h in ("id", "identifier", "origin")],
+        *[F.min(F.when(F.col("how") == h, F.col("known_id"))).alias(f"a_{h}") for h in ("id", "identifier", "origin")],
+        F.count_distinct(F.when(F.col("how") != "origin", F.col("known_id"))).alias("n_exact"),
+        F.min(F.when(F.col("how") != "origin", F.col("known_id"))).alias("a_exact"),
+    )
+    keys = ids.select("candidate", F.concat_ws("\x1f", F.lit("i"), "class", "namespace", "normalized").alias("key"))
+    keys = keys.unionByName(origins.select("candidate", F.concat_ws("\x1f", F.lit("o"), "class", "origin_key").alias("key"))).distinct()
+    shared = keys.join(keys.groupBy("key").count().filter("count > 1").select("key"), "key", "left_semi")
+    own = staged.select("candidate", "class", "policy", "keys", "origin_key", "rest")
+    if shared.isEmpty():
+        own = own.withColumn("component", F.col("candidate"))
+    else:
+        own = own.join(identity.components(shared), "candidate", "left").withColumn("component", F.coalesce("component", "candidate"))
+    own = own.join(keys.filter("key like 'i%'").groupBy("candidate").agg(F.min("key").alias("key")), "candidate", "left")
+    found = own.select("candidate", "component").join(known, "candidate").groupBy("component").agg(F.count_distinct("known_id").alias("n"), F.min("known_id").alias("known_id"), F.min("how").alias("how"))
+    # the candidate after which a component of new records is named
+    named = own.groupBy("component").agg(F.min("key").alias("least_key"), F.min(F.struct("candidate", "keys", "origin_key", "rest")).alias("a"))
+    out = own.select("candidate", "class", "policy", "keys", "component").join(named, "component").join(found, "component", "left")
+    minted = record_id(F.col("class"), F.lit("mint"), F.lit(producer), F.coalesce("a.origin_key", "a.rest"))
+    fresh = F.when(F.col("policy") == "deterministic", F.when(F.col("a.keys").isNotNull(), record_id(F.col("class"), F.lit("keys"), F.to_json("a.keys"))))
+    fresh = fresh.when(F.col("policy") != "require", F.when(F.col("least_key").isNotNull(), record_id(F.col("class"), F.lit("exact"), F.col("least_key"))).otherwise(minted))
+    one = F.col("n") == 1
+    reason = F.when(one, F.col("how")).when(F.col("policy") == "deterministic", "deterministic_key").when(F.col("least_key").isNotNull(), "exact_identifier_mint").otherwise("mint")
+    resolved = out.select("candidate", F.when(one, F.col("known_id")).when(F.col("n").isNull(), fresh).alias("record_id"), reason.alias("reason"), "n", "policy", F.col("a.keys").alias("a_keys"))
+    rules = [
+        ("id", "internal_external_identity_agreement", (F.col("n_id") == 1) & (F.col("n_identifier") > 0) & ((F.col("n_identifier") > 1) | (F.col("a_identifier") != F.col("a_id")))),
+        (ORIGIN, "unique_origin", F.col("n_origin") > 1),
+        (ORIGIN, "origin_identity_agreement", (F.col("n_exact") == 1) & (F.col("n_origin") == 1) & (F.col("a_origin") != F.col("a_exact"))),
+        ("id", "consistent_exact_identity", (F.col("n") > 1) | (F.col("n_identifier") > 1)),
+        ("id", "required_internal_id", F.col("n").isNull() & (F.col("policy") == "require")),
+        ("id", "deterministic_key_complete", F.col("n").isNull() & (F.col("policy") == "deterministic") & F.col("a_keys").isNull()),
+    ]
+    judged = resolved.join(per, "candidate", "left")
+    each = F.array_compact(F.array(*[F.when(F.coalesce(b, F.lit(False)), F.struct(F.lit(f).alias("field"), F.lit(r).alias("rule"))) for f, r, b in rules]))
+    issues = judged.select("candidate", F.explode(each).alias("x")).select("candidate", "x.field", "x.rule")
+    return resolved.select("candidate", "record_id", "reason"), issues
 
 
 def plan(store: Store, records: dict[str, DataFrame], provenance: Provenance) -> Plan:
     """A plan for candidate frames by class. Bad data becomes issues, never an error."""
-    staged, found, ids = [], [], []
-    for name, frame in records.items():
-        own = store.contract[name]
-        known = {s.name for s in own.slots}
-        unknown = [c for c in frame.columns if c not in known]
-        for s in own.slots:
-            if s.name not in frame.columns:
-                frame = frame.withColumn(s.name, F.lit(None).cast("array<string>" if s.multivalued else "string"))
-        keys = [F.col(c).cast("string") for c in (own.origin_slots or [s.name for s in own.slots if s.name not in ("id", "created_at", "updated_at")])]
-        fresh = None if own.id_policy == "require" else record_id(name, *[F.coalesce(k, F.lit("")) for k in keys])
-        supplied = F.when(~validation.missing(F.col("id")), F.trim(F.col("id").cast("string")))
-        frame = frame.withColumn("record_id", supplied if fresh is None else F.coalesce(supplied, fresh))
-        rules = [(s.name, rule, broken) for s in own.slots if s.name != "id" for rule, broken in validation.rules_for(s)]
-        rules.append(("id", "required_internal_id", F.col("record_id").isNull()))
-        rules += [(c, "known_field", F.lit(True)) for c in unknown]
-        if {"valid_from", "valid_to"} <= known:
-            rules.append(("valid_to", "valid_time_order", STRICT["datetime"](F.col("valid_from").cast("string")) > STRICT["datetime"](F.col("valid_to").cast("string"))))
-        if {"object_entity", "object_value"} <= known:
-            rules.append(("object_value", "exactly_one_semantic_object", validation.exactly_one("object_entity", "object_value")))
-        if "superseded_by" in known:
-            rules.append(("superseded_by", "no_self_supersession", F.col("superseded_by") == F.col("record_id")))
-        found.append(validation.issues(frame, name, rules))
-        for s in own.slots:
-            if s.namespace:
-                normal = normalize_identifier(F.lit(s.namespace), F.col(s.name).cast("string"))
-                ids.append(frame.select(F.lit(name).alias("class"), "record_id", F.lit(s.namespace).alias("namespace"), normal.alias("normalized")).filter("normalized is not null"))
-            if s.reference:
-                target = F.explode(F.col(s.name)) if s.multivalued else F.col(s.name)
-                takes = store.contract.takes(s.reference)
-                refs = frame.select(F.lit(name).alias("class"), "record_id", F.lit(s.name).alias("field"), target.alias("target")).filter("target is not null")
-                found.append(_broken_references(store, records, refs, takes))
-        for s in own.slots:
-            if s.name != "id":
-                frame = frame.withColumn(s.name, _typed(own, s))
-        staged.append(frame.select(F.lit(name).alias("class"), "record_id", _payload(own).alias("payload")))
-    all_staged = union(staged).withColumn("content_digest", content_digest())
-    twice = validation.duplicates(all_staged.filter("record_id is not null"), ["record_id"], "unique_batch_id").join(all_staged.select("class", "record_id"), "record_id")
-    found.append(twice.select("class", "record_id", F.lit("id").alias("field"), "rule").distinct())
+    spark, folder = store.spark, f"{store.path}/staging/{uuid.uuid4().hex}"
+    staged = union([_staged(store.contract[name], frame) for name, frame in records.items()]).withColumn("candidate", F.monotonically_increasing_id())
+    staged.write.parquet(f"{folder}/staged")
+    staged = spark.read.parquet(f"{folder}/staged")
+    simple = not any(s.namespace for n in records for s in store.contract[n].slots) and all(store.contract[n].id_policy == "require" for n in records)
+    if simple and staged.filter("origin_key is not null").isEmpty():
+        resolved, found = staged.select("candidate", F.col("supplied").alias("record_id"), F.lit("id").alias("reason")), staged.filter("supplied is null").select("candidate", F.lit("id").alias("field"), F.lit("required_internal_id").alias("rule"))
+    else:
+        resolved, found = resolve(store, staged, provenance.producer)
     heads = store.heads().select("record_id", F.col("class").alias("head_class"), "revision_number", F.col("revision_id").alias("prior_revision_id"), F.col("content_digest").alias("head_digest"), "created_at")
-    changes = all_staged.join(heads, "record_id", "left")
+    made = staged.join(resolved, "candidate").withColumn("payload", payload(F.col("record_id"), F.col("rest"))).withColumn("content_digest", content_digest())
     action = F.when(F.col("head_digest").isNull(), "insert").when(F.col("head_digest") == F.col("content_digest"), "match").otherwise("update")
-    changes = changes.withColumn("action", action)
-    found.append(changes.filter("head_class <> class").select("class", "record_id", F.lit("id").alias("field"), F.lit("class_compatible_id").alias("rule")))
-    identifiers = union(ids) if ids else store.spark.createDataFrame([], "class string, record_id string, namespace string, normalized string")
-    known_ids = store.identifiers().select("class", "namespace", "normalized", F.col("record_id").alias("known_id"))
-    clash = identifiers.join(known_ids, ["class", "namespace", "normalized"]).filter("record_id <> known_id")
-    found.append(clash.select("class", "record_id", F.col("namespace").alias("field"), F.lit("consistent_exact_identity").alias("rule")))
-    shared = identifiers.groupBy("class", "namespace", "normalized").agg(F.count_distinct("record_id").alias("n"), F.min("record_id").alias("record_id")).filter("n > 1")
-    found.append(shared.select("class", "record_id", F.col("namespace").alias("field"), F.lit("unique_exact_identity").alias("rule")))
-    issues = union(found)
+    made.join(heads, "record_id", "left").withColumn("action", action).write.parquet(f"{folder}/changes")
+    changes = spark.read.parquet(f"{folder}/changes")
+
+    def on_records(df: DataFrame) -> DataFrame:
+        return df.join(changes.select("candidate", "class", "record_id"), "candidate").select(*ISSUE)
+
+    listed = [changes.select("class", "record_id", F.explode("broken").alias("x")).select("class", "record_id", "x.field", "x.rule"), on_records(found)]
+    at_id = lambda df, rule: df.select("class", "record_id", F.lit("id").alias("field"), F.lit(rule).alias("rule"))
+    several = changes.filter("record_id is not null").groupBy("record_id").agg(F.count("*").alias("n")).filter("n > 1")
+    listed.append(at_id(changes.join(several, "record_id"), "unique_batch_id").distinct())
+    listed.append(at_id(changes.filter("head_class <> class"), "class_compatible_id"))
+    if any(s.name == "superseded_by" for n in records for s in store.contract[n].slots):
+        selves = changes.select("class", "record_id", F.explode("refs").alias("x")).filter("x.field = 'superseded_by' and x.target = record_id")
+        listed.append(selves.select("class", "record_id", "x.field", F.lit("no_self_supersession").alias("rule")))
+    if any(s.reference for n in records for s in store.contract[n].slots):
+        listed.append(_broken_references(store, list(records), changes))
+    identifiers = changes.select("class", "record_id", F.explode("ids").alias("x")).select("class", "record_id", "x.namespace", "x.normalized").filter("record_id is not null").distinct()
+    origin = F.coalesce("origin_key", F.concat(F.lit("record-v1:"), "record_id"))
+    origins = changes.filter("record_id is not null").select("class", "record_id", F.lit(provenance.producer).alias("producer"), origin.alias("origin_key")).distinct()
+    issues = union(listed)
     base = store.snapshot().commit_order
-    order_free = F.sum(F.xxhash64("class", "record_id", "content_digest").cast("decimal(38,0)"))
-    seen = all_staged.agg(F.count("*").alias("n"), order_free.alias("h")).first()
+    order_free = F.sum(F.xxhash64("class", "supplied", "origin_key", "rest").cast("decimal(38,0)"))
+    seen = staged.agg(F.count("*").alias("n"), order_free.alias("h")).first()
     input_digest = _hash([str(seen["n"]), str(seen["h"]), json.dumps(asdict(provenance), sort_keys=True)])
-    return Plan(provenance, base, changes, issues, identifiers, input_digest, _hash([input_digest, str(base), store.contract.build_digest()]), issues.isEmpty())
+    return Plan(provenance, base, changes, issues, identifiers, origins, input_digest, _hash([input_digest, str(base), store.contract.build_digest()]), issues.isEmpty(), folder)
 
 
-def _broken_references(store: Store, records: dict[str, DataFrame], refs: DataFrame, takes: tuple[str, ...]) -> DataFrame:
+def _broken_references(store: Store, names: list[str], changes: DataFrame) -> DataFrame:
     """References to nothing, or to a class that the slot doesn't take, among the batch and the store."""
-    offered = [f.select(F.lit(n).alias("target_class"), F.col("id").cast("string").alias("target")) for n, f in records.items() if "id" in f.columns]
-    known = union([store.heads().select(F.col("class").alias("target_class"), F.col("record_id").alias("target")), *offered]).distinct()
-    joined = refs.join(known, "target", "left")
-    rule = F.when(F.col("target_class").isNull(), "reference_exists").when(~F.col("target_class").isin(*takes), "reference_class")
-    return joined.withColumn("rule", rule).filter("rule is not null").select("class", "record_id", "field", "rule")
+    refs = changes.select("class", "record_id", F.explode("refs").alias("x")).select("class", "record_id", "x.field", "x.target")
+    known = store.heads().select(F.col("class").alias("target_class"), F.col("record_id").alias("target"))
+    known = known.join(refs.select("target").distinct(), "target", "left_semi").unionByName(changes.filter("record_id is not null").select(F.col("class").alias("target_class"), F.col("record_id").alias("target"))).distinct()
+    takes = F.lit(False)
+    for n in names:
+        for s in store.contract[n].slots:
+            if s.reference:
+                takes = takes | ((F.col("class") == n) & (F.col("field") == s.name) & F.col("target_class").isin(*store.contract.takes(s.reference)))
+    rule = F.when(F.col("target_class").isNull(), "reference_exists").when(~takes, "reference_class")
+    return refs.join(known, "target", "left").withColumn("rule", rule).filter("rule is not null").select(*ISSUE)
 
 
 def _hash(parts: list[str]) -> str:
     return "sha256:" + hashlib.sha256("\x1f".join(parts).encode()).hexdigest()
 
 
+def verify(accepted: Plan, contract_digest: str) -> None:
+    """Refuse a plan whose staged rows or digests aren't those that it was made with."""
+    order_free = F.sum(F.xxhash64("class", "supplied", "origin_key", "rest").cast("decimal(38,0)"))
+    wrong = F.col("payload") != payload(F.col("record_id"), F.col("rest"))
+    seen = accepted.changes.agg(F.count("*").alias("n"), order_free.alias("h"), F.count_if(wrong | (content_digest() != F.col("content_digest"))).alias("odd")).first()
+    again = _hash([str(seen["n"]), str(seen["h"]), json.dumps(asdict(accepted.provenance), sort_keys=True)])
+    if seen["odd"] or again != accepted.input_digest or _hash([again, str(accepted.base_order), contract_digest]) != accepted.plan_digest:
+        raise InvalidPlanError("the plan isn't what was proposed", rule="plan_digest")
+
+
 def commit(store: Store, accepted: Plan, committed_at: str) -> dict[str, int]:
     """Commit a valid plan as one batch; a plan that was committed before is a replay and changes nothing."""
-    made = [c for c in store.commits() if c.producer == accepted.provenance.producer and c.idempotency_key == accepted.provenance.idempotency_key]
+    commits = store.commits()
+    made = [c for c in commits if c.producer == accepted.provenance.producer and c.idempotency_key == accepted.provenance.idempotency_key]
     if made:
         if made[0].plan_digest != accepted.plan_digest and made[0].batch_id != _batch_id(accepted):
             raise ReplayConflictError("the idempotency key was used for other content", rule="idempotency_key")
         return counts(store, made[0].batch_id)
     if not accepted.valid:
         raise InvalidPlanError("the plan has issues", rule="valid")
-    if store.snapshot().commit_order != accepted.base_order:
+    verify(accepted, store.contract.build_digest())
+    if max([0, *[c.commit_order for c in commits]]) != accepted.base_order:
         raise StalePlanError("the store moved on after the plan was made", rule="base_order")
     order, batch = accepted.base_order + 1, _batch_id(accepted)
     changed = accepted.changes.filter("action <> 'match'").withColumn("revision_number", F.coalesce("revision_number", F.lit(0)) + 1)
     fresh_id = F.concat(F.col("record_id"), F.lit("#"), F.col("revision_number").cast("string"))
     schema_digest = store.contract.build_digest()
+    here = {"batch_id": F.lit(batch), "commit_order": F.lit(order)}
     revisions = changed.select(
-        "class", "record_id", fresh_id.alias("revision_id"), F.col("revision_number").cast("int"), F.lit(batch).alias("batch_id"), F.lit(order).alias("commit_order"), F.col("action").alias("operation"),
+        "class", "record_id", fresh_id.alias("revision_id"), F.col("revision_number").cast("int"), *[v.alias(k) for k, v in here.items()], F.col("action").alias("operation"),
         "content_digest", "prior_revision_id", "payload", F.coalesce("created_at", F.lit(committed_at)).alias("created_at"), F.lit(schema_digest).alias("schema_digest"),
     )
     pointed = F.when(F.col("action") == "match", F.col("prior_revision_id")).otherwise(F.concat(F.col("record_id"), F.lit("#"), (F.coalesce("revision_number", F.lit(0)) + 1).cast("string")))
-    observations = accepted.changes.select(
-        "class", "record_id", F.lit(batch).alias("batch_id"), F.lit(order).alias("commit_order"), F.col("action").alias("disposition"), pointed.alias("revision_id"), F.concat(F.lit("record-v1:"), "record_id").alias("origin_key")
-    )
-    identifiers = accepted.identifiers.distinct().withColumns({"batch_id": F.lit(batch), "commit_order": F.lit(order)}).select(*[c.split()[0] for c in IDENTIFIER.split(", ")])
-    store.publish(Commit(order, batch, accepted.provenance.producer, accepted.provenance.idempotency_key, accepted.plan_digest, schema_digest, committed_at), revisions, observations, identifiers)
-    return counts(store, batch)
+    origin = F.coalesce("origin_key", F.concat(F.lit("record-v1:"), "record_id"))
+    observations = accepted.changes.select("class", "record_id", *[v.alias(k) for k, v in here.items()], F.col("action").alias("disposition"), pointed.alias("revision_id"), origin.alias("origin_key"))
+    registries = [df.withColumns(here).select(*columns_of(name)) for name, df in (("identifiers", accepted.identifiers), ("origins", accepted.origins))]
+    store.publish(Commit(order, batch, accepted.provenance.producer, accepted.provenance.idempotency_key, accepted.plan_digest, schema_digest, committed_at), revisions, observations, *registries)
+    done = {r["action"]: r["count"] for r in accepted.changes.groupBy("action").count().collect()}
+    store.files.remove(accepted.folder.removeprefix(f"{store.path}/"))
+    return done
 
 
 def _batch_id(p: Plan) -> str:

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import ReplayConflictError
 from .functions import canonical_url, digest, normalize_identifier, record_id, strict_decimal, strict_integer
 from .operators import graph, identity, integrity, ledger, measures, search, validation
+from .shared import shared_dir
 from .sources import tables as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -569,8 +571,7 @@ def _sales_store(spark: SparkSession, sf: str):
     from .sources.contract import from_table_dictionary
     from .sources.store import Store
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/tidemark-checkpoints"
-    store = Store.open(spark, f"{base}/stores/{uuid.uuid4().hex}", from_table_dictionary(json.dumps(CUSTOMER_TABLE)))
+    store = Store.open(spark, f"{shared_dir(spark)}/stores/{uuid.uuid4().hex}", from_table_dictionary(json.dumps(CUSTOMER_TABLE)))
     nations = t.read(spark, sf, "nation").select(t.key("nation", "n_nationkey").alias("id"), F.col("n_name").alias("name"))
     c = t.read(spark, sf, "customer")
     customers = c.select(t.key("customer", "c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.col("c_custkey").cast("string").alias("number"), t.key("nation", "c_nationkey").alias("nation"))
@@ -613,3 +614,110 @@ def store_plan_issues(spark, sf):
         F.when(F.col("c_nationkey") == 3, F.lit("nation:none")).otherwise(t.key("nation", "c_nationkey")).alias("nation"),
     )
     return plan(_sales_store(spark, sf), {"customer": bad}, Provenance("sales", "bad")).issues
+
+
+def _catalog_store(spark: SparkSession, sf: str):
+    """Suppliers registered by tax number and parts by their producer's key, in a first batch."""
+    import uuid
+
+    from .plans.plan import ORIGIN, Provenance, ingest
+    from .sources.contract import from_linkml
+    from .sources.store import Store
+
+    store = Store.open(spark, f"{shared_dir(spark)}/stores/{uuid.uuid4().hex}", from_linkml(CATALOG))
+    s = t.read(spark, sf, "supplier").select(F.col("s_name").alias("label"), F.concat(F.lit("https://doi.org/10.5/S"), "s_suppkey").alias("doi"))
+    p = t.read(spark, sf, "part").select(F.col("p_name").alias("label"), F.col("p_partkey").cast("string").alias(ORIGIN))
+    ingest(store, {"Supplier": s, "Item": p}, Provenance("catalog", "1"), "2024-01-01T00:00:00")
+    return store
+
+
+CATALOG = """
+name: catalog
+default_range: string
+slots:
+  id: {identifier: true, range: uriorcurie}
+  label: {range: string, required: true}
+  doi: {range: string, annotations: {x.external_identifier: {tag: x.external_identifier, value: doi}}}
+classes:
+  Thing: {abstract: true, slots: [id], annotations: {x.role: node, x.id_policy: resolve_exact}}
+  Supplier: {is_a: Thing, slots: [label, doi], annotations: {x.role: source}}
+  Item: {is_a: Thing, slots: [label], annotations: {x.role: node, x.id_policy: mint}}
+"""
+
+
+def _second_catalog(spark: SparkSession, sf: str):
+    """Candidates without ids: known suppliers in another spelling, known parts by origin, half of each with another label."""
+    from .plans.plan import ORIGIN, Provenance, plan
+
+    store = _catalog_store(spark, sf)
+    n = F.col("s_suppkey")
+    s = t.read(spark, sf, "supplier").select(F.when(n % 2 == 0, F.lit("renamed")).otherwise(F.col("s_name")).alias("label"), F.concat(F.when(n % 10 == 7, F.lit("doi: 10.6/s")).otherwise(F.lit("DOI:10.5/s")), n).alias("doi"))
+    k = F.col("p_partkey")
+    p = t.read(spark, sf, "part").select(F.when(k % 2 == 0, F.lit("renamed")).otherwise(F.col("p_name")).alias("label"), F.when(k % 10 == 7, k + 1000000000).otherwise(k).cast("string").alias(ORIGIN))
+    return store, plan(store, {"Supplier": s, "Item": p}, Provenance("catalog", "2"))
+
+
+@query(
+    "select class, action, count(*) as n from (select 'Supplier' as class, case when s_suppkey % 10 = 7 then 'insert' when s_suppkey % 2 = 0 then 'update' else 'match' end as action from supplier union all select 'Item', case when p_partkey % 10 = 7 then 'insert' when p_partkey % 2 = 0 then 'update' else 'match' end from part) group by 1, 2"
+)
+def store_identity_resolution(spark, sf):
+    """Candidates without ids meet their records by a registered identifier in any spelling, and by their producer's origin key."""
+    _, proposed = _second_catalog(spark, sf)
+    return proposed.changes.groupBy("class", "action").agg(F.count("*").alias("n"))
+
+
+@query("select label, count(*) as n from (select case when p_partkey % 10 <> 7 and p_partkey % 2 = 0 then 'renamed' else p_name end as label from part union all select p_name from part where p_partkey % 10 = 7 and p_partkey % 2 <> 0 union all select 'renamed' from part where p_partkey % 10 = 7 and p_partkey % 2 = 0) group by 1")
+def store_resolved_records(spark, sf):
+    """The records after the resolved candidates are committed: updates keep their ids, unknown keys make new records."""
+    from .plans.plan import commit
+
+    store, proposed = _second_catalog(spark, sf)
+    commit(store, proposed, "2024-01-02T00:00:00")
+    return store.records("Item").groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("select 'Supplier' as class, x.field, x.rule, count(*) as n from supplier, (values ('id', 'consistent_exact_identity'), ('id', 'internal_external_identity_agreement')) x(field, rule) where s_suppkey % 3 = 1 group by 1, 2, 3")
+def store_identity_issues(spark, sf):
+    """Supplied ids that contradict a registered identifier."""
+    from .plans.plan import Provenance, plan
+
+    store = _catalog_store(spark, sf)
+    s = t.read(spark, sf, "supplier").filter("s_suppkey % 3 = 1").select(F.concat(F.lit("x:"), "s_suppkey").alias("id"), F.col("s_name").alias("label"), F.concat(F.lit("10.5/s"), "s_suppkey").alias("doi"))
+    found = plan(store, {"Supplier": s}, Provenance("catalog", "3")).issues
+    return found.groupBy("class", "field", "rule").agg(F.count("*").alias("n"))
+
+
+@query("select 'insert' as action, 1 as n_revisions, (select count(*) from nation) + (select count(*) from customer) as n union all select 'update', 2, count(*) from customer where c_custkey % 3 = 0")
+def store_replay(spark, sf):
+    """The first batch offered again under its own key changes nothing."""
+    from .plans.plan import Provenance, ingest
+
+    store = _sales_store(spark, sf)
+    nations = t.read(spark, sf, "nation").select(t.key("nation", "n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    c = t.read(spark, sf, "customer")
+    customers = c.select(t.key("customer", "c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.col("c_custkey").cast("string").alias("number"), t.key("nation", "c_nationkey").alias("nation"))
+    try:
+        ingest(store, {"nation": nations, "customer": customers}, Provenance("sales", "1"), "2024-01-03T00:00:00")
+    except ReplayConflictError:  # the store moved on, so the plan isn't the one that was committed
+        pass
+    rev = store.revisions()
+    return rev.groupBy(F.col("operation").alias("action"), F.col("revision_number").alias("n_revisions")).agg(F.count("*").alias("n"))
+
+
+@query("select 'customer:' || c_custkey as record_id, c_mktsegment as segment from customer")
+def store_pinned_records(spark, sf):
+    """The state at the first boundary, read through a snapshot that was kept as text."""
+    import json
+
+    from .sources.store import Snapshot
+
+    store = _sales_store(spark, sf)
+    first = store.commits()[0]
+    kept = json.dumps({"path": store.path, "commit_order": 1, "batch_id": first.batch_id, "committed_at": first.committed_at, "schema_digest": first.schema_digest})
+    return store.at(Snapshot(**json.loads(kept))).records("customer").select("record_id", "segment")
+
+
+@query("select cast(null as varchar) as issue, cast(null as varchar) as record_id where false")
+def store_audit(spark, sf):
+    """A store that was only written by commits has no issues."""
+    return _sales_store(spark, sf).audit().select("issue", "record_id")

@@ -1,13 +1,15 @@
 """The record store: an append-only ledger of Parquet files and one commit marker for each batch.
 
-Layout below the store's path, on any file system Spark can write:
+Layout below the store's path:
 
-    revisions/batch=<id>/class=<class>/...    observations/batch=<id>/...    identifiers/batch=<id>/...
-    commits/<order>.json                      contracts/<digest>.json
+    revisions/batch=<id>/class=<class>/...    observations/batch=<id>/class=<class>/...    commits/<order>.json
+    identifiers/batch=<id>/class=<class>/...  origins/batch=<id>/class=<class>/...          contracts/<digest>.json
 
-A batch's files are written first and its marker last, by an exclusive create; readers only list the batches that markers
-name. So a commit is atomic over all classes, the order is dense and unique, and files of a failed commit are never read.
-Heads are derived by a window, nothing is rewritten.
+A batch's files are written first and its marker last, by an exclusive create; readers join the files with the batches that
+markers name. So a commit is atomic over all classes, the order is dense and unique, and files of a failed commit are never
+read, on file systems where creating a file that must not exist yet is atomic (local ones, HDFS). On object stores without such a create
+two writers must not commit at once. Heads are derived by a window, nothing is rewritten. Markers are read as one frame and
+files as one table by Spark, so the number of commits never passes through the driver; a read of one class lists its folders only.
 """
 
 from __future__ import annotations
@@ -28,6 +30,13 @@ from .contract import STRICT, Contract
 REVISION = "class string, record_id string, revision_id string, revision_number int, batch_id string, commit_order int, operation string, content_digest string, prior_revision_id string, payload string, created_at string, schema_digest string"
 OBSERVATION = "class string, record_id string, batch_id string, commit_order int, disposition string, revision_id string, origin_key string"
 IDENTIFIER = "class string, record_id string, namespace string, normalized string, batch_id string, commit_order int"
+ORIGINS = "class string, record_id string, producer string, origin_key string, batch_id string, commit_order int"
+TABLES = {"revisions": REVISION, "observations": OBSERVATION, "identifiers": IDENTIFIER, "origins": ORIGINS}
+COMMIT = "commit_order int, batch_id string, producer string, idempotency_key string, plan_digest string, schema_digest string, committed_at string"
+
+
+def columns_of(table: str) -> list[str]:
+    return [c.split()[0] for c in TABLES[table].split(", ")]
 
 
 @dataclass(frozen=True)
@@ -77,6 +86,9 @@ class Files:
         out.close()
         return True
 
+    def remove(self, name: str) -> None:
+        self.fs.delete(self.path(name), True)
+
     def names(self, folder: str) -> list[str]:
         return sorted(s.getPath().getName() for s in self.fs.listStatus(self.path(folder))) if self.fs.exists(self.path(folder)) else []
 
@@ -91,14 +103,14 @@ class Files:
 class Store:
     """Reads of a store, at its latest boundary or at a pinned one."""
 
-    def __init__(self, spark: SparkSession, path: str, contract: Contract, pinned: int | None = None):
-        self.spark, self.path, self.contract, self.pinned = spark, path.rstrip("/"), contract, pinned
+    def __init__(self, spark: SparkSession, path: str, contract: Contract, pinned: int | None = None, read_only: bool = False):
+        self.spark, self.path, self.contract, self.pinned, self.read_only = spark, path.rstrip("/"), contract, pinned, read_only
         self.files = Files(spark, self.path)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, contract: Contract, read_only: bool = False) -> Store:
         """Open a store, or make one; the contract must mean what the store's contract means."""
-        store = cls(spark, path, contract)
+        store = cls(spark, path, contract, read_only=read_only)
         known = store.files.names("contracts")
         if known:
             first = Contract.from_json(store.files.text(f"contracts/{known[0]}"))
@@ -112,50 +124,75 @@ class Store:
 
     # ---- boundaries
 
-    def commits(self) -> list[Commit]:
-        found = [Commit(**json.loads(self.files.text(f"commits/{n}"))) for n in self.files.names("commits") if n.endswith(".json")]
-        return [c for c in found if self.pinned is None or c.commit_order <= self.pinned]
+    def log(self) -> DataFrame:
+        """The commit markers up to the boundary, as a frame."""
+        if not self.files.fs.exists(self.files.path("commits")):
+            return self.spark.createDataFrame([], COMMIT)
+        found = self.spark.read.schema(COMMIT).json(f"{self.path}/commits")
+        return found if self.pinned is None else found.filter(F.col("commit_order") <= self.pinned)
+
+    def commits(self, *conditions) -> list[Commit]:
+        """The commits in order, those that meet the conditions."""
+        found = self.log()
+        for c in conditions:
+            found = found.filter(c)
+        return sorted((Commit(**r.asDict()) for r in found.collect()), key=lambda c: c.commit_order)
 
     def snapshot(self) -> Snapshot:
-        last = self.commits()[-1:] or [Commit(0, "", "", "", "", self.contract.build_digest(), "")]
-        return Snapshot(self.path, last[0].commit_order, last[0].batch_id, last[0].committed_at, last[0].schema_digest)
+        last = self.log().agg(F.max(F.struct("commit_order", "batch_id", "committed_at", "schema_digest")).alias("x")).select("x.*").first()
+        if last["commit_order"] is None:
+            return Snapshot(self.path, 0, "", "", self.contract.build_digest())
+        return Snapshot(self.path, last["commit_order"], last["batch_id"], last["committed_at"], last["schema_digest"])
 
     def at(self, snapshot: Snapshot) -> Store:
         """A read-only view of the store at a snapshot of it."""
         if snapshot.path != self.path:
             raise SnapshotError("the snapshot is another store's", rule="store_mismatch")
-        own = {c.commit_order: c.batch_id for c in self.commits()}
-        if snapshot.commit_order and own.get(snapshot.commit_order) != snapshot.batch_id:
-            raise SnapshotError("the store has no such boundary", rule="boundary")
+        if snapshot.commit_order:
+            found = self.commits(F.col("commit_order") == snapshot.commit_order)
+            if [c.batch_id for c in found] != [snapshot.batch_id]:
+                raise SnapshotError("the store has no such boundary", rule="boundary")
+            if found[0].schema_digest != snapshot.schema_digest or found[0].committed_at != snapshot.committed_at:
+                raise SnapshotError("the boundary was committed under another contract or at another time", rule="schema_digest")
+            if f"{snapshot.schema_digest.split(':')[1]}.json" not in self.files.names("contracts"):
+                raise SnapshotError("the contract of the boundary is missing", rule="schema_presence")
         return Store(self.spark, self.path, self.contract, snapshot.commit_order)
 
     def boundary(self, at: str) -> int:
         """The commit order at a batch id, or the greatest one committed up to a time."""
-        commits = self.commits()
-        named = [c.commit_order for c in commits if c.batch_id == at]
-        return named[0] if named else max([0, *[c.commit_order for c in commits if c.committed_at <= at]])
+        named = F.max(F.when(F.col("batch_id") == at, F.col("commit_order")))
+        before = F.max(F.when(F.col("committed_at") <= at, F.col("commit_order")))
+        return self.log().agg(F.coalesce(named, before, F.lit(0)).alias("n")).first()["n"]
 
     # ---- frames
 
-    def _table(self, name: str, schema: str) -> DataFrame:
-        batches = [c.batch_id for c in self.commits()]
-        if not batches:
+    def _table(self, name: str) -> DataFrame:
+        """The rows of a table of committed batches up to the boundary."""
+        schema = TABLES[name]
+        folder = f"{self.path}/{name}"
+        if not self.files.fs.exists(self.files.path(name)) or not self.files.fs.exists(self.files.path("commits")):
             return self.spark.createDataFrame([], schema)
-        paths = [f"{self.path}/{name}/batch={b}" for b in batches]
-        return self.spark.read.schema(schema).parquet(*paths)
+        rows = self.spark.read.schema(f"{schema}, batch string").parquet(folder)
+        return rows.join(F.broadcast(self.log().select(F.col("batch_id").alias("batch"))) if self.few_commits() else self.log().select(F.col("batch_id").alias("batch")), "batch", "left_semi").select(*columns_of(name))
+
+    def few_commits(self) -> bool:
+        """Whether the commit markers may be broadcast: so many files at most."""
+        return self.files.fs.getContentSummary(self.files.path("commits")).getFileCount() <= 100_000
 
     def batches(self) -> DataFrame:
-        rows = [(c.batch_id, c.commit_order, c.committed_at, "committed", c.schema_digest, c.producer) for c in self.commits()]
-        return self.spark.createDataFrame(rows, "batch_id string, commit_order int, committed_at string, status string, schema_digest string, producer string")
+        return self.log().select("batch_id", "commit_order", "committed_at", F.lit("committed").alias("status"), "schema_digest", "producer")
+
+    def origins(self) -> DataFrame:
+        return self._table("origins").groupBy("class", "producer", "origin_key").agg(F.min_by("record_id", "commit_order").alias("record_id"), F.min("commit_order").alias("commit_order"))
 
     def revisions(self) -> DataFrame:
-        return self._table("revisions", REVISION)
+        return self._table("revisions")
 
     def observations(self) -> DataFrame:
-        return self._table("observations", OBSERVATION)
+        return self._table("observations")
 
     def identifiers(self) -> DataFrame:
-        own = self._table("identifiers", IDENTIFIER)
+        own = self._table("identifiers")
         from ..operators.search import register
 
         return register(own.select("class", "record_id", "namespace", F.col("normalized").alias("value"), F.col("commit_order").alias("first_order")))
@@ -168,12 +205,18 @@ class Store:
         own = self.contract[name]
         slots = own.public_slots() if public else [s.name for s in own.slots]
         heads = self.heads().filter(F.col("class") == name)
-        # exact numbers and times are text in the payload
-        kinds = {s.name: T.StringType() if s.type in ("integer", "decimal", "datetime") and not s.multivalued else own.struct_type()[s.name].dataType for s in own.slots}
-        parsed = heads.select("record_id", "revision_number", F.from_json("payload", T.StructType([T.StructField(k, v) for k, v in kinds.items()])).alias("p"))
-        typed = {s.name: STRICT[s.type](F.col("p")[s.name]) if kinds[s.name] == T.StringType() else F.col("p")[s.name] for s in own.slots}
+        kinds = {f.name: f.dataType for f in self.payload_type(name).fields}
+        parsed = heads.select("record_id", "revision_number", F.from_json("payload", self.payload_type(name)).alias("p"))
+        typed = {s.name: STRICT[s.type](F.col("p")[s.name]) if kinds[s.name] == T.StringType() else F.col("p")[s.name] for s in own.slots if s.name in kinds}
         return parsed.select("record_id", "revision_number", *[typed[s].alias(s) for s in slots if s not in ("id", "created_at", "updated_at")])
 
+    def payload_type(self, name: str) -> T.StructType:
+        """The type of a class's JSON payload: its id, then its slots; exact numbers and times are text there."""
+        own = self.contract[name]
+        exact = lambda s: s.type in ("integer", "decimal", "datetime") and not s.multivalued
+        kinds = {s.name: T.StringType() if exact(s) else own.struct_type()[s.name].dataType for s in own.slots if s.name not in ("id", "created_at", "updated_at")}
+        return T.StructType([T.StructField("id", T.StringType()), *[T.StructField(k, v) for k, v in kinds.items()]])
+
     def get(self, record_id: str) -> dict:
         """One record with its identifiers."""
         row = self.heads().filter(F.col("record_id") == record_id).first()
@@ -194,20 +237,25 @@ class Store:
 
     # ---- writing
 
-    def publish(self, commit: Commit, revisions: DataFrame, observations: DataFrame, identifiers: DataFrame) -> None:
+    def publish(self, commit: Commit, revisions: DataFrame, observations: DataFrame, identifiers: DataFrame, origins: DataFrame) -> None:
         """Write a batch and then its marker; if another commit took the order meanwhile, nothing becomes visible."""
-        for name, rows in (("revisions", revisions), ("observations", observations), ("identifiers", identifiers)):
-            rows.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={commit.batch_id}")
+        if self.pinned is not None or self.read_only:
+            raise SnapshotError("a pinned or read-only store takes no commits", rule="read_only")
+        for name, rows in zip(TABLES, (revisions, observations, identifiers, origins), strict=True):
+            rows.write.mode("overwrite").partitionBy("class").parquet(f"{self.path}/{name}/batch={commit.batch_id}")
         if not self.files.create(f"commits/{commit.commit_order:012d}.json", json.dumps(asdict(commit), sort_keys=True)):
             raise StalePlanError("another batch was committed first", rule="commit_order")
 
     def audit(self) -> DataFrame:
-        from ..operators.integrity import audit
+        """Issues of the ledger, its registries and its payloads. Heads are derived here, so there are no checks of them."""
+        from ..operators.integrity import audit, payload_issues
 
         rev = self.revisions()
-        known = self.spark.createDataFrame([(c.schema_digest,) for c in self.commits()] or [], "schema_digest string")
-        content = ["payload"]
-        return audit(rev, self.observations(), self.batches(), self.heads(), known, self.identifiers().select("class", "record_id"), rev.select("class", "record_id").distinct(), content)
+        registered = [self._table(n).select("class", "record_id").distinct() for n in ("identifiers", "origins")]
+        found = audit(rev, self.observations(), self.batches(), None, self.log().select("schema_digest").distinct(), *registered, ["payload"])
+        for c in self.contract.classes.values():
+            found = found.unionByName(payload_issues(rev.filter(F.col("class") == c.name), self.payload_type(c.name)))
+        return found
 
 
 def content_digest(payload: str = "payload"):
