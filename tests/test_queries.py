@@ -3,6 +3,7 @@
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pyarrow.dataset as ds
 import pytest
 
@@ -21,7 +22,7 @@ def db():
 
 def rows(pdf):
     def plain(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return None
         return str(int(v)) if isinstance(v, (bool, int, float)) and float(v).is_integer() else str(v)
 

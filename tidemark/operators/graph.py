@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 EDGE = ("edge_id", "subject", "predicate", "object", "edge_class", "layer")
 NODE_ROLES = ("node", "statement", "evidence", "source", "mention")
-#: Bounds of one traversal.
-MAX_NODES, MAX_EDGES, MAX_HOPS = 500, 2000, 2
+#: Most hops of one expansion.
+MAX_HOPS = 2
 
 
 def nodes(records: DataFrame) -> DataFrame:
@@ -57,24 +56,8 @@ def neighbors(roots: DataFrame, all_edges: DataFrame, hops: int = 1, direction:
     return seen
 
 
-def bounded_neighbors(seen: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
-    """The first nodes of each root, by hop and id, with whether more were there."""
-    w = W.partitionBy("root").orderBy("hop", "id")
-    return seen.withColumn("place", F.row_number().over(w)).withColumn("truncated", F.count("*").over(W.partitionBy("root")) > max_nodes).filter(F.col("place") <= max_nodes).drop("place")
-
-
-def retained_edges(seen: DataFrame, all_edges: DataFrame) -> DataFrame:
-    """Edges whose two ends a root reached."""
-    a, b = seen.select("root", F.col("id").alias("subject")), seen.select("root", F.col("id").alias("object"))
-    return all_edges.join(a, "subject").join(b, ["root", "object"])
-
-
 def dangling(all_edges: DataFrame, all_nodes: DataFrame) -> DataFrame:
     """Edge ends that are no node."""
     ends = all_edges.select("edge_id", F.explode(F.array(F.struct(F.lit("subject").alias("side"), F.col("subject").alias("id")), F.struct(F.lit("object").alias("side"), F.col("object").alias("id")))).alias("e"))
     return ends.select("edge_id", "e.side", "e.id").join(all_nodes.select("id").distinct(), "id", "left_anti")
 
-
-def ambiguous(all_nodes: DataFrame) -> DataFrame:
-    """Ids that are nodes of several classes."""
-    return all_nodes.groupBy("id").agg(F.count_distinct("class").alias("n_classes")).filter("n_classes > 1")

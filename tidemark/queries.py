@@ -562,7 +562,22 @@ CUSTOMER_TABLE = {
 }
 
 
+#: Stores that were made in a session, by session, tables and kind: queries that only read share one.
+_STORES: dict[tuple[str, str, str], object] = {}
+
+
+def _shared(kind: str, make: Callable, spark: SparkSession, sf: str):
+    at = (spark.sparkContext.applicationId, sf, kind)
+    if at not in _STORES:
+        _STORES[at] = make(spark, sf)
+    return _STORES[at]
+
+
 def _sales_store(spark: SparkSession, sf: str):
+    return _shared("sales", _new_sales_store, spark, sf)
+
+
+def _new_sales_store(spark: SparkSession, sf: str):
     """A new store with two batches: nations and customers, then customers of whom every third has another segment."""
     import json
     import uuid
@@ -646,7 +661,7 @@ classes:
 
 
 def _second_catalog(spark: SparkSession, sf: str):
-    """Candidates without ids: known suppliers in another spelling, known parts by origin, half of each with another label."""
+    """Candidates without ids: known suppliers by another spelling of their identifier, known parts by origin, half of these with another label."""
     from .plans.plan import ORIGIN, Provenance, plan
 
     store = _catalog_store(spark, sf)
@@ -658,7 +673,7 @@ def _second_catalog(spark: SparkSession, sf: str):
 
 
 @query(
-    "select class, action, count(*) as n from (select 'Supplier' as class, case when s_suppkey % 10 = 7 then 'insert' when s_suppkey % 2 = 0 then 'update' else 'match' end as action from supplier union all select 'Item', case when p_partkey % 10 = 7 then 'insert' when p_partkey % 2 = 0 then 'update' else 'match' end from part) group by 1, 2"
+    "select class, action, count(*) as n from (select 'Supplier' as class, case when s_suppkey % 10 = 7 then 'insert' else 'update' end as action from supplier union all select 'Item', case when p_partkey % 10 = 7 then 'insert' when p_partkey % 2 = 0 then 'update' else 'match' end from part) group by 1, 2"
 )
 def store_identity_resolution(spark, sf):
     """Candidates without ids meet their records by a registered identifier in any spelling, and by their producer's origin key."""
@@ -692,7 +707,7 @@ def store_replay(spark, sf):
     """The first batch offered again under its own key changes nothing."""
     from .plans.plan import Provenance, ingest
 
-    store = _sales_store(spark, sf)
+    store = _new_sales_store(spark, sf)
     nations = t.read(spark, sf, "nation").select(t.key("nation", "n_nationkey").alias("id"), F.col("n_name").alias("name"))
     c = t.read(spark, sf, "customer")
     customers = c.select(t.key("customer", "c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.col("c_custkey").cast("string").alias("number"), t.key("nation", "c_nationkey").alias("nation"))
@@ -721,3 +736,141 @@ def store_pinned_records(spark, sf):
 def store_audit(spark, sf):
     """A store that was only written by commits has no issues."""
     return _sales_store(spark, sf).audit().select("issue", "record_id")
+
+
+# ---- reads by role ------------------------------------------------------------------------------------------------
+
+KNOWLEDGE = """
+name: knowledge
+default_range: string
+slots:
+  id: {identifier: true, range: uriorcurie}
+classes:
+  Base: {abstract: true, slots: [id], annotations: {x.id_policy: require}}
+  Node: {abstract: true, is_a: Base, annotations: {x.role: node}}
+  Nation: {is_a: Node, attributes: {label: {required: true}}}
+  Customer: {is_a: Node, attributes: {label: {required: true}, segment: {}, balance: {range: float}}}
+  Document: {is_a: Base, attributes: {title: {}}, annotations: {x.role: source}}
+  Order:
+    is_a: Base
+    attributes: {statement_text: {required: true}, primary_subject: {range: Node}, about: {range: Node, multivalued: true}, status: {}, superseded_by: {range: Order}}
+    annotations: {x.role: statement}
+  Residence:
+    is_a: Base
+    attributes: {subject: {range: Node, required: true}, predicate: {required: true}, object_entity: {range: Node}, object_value: {}, derived_from_statement: {range: Order}}
+    annotations: {x.role: statement}
+  Proof: {is_a: Base, attributes: {statement_id: {required: true}, source_id: {range: Document, required: true}, support_type: {required: true}}, annotations: {x.role: evidence}}
+  Spotted: {is_a: Base, attributes: {source_id: {range: Document}, surface_form: {}, entity_id: {range: Node}}, annotations: {x.role: mention}}
+"""
+
+
+def _knowledge(spark: SparkSession, sf: str):
+    return _shared("knowledge", _new_knowledge, spark, sf)
+
+
+def _new_knowledge(spark: SparkSession, sf: str):
+    """Customers and nations as nodes, orders as narrative and residences as semantic statements, labels as evidence and mentions."""
+    import uuid
+
+    from .plans.plan import Provenance, ingest
+    from .sources.contract import from_linkml
+    from .sources.knowledge import Knowledge, measured
+    from .sources.store import Store
+
+    store = Store.open(spark, f"{shared_dir(spark)}/stores/{uuid.uuid4().hex}", measured(from_linkml(KNOWLEDGE)))
+    text = lambda c: F.col(c).cast("string")
+    c, o, labels = t.read(spark, sf, "customer"), t.read(spark, sf, "orders"), t.read(spark, sf, "labels")
+    customer = t.key("customer", "o_custkey")
+    first = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.concat(F.lit("order:"), F.min("o_orderkey").cast("string")).alias("first"))
+    someone = F.concat(F.lit("customer:"), (F.col("doc_id") % 50 + 10).cast("string"))
+    records = {
+        "Nation": t.read(spark, sf, "nation").select(t.key("nation", "n_nationkey").alias("id"), F.col("n_name").alias("label")),
+        "Customer": c.select(t.key("customer", "c_custkey").alias("id"), F.col("c_name").alias("label"), F.col("c_mktsegment").alias("segment"), text("c_acctbal").alias("balance")),
+        "Document": t.read(spark, sf, "documents").select(t.key("doc", "doc_id").alias("id"), F.col("source").alias("title")).dropDuplicates(["id"]),
+        "Order": o.select(
+            t.key("order", "o_orderkey").alias("id"), F.col("o_orderpriority").alias("statement_text"), customer.alias("primary_subject"), F.when(F.col("o_orderkey") % 4 == 0, F.array(customer, F.lit("nation:1"))).alias("about"),
+            F.when(F.col("o_orderstatus") == "F", "superseded").alias("status"), F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("order:"), (F.col("o_orderkey") - F.col("o_orderkey") % 2).cast("string"))).alias("superseded_by"),
+        ).withColumn("superseded_by", F.when(F.col("superseded_by") != F.col("id"), F.col("superseded_by"))),
+        "Residence": c.join(first, "c_custkey", "left").select(t.key("residence", "c_custkey").alias("id"), t.key("customer", "c_custkey").alias("subject"), F.lit("in_nation").alias("predicate"), t.key("nation", "c_nationkey").alias("object_entity"), F.col("first").alias("derived_from_statement")),
+        "Proof": labels.select(t.key("proof", "doc_id").alias("id"), F.concat(F.lit("residence:"), (F.col("doc_id") % 50 + 10).cast("string")).alias("statement_id"), t.key("doc", "doc_id").alias("source_id"), F.when(F.col("quality") == 1, "supports").otherwise("contradicts").alias("support_type")),
+        "Spotted": labels.select(t.key("spotted", "doc_id").alias("id"), t.key("doc", "doc_id").alias("source_id"), F.lit("name").alias("surface_form"), F.when(F.col("quality") == 1, someone).alias("entity_id")),
+        "Measure": spark.createDataFrame([("measure:balance", "customers by segment", "Customer", "COUNT(*) - SUM(balance < 0)", '[{"name": "segment", "column": "segment"}]', '["segment"]')], "id string, name string, target_class string, expr string, parameters string, dimensions string"),
+    }
+    ingest(store, records, Provenance("knowledge", "1"), "2024-01-01T00:00:00")
+    return Knowledge(store)
+
+
+def _edges(spark, sf, kind):
+    return _knowledge(spark, sf).edges().filter(F.col("edge_class") == kind).select("edge_id", "subject", "predicate", "object", "layer")
+
+
+@query("select 'residence:' || c_custkey as edge_id, 'customer:' || c_custkey as subject, 'in_nation' as predicate, 'nation:' || c_nationkey as object, 'semantic' as layer from customer")
+def graph_semantic(spark, sf):
+    return _edges(spark, sf, "semantic")
+
+
+@query("select 'order:' || o_orderkey || '#about:' || x.place as edge_id, 'order:' || o_orderkey as subject, 'about' as predicate, case when x.place = 1 then 'customer:' || o_custkey else 'nation:1' end as object, 'provenance' as layer from orders, (values (1), (2)) x(place) where o_orderkey % 4 = 0")
+def graph_about(spark, sf):
+    return _edges(spark, sf, "about")
+
+
+@query("select 'order:' || o_orderkey || '#primary_subject' as edge_id, 'order:' || o_orderkey as subject, 'primary_subject' as predicate, 'customer:' || o_custkey as object, 'provenance' as layer from orders")
+def graph_primary_subject(spark, sf):
+    return _edges(spark, sf, "primary_subject")
+
+
+@query("select 'proof:' || doc_id || '#statement_evidence' as edge_id, 'residence:' || (doc_id % 50 + 10) as subject, 'evidence' as predicate, 'proof:' || doc_id as object, 'provenance' as layer from labels")
+def graph_statement_evidence(spark, sf):
+    return _edges(spark, sf, "statement_evidence")
+
+
+@query("select 'proof:' || doc_id || '#evidence_source' as edge_id, 'proof:' || doc_id as subject, 'source_id' as predicate, 'doc:' || doc_id as object, 'provenance' as layer from labels")
+def graph_evidence_source(spark, sf):
+    return _edges(spark, sf, "evidence_source")
+
+
+@query("select 'order:' || o_orderkey || '#superseded_by' as edge_id, 'order:' || o_orderkey as subject, 'superseded_by' as predicate, 'order:' || (o_orderkey - 1) as object, 'provenance' as layer from orders where o_orderstatus = 'F' and o_orderkey % 2 = 1")
+def graph_superseded_by(spark, sf):
+    return _edges(spark, sf, "superseded_by")
+
+
+@query("select 'spotted:' || doc_id || '#mention_entity' as edge_id, 'spotted:' || doc_id as subject, 'entity_id' as predicate, 'customer:' || (doc_id % 50 + 10) as object, 'provenance' as layer from labels where quality = 1")
+def graph_mention_entity(spark, sf):
+    return _edges(spark, sf, "mention_entity")
+
+
+@query("select 'residence:' || o_custkey || '#semantic_derivation' as edge_id, 'residence:' || o_custkey as subject, 'derived_from_statement' as predicate, 'order:' || min(o_orderkey) as object, 'provenance' as layer from orders group by o_custkey")
+def graph_semantic_derivation(spark, sf):
+    return _edges(spark, sf, "semantic_derivation")
+
+
+@query("with e as (select 'customer:' || c_custkey as id, 'residence:' || c_custkey as edge_id, c_custkey from customer where c_nationkey = 1 order by 'residence:' || c_custkey limit 5), n as (select id from e order by id limit 3) select 'nation:1' as root, id, (select count(*) > 3 from customer where c_nationkey = 1) as truncated from n union all select 'nation:1', 'nation:1', (select count(*) > 3 from customer where c_nationkey = 1)")
+def graph_caps(spark, sf):
+    """The first neighbours of a hub within the caps of edges and nodes, and whether more were there."""
+    out = _knowledge(spark, sf).neighbors("nation:1", "in_nation", "in", projection="semantic", max_nodes=4, max_edges=5)
+    return spark.createDataFrame([("nation:1", n["id"], out.truncated) for n in out.nodes], "root string, id string, truncated boolean")
+
+
+@query("select shape, subject, predicate, count(*) as n from (select 'narrative' as shape, 'customer:' || o_custkey as subject, cast(null as varchar) as predicate, o_orderstatus from orders union all select 'semantic', 'customer:' || c_custkey, 'in_nation', 'x' from customer) where o_orderstatus <> 'F' group by 1, 2, 3")
+def store_claims(spark, sf):
+    """Current claims in one form, superseded ones left out."""
+    return search.claims(_knowledge(spark, sf).claim_rows()).groupBy("shape", "subject", "predicate").agg(F.count("*").alias("n"))
+
+
+@query("select 'proof:' || doc_id as record_id, 'doc:' || doc_id as source_id, case when quality = 1 then 'supports' else 'contradicts' end as support_type, (select any_value(source) from documents d where d.doc_id = l.doc_id) as source_title from labels l")
+def store_evidence(spark, sf):
+    return _knowledge(spark, sf).evidence_rows().select("record_id", "source_id", "support_type", "source_title")
+
+
+@query("select 'claims' as part, count(*) as n from (select * from orders where o_custkey = 17 and o_orderstatus <> 'F' limit 49) union all select 'evidence', count(*) from labels where doc_id % 50 + 10 = 17")
+def store_get(spark, sf):
+    """One node with the claims about it and their evidence, within the caps of the call."""
+    got = _knowledge(spark, sf).get("customer:17", ("claims", "evidence"), {"claims": 50, "evidence": 2000})
+    counts = [(k, len([r for r in v if k == "evidence" or r["shape"] == "narrative"])) for k, v in got["related"].items()]
+    return spark.createDataFrame(counts, "part string, n long")
+
+
+@query("select c_mktsegment as segment, count(*) - count(*) filter (c_acctbal < 0) as value from customer group by 1")
+def store_measure(spark, sf):
+    """An accepted measure of a store over the current records of its class."""
+    return _knowledge(spark, sf).measure("customers by segment", by=("segment",))
