@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import cut, shared_dir  # noqa: F401
+
 #: White space between words, as the body of a regular expression class.
 SPACE = r"\x20\x09-\x0D"
 
@@ -18,24 +18,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; only where that is unset (tests), a local one is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "tidemark-checkpoints"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df reliably to the shared folder and go on from there: later steps neither recompute nor lose it with an executor."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def cut_table(df: DataFrame) -> DataFrame:
-    """Like cut, as a Parquet table: for frames that several later steps read by column."""
-    path = f"{checkpoint_dir(df.sparkSession)}/tidemark/{uuid.uuid4().hex}"
+    """Like cut, as a Parquet table in the shared folder: for frames that several later steps read by column."""
+    path = f"{shared_dir(df.sparkSession)}/tidemark/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
@@ -59,7 +44,7 @@ def shielded(docs: DataFrame, used: tuple[str, ...], f: Callable[[DataFrame], Da
 
 
 #: Frames of at most so many bytes may be broadcast.
-BROADCAST_BYTES = 24 << 20
+BROADCAST_BYTES = 8 << 20
 
 
 def by_size(df: DataFrame, row_bytes: int) -> DataFrame:

@@ -34,31 +34,33 @@ UNITS = (
     "pounds?|ounces?|dollars?|euros?|cents?|percent|degrees?"
 )
 NUMBER_WORDS = (
-    "zero|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|(?:thir|four|fif|six|seven|eigh|nine)teen|(?:twen|thir|for|fif|six|seven|eigh|nine)ty|hundreds?|thousands?|millions?|billions?|"
-    "half|halves|thirds?|quarters?|dozens?|once|twice|thrice"
+    "zero|on(?:e|ce)|t(?:wo|wice|hree|hrice|en|welve|hirteen|wenty|hirty|hirds?|housands?)|f(?:our|ive|ourteen|ifteen|orty|ifty)|s(?:ix|even|ixteen|eventeen|ixty|eventy)|e(?:ight|leven|ighteen|ighty)|"
+    "nine(?:teen|ty)?|h(?:undreds?|alf|alves)|millions?|billions?|dozens?|quarters?"
 )
 _EDGE, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
+#: A number word; the look at its first letter comes first, as it fails fastest.
+_WORD = rf"(?=[ZOTFSENHMBDQzotfsenhmbdq]){_EDGE}(?i:{NUMBER_WORDS}){_END}"
 #: In order. Only a number in several words spans white space; raw_words joins its words too, so places stay the same.
 STEPS = (
-    (rf"{_EDGE}[+-]?\d+(?:[.,:/]\d+)*", NUMBER),
-    (rf"{_EDGE}(?i:{NUMBER_WORDS})(?:(?: +(?:and +)?|-)(?i:{NUMBER_WORDS}){_END})*{_END}", NUMBER),
-    (rf"(?<={NUMBER} ?)(?:{UNITS}){_END}", UNIT),
-    (r"(?<=[\p{Ll}\p{N},;\uE000\uE002] )\p{Lu}[\p{L}\p{N}'’-]*", NAME),
+    (rf"(?=[+\-0-9]){_EDGE}[+-]?\d+(?:[.,:/]\d+)*", NUMBER),
+    (rf"{_WORD}(?:(?: +(?:and +)?|-){_WORD})*", NUMBER),
+    (rf"({NUMBER} ?)(?:{UNITS}){_END}", f"$1{UNIT}"),
+    (r"(?=\p{Lu})(?<=[\p{Ll}\p{N},;\uE000\uE002] )\p{Lu}[\p{L}\p{N}'’-]*", NAME),
 )
 #: The space inside a number in several words.
-_WITHIN = (rf"({_EDGE}(?i:{NUMBER_WORDS})) +(?:(and) +)?(?=(?i:{NUMBER_WORDS}){_END})", "$1-$2")
+_WITHIN = (rf"({_WORD}) +(?:(and) +)?(?={_WORD})", "$1-$2")
 
-#: Besides, for the second key: any capitalised word, as at the start of a text or sentence, after a colon or a quote.
-OPENING = (rf"{_EDGE}\p{{Lu}}[\p{{L}}\p{{N}}'’-]*", NAME)
 
-
-def template(text: Column, opening: bool = False) -> Column:
-    out = reduce(lambda c, step: F.regexp_replace(c, *step), (*STEPS, OPENING) if opening else STEPS, text)
-    return F.regexp_replace(F.lower(out), rf"[^\p{{L}}\p{{N}}{SPACE}{NUMBER}{NAME}{UNIT}]+", "")
+def cased_words(text: Column) -> Column:
+    """The words of the template before they are lower-cased."""
+    out = reduce(lambda c, step: F.regexp_replace(c, *step), STEPS, text)
+    return F.filter(F.split(F.regexp_replace(out, rf"[^\p{{L}}\p{{N}}{SPACE}{NUMBER}{NAME}{UNIT}]+", ""), f"[{SPACE}]+"), lambda w: w != "")
 
 
 def template_words(text: Column, opening: bool = False) -> Column:
-    return F.filter(F.split(template(text, opening), f"[{SPACE}]+"), lambda w: w != "")
+    """The words of the template; with opening, every word that begins with a capital is a name."""
+    first = lambda w: F.substring(w, 1, 1)
+    return F.transform(cased_words(text), lambda w: F.when(first(w) != F.lower(first(w)), F.lit(NAME)).otherwise(F.lower(w)) if opening else F.lower(w))
 
 
 def raw_words(text: Column) -> Column:
@@ -92,9 +94,26 @@ def own_windows(words: Column) -> Column:
     return out
 
 
-def all_windows(words: Column, sizes: list[int]) -> Column:
-    """The windows of a document in these sizes, by place, one size after the other."""
-    return F.concat(*[windows(words, k) for k in sizes]) if len(sizes) > 1 else windows(words, sizes[0])
+def document_windows(docs: DataFrame, sizes: list[int]) -> DataFrame:
+    """doc_id, key and first (whether it is a plain window's own key) for all windows of the documents, by both keys.
+
+    Hashes of words are made in lambda functions; windows are put together after an explosion, in compiled code.
+    """
+    first = lambda w: F.substring(w, 1, 1)
+    own = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.explode(F.array(cased_words(text_of()))).alias("c"))
+    own = own.select("doc_id", "c", F.transform("c", lambda w: F.xxhash64(F.lower(w))).alias("h"))
+    own = own.select("doc_id", "h", F.zip_with("c", "h", lambda w, h: F.when(first(w) != F.lower(first(w)), F.xxhash64(F.lit(NAME))).otherwise(h)).alias("o"))
+    own = own.withColumn("h", F.explode(F.array("h")))  # parts the lambda functions from what follows
+    parts = []
+    for k in sizes:
+        long = own.filter(F.size("h") >= k)
+        at = [F.slice(F.col(c), F.lit(i + 1), F.size("h") - (k - 1)).alias(f"{c}{i}") for c in ("h", "o") for i in range(k)]
+        each = long.select("doc_id", F.explode(F.arrays_zip(*at)).alias("x"))
+        keys = [F.xxhash64(*[F.col(f"x.{c}{i}") for i in range(k)]) for c in ("h", "o")]
+        both = each.select("doc_id", keys[0].alias("plain"), keys[1].alias("second"))
+        # the second key only where it differs
+        parts.append(both.select("doc_id", F.explode(F.array(F.struct(F.col("plain").alias("key"), F.lit(True).alias("first")), F.struct(F.when(F.col("second") != F.col("plain"), F.col("second")).alias("key"), F.lit(False).alias("first")))).alias("y")).select("doc_id", "y.key", "y.first").filter("key is not null"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
@@ -109,12 +128,7 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
 def shared_windows(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, item_id, n_shared, n_plain (without second keys), n_windows, for items of which a document holds enough windows."""
     items = by_size(cut_table(item_windows(benchmark)), 64)
-    words = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", template_words(text_of()).alias("w"), template_words(text_of(), True).alias("o"))
-    sizes = item_sizes(benchmark)
-    both = words.select("doc_id", all_windows(F.col("w"), sizes).alias("w"), all_windows(F.col("o"), sizes).alias("o"))
-    # all plain windows, then those that the second key changes
-    keys = both.select("doc_id", F.size("w").alias("n"), F.posexplode_outer(F.concat("w", F.array_except("o", "w"))).alias("at", "key"))
-    own = keys.select("doc_id", "key", (F.col("at") < F.col("n")).alias("first"))
+    own = document_windows(docs, item_sizes(benchmark))
     met = own.join(items, "key").groupBy("doc_id", "item_id", "window").agg(F.first("n_windows").alias("n_windows"), F.max(F.col("plain") & F.col("first")).alias("plain"))
     found = met.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"), F.count_if("plain").alias("n_plain"), F.first("n_windows").alias("n_windows"))
     return found.filter(100 * F.col("n_shared") >= percent * F.col("n_windows"))

@@ -70,18 +70,24 @@ class Model:
         return kernel @ self.weights + self.bias
 
 
-def fit(x: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Kernel ridge regression in the Nyström space of landmarks taken from the languages in turn."""
+def _normal(bits: np.ndarray) -> np.ndarray:
+    """Presence rows of packed bits, each over the root of its sum."""
+    x = np.unpackbits(bits, axis=1).astype(np.float32)
+    return x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+
+
+def fit(bits: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+    """Kernel ridge regression in the Nyström space of landmarks taken from the languages in turn; rows are packed bits."""
     langs = sorted(set(labels))
     y = np.array([[1.0 if lab == lang else -1.0 for lang in langs] for lab in labels])
     by_lang = [[i for i, lab in enumerate(labels) if lab == lang] for lang in langs]
     turns = [rows[k] for k in range(max(map(len, by_lang))) for rows in by_lang if k < len(rows)]
-    x = x.astype(np.float64) / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
-    own = x[turns[:landmarks]]
+    own = _normal(bits[turns[:landmarks]]).astype(np.float64)
     values, vectors = np.linalg.eigh(own @ own.T)
     good = values > 1e-8 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    phi = (x @ own.T) @ root
+    # some rows at a time: the driver never holds the whole matrix
+    phi = np.concatenate([_normal(bits[k : k + 32]).astype(np.float64) @ own.T for k in range(0, len(bits), 32)]) @ root
     weight = np.array([1 / lab_n for lab_n in (len(by_lang[langs.index(lab)]) for lab in labels)])
     weight *= len(labels) / weight.sum()
     mean_phi, mean_y = np.average(phi, axis=0, weights=weight), np.average(y, axis=0, weights=weight)
@@ -91,20 +97,20 @@ def fit(x: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: flo
 
 
 def sample(labelled: DataFrame, per_lang: int = PER_LANG) -> tuple[np.ndarray, list[str]]:
-    """Presence rows and languages of about per_lang documents of each language, chosen by a hash of their id."""
+    """Presence rows as packed bits, and languages, of about per_lang documents of each language, chosen by a hash of their id."""
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return np.zeros((0, DIMS), dtype=np.float32), []
+        return np.zeros((0, DIMS // 8), dtype=np.uint8), []
     at = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language sample")), F.lit(1 << 30))
     limits = [F.when((F.col("lang") == lang) & (at < min(1.0, per_lang / n) * (1 << 30)), True) for lang, n in sorted(counts.items())]
     chosen = labelled.filter(F.coalesce(*limits, F.lit(False)))
 
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             packed = [np.packbits(presence([t.as_py()]) > 0).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("lang"), pa.array(packed, pa.binary())], names=["key", "lang", "bits"])
 
-    rows = chosen.select(F.xxhash64("doc_id", "text").alias("key"), "lang", "text").mapInArrow(bits, "key long, lang string, bits binary").collect()
+    rows = chosen.select(F.xxhash64("doc_id", "text").alias("key"), "lang", "text").mapInArrow(packed_bits, "key long, lang string, bits binary").collect()
     rows = sorted(rows, key=lambda r: (r["key"], r["lang"], r["bits"]))
     taken: dict[str, int] = {}
     kept = []
@@ -112,8 +118,8 @@ def sample(labelled: DataFrame, per_lang: int = PER_LANG) -> tuple[np.ndarray, l
         taken[r["lang"]] = taken.get(r["lang"], 0) + 1
         if taken[r["lang"]] <= per_lang:
             kept.append(r)
-    x = np.array([np.unpackbits(np.frombuffer(r["bits"], dtype=np.uint8)) for r in kept], dtype=np.float32).reshape(-1, DIMS)
-    return x, [r["lang"] for r in kept]
+    bits = np.frombuffer(b"".join(r["bits"] for r in kept), dtype=np.uint8).reshape(-1, DIMS // 8)
+    return bits, [r["lang"] for r in kept]
 
 
 def has_letter(text: Column) -> Column:
@@ -128,8 +134,8 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame, per_lang: int = PER_LANG, landmarks: int = LANDMARKS) -> Model | None:
     """A model from the rows of docs that are not held out and have a language and a letter in their text."""
     usable = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & has_letter(F.col("text")))
-    x, labels = sample(usable.select("doc_id", "lang", "text"), per_lang)
-    return fit(x, labels, landmarks) if labels else None
+    bits, labels = sample(usable.select("doc_id", "lang", "text"), per_lang)
+    return fit(bits, labels, landmarks) if labels else None
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:

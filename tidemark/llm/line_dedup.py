@@ -58,36 +58,52 @@ def line_nodes(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return once.unionByName(firsts), several
 
 
-def alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, levels: Column, percent: int) -> DataFrame:
-    """id, first and other: nodes with their place and that of the earliest node that the pairs show to be like them, on full sets."""
+def placed(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """id and first of the later node of each pair, earlier and other of the earlier one; nodes at one place are no pair."""
     ends = cut_table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    wanted = cut_table(nodes.select("id", "doc_id", "line").join(by_size(ends, 16), "id"))
+    at = nodes.select("id", F.struct("doc_id", "line").alias("at")).join(by_size(ends, 16), "id")
+    at = by_size(cut_table(at), 48)
+    both = pairs.join(at.select(F.col("id").alias("a"), F.col("at").alias("at_a")), "a").join(at.select(F.col("id").alias("b"), F.col("at").alias("at_b")), "b")
+    swap = F.col("at_b") < F.col("at_a")
+    sides = {"id": ("a", "b"), "first": ("at_a", "at_b"), "earlier": ("b", "a"), "other": ("at_b", "at_a")}
+    return cut_table(both.filter("at_a != at_b").select(*[F.when(swap, F.col(x)).otherwise(F.col(y)).alias(k) for k, (x, y) in sides.items()]))
+
+
+def alike(docs: DataFrame, pairs: DataFrame, levels: Column, percent: int) -> DataFrame:
+    """id, first and other of the later nodes of placed pairs, with the earliest node that is like them on full sets."""
+    ends = pairs.select(F.explode(F.array(F.struct("id", F.col("first").alias("at")), F.struct(F.col("earlier").alias("id"), F.col("other").alias("at")))).alias("x")).select("x.id", "x.at.doc_id", "x.at.line").distinct()
+    wanted = cut_table(ends)
     texts = docs.select("doc_id", "text").join(by_size(wanted.select("doc_id").distinct(), 16), "doc_id", "left_semi")
-    sets = _with_tokens(_lines(texts).join(by_size(wanted, 40), ["doc_id", "line"]), levels).select("id", F.struct("doc_id", "line").alias("at"), "t")
+    sets = _with_tokens(_lines(texts).join(by_size(wanted, 40), ["doc_id", "line"]), levels).select("id", "t")
     # of rows that repeat a doc_id, the one whose line has this set
-    sets = cut_table(sets.filter(F.xxhash64("t") == F.col("id")).dropDuplicates(["id"]))
-    end = lambda name: by_size(sets, 600).select(F.col("id").alias(name), F.col("at").alias(f"at_{name}"), F.col("t").alias(f"t_{name}"))
-    both = pairs.join(end("a"), "a").join(end("b"), "b").filter(F.col("at_a") != F.col("at_b"))
-    both = both.filter(setjoin.similar(F.size(F.array_intersect("t_a", "t_b")), F.size("t_a"), F.size("t_b"), percent))
-    later = F.when(F.col("at_a") < F.col("at_b"), F.struct("b", "at_b")).otherwise(F.struct(F.col("a").alias("b"), F.col("at_a").alias("at_b")))
-    found = both.select(later.alias("x"), F.least("at_a", "at_b").alias("other")).groupBy(F.col("x.b").alias("id"))
-    return found.agg(F.first("x.at_b").alias("first"), F.min("other").alias("other"))
+    sets = by_size(cut_table(sets.filter(F.xxhash64("t") == F.col("id")).dropDuplicates(["id"])), 600)
+    both = pairs.join(sets, "id").join(sets.select(F.col("id").alias("earlier"), F.col("t").alias("u")), "earlier")
+    both = both.filter(setjoin.similar(F.size(F.array_intersect("t", "u")), F.size("t"), F.size("u"), percent))
+    return cut_table(both.groupBy("id").agg(F.first("first").alias("first"), F.min("other").alias("other")))
+
+
+def settled(docs: DataFrame, pairs: DataFrame, levels: Column, percent: int) -> DataFrame:
+    """alike, in two steps: a node first meets its earliest candidate; only nodes that aren't like it meet the others."""
+    first = cut_table(pairs.groupBy("id").agg(F.min_by(F.struct("first", "earlier", "other"), "other").alias("x")).select("id", "x.*"))
+    found = alike(docs, first, levels, percent)
+    left = pairs.join(first.select("id", "earlier"), ["id", "earlier"], "left_anti").join(found.select("id"), "id", "left_anti")
+    left = cut_table(left)
+    return found if left.isEmpty() else cut_table(found.unionByName(alike(docs, left, levels, percent)))
 
 
 def like_earlier(docs: DataFrame, nodes: DataFrame, levels: Column, percent: int) -> DataFrame:
     """id, first and other of the nodes that have an earlier node like them."""
     pairs, hot = setjoin.join(nodes, percent)
-    found = cut_table(alike(docs, nodes, pairs, levels, percent))
+    found = settled(docs, placed(nodes, pairs), levels, percent)
     if hot is None:
         return found
     rows = cut_table(hot.join(nodes.select("id", F.struct("doc_id", "line").alias("at")), "id"))
     top = setjoin.levels_of(percent)
     centers = rows.groupBy("key").agg(F.min(F.struct("at", *setjoin.OWN)).alias("c")).select("key", "c.*")
-    own = lambda x, y: setjoin.met(x, y, percent, top, F.col("x.at") < F.col("y.at"))
-    star = cut_table(own(centers, rows))
-    settled = cut_table(found.unionByName(alike(docs, nodes, star, levels, percent)))
-    left = rows.join(settled.select("id"), "id", "left_anti")
-    return settled.unionByName(alike(docs, nodes, cut_table(own(rows, left)), levels, percent))
+    met = lambda x, y: placed(nodes, cut_table(setjoin.met(x, y, percent, top, F.col("x.at") < F.col("y.at"))))
+    found = cut_table(found.unionByName(alike(docs, met(centers, rows), levels, percent)))
+    left = rows.join(found.select("id"), "id", "left_anti")
+    return found.unionByName(alike(docs, met(rows, left), levels, percent))
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
