@@ -449,6 +449,33 @@ def test_license_scan(spark):
     assert words[got[1, "MIT", 2]["first_word"] : got[1, "MIT", 2]["end_word"]] == [w for w in re.split(r"[^A-Za-z0-9]+", mit) if w]
 
 
+def test_license_recall_against_exact_containment(spark):
+    """Every window of every text against every template, by sets: bands alone find all of them."""
+    r = random.Random(12)
+    templates = {f"L{k}": [text(r, r.choice([5, 6, 9, 17, 40, 130, 400])).replace("\n", " ")] for k in range(25)}
+    rows = [(-1, None), (-2, ""), (-3, "one two"), (-4, templates["L3"][0]), (-4, templates["L3"][0])]
+    for i in range(120):
+        words = text(r, r.randint(0, 500)).split()
+        for own in r.sample(sorted(templates), r.randint(0, 3)):
+            held = templates[own][0].split()
+            held = held[: max(5, round(len(held) * r.choice([1, 0.9, 0.8, 0.7, 0.4])))]
+            at = r.randint(0, len(words))
+            words[at:at] = held
+        rows.append((i, " ".join(words)))
+    table = spark.createDataFrame([(k, v[0]) for k, v in templates.items()] + [("L0", templates["L0"][0]), (None, "a b c d e f")], "license string, text string")
+    got = collections.Counter((x["doc_id"], x["license"]) for x in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), templates=table).collect())
+    five = lambda w: [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+    want = collections.Counter()
+    for i, t in rows:
+        s = five([w.lower() for w in re.split(r"[^A-Za-z0-9]+", t or "") if w])
+        for name, (x,) in templates.items():
+            own = set(five([w.lower() for w in re.split(r"[^A-Za-z0-9]+", x) if w]))
+            c = 1 << (len(own) - 1).bit_length()
+            if any(100 * len(own & set(s[k : k + 2 * c])) >= 75 * len(own) for k in range(0, len(s), c)):
+                want[i, name] += 1
+    assert got == want and len(want) > 60
+
+
 def test_decontamination(spark):
     item = "A train travels 120 km in 2 hours while Anna waits 120 minutes. How fast does the train go for Anna?"
     bench = spark.createDataFrame([(1, item), (2, "plain words without any placeholder in this question at all"), (3, None), (4, "hi there"), (1, item)], "item_id long, text string")

@@ -2,15 +2,17 @@
 
 A template of m five-word shingles belongs to the class c, the least power of two that isn't below m. A text's shingles are
 covered by windows of 2 c, each c after the last, so every occurrence lies whole in a window. A window and a template each
-have the least value of their shingles under BANDS permutations; one equal value retrieves the template. At a containment
-of PERCENT, the Jaccard similarity of window and template is at least `least_similarity()`, so a match is missed with a
+have the least value of their shingles under BANDS permutations; one equal value retrieves the template, and nothing else does. At
+a containment of PERCENT, the Jaccard similarity of window and template is at least `least_similarity()`, so a match is missed with a
 probability of (1 - least_similarity()) ** BANDS, 3e-6. Then the share of the template's shingles that the window holds is
-computed exactly. Windows without any template shingle can't hold a match and get no MinHash. The table of templates is
-a constant of the library, so its size is bounded.
+computed exactly. Least values of short blocks are computed once and joined to those of longer windows.
 
-Defined results: null, empty and short texts (under five words) hold no template; of several windows that hold a template
-the one with the highest containment is reported, the first on ties; repeated rows give repeated rows; an empty table gives
-an empty result; other columns of the input are ignored.
+Templates are an argument: a frame with license and text, or a dict; the default is TEMPLATES, the scope of the query. They are
+broadcast after their bytes are checked against TEMPLATE_BYTES.
+
+Defined results: null, empty and short texts (under five words) hold no template, and templates of under five words are found nowhere; of several
+windows that hold a template the one with the highest containment is reported, the first on ties; repeated rows give repeated
+rows; an empty table or no templates give an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -28,14 +30,19 @@ from .shingles import SHINGLE, U, mix, shingle_list, word_hashes
 
 PERCENT = 75
 BANDS = 64
+#: Templates of more bytes in all are refused.
+TEMPLATE_BYTES = 16 << 20
+#: Shingles that are hashed at once.
+PART = 1 << 15
 
-# Notices of common licenses, as their stewards publish them.
+# Texts and notices of common licenses, as their stewards publish them.
 TEMPLATES = {
     "MIT": [
         "Released under the MIT License.",
         "Licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
@@ -70,6 +77,24 @@ TEMPLATES = {
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     ],
+    "LGPL-3.0": [
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "LGPL-2.1": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ],
+    "AGPL-3.0": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "EPL-2.0": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
+    ],
+    "BSD-2-Clause": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ],
+    "Zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    ],
     "CC-BY-SA-4.0": [
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
@@ -78,7 +103,10 @@ TEMPLATES = {
 
 #: Bytes between words: ASCII that is neither letter nor digit.
 _BETWEEN = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
-_PERMUTE = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * U(0xC2B2AE3D27D4EB4F))
+_KEYS = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * U(0xC2B2AE3D27D4EB4F))
+_FACTORS = mix(_KEYS) | U(1)
+#: High bits of a least value that a band's table of templates is looked up by.
+_TABLE_BITS = 14
 
 
 def least_similarity(percent: int = PERCENT) -> float:
@@ -87,58 +115,91 @@ def least_similarity(percent: int = PERCENT) -> float:
     return (p / 2) / (2 + (1 - p) / 2)
 
 
+def permuted(shingles: np.ndarray) -> np.ndarray:
+    """The shingles (hashes already) under each permutation."""
+    return (shingles[None, :] ^ _KEYS[:, None]) * _FACTORS[:, None]
+
+
 def least_values(shingles: np.ndarray) -> np.ndarray:
     """The least value of the shingles under each permutation."""
-    return mix(shingles[None, :] ^ _PERMUTE[:, None]).min(axis=1)
+    return permuted(shingles).min(axis=1)
+
+
+def block_minima(s: np.ndarray, size: int) -> np.ndarray:
+    """Least values under each permutation of the blocks of `size` shingles, the last of which may be shorter."""
+    step = max(size, PART // size * size)
+    return np.concatenate([np.minimum.reduceat(permuted(s[k : k + step]), np.arange(0, min(step, len(s) - k), size), axis=1) for k in range(0, len(s), step)], axis=1)
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, list[str]] = TEMPLATES, percent: int = PERCENT):
-        self.percent = percent
-        self.names = [(name, k) for name, texts in templates.items() for k in range(len(texts))]
-        self.sets = [np.unique(shingle_list(word_hashes(t, _BETWEEN))) for texts in templates.values() for t in texts]
-        self.every = np.unique(np.concatenate(self.sets))
-        self.classes: dict[int, dict[tuple[int, int], list[int]]] = defaultdict(lambda: defaultdict(list))
+    def __init__(self, templates: list[tuple[str, int, str]], percent: int = PERCENT):
+        self.percent, self.names, self.sets = percent, [], []
+        for name, k, text in templates:
+            words = word_hashes(text, _BETWEEN)
+            if len(words) >= SHINGLE:
+                self.names.append((name, k))
+                self.sets.append(np.unique(shingle_list(words)))
+        self.classes: dict[int, tuple[dict[tuple[int, int], list[int]], np.ndarray]] = {}
         for i, s in enumerate(self.sets):
-            if len(s):
-                for band, value in enumerate(least_values(s).tolist()):
-                    self.classes[1 << (len(s) - 1).bit_length()][band, value].append(i)
+            keys, table = self.classes.setdefault(1 << (len(s) - 1).bit_length(), (defaultdict(list), np.zeros((BANDS, 1 << _TABLE_BITS), dtype=bool)))
+            for band, value in enumerate(least_values(s).tolist()):
+                keys[band, value].append(i)
+                table[band, value >> (64 - _TABLE_BITS)] = True
 
     def scan(self, text: str | None) -> list[tuple[str, int, float, int, int]]:
         """(license, template, containment, first word, end word) for the templates that the text holds."""
         words = word_hashes(text or "", _BETWEEN)
-        if len(words) < SHINGLE:
+        if len(words) < SHINGLE or not self.sets:
             return []
         s = shingle_list(words)
-        at = np.minimum(np.searchsorted(self.every, s), len(self.every) - 1)
-        hits = np.flatnonzero(self.every[at] == s)
         best: dict[int, tuple[float, int, int]] = {}
-        for c, bands in self.classes.items() if len(hits) else ():
-            for start in np.unique(np.concatenate([hits // c, np.maximum(hits // c - 1, 0)])) * c:
-                window = s[start : start + 2 * c]
-                found = {i for key in enumerate(least_values(window).tolist()) for i in bands.get(key, ())}
-                for i in found:
+        minima, at = None, 0
+        for c in sorted(self.classes):
+            if minima is None:
+                minima, at = block_minima(s, c), c
+            while at < c:  # two blocks make one of the next size
+                odd = minima.shape[1] % 2
+                minima = np.minimum(minima[:, ::2], np.concatenate([minima[:, 1::2], minima[:, -1:]], axis=1) if odd else minima[:, 1::2])
+                at *= 2
+            windows = np.minimum(minima[:, :-1], minima[:, 1:]) if minima.shape[1] > 1 else minima
+            keys, table = self.classes[c]
+            met = table[np.arange(BANDS)[:, None], windows >> U(64 - _TABLE_BITS)].any(axis=0)
+            for k in np.flatnonzero(met).tolist():
+                found = {i for key in enumerate(windows[:, k].tolist()) for i in keys.get(key, ())}
+                for i in sorted(found):
+                    window = s[k * c : (k + 2) * c]
                     own = np.isin(window, self.sets[i])
                     share = len(np.unique(window[own])) / len(self.sets[i])
                     if 100 * share >= self.percent and share > best.get(i, (0.0,))[0]:
                         places = np.flatnonzero(own)
-                        best[i] = (share, int(start + places[0]), int(start + places[-1] + SHINGLE))
+                        best[i] = (share, int(k * c + places[0]), int(k * c + places[-1] + SHINGLE))
         return [(*self.names[i], *best[i]) for i in sorted(best)]
 
 
-_scanner: list[Scanner] = []
+def template_rows(templates: DataFrame | dict[str, list[str]] | None) -> list[tuple[str, int, str]]:
+    """(license, number in it, text) of the templates, in order; a frame that holds too much is refused before it's read."""
+    if isinstance(templates, DataFrame):
+        own = templates.filter(F.col("license").isNotNull() & F.col("text").isNotNull()).select(F.col("license").cast("string"), F.col("text").cast("string")).distinct()
+        size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        if size > TEMPLATE_BYTES:
+            raise ValueError(f"{size} bytes of templates are more than {TEMPLATE_BYTES}")
+        texts: dict[str, list[str]] = {}
+        for r in own.orderBy("license", "text").collect():
+            texts.setdefault(r["license"], []).append(r["text"])
+        templates = texts
+    return [(name, k, t) for name, texts in (TEMPLATES if templates is None else templates).items() for k, t in enumerate(texts)]
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: DataFrame | dict[str, list[str]] | None = None, percent: int = PERCENT) -> DataFrame:
     """doc_id, license, template, containment, first_word, end_word: a row for each template that a document holds."""
     narrow = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_of(f"`{text_col}`").alias("text"))
     names = ["doc_id", "license", "template", "containment", "first_word", "end_word"]
+    shared = docs.sparkSession.sparkContext.broadcast(template_rows(templates))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not _scanner:
-            _scanner.append(Scanner())
+        own = Scanner(shared.value, percent)
         for batch in batches:
-            rows = [(i, *m) for i, text in enumerate(batch.column("text")) for m in _scanner[0].scan(text.as_py())]
+            rows = [(i, *m) for i, text in enumerate(batch.column("text")) for m in own.scan(text.as_py())]
             columns = list(zip(*rows, strict=True)) or [()] * 6
             kinds = [pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.int64(), pa.int64()]
             arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]

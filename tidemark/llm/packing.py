@@ -184,7 +184,8 @@ def place(pieces: DataFrame, groups: int, window: int = WINDOW) -> DataFrame:
         group = key[0].as_py()
         return table.drop_columns(["__group"]).append_column("sequence_id", pa.array(which * groups + group)).append_column("offset", pa.array(offsets))
 
-    dealt = pieces.withColumn("__group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens"), F.lit(groups)))
+    # rows that are alike in everything go to different groups by their number
+    dealt = pieces.withColumn("__group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens", F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("__group").applyInArrow(pack, schema)
 
 
