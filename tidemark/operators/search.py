@@ -44,6 +44,14 @@ def lookup(identifiers: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.join(per, ["namespace", "normalized", "class"])
 
 
+def lookup_classes(identifiers: DataFrame, wanted: DataFrame, order: str = "record_id") -> DataFrame:
+    """wanted with the first record behind each identifier and how many there are in a class: many lookups at once, a row for each."""
+    asked = wanted.withColumn("normalized", normalize_identifier(F.col("namespace"), F.col("value")))
+    per = identifiers.filter(F.col("status").isin("primary", "equivalent")).groupBy("class", "namespace", "normalized")
+    known = per.agg(F.min_by("record_id", order).alias("first_record"), F.count_distinct("record_id").alias("n_records"))
+    return asked.join(known, ["namespace", "normalized"])
+
+
 def conflicts(identifiers: DataFrame) -> DataFrame:
     """Identifiers of a class that stand for several records."""
     per = identifiers.groupBy("class", "namespace", "normalized").agg(F.count_distinct("record_id").alias("n_records"), F.min("record_id").alias("first_record"))

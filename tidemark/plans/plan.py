@@ -177,8 +177,9 @@ def plan(store: Store, records: dict[str, DataFrame], provenance: Provenance) ->
     staged = union([_staged(store.contract[name], frame) for name, frame in records.items()]).withColumn("candidate", F.monotonically_increasing_id())
     staged.write.parquet(f"{folder}/staged")
     staged = spark.read.parquet(f"{folder}/staged")
-    simple = not any(s.namespace for n in records for s in store.contract[n].slots) and all(store.contract[n].id_policy == "require" for n in records)
-    if simple and staged.filter("origin_key is not null").isEmpty():
+    own = [store.contract[n] for n in records]
+    simple = all(c.id_policy == "require" and not c.origin_slots and not any(s.namespace for s in c.slots) for c in own) and not any(ORIGIN in f.columns for f in records.values())
+    if simple:  # nothing but supplied ids to go by
         resolved, found = staged.select("candidate", F.col("supplied").alias("record_id"), F.lit("id").alias("reason")), staged.filter("supplied is null").select("candidate", F.lit("id").alias("field"), F.lit("required_internal_id").alias("rule"))
     else:
         resolved, found = resolve(store, staged, provenance.producer)
@@ -230,14 +231,17 @@ def _hash(parts: list[str]) -> str:
     return "sha256:" + hashlib.sha256("\x1f".join(parts).encode()).hexdigest()
 
 
-def verify(accepted: Plan, contract_digest: str) -> None:
-    """Refuse a plan whose staged rows or digests aren't those that it was made with."""
+def verify(accepted: Plan, contract_digest: str) -> dict[str, int]:
+    """Refuse a plan whose staged rows or digests aren't those that it was made with; else its records by action."""
     order_free = F.sum(F.xxhash64("class", "supplied", "origin_key", "rest").cast("decimal(38,0)"))
     wrong = F.col("payload") != payload(F.col("record_id"), F.col("rest"))
-    seen = accepted.changes.agg(F.count("*").alias("n"), order_free.alias("h"), F.count_if(wrong | (content_digest() != F.col("content_digest"))).alias("odd")).first()
+    actions = ("insert", "update", "match")
+    counted = [F.count_if(F.col("action") == a).alias(a) for a in actions]
+    seen = accepted.changes.agg(F.count("*").alias("n"), order_free.alias("h"), F.count_if(wrong | (content_digest() != F.col("content_digest"))).alias("odd"), *counted).first()
     again = _hash([str(seen["n"]), str(seen["h"]), json.dumps(asdict(accepted.provenance), sort_keys=True)])
     if seen["odd"] or again != accepted.input_digest or _hash([again, str(accepted.base_order), contract_digest]) != accepted.plan_digest:
         raise InvalidPlanError("the plan isn't what was proposed", rule="plan_digest")
+    return {a: seen[a] for a in actions if seen[a]}
 
 
 def commit(store: Store, accepted: Plan, committed_at: str) -> dict[str, int]:
@@ -250,7 +254,7 @@ def commit(store: Store, accepted: Plan, committed_at: str) -> dict[str, int]:
         return counts(store, made[0].batch_id)
     if not accepted.valid:
         raise InvalidPlanError("the plan has issues", rule="valid")
-    verify(accepted, store.contract.build_digest())
+    done = verify(accepted, store.contract.build_digest())
     if max([0, *[c.commit_order for c in commits]]) != accepted.base_order:
         raise StalePlanError("the store moved on after the plan was made", rule="base_order")
     order, batch = accepted.base_order + 1, _batch_id(accepted)
@@ -267,7 +271,6 @@ def commit(store: Store, accepted: Plan, committed_at: str) -> dict[str, int]:
     observations = accepted.changes.select("class", "record_id", *[v.alias(k) for k, v in here.items()], F.col("action").alias("disposition"), pointed.alias("revision_id"), origin.alias("origin_key"))
     registries = [df.withColumns(here).select(*columns_of(name)) for name, df in (("identifiers", accepted.identifiers), ("origins", accepted.origins))]
     store.publish(Commit(order, batch, accepted.provenance.producer, accepted.provenance.idempotency_key, accepted.plan_digest, schema_digest, committed_at), revisions, observations, *registries)
-    done = {r["action"]: r["count"] for r in accepted.changes.groupBy("action").count().collect()}
     store.files.remove(accepted.folder.removeprefix(f"{store.path}/"))
     return done
 

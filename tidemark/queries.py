@@ -228,12 +228,13 @@ def identity_conflicts(spark, sf):
     return per.select(F.col("normalized").alias("url"), F.concat(F.lit("page:"), F.col("first").cast("string")).alias("first_record"), "n_records")
 
 
-@query(f"select a.page_id, 'page:' || b.page_id as record_id, count(*) over (partition by a.page_id) as n_records from (select page_id, {URL_SQL} as url from pages) a join (select page_id, {URL_SQL} as url from pages) b using (url)")
+@query(f"select page_id, 'page:' || min(page_id) over (partition by url) as first_record, count(*) over (partition by url) as n_records from (select page_id, {URL_SQL} as url from pages)")
 def lookup_url(spark, sf):
+    """Each page's address in another spelling, with the class of records it stands for: its first record and how many there are."""
     ids = search.register(t.page_identifiers(spark, sf))
     wanted = t.read(spark, sf, "pages").select("page_id", F.lit("canonical_url").alias("namespace"), F.upper(F.regexp_extract("url", "^https?", 0)).alias("s"), "url")
     wanted = wanted.select("page_id", "namespace", F.concat("s", F.expr("substring(url, length(s) + 1)"), F.lit("")).alias("value"))
-    return search.lookup(ids, wanted).select("page_id", "record_id", "n_records")
+    return search.lookup_classes(ids.withColumn("order", F.split("record_id", ":")[1].cast("bigint")), wanted, "order").select("page_id", "first_record", "n_records")
 
 
 @query("select 'part:' || p_partkey as record_id, p_brand as value, case when p_size <= 10 then 'primary' when p_size <= 20 then 'equivalent' when p_size <= 30 then 'candidate' else 'rejected' end as status, case when p_size <= 10 then 0 when p_size <= 20 then 1 when p_size <= 30 then 2 else 3 end as rank from part")
@@ -318,11 +319,11 @@ def neighbors_out_1(spark, sf):
     return graph.neighbors(roots, t.semantic_edges(spark, sf), 1, "out").filter("hop = 1").select("root", "id")
 
 
-@query(EDGES_SQL + """, r as (select 'supplier:' || s_suppkey as root from supplier), w as (select subject a, object b from e union all select object, subject from e),
+@query(EDGES_SQL + """, r as (select 'nation:' || n_nationkey as root from nation), w as (select subject a, object b from e union all select object, subject from e),
  one as (select distinct root, b as id from r join w on a = root where b <> root), two as (select distinct root, b as id from one join w on a = id where b <> root)
  select root, min(hop) as hop, id from (select root, id, 1 as hop from one union all select root, id, 2 from two) group by root, id""")
 def neighbors_both_2(spark, sf):
-    roots = t.read(spark, sf, "supplier").select(t.key("supplier", "s_suppkey").alias("id"))
+    roots = t.read(spark, sf, "nation").select(t.key("nation", "n_nationkey").alias("id"))
     return graph.neighbors(roots, t.semantic_edges(spark, sf), 2, "both").filter("hop > 0").select("root", "hop", "id")
 
 
@@ -332,11 +333,10 @@ def traverse_2(spark, sf):
     return graph.neighbors(roots, t.semantic_edges(spark, sf), 2, "out", ["placed_by", "in_nation"]).filter("hop = 2").select("root", "id")
 
 
-@query(EDGES_SQL + "select subject || '#' || predicate || '#' || object as edge_id, 'object' as side, object as id from e where predicate = 'placed_by' and object not in (select 'customer:' || c_custkey from customer where c_custkey % 7 <> 3)")
+@query(EDGES_SQL + ", lost as (select 'customer:' || c_custkey as id from customer where c_custkey % 7 = 3) select subject || '#' || predicate || '#' || object as edge_id, 'object' as side, object as id from e where object in (select id from lost) union all select subject || '#' || predicate || '#' || object, 'subject', subject from e where subject in (select id from lost)")
 def dangling_endpoints(spark, sf):
     nodes = graph.nodes(t.node_records(spark, sf)).filter("not (class = 'customer' and cast(split(id, ':')[1] as bigint) % 7 = 3)")
-    found = graph.dangling(t.semantic_edges(spark, sf), nodes)
-    return found.filter("side = 'object'").select("edge_id", "side", "id")
+    return graph.dangling(t.semantic_edges(spark, sf), nodes).select("edge_id", "side", "id")
 
 
 @query("select 'orders:' || l_orderkey as record_id, count(distinct l_partkey) as n_about, min(l_partkey) as least from lineitem group by l_orderkey")
@@ -513,15 +513,16 @@ def identity_components(spark, sf):
     return identity.components(keys).select(F.col("candidate").alias("page_id"), "component")
 
 
-@query(f"select class, count(*) as n from (select '{'customer'}' as class from customer union all select 'part' from part union all select 'orders' from orders) group by 1")
+@query("select 'region' as class, count(*) as n from region union all select 'nation', count(*) from nation union all select 'customer', count(*) from customer union all select 'supplier', count(*) from supplier union all select 'part', count(*) from part union all select 'orders', count(*) from orders union all select 'document', count(*) from documents union all select 'label', count(*) from labels")
 def class_counts(spark, sf):
-    return t.node_records(spark, sf).filter("class in ('customer', 'part', 'orders')").groupBy("class").agg(F.count("*").alias("n"))
+    return t.node_records(spark, sf).groupBy("class").agg(F.count("*").alias("n"))
 
 
-@query("select n_regionkey, 'sha256:' || sha256(string_agg(n_name, chr(31) order by n_name)) as digest from nation group by 1")
+@query("select n_regionkey, count(*) || ':' || cast(sum(('0x' || substr(sha256('v' || n_name), 1, 15))::bigint) as varchar) as digest from nation group by 1")
 def relation_digest(spark, sf):
-    rows = F.array_join(F.array_sort(F.collect_list("n_name")), "\x1f")
-    return t.read(spark, sf, "nation").groupBy("n_regionkey").agg(F.concat(F.lit("sha256:"), F.sha2(rows, 256)).alias("digest"))
+    """An additive digest of each group's rows: parts are summed before the shuffle, and order doesn't count."""
+    one = F.conv(F.substring(digest(F.col("n_name")), 8, 15), 16, 10).cast("decimal(38,0)")
+    return t.read(spark, sf, "nation").groupBy("n_regionkey").agg(F.concat_ws(":", F.count("*").cast("string"), F.sum(one).cast("string")).alias("digest"))
 
 
 @query("select 'part:' || p_partkey as record_id, coalesce(nullif(trim(case when p_size > 25 then ' ' else p_name end), ''), p_brand) as label from part")

@@ -15,6 +15,7 @@ files as one table by Spark, so the number of commits never passes through the d
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 from functools import reduce
 
@@ -241,8 +242,12 @@ class Store:
         """Write a batch and then its marker; if another commit took the order meanwhile, nothing becomes visible."""
         if self.pinned is not None or self.read_only:
             raise SnapshotError("a pinned or read-only store takes no commits", rule="read_only")
-        for name, rows in zip(TABLES, (revisions, observations, identifiers, origins), strict=True):
+
+        def write(name: str, rows: DataFrame) -> None:
             rows.write.mode("overwrite").partitionBy("class").parquet(f"{self.path}/{name}/batch={commit.batch_id}")
+
+        with ThreadPoolExecutor(len(TABLES)) as pool:  # four jobs at once; the first error is raised
+            list(pool.map(write, TABLES, (revisions, observations, identifiers, origins)))
         if not self.files.create(f"commits/{commit.commit_order:012d}.json", json.dumps(asdict(commit), sort_keys=True)):
             raise StalePlanError("another batch was committed first", rule="commit_order")
 
