@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -550,17 +551,16 @@ def test_attention_scores_every_subword(spark):
     assert own.ids.tolist() == [*want[0], *want[1], *want[2], 7, 7, *want[2], 7] and own.first.tolist() == np.cumsum([0, len(want[0]), len(want[1]), len(want[2]), 1, 1, len(want[2])]).tolist()
 
 
-def test_attention_learns_from_texts_outside_the_sample(spark):
+def test_attention_learns_order_from_one_long_text(spark):
     r = random.Random(12)
     cycle = list(dict.fromkeys(word(r) for _ in range(12)))
-    long = " ".join(cycle * 1500)  # the only text with an order, too long for the sample
+    long = " ".join(cycle * 1500)  # the only text with an order
     loose = [" ".join(r.choice(cycle) for _ in range(60)) for _ in range(60)]
     mixed = cycle * 5
     r.shuffle(mixed)
     held = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
     own = next(i for i in range(2000, 2100) if zlib.crc32(str(i).encode()) % 7 != 2)
     rows = [*enumerate(loose), (own, long), (held[0], " ".join(cycle * 5)), (held[1], " ".join(mixed))]
-    assert len(long) > lm_scoring.SAMPLE_TEXT
     got = {x["doc_id"]: x["attention_score"] for x in lm_scoring.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), JSON, RANKS).collect()}
     assert got[held[0]] > 0.75 * got[held[1]]
 
@@ -577,3 +577,64 @@ def test_learner_goes_on_in_slabs(monkeypatch):
     assert after > 0.9 * before
     again = start.filled(learner.net.flat())
     assert all((again.p[k] == v).all() for k, v in learner.net.p.items())
+
+
+def test_op6_query_equals_brute_force_statistics_and_rules(spark):
+    """The registered query on its whole table: statistics by hand, and the verdict of the rules that its own labels teach."""
+    from tidemark.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = texts_of(docs)
+    got = {r["doc_id"]: r for r in queries.op6_quality_rules(spark, sf).collect()}
+    _, rules = quality_rules.judge(docs.select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet"))
+    assert set(got) == set(texts) and rules.stopped in ("no gain", "imprecise", "limit")
+
+    def features(t):
+        w, t = WORD.findall(t or ""), t or ""
+        lines, n = [x for x in t.split("\n") if WORD.search(x)], stats_by_hand(t)
+        upper = sum(unicodedata.category(ch) == "Lu" for ch in t)
+        share = lambda a, b: a / b if b else 0.0
+        return {"n_words": n[0], "symbols_per_word": share(n[2], n[0]), "dup_line_share": share(n[3], len(lines)), "repeat_share": share(n[4], n[0]), "word_length": share(n[1], n[0]), "upper_share": share(upper, n[1]), "distinct_share": share(len(set(w)), n[0]), "words_per_line": share(n[0], len(lines))}
+
+    for i, t in texts.items():
+        n = stats_by_hand(t)
+        failed = n[0] < 50 or 100 * n[4] > 50 * n[0]
+        f = features(t)
+        fires = any(all((f[c.feature] > c.threshold) == c.above for c in rule.conditions) for rule in rules)
+        assert tuple(got[i][c] for c in quality_rules.BASE) == n and (got[i]["base_failed"], got[i]["kept"]) == (failed, not failed and not fires)
+
+
+def test_op7_and_op9_queries_equal_plain_search(spark):
+    """The registered queries on their whole tables: license lines found by word windows, benchmark items by whole words."""
+    from tidemark.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    texts = texts_of(spark.read.parquet(f"{sf}/documents.parquet"))
+    squeeze = lambda t: " ".join(w for w in re.split(r"[^a-z0-9\u0080-￿]+", (t or "").lower()) if w)
+    docs = {i: f" {squeeze(t)} " for i, t in texts.items()}
+    got = {(r["doc_id"], r["license"], r["template"]): r["containment"] for r in queries.op7_license_scan(spark, sf).collect()}
+    whole = {(i, name, k) for i, d in docs.items() for name, own in license_scan.TEMPLATES.items() for k, t in enumerate(own) if f" {squeeze(t)} " in d}
+    assert {k for k, v in got.items() if v == 1} == whole
+    items = {r["item_id"]: f" {squeeze(r['text'])} " for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    leaks = {(r["doc_id"], r["item_id"]) for r in queries.op9_decontamination(spark, sf).collect()}
+    assert {(i, k) for i, d in docs.items() for k, t in items.items() if t in d} <= leaks
+    five = lambda d: {tuple(w) for w in zip(*[d.split()[k:] for k in range(5)], strict=False)}
+    for i, k in leaks:  # what is found shares most of the item's words in order
+        assert 2 * len(five(docs[i]) & five(items[k])) >= len(five(items[k]))
+
+
+def test_op8_query_learns_from_its_own_part_only(spark):
+    """Held-out accuracy on the whole small table, and predictions that ignore the labels of held-out documents."""
+    from tidemark.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    langs = {r["doc_id"]: (r["lang"], r["text"]) for r in docs.collect()}
+    got = {r["doc_id"]: r for r in queries.op8_language_id(spark, sf).collect()}
+    assert set(got) == set(langs) and all(g["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) and 0 <= g["score"] <= 1 for i, g in got.items())
+    test = [i for i, (lang, t) in langs.items() if got[i]["held_out"] and lang and got[i]["lang_pred"] != "und"]
+    assert sum(got[i]["lang_pred"] == langs[i][0] for i in test) >= 0.9 * len(test) > 0
+    hidden = docs.withColumn("lang", F.when(language_id.held_out(F.col("doc_id")), F.lit("zz")).otherwise(F.col("lang")))
+    again = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(hidden.select("doc_id", "text", "lang")).collect()}
+    assert again == {i: g["lang_pred"] for i, g in got.items()}

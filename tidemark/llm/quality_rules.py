@@ -28,14 +28,26 @@ COUNTS = (*BASE, "n_lines", "n_upper", "n_distinct_words")
 FEATURES = ("n_words", "symbols_per_word", "dup_line_share", "repeat_share", "word_length", "upper_share", "distinct_share", "words_per_line")
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
-QUANTILES = 31
-MAX_RULES = 8
-MAX_CONDITIONS = 3
-MIN_PRECISION = 0.8
-MIN_SUPPORT = 5
 MIN_WORDS = 50
 
 
+@dataclass(frozen=True)
+class Limits:
+    """Where learning stops: thresholds tried for each statistic, rules, conditions of a rule, and what a rule must reach."""
+
+    quantiles: int = 31
+    rules: int = 8
+    conditions: int = 3
+    precision: float = 0.8
+    support: int = 5
+
+
+class Rules(list):
+    """An ordered list of rules, and why it ended: `no gain`, `imprecise`, or `limit` where further rules were left unlearned."""
+
+    stopped: str = "no gain"
+
+
 def repeated_words(words: Column, hashes: Column, n: Column) -> Column:
     """Words inside three-word windows that occur twice or more: windows are sorted by hash, equal neighbours compared."""
     mask = F.coalesce(F.pow(F.lit(2.0), F.ceil(F.log2(n.cast("double") + 1))).cast("long") - 1, F.lit(0).cast("long"))
@@ -128,9 +140,9 @@ class Rule:
         return " and ".join(map(str, self.conditions))
 
 
-def _bins(labelled: DataFrame) -> tuple[DataFrame, dict[str, list[float]]]:
+def _bins(labelled: DataFrame, limits: Limits) -> tuple[DataFrame, dict[str, list[float]]]:
     """Labelled rows as counts of bin vectors: b_<feature> is the number of thresholds below the value."""
-    probs = [(k + 1) / (QUANTILES + 1) for k in range(QUANTILES)]
+    probs = [(k + 1) / (limits.quantiles + 1) for k in range(limits.quantiles)]
     found = labelled.agg(*[F.percentile_approx(v, probs, 2000).alias(k) for k, v in features().items()]).first()
     cuts = {k: sorted(set(found[k] or [])) for k in FEATURES}
     bins = [sum((F.when(v > t, 1).otherwise(0) for t in cuts[k]), F.lit(0)).alias(f"b_{k}") for k, v in features().items()]
@@ -158,9 +170,9 @@ def _gain(bad: float, good: float, bad0: float, good0: float) -> float:
     return bad * (math.log2(bad / (bad + good)) - math.log2(bad0 / (bad0 + good0))) if bad else 0.0
 
 
-def _grow(rows: DataFrame, cuts: dict[str, list[float]]) -> list[Condition]:
+def _grow(rows: DataFrame, cuts: dict[str, list[float]], limits: Limits) -> list[Condition]:
     rule: list[Condition] = []
-    while len(rule) < MAX_CONDITIONS:
+    while len(rule) < limits.conditions:
         here = rows.filter(F.col("grow") & _all([_holds(c, cuts) for c in rule]))
         pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(f"b_{k}").alias("b")) for i, k in enumerate(FEATURES)])).alias("x")
         counts = here.select(pairs, "bad", "good").groupBy("x.f", "x.b").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).collect()
@@ -174,7 +186,7 @@ def _grow(rows: DataFrame, cuts: dict[str, list[float]]) -> list[Condition]:
                 low = [sum(v[j] for key, v in table.items() if key[0] == i and key[1] <= k) for j in (0, 1)]
                 for above, (bad, good) in ((False, low), (True, (bad0 - low[0], good0 - low[1]))):
                     g = _gain(bad, good, bad0, good0)
-                    if bad >= MIN_SUPPORT and g > 1e-9 and (best is None or g > best[0] + 1e-9):
+                    if bad >= limits.support and g > 1e-9 and (best is None or g > best[0] + 1e-9):
                         best = (g, Condition(name, above, t))
         if best is None:
             break
@@ -182,14 +194,17 @@ def _grow(rows: DataFrame, cuts: dict[str, list[float]]) -> list[Condition]:
     return rule
 
 
-def learn(labelled: DataFrame) -> list[Rule]:
+def learn(labelled: DataFrame, limits: Limits = Limits()) -> Rules:
     """An ordered list of rules for bad documents (quality 0) from rows with doc_id, quality and the counts of COUNTS."""
-    rows, cuts = _bins(labelled)
-    rules: list[Rule] = []
-    while len(rules) < MAX_RULES:
-        conditions = _grow(rows, cuts)
+    rows, cuts = _bins(labelled, limits)
+    rules = Rules()
+    while True:
+        conditions = _grow(rows, cuts, limits)
         if not conditions:
             break
+        if len(rules) == limits.rules:
+            rules.stopped = "limit"
+            break
         cols = [
             F.sum(F.when(_all([_holds(c, cuts) for c in conditions[:k]]), F.col(what)).otherwise(0)).alias(f"{what}{k}")
             for k in range(1, len(conditions) + 1)
@@ -199,7 +214,8 @@ def learn(labelled: DataFrame) -> list[Rule]:
         worth = [((counts[f"bad{k}"] or 0) - (counts[f"good{k}"] or 0)) / max(1, (counts[f"bad{k}"] or 0) + (counts[f"good{k}"] or 0)) for k in range(1, len(conditions) + 1)]
         k = max(range(len(worth)), key=lambda i: (worth[i], -i)) + 1
         bad, good = counts[f"bad{k}"] or 0, counts[f"good{k}"] or 0
-        if bad + good == 0 or bad / (bad + good) < MIN_PRECISION:
+        if bad + good == 0 or bad / (bad + good) < limits.precision:
+            rules.stopped = "imprecise"
             break
         rules.append(Rule(tuple(conditions[:k]), bad / (bad + good), bad + good))
         rows = rows.filter(~_all([_holds(c, cuts) for c in conditions[:k]]))
@@ -218,12 +234,12 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def judge(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[Rule]]:
+def judge(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> tuple[DataFrame, Rules]:
     """docs without their text, with statistics, base_failed, kept and rule; and the rules."""
     found = cut(statistics(docs).drop("text"))
     marked = labels.filter(F.col("quality").isNotNull()).select(F.col("doc_id"), F.col("quality").cast("int").alias("quality"))
     labelled = cut(without(found, "quality").filter(~base_failed()).join(marked, "doc_id"))
-    rules = learn(labelled)
+    rules = learn(labelled, limits)
     kept, fired = verdict(rules)
     out = without(found, "base_failed", "kept", "rule").withColumn("base_failed", base_failed())
     return out.withColumns({"kept": ~F.col("base_failed") & kept, "rule": fired}), rules
