@@ -4,7 +4,7 @@ Documents are split at line feeds. A line with a word is the set of its distinct
 their rarity over all lines. It is removed if an earlier line, in order of (doc_id, line number), has a set with a Jaccard
 similarity of PERCENT / 100 or more. Lines with equal sets are one node, at the place of the first, however many there are.
 Nodes meet through the tokens of their prefixes (setjoin), pass length, positional and parity filters, and are verified on
-their full sets. At keys that are common however long they are made, nodes first meet the first node there; only those
+their full sets; near-copies of a node that share a part of its set are settled before. At keys that are common however long they are made, nodes first meet the first node there; only those
 that aren't like it meet the other earlier ones.
 
 Defined results: null text counts as empty (no lines, stays null); white space alone is no line; rows that repeat a doc_id are
@@ -41,79 +41,78 @@ def _with_tokens(lines: DataFrame, levels: Column) -> DataFrame:
 
 
 def line_sets(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, Column]:
-    """A row for each line with a word: doc_id, line, id (of its set) and the columns of setjoin.described; and the rarity levels."""
+    """A row for each line with a word: doc_id, line, set (a hash of its set) and the columns of setjoin.described; and the rarity levels."""
     words = docs.filter(F.col("doc_id").isNotNull()).select(F.explode(_words(F.replace(text_of("text"), F.lit("\n"), F.lit(" ")))).alias("w"))
     levels = setjoin.rarity_levels(words.filter("w <> ''").select(F.xxhash64("w").alias("h")), "h")
     sets = _with_tokens(_lines(docs), levels)
-    return cut_table(sets.select("doc_id", "line", F.xxhash64("t").alias("id"), *[v.alias(k) for k, v in setjoin.described(F.col("t"), percent).items()])), levels
+    return cut_table(sets.select("doc_id", "line", F.xxhash64("t").alias("set"), *[v.alias(k) for k, v in setjoin.described(F.col("t"), percent).items()])), levels
 
 
 def line_nodes(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A row of lines for each set, at its first place; and id and first (that place) of the sets of several lines."""
+    """A row of lines for each set, at its first place, with an id in the order of places; and set and first (that place) of the sets of several lines."""
     place = F.struct("doc_id", "line")
-    several = cut_table(lines.groupBy("id").agg(F.count("*").alias("k"), F.min(place).alias("first")).filter("k > 1").select("id", "first"))
-    marked = lines.join(by_size(several, 32), "id", "left")
-    once = marked.filter(F.col("first").isNull()).drop("first")
-    firsts = marked.filter(F.col("first") == place).drop("first").dropDuplicates(["id"])
-    return once.unionByName(firsts), several
+    several = cut_table(lines.groupBy("set").agg(F.count("*").alias("k"), F.min(place).alias("first")).filter("k > 1").select("set", "first"))
+    marked = lines.join(by_size(several, 32), "set", "left")
+    alone = marked.filter(F.col("first").isNull()).drop("first")
+    firsts = marked.filter(F.col("first") == place).drop("first").dropDuplicates(["set"])
+    # the last part tells the lines of rows apart that repeat a doc_id
+    return alone.unionByName(firsts).withColumn("id", F.struct("doc_id", "line", F.hash("set").alias("tie"))), several
 
 
-def placed(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """id and first of the later node of each pair, earlier and other of the earlier one; nodes at one place are no pair."""
+def _same_place(a: str, b: str) -> Column:
+    return (F.col(f"{a}.doc_id") == F.col(f"{b}.doc_id")) & (F.col(f"{a}.line") == F.col(f"{b}.line"))
+
+
+def alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, levels: Column, percent: int) -> DataFrame:
+    """id and other: the later nodes b of pairs (a < b), with the earliest node that is like them on full sets."""
     ends = cut_table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    at = nodes.select("id", F.struct("doc_id", "line").alias("at")).join(by_size(ends, 16), "id")
-    at = by_size(cut_table(at), 48)
-    both = pairs.join(at.select(F.col("id").alias("a"), F.col("at").alias("at_a")), "a").join(at.select(F.col("id").alias("b"), F.col("at").alias("at_b")), "b")
-    swap = F.col("at_b") < F.col("at_a")
-    sides = {"id": ("a", "b"), "first": ("at_a", "at_b"), "earlier": ("b", "a"), "other": ("at_b", "at_a")}
-    return cut_table(both.filter("at_a != at_b").select(*[F.when(swap, F.col(x)).otherwise(F.col(y)).alias(k) for k, (x, y) in sides.items()]))
-
-
-def alike(docs: DataFrame, pairs: DataFrame, levels: Column, percent: int) -> DataFrame:
-    """id, first and other of the later nodes of placed pairs, with the earliest node that is like them on full sets."""
-    ends = pairs.select(F.explode(F.array(F.struct("id", F.col("first").alias("at")), F.struct(F.col("earlier").alias("id"), F.col("other").alias("at")))).alias("x")).select("x.id", "x.at.doc_id", "x.at.line").distinct()
-    wanted = cut_table(ends)
+    wanted = cut_table(nodes.select("id", "set", "doc_id", "line").join(by_size(ends, 48), "id"))
     texts = docs.select("doc_id", "text").join(by_size(wanted.select("doc_id").distinct(), 16), "doc_id", "left_semi")
-    sets = _with_tokens(_lines(texts).join(by_size(wanted, 40), ["doc_id", "line"]), levels).select("id", "t")
+    sets = _with_tokens(_lines(texts).join(by_size(wanted, 64), ["doc_id", "line"]), levels)
     # of rows that repeat a doc_id, the one whose line has this set
-    sets = by_size(cut_table(sets.filter(F.xxhash64("t") == F.col("id")).dropDuplicates(["id"])), 600)
-    both = pairs.join(sets, "id").join(sets.select(F.col("id").alias("earlier"), F.col("t").alias("u")), "earlier")
+    sets = by_size(cut_table(sets.filter(F.xxhash64("t") == F.col("set")).select("id", "t").dropDuplicates(["id"])), 600)
+    both = pairs.filter(~_same_place("a", "b")).join(sets.select(F.col("id").alias("a"), F.col("t").alias("u")), "a").join(sets.select(F.col("id").alias("b"), "t"), "b")
     both = both.filter(setjoin.similar(F.size(F.array_intersect("t", "u")), F.size("t"), F.size("u"), percent))
-    return cut_table(both.groupBy("id").agg(F.first("first").alias("first"), F.min("other").alias("other")))
+    return cut_table(both.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("other")))
 
 
-def settled(docs: DataFrame, pairs: DataFrame, levels: Column, percent: int) -> DataFrame:
+def settled(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, levels: Column, percent: int) -> DataFrame:
     """alike, in two steps: a node first meets its earliest candidate; only nodes that aren't like it meet the others."""
-    first = cut_table(pairs.groupBy("id").agg(F.min_by(F.struct("first", "earlier", "other"), "other").alias("x")).select("id", "x.*"))
-    found = alike(docs, first, levels, percent)
-    left = pairs.join(first.select("id", "earlier"), ["id", "earlier"], "left_anti").join(found.select("id"), "id", "left_anti")
-    left = cut_table(left)
-    return found if left.isEmpty() else cut_table(found.unionByName(alike(docs, left, levels, percent)))
+    first = cut_table(pairs.groupBy("b").agg(F.min("a").alias("a")))
+    found = alike(docs, nodes, first, levels, percent)
+    left = cut_table(pairs.join(first, ["a", "b"], "left_anti").join(found.select(F.col("id").alias("b")), "b", "left_anti"))
+    return found if left.isEmpty() else cut_table(found.unionByName(alike(docs, nodes, left, levels, percent)))
 
 
 def like_earlier(docs: DataFrame, nodes: DataFrame, levels: Column, percent: int) -> DataFrame:
-    """id, first and other of the nodes that have an earlier node like them."""
-    pairs, hot = setjoin.join(nodes, percent)
-    found = settled(docs, placed(nodes, pairs), levels, percent)
+    """id and other of the nodes that have an earlier node like them.
+
+    Nodes with an equal part meet the first of it beforehand: copies with few changes are settled there, and make no pairs among themselves.
+    """
+    found = settled(docs, nodes, setjoin.seeds(nodes, percent), levels, percent)
+    known = found.select("id", F.lit(True).alias("known"))
+    opened = nodes.join(by_size(known, 48), "id", "left").withColumn("open", F.col("known").isNull()).drop("known")
+    pairs, hot = setjoin.join(opened, percent, open_only=True)
+    found = cut_table(found.unionByName(settled(docs, nodes, pairs, levels, percent)))
     if hot is None:
         return found
-    rows = cut_table(hot.join(nodes.select("id", F.struct("doc_id", "line").alias("at")), "id"))
     top = setjoin.levels_of(percent)
-    centers = rows.groupBy("key").agg(F.min(F.struct("at", *setjoin.OWN)).alias("c")).select("key", "c.*")
-    met = lambda x, y: placed(nodes, cut_table(setjoin.met(x, y, percent, top, F.col("x.at") < F.col("y.at"))))
-    found = cut_table(found.unionByName(alike(docs, met(centers, rows), levels, percent)))
-    left = rows.join(found.select("id"), "id", "left_anti")
-    return found.unionByName(alike(docs, met(rows, left), levels, percent))
+    centers = hot.groupBy("key").agg(F.min(F.struct(*setjoin.OWN)).alias("c")).select("key", "c.*")
+    met = lambda x, y: cut_table(setjoin.met(x, y, percent, top, F.col("x.id") < F.col("y.id")))
+    left = hot.filter("open").join(found.select("id"), "id", "left_anti")
+    found = cut_table(found.unionByName(alike(docs, nodes, met(centers, left), levels, percent)))
+    left = cut_table(left.join(found.select("id"), "id", "left_anti"))
+    return found.unionByName(alike(docs, nodes, met(hot, left), levels, percent))
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """A row for each removed line: doc_id, line, and an earlier line like it: first_doc, first_line."""
     lines, levels = line_sets(docs, percent)
     nodes, several = line_nodes(lines)
-    like = like_earlier(docs, nodes, levels, percent)
-    known = several.select("id", F.col("first").alias("earliest")).unionByName(like.select("id", F.col("other").alias("earliest")))
-    known = cut_table(known.groupBy("id").agg(F.min("earliest").alias("earliest")))
-    own = lines.select("doc_id", "line", "id").join(by_size(known, 32), "id").filter(F.struct("doc_id", "line") != F.col("earliest"))
+    like = like_earlier(docs, nodes, levels, percent).join(nodes.select("id", "set"), "id").select("set", F.struct("other.doc_id", "other.line").alias("earliest"))
+    known = several.select("set", F.col("first").alias("earliest")).unionByName(like)
+    known = cut_table(known.groupBy("set").agg(F.min("earliest").alias("earliest")))
+    own = lines.select("doc_id", "line", "set").join(by_size(known, 32), "set").filter(F.struct("doc_id", "line") != F.col("earliest"))
     return own.select("doc_id", "line", F.col("earliest.doc_id").alias("first_doc"), F.col("earliest.line").alias("first_line"))
 
 

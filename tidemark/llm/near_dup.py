@@ -200,7 +200,7 @@ def missed_links(docs: DataFrame, left: DataFrame, nodes: DataFrame, percent: in
     sets = cut_table(node_sets(docs, cut_table(left.join(nodes, "node").select("node", "row"))))
     levels = setjoin.rarity_levels(sets.select(F.explode_outer("shingles").alias("h")), "h")
     described = setjoin.described(F.col("t"), percent)
-    rows = setjoin.tokens(sets.withColumnRenamed("node", "id"), F.col("shingles"), levels, "t").select("id", *[v.alias(k) for k, v in described.items()])
+    rows = setjoin.tokens(sets.withColumnRenamed("node", "id"), F.col("shingles"), levels, "t").select("id", *[v.alias(k) for k, v in described.items() if k != "parts"])
     pairs, hot = setjoin.join(cut_table(rows.join(left.withColumnRenamed("node", "id"), "id")), percent, "label")
     if hot is not None:
         pairs = cut_table(pairs.unionByName(setjoin.self_join(hot, percent, setjoin.levels_of(percent), "label")).distinct())

@@ -8,7 +8,8 @@ Two sets that reach the threshold share a token of their prefixes. A token that
 isn't joined by itself: there the second token that both share is in their prefixes longer by one, so pairs of tokens are the
 keys, and where such a pair is still hot, triples. So the join does work in proportion to its rows, up to keys that are hot as triples,
 and no pair is missed. Besides, each set carries the parity of its tokens' hashes in 64 or 128 cells: the cells in which two sets
-differ are never more than the tokens in which they do, so most unlike pairs end inside the join.
+differ are never more than the tokens in which they do, so most unlike pairs end inside the join. Where only each set's match with
+some earlier one is wanted, sets whose match is known already aren't `open`, and make no pairs as the later side.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ HOT = 4096
 LEVELS = 3
 #: Sets of more tokens have their parities in two words.
 WIDE = 64
+#: Disjoint parts of a set, by hashes of its tokens: sets that differ in few tokens have an equal part.
+PARTS = 4
 #: Columns of a set that its keys carry.
 OWN = ("id", "n", "pos", "low", "high")
 
@@ -75,7 +78,7 @@ def levels_of(percent: int) -> int:
 
 
 def described(t: Column, percent: int) -> dict[str, Column]:
-    """What the join needs of a set of tokens: its size, the hashes and levels of its longest prefix, and its parities."""
+    """What the join needs of a set of tokens: its size, the hashes and levels of its longest prefix, hashes of its parts, and its parities."""
     n = F.size(t)
 
     cell = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
@@ -84,11 +87,15 @@ def described(t: Column, percent: int) -> dict[str, Column]:
     def parity(half: int) -> Column:
         return F.aggregate(t, none, lambda a, x: F.when(x.bitwiseAND(F.lit(64)) == 64 * half, a.bitwiseXOR(cell(x))).otherwise(a))
 
+    def in_part(k: int) -> Callable[[Column], Column]:
+        return lambda x: F.shiftright(x, 8).bitwiseAND(F.lit(PARTS - 1)) == k
+
     first = F.slice(t, F.lit(1), prefix_length(n, percent) + (levels_of(percent) - 1))
     return {
         "n": n,
         "prefix": F.transform(first, lambda x: F.hash(x)),
         "levels": F.transform(first, lambda x: F.shiftright(x, 56).cast("tinyint")),
+        "parts": F.array(*[F.when(F.exists(t, in_part(k)), F.hash(F.filter(t, in_part(k)))) for k in range(PARTS)]),
         "low": F.when(n > WIDE, parity(0)).otherwise(F.aggregate(t, none, lambda a, x: a.bitwiseXOR(cell(x)))),
         "high": F.when(n > WIDE, parity(1)).otherwise(none),
     }
@@ -116,21 +123,31 @@ def met(x: DataFrame, y: DataFrame, percent: int, shared: int, further: Column)
     return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
-def self_join(keyed: DataFrame, percent: int, shared: int, group: str | None) -> DataFrame:
-    """Distinct pairs (a < b) of ids that meet at a key, pass the filters and, with group, are of different groups."""
+def self_join(keyed: DataFrame, percent: int, shared: int, group: str | None = None, open_only: bool = False) -> DataFrame:
+    """Distinct pairs (a < b) of ids that meet at a key and pass the filters; of different groups, with an open b where that is asked for."""
     further = F.col("x.id") < F.col("y.id")
     if group:
         further = further & (F.col(f"x.{group}") != F.col(f"y.{group}"))
+    if open_only:
+        further = further & F.col("y.open")
     return met(keyed, keyed, percent, shared, further)
 
 
-def join(nodes: DataFrame, percent: int, group: str | None = None) -> tuple[DataFrame, DataFrame | None]:
+def seeds(nodes: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a < b) of sets with an equal part, each with the least id of that part only: rows in proportion to nodes."""
+    each = nodes.select("id", "n", F.lit(0).alias("pos"), "low", "high", F.posexplode("parts").alias("part", "hash")).filter("hash is not null")
+    each = each.select(*OWN, F.xxhash64("part", "hash").alias("key"))
+    centers = each.groupBy("key").agg(F.min(F.struct(*OWN)).alias("c"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("key", "c.*")
+    return cut_table(met(centers, each, percent, 1, F.col("x.id") < F.col("y.id")))
+
+
+def join(nodes: DataFrame, percent: int, group: str | None = None, open_only: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """Candidate pairs (a, b), and the rows of keys that are hot at every length, None where there are none.
 
-    nodes: a row for each id with the columns of described() and, if given, group. A pair that reaches the threshold is among the
+    nodes: a row for each id with the columns of described() and, if asked for, group and open. A pair that reaches the threshold is among the
     candidates or meets at a key of the hot rows.
     """
-    extra = [group] if group else []
+    extra = [*([group] if group else []), *(["open"] if open_only else [])]
     top = levels_of(percent)
     whole = nodes.select("id", "n", "low", "high", *extra, "prefix", "levels")
     rows = whole.select("*", F.posexplode(F.slice("prefix", F.lit(1), prefix_length(F.col("n"), percent))).alias("pos", "token"))
@@ -143,7 +160,7 @@ def join(nodes: DataFrame, percent: int, group: str | None = None) -> tuple[Data
         none = hot.isEmpty()
         hot = hot if none else by_size(hot, 16)
         keyed = rows.select(*OWN, *extra, "key")
-        found.append(self_join(keyed if none else keyed.join(hot, "key", "left_anti"), percent, shared, group))
+        found.append(self_join(keyed if none else keyed.join(hot, "key", "left_anti"), percent, shared, group, open_only))
         if none:
             return _all(found), None
         rows = rows.join(hot, "key", "left_semi")
