@@ -118,19 +118,20 @@ def _side(name: str) -> Callable[[str], Column]:
 
 def met(x: DataFrame, y: DataFrame, percent: int, shared: int, further: Column) -> DataFrame:
     """Distinct pairs (a, b) of the ids of rows x and y that meet at a key and pass the filters and a further condition."""
-    holds = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & may_match(_side("x"), _side("y"), percent, shared)
+    # numbers are compared first: ids may be structs
+    holds = (F.col("x.key") == F.col("y.key")) & may_match(_side("x"), _side("y"), percent, shared)
     pairs = x.alias("x").join(y.alias("y"), holds & further)
     return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
 def self_join(keyed: DataFrame, percent: int, shared: int, group: str | None = None, open_only: bool = False) -> DataFrame:
     """Distinct pairs (a < b) of ids that meet at a key and pass the filters; of different groups, with an open b where that is asked for."""
-    further = F.col("x.id") < F.col("y.id")
-    if group:
-        further = further & (F.col(f"x.{group}") != F.col(f"y.{group}"))
+    further = F.lit(True)
     if open_only:
         further = further & F.col("y.open")
-    return met(keyed, keyed, percent, shared, further)
+    if group:
+        further = further & (F.col(f"x.{group}") != F.col(f"y.{group}"))
+    return met(keyed, keyed, percent, shared, further & (F.col("x.id") < F.col("y.id")))
 
 
 def seeds(nodes: DataFrame, percent: int) -> DataFrame:
