@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, license_scan, line_dedup, lm_scoring, near_dup, packing, quality_rules, sharding, token_counts
+from . import collocations, decontamination, language_id, license_scan, line_dedup, lm_scoring, mixing, near_dup, packing, quality_rules, sharding, token_counts, whitening
 from .common import read
 
 
@@ -61,8 +61,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, tokenizer(), limit=512).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents").select("lang", "text"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_near_dup, op3_lm_scoring, op4_sharding, op5_line_dedup, op6_quality_rules, op7_license_scan, op8_language_id, op9_decontamination, op10_token_counts)}
+    found = (op1_packing, op2_near_dup, op3_lm_scoring, op4_sharding, op5_line_dedup, op6_quality_rules, op7_license_scan, op8_language_id, op9_decontamination, op10_token_counts, op11_mixing, op12_collocations, op13_whitening)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
