@@ -4,11 +4,13 @@ Each word occurrence gives one suffix: itself and at most `max_n - 1` words afte
 suffixes before anything is shuffled. Suffixes are dealt by language and first word, sorted in reverse lexicographic order, and read
 with one stack that holds the open prefixes of the current suffix and their counts: when the next suffix leaves a
 prefix, its count is complete. The stack works on whole batches: a prefix ends where neighbours differ, and what the end of a batch leaves
-open is carried into the next one.
+open is carried into the next one. What tasks send to each other is packed: the suffixes of one task for one other, as compressed lines; they are
+rows again before they are sorted, so Spark's sort spills where memory ends.
 
-First words with more than 1/`HOT_SHARE` of all counted suffixes (so fewer than `HOT_SHARE` of them) are dealt by their first two words,
-such pairs by three, such triples by four; prefixes that are split that way are summed once more at the end. So
-every count is exact, and no task gets more than its share because of one word, pair or triple.
+First words with more than 1/`HOT_SHARE` of all occurrences are dealt by their first two words,
+such pairs by three, such triples by four; prefixes that are split that way are summed once more at the end. A first pass finds them:
+each task names what is frequent in its own parts at a quarter of that share, so what is hot anywhere is found, and only a bounded number of
+prefixes is named or taken for hot. So every count is exact, and no task gets more than its share because of one word, pair or triple.
 
 Parts are joined to candidates afterwards: every cut of a candidate looks up the counts of both sides, which are at least the
 candidate's and so among the counted phrases. Numbers that may pass 64 bits are decimals.
@@ -21,16 +23,20 @@ are split into words piece by piece and are never cut elsewhere.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import io
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.csv as csv
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut_table, text_of
+from .shingles import mix
 
 MAX_N = 4
 LEAST = 30
@@ -38,10 +44,10 @@ SCALE = 2_000_000
 #: A phrase goes if a longer candidate has this share (in percent) of its occurrences.
 CONTAINED = 80
 TOP = 2000
-#: A key is hot if it has more than one row in so many.
+#: A prefix is hot if more than one occurrence in so many begins with it.
 HOT_SHARE = 256
 #: Texts whose suffixes are counted together before they leave a task.
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 16 << 20
 #: Parts of a language that are ranked before the language is.
 RANK_PARTS = 64
 
@@ -60,68 +66,162 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     inside = kind == WORD
     edge = np.diff(inside.view(np.int8), prepend=np.int8(0))  # each text ends with a piece's end, so words end too
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    piece = np.cumsum(kind == PIECE_END, dtype=np.int64)[starts]
-    text = np.searchsorted(offsets[1:] - offsets[0], starts, side="right")
+    piece = np.cumsum(kind == PIECE_END, dtype=np.int32)[starts]
+    text = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(starts, offsets - offsets[0])))
     bounds = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
-    words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds.tobytes()), pa.py_buffer(data[inside].tobytes()))
+    words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(data[inside]))
     return words, text, piece
 
 
+class Coded:
+    """The words of some texts as numbers: `columns` holds each occurrence's language and the words of its suffix, 0 for none."""
+
+    def __init__(self, texts: pa.Array, langs: pa.Array, max_n: int):
+        words, text, piece = words_of(texts)
+        coded = words.dictionary_encode()
+        code = coded.indices.to_numpy().astype(np.int64) + 1
+        lang = langs.dictionary_encode()
+        self.langs, self.words = lang.dictionary, pa.concat_arrays([pa.array([""], pa.large_string()), coded.dictionary])
+        self.columns = [lang.indices.to_numpy().astype(np.int64)[text]]
+        for k in range(max_n):
+            column, n = np.zeros(len(code), dtype=np.int64), max(0, len(code) - k)
+            column[:n] = np.where(piece[k:] == piece[:n], code[k:], 0)
+            self.columns.append(column)
+
+    def distinct(self) -> tuple[list[np.ndarray], np.ndarray]:
+        """The columns of the distinct suffixes, in the order of their numbers, and how often each occurs."""
+        number, places = _pairs(self.columns[0], self.columns[1])
+        for column in self.columns[2:]:
+            number, places = _pairs(number, column)
+        return [c[places] for c in self.columns], np.bincount(number, minlength=len(places))
+
+
 def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The number of each pair (a, b), both non-negative and below 2^31, and one place where each number occurs."""
-    _, at, number = np.unique((a.astype(np.int64) << 32) | b, return_index=True, return_inverse=True)
+    _, at, number = np.unique((a << 32) | b, return_index=True, return_inverse=True)
     return number, at
 
 
-def suffixes(texts: pa.Array, langs: pa.Array, max_n: int = MAX_N) -> dict[str, pa.Array]:
-    """Counted suffixes of the texts: lang, w1 to w<max_n> (empty: none), n."""
-    words, text, piece = words_of(texts)
-    coded = words.dictionary_encode()
-    code = coded.indices.to_numpy().astype(np.int64) + 1  # 0: no word
-    names = pa.concat_arrays([pa.array([""], pa.large_string()), coded.dictionary])
-    lang = langs.dictionary_encode()
-    lang_code = lang.indices.to_numpy().astype(np.int64)[text]
-    columns = []
-    for k in range(max_n):
-        column = np.zeros(len(code), dtype=np.int64)
-        if k < len(code):
-            column[: len(code) - k] = np.where(piece[k:] == piece[: len(code) - k], code[k:], 0)
-        columns.append(column)
-    number, places = _pairs(lang_code, columns[0])
-    for column in columns[1:]:
-        number, places = _pairs(number, column)
-    n = np.bincount(number, minlength=len(places))
-    out = {"lang": lang.dictionary.take(pa.array(lang_code[places]))}
-    out |= {f"w{k + 1}": names.take(pa.array(column[places])) for k, column in enumerate(columns)}
-    return out | {"n": pa.array(n.astype(np.int64))}
-
-
 def word_columns(max_n: int = MAX_N) -> list[str]:
     return [f"w{k + 1}" for k in range(max_n)]
 
 
-def counted_suffixes(docs: DataFrame, max_n: int = MAX_N, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """lang, w1 to w<max_n>, n: suffixes with how often they occur in a part of a task's texts."""
-    narrow = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), text_of(f"`{text_col}`").alias("text"))
-    names = ["lang", *word_columns(max_n), "n"]
+def _narrow(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), text_of(f"`{text_col}`").alias("text"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found = suffixes(pa.concat_arrays([b.column("text").cast(pa.large_string()) for b in held]), pa.concat_arrays([b.column("lang").cast(pa.string()) for b in held]), max_n)
-            table = pa.table({c: found[c].cast(pa.int64() if c == "n" else pa.string()) for c in names})
-            yield from table.to_batches(max_chunksize=50_000)
+
+def _by_chunk(of: Callable[[Coded], Iterator[pa.RecordBatch]], max_n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """of, for the texts of a task in parts of about CHUNK_BYTES."""
+    chunk = CHUNK_BYTES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def coded(held: list[pa.RecordBatch]) -> Coded:
+            return Coded(pa.concat_arrays([b.column("text").cast(pa.large_string()) for b in held]), pa.concat_arrays([b.column("lang").cast(pa.string()) for b in held]), max_n)
 
         held, size = [], 0
         for batch in batches:
             size += batch.nbytes
             held.append(batch)
-            if size >= CHUNK_BYTES:
-                yield from flush(held)
+            if size >= chunk:
+                yield from of(coded(held))
                 held, size = [], 0
         if held:
-            yield from flush(held)
+            yield from of(coded(held))
+
+    return run
+
+
+def frequent_prefixes(docs: DataFrame, max_n: int, share: int) -> DataFrame:
+    """words, lang, prefix, n: prefixes of fewer than max_n words that a part of a task's texts has more often than one in 4 * share, by part; with 0 words, all its words."""
+
+    def find(own: Coded) -> Iterator[pa.RecordBatch]:
+        lang, *columns = own.columns
+        least = len(lang) // (4 * share)
+        number, rows = np.bincount(lang, minlength=len(own.langs)), np.arange(len(lang))
+        out = [(0, own.langs[i].as_py(), "", int(c)) for i, c in enumerate(number) if c]
+        key = lang
+        for m, column in enumerate(columns[:-1], 1):
+            filled = column[rows] > 0
+            rows, key = rows[filled], key[filled]
+            key, at = _pairs(key, column[rows])
+            n = np.bincount(key, minlength=len(at))
+            for i in np.flatnonzero(n > least):
+                words = [own.words[int(c[rows[at[i]]])].as_py() for c in columns[:m]]
+                out.append((m, own.langs[int(lang[rows[at[i]]])].as_py(), " ".join(words), int(n[i])))
+            kept = (n > least)[key]
+            rows, key = rows[kept], key[kept]
+        kinds = (pa.int32(), pa.string(), pa.string(), pa.int64())
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["words", "lang", "prefix", "n"])
+
+    return docs.mapInArrow(_by_chunk(find, max_n), "words int, lang string, prefix string, n long")
+
+
+def _split(columns: list[np.ndarray], own: Coded, hot: list[list[tuple[str, list[str]]]]) -> np.ndarray:
+    """Of each distinct suffix, sorted by number, how many words its longest hot prefix has."""
+    code = {w: i for i, w in enumerate(own.words.to_pylist())} if any(hot) else {}
+    lang = {x: i for i, x in enumerate(own.langs.to_pylist())}
+    split = np.zeros(len(columns[0]), dtype=np.int64)
+    for m, prefixes in enumerate(hot, 1):
+        for name, words in prefixes:
+            wanted = [lang.get(name), *[code.get(w) for w in words]]
+            if None in wanted:
+                continue
+            low, high = 0, len(split)
+            for column, value in zip(columns, wanted, strict=False):
+                low, high = low + np.searchsorted(column[low:high], value), low + np.searchsorted(column[low:high], value, side="right")
+            split[low:high] = m
+    return split
+
+
+def dealt_suffixes(docs: DataFrame, hot: list[list[tuple[str, list[str]]]], parts: int, max_n: int) -> DataFrame:
+    """deal, lang, data: the counted suffixes of a part of a task's texts for one of `parts` tasks, as compressed lines of words, count and split."""
+
+    def pack(own: Coded) -> Iterator[pa.RecordBatch]:
+        columns, n = own.distinct()
+        split = _split(columns, own, hot)
+        seeds = [np.array([zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in names.to_pylist()], dtype=np.uint64) for names in (own.langs, own.words)]
+        deal = mix(seeds[0][columns[0]] + np.uint64(1))
+        for m, column in enumerate(columns[1:]):
+            deal = np.where(split >= m, mix(deal * np.uint64(31) + seeds[1][column]), deal)
+        deal = (deal % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(deal * len(own.langs) + columns[0], kind="stable")
+        texts = [own.words.take(pa.array(c[order])) for c in columns[1:]]
+        texts += [pa.array(x[order]).cast(pa.large_string()) for x in (n, split)]
+        lines = pc.binary_join_element_wise(pc.binary_join_element_wise(*texts, pa.scalar(" ", pa.large_string())), pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string()))
+        bounds = np.frombuffer(lines.buffers()[1], dtype=np.int64)
+        deal, lang = deal[order], columns[0][order]
+        starts = np.flatnonzero(np.concatenate([[True], (deal[1:] != deal[:-1]) | (lang[1:] != lang[:-1])])) if len(deal) else np.empty(0, np.int64)
+        ends = np.concatenate([starts[1:], [len(deal)]])
+        data, codec = lines.buffers()[2], pa.Codec("zstd")
+        for a, b in zip(starts, ends, strict=False):
+            raw = data.slice(int(bounds[a]), int(bounds[b] - bounds[a]))
+            row = [[int(deal[a])], [own.langs[int(lang[a])].as_py()], [len(raw)], [codec.compress(raw, asbytes=True)]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int32(), pa.string(), pa.int64(), pa.binary()), strict=True)], names=["deal", "lang", "bytes", "data"])
+
+    return docs.mapInArrow(_by_chunk(pack, max_n), "deal int, lang string, bytes long, data binary")
+
+
+def unpacked(dealt: DataFrame, max_n: int) -> DataFrame:
+    """lang, w1 to w<max_n>, n, split: the rows of dealt suffixes."""
+    words = word_columns(max_n)
+    kinds = {c: pa.string() for c in words} | {"n": pa.int64(), "split": pa.int32()}
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd")
+        for batch in batches:
+            for lang, size, data in zip(*(batch.column(c) for c in ("lang", "bytes", "data")), strict=True):
+                text = codec.decompress(data.as_buffer(), size.as_py())
+                table = csv.read_csv(
+                    io.BytesIO(text),
+                    csv.ReadOptions(use_threads=False, block_size=len(text) + 1, column_names=list(kinds)),
+                    csv.ParseOptions(delimiter=" ", quote_char=False, double_quote=False, escape_char=False, newlines_in_values=False, ignore_empty_lines=False),
+                    csv.ConvertOptions(column_types=kinds, strings_can_be_null=False, null_values=[]),
+                )
+                for part in table.to_batches(max_chunksize=20_000):
+                    yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()] * part.num_rows, pa.string()), *part.columns], names=["lang", *kinds])
 
-    return narrow.mapInArrow(count, f"lang string, {', '.join(f'{c} string' for c in word_columns(max_n))}, n long")
+    return dealt.select("lang", "bytes", "data").mapInArrow(unpack, f"lang string, {', '.join(f'{c} string' for c in words)}, n long, split int")
 
 
 class Stack:
@@ -180,30 +280,18 @@ class Stack:
         return held, pa.concat_tables(tables)
 
 
-def hot_prefixes(suffix_table: DataFrame, max_n: int = MAX_N, share: int = HOT_SHARE) -> list[DataFrame]:
-    """For one, two, ... words: the prefixes that more than one row in `share` begins with; fewer than `share` rows each."""
-    words, found, rows = word_columns(max_n), [], suffix_table
-    least = suffix_table.count() // share
-    for m in range(1, max_n):
-        key = ["lang", *words[:m]]
-        hot = rows.filter(F.col(words[m - 1]) != "").groupBy(*key).count().filter(F.col("count") > least).select(*key)
-        hot = suffix_table.sparkSession.createDataFrame(hot.collect(), hot.schema)
-        found.append(hot)
-        rows = rows.join(F.broadcast(hot), key, "left_semi")
-    return found
-
-
 def phrase_counts(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST, lang_col: str = "lang", text_col: str = "text", share: int = HOT_SHARE) -> tuple[DataFrame, DataFrame]:
     """lang, phrase, words, f of every phrase of up to max_n words that occurs `least` times; and lang, n: all word occurrences."""
-    words = word_columns(max_n)
-    table = cut_table(counted_suffixes(docs, max_n, lang_col, text_col))
-    totals = table.groupBy("lang").agg(F.sum("n").alias("n"))
-    rows = table.withColumn("split", F.lit(0))
-    for m, hot in enumerate(hot_prefixes(table, max_n, share), 1):
-        rows = rows.join(F.broadcast(hot.withColumn("__hot", F.lit(m))), ["lang", *words[:m]], "left").withColumn("split", F.coalesce("__hot", "split")).drop("__hot")
-    deal = [F.col("lang"), F.col("w1"), *[F.when(F.col("split") >= m, F.col(words[m])) for m in range(1, max_n)]]
-    dealt = rows.withColumn("__deal", F.xxhash64(*deal)).repartition("__deal").drop("__deal")
-    dealt = dealt.select("lang", *words, "n", "split").sortWithinPartitions(*[F.desc(c) for c in ("lang", *words)])
+    spark, narrow, words = docs.sparkSession, _narrow(docs, lang_col, text_col), word_columns(max_n)
+    named = cut_table(frequent_prefixes(narrow, max_n, share))
+    totals = named.filter("words = 0").groupBy("lang").agg(F.sum("n").alias("n"))
+    whole = totals.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    # a hot prefix misses at most 1 / (4 * share) of all occurrences among what was named
+    hot = named.filter("words > 0").groupBy("words", "lang", "prefix").agg(F.sum("n").alias("n")).filter(F.col("n") > whole * 3 / (4 * share)).collect()
+    by_length = [[(r["lang"], r["prefix"].split(" ")) for r in hot if r["words"] == m] for m in range(1, max_n)]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt_suffixes(narrow, by_length, parts, max_n).repartitionById(parts, "deal")
+    dealt = unpacked(dealt, max_n).sortWithinPartitions(*[F.desc(c) for c in ("lang", *words)])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stack = Stack(max_n, least)
@@ -230,9 +318,9 @@ def _wide(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("decimal(19,0)")
 
 
-def collocations(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST, contained: int = CONTAINED, top: int = TOP, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+def collocations(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST, contained: int = CONTAINED, top: int = TOP, lang_col: str = "lang", text_col: str = "text", share: int = HOT_SHARE) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first `top` phrases of 2 to max_n words."""
-    counts, totals = phrase_counts(docs, max_n, least, lang_col, text_col)
+    counts, totals = phrase_counts(docs, max_n, least, lang_col, text_col, share)
     candidates = counts.filter("words > 1").withColumnRenamed("f", "a")
     word = F.split("phrase", " ")
     join_words = lambda first, size: F.concat_ws(" ", F.slice(F.col("__w"), first, size))
@@ -258,4 +346,4 @@ def collocations(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST, contai
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
-__all__ = ["collocations", "counted_suffixes", "phrase_counts"]
+__all__ = ["collocations", "phrase_counts"]
