@@ -49,7 +49,7 @@ def plain(rows, max_n=4, least=30, contained=80, top=2000):
 
 def corpus():
     r = random.Random(11)
-    vocab = ["The", "of", "café", "zoo", "a\x01", "a", "b", "x-1", "É", "naïve", "n" * 300]
+    vocab = ["The", "of", "café", "zoo", "a\x01", "\x01\x02", "\x00\x01\x00", "a", "b", "x-1", "É", "naïve", "n" * 300]
     sentence = "the very common passage of words that all share"
     rows = [(r.choice(["en", "de", None, "und"]), "".join(r.choice(vocab) + r.choice([" ", " ", "  ", "\t", ", ", ".\n", "? "]) for _ in range(r.randint(1, 60)))) for _ in range(400)]
     rows += [("en", sentence + ", " + r.choice(vocab))] * 90 + [("fr", "Un deux. " * 20_000), ("en", None), ("en", ""), (None, " \n.."), ("de", "...")]
@@ -86,8 +86,8 @@ def test_stack_over_batches():
     for size in (1, 2, 5, len(rows)):
         stack, found = collocations.Stack(3, 1), []
         for i in range(0, len(rows), size):
-            part = list(zip(*rows[i : i + size]))
-            held, ended = stack.push([pa.array(c) for c in part], np.array(n[i : i + size]), np.zeros(len(part[0]), dtype=int))
+            suffixes = pa.array([collocations.JOINT.join(row) for row in rows[i : i + size]])
+            held, ended = stack.push(suffixes, np.array(n[i : i + size]), np.zeros(len(suffixes), dtype=int))
             found += [(p, c) for _, p, _, c in held] + list(zip(ended.column("phrase").to_pylist(), ended.column("f").to_pylist()))
         found += [(p, c) for _, p, _, c in stack.close()]
         assert len(found) == len(want) and dict(found) == want

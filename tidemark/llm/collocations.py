@@ -47,10 +47,15 @@ TOP = 2000
 #: A prefix is hot if more than one occurrence in so many begins with it.
 HOT_SHARE = 256
 #: Texts whose suffixes are counted together before they leave a task.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 5 << 20
 #: Parts of a language that are ranked before the language is.
 RANK_PARTS = 64
 
+#: Between the language and the words of a suffix in one sorted text: the least character, so that prefixes stay together.
+JOINT = "\0"
+#: Characters that words must not hold there, and what stands for them.
+_ESCAPES = (("\x01", "\x01\x02"), (JOINT, "\x01\x01"))
+
 PIECE_END, SPACE, WORD = 2, 1, 0
 _CLASS = np.full(256, WORD, dtype=np.uint8)
 _CLASS[[0x20, 0x09]] = SPACE
@@ -69,10 +74,25 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     piece = np.cumsum(kind == PIECE_END, dtype=np.int32)[starts]
     text = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(starts, offsets - offsets[0])))
     bounds = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
-    words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(data[inside]))
+    letters = data[inside]
+    words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(letters))
+    if len(letters) and letters.min() < 2:
+        words = escaped(words)
     return words, text, piece
 
 
+def escaped(words: pa.Array) -> pa.Array:
+    for character, escape in _ESCAPES:
+        words = pc.replace_substring(words, character, escape)
+    return words
+
+
+def unescaped(words: pa.Array) -> pa.Array:
+    for character, escape in reversed(_ESCAPES):
+        words = pc.replace_substring(words, escape, character)
+    return words
+
+
 class Coded:
     """The words of some texts as numbers: `columns` holds each occurrence's language and the words of its suffix, 0 for none."""
 
@@ -102,10 +122,6 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return number, at
 
 
-def word_columns(max_n: int = MAX_N) -> list[str]:
-    return [f"w{k + 1}" for k in range(max_n)]
-
-
 def _narrow(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), text_of(f"`{text_col}`").alias("text"))
 
@@ -186,9 +202,9 @@ def dealt_suffixes(docs: DataFrame, hot: list[list[tuple[str, list[str]]]], part
             deal = np.where(split >= m, mix(deal * np.uint64(31) + seeds[1][column]), deal)
         deal = (deal % np.uint64(parts)).astype(np.int64)
         order = np.argsort(deal * len(own.langs) + columns[0], kind="stable")
-        texts = [own.words.take(pa.array(c[order])) for c in columns[1:]]
-        texts += [pa.array(x[order]).cast(pa.large_string()) for x in (n, split)]
-        lines = pc.binary_join_element_wise(pc.binary_join_element_wise(*texts, pa.scalar(" ", pa.large_string())), pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string()))
+        key = pc.binary_join_element_wise(*[own.words.take(pa.array(c[order])) for c in columns[1:]], pa.scalar(JOINT, pa.large_string()))
+        lines = pc.binary_join_element_wise(key, *[pa.array(x[order]).cast(pa.large_string()) for x in (n, split)], pa.scalar(" ", pa.large_string()))
+        lines = pc.binary_join_element_wise(lines, pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string()))
         bounds = np.frombuffer(lines.buffers()[1], dtype=np.int64)
         deal, lang = deal[order], columns[0][order]
         starts = np.flatnonzero(np.concatenate([[True], (deal[1:] != deal[:-1]) | (lang[1:] != lang[:-1])])) if len(deal) else np.empty(0, np.int64)
@@ -202,10 +218,9 @@ def dealt_suffixes(docs: DataFrame, hot: list[list[tuple[str, list[str]]]], part
     return docs.mapInArrow(_by_chunk(pack, max_n), "deal int, lang string, bytes long, data binary")
 
 
-def unpacked(dealt: DataFrame, max_n: int) -> DataFrame:
-    """lang, w1 to w<max_n>, n, split: the rows of dealt suffixes."""
-    words = word_columns(max_n)
-    kinds = {c: pa.string() for c in words} | {"n": pa.int64(), "split": pa.int32()}
+def unpacked(dealt: DataFrame) -> DataFrame:
+    """suffix (language and words), n, split: the rows of dealt suffixes."""
+    kinds = {"suffix": pa.string(), "n": pa.int64(), "split": pa.int32()}
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd")
@@ -218,10 +233,12 @@ def unpacked(dealt: DataFrame, max_n: int) -> DataFrame:
                     csv.ParseOptions(delimiter=" ", quote_char=False, double_quote=False, escape_char=False, newlines_in_values=False, ignore_empty_lines=False),
                     csv.ConvertOptions(column_types=kinds, strings_can_be_null=False, null_values=[]),
                 )
+                first = escaped(pa.array([lang.as_py()], pa.string()))[0]
                 for part in table.to_batches(max_chunksize=20_000):
-                    yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()] * part.num_rows, pa.string()), *part.columns], names=["lang", *kinds])
+                    suffix = pc.binary_join_element_wise(first, part.column("suffix"), JOINT)
+                    yield pa.RecordBatch.from_arrays([suffix, part.column("n"), part.column("split")], names=list(kinds))
 
-    return dealt.select("lang", "bytes", "data").mapInArrow(unpack, f"lang string, {', '.join(f'{c} string' for c in words)}, n long, split int")
+    return dealt.select("lang", "bytes", "data").mapInArrow(unpack, "suffix string, n long, split int")
 
 
 class Stack:
@@ -245,44 +262,48 @@ class Stack:
             self.open[m - 1] = 0
         return rows
 
-    def push(self, columns: list[pa.Array], n: np.ndarray, split: np.ndarray) -> tuple[list[tuple], pa.Table]:
+    def push(self, suffixes: pa.Array, n: np.ndarray, split: np.ndarray) -> tuple[list[tuple], pa.Table]:
         """Takes a batch; gives the prefixes that the stack held and that have ended, and a table of those that began and ended within the batch."""
-        size, first = len(n), tuple(c[0].as_py() for c in columns)
-        same = 0  # words that the open suffix shares with the first of the batch, 0 where the language differs
+        size = len(n)
+        coded = pc.split_pattern(suffixes, JOINT).flatten().dictionary_encode()
+        codes = np.ascontiguousarray(coded.indices.to_numpy().reshape(size, self.max_n + 1).T)
+        texts = coded.dictionary
+        if pc.any(pc.match_substring(texts, "\x01")).as_py():
+            texts = unescaped(texts)
+        text = lambda row: tuple(texts[int(c)].as_py() for c in codes[:, row])
+        empty = pc.index(texts, "").as_py()
+        first, same = text(0), 0  # words that the open suffix shares with the first of the batch, 0 where the language differs
         if self.last and self.last[0] == first[0]:
             while same < self.max_n and first[same + 1] and self.last[same + 1] == first[same + 1]:
                 same += 1
         held = self.close(same)
-        codes = [c.dictionary_encode().indices.to_numpy().astype(np.int64) for c in columns]
         differs = np.zeros(max(0, size - 1), dtype=bool)
         total = np.concatenate([[0], np.cumsum(n)])
         tables = []
         for m in range(self.max_n + 1):
-            differs = differs | (codes[m][1:] != codes[m][:-1])
+            differs |= codes[m][1:] != codes[m][:-1]
             if m == 0:
                 continue
             starts = np.concatenate([[0], np.flatnonzero(differs) + 1])
             ends = np.concatenate([starts[1:], [size]])
             sums = total[ends] - total[starts]
-            last = len(starts) - 1
             if m <= same:  # the first group goes on with what is open
                 sums[0] += self.open[m - 1]
-            self.open[m - 1] = int(sums[last])
-            filled = np.asarray(pc.not_equal(columns[m].take(pa.array(starts)), "").to_numpy(zero_copy_only=False))
-            given = filled & ((sums >= self.least) | (m <= split[starts]))
-            given[last] = False
-            at = pa.array(starts[given])
-            words = [c.take(at) for c in columns[1 : m + 1]]
+            self.open[m - 1] = int(sums[-1])
+            given = (codes[m][starts] != empty) & ((sums >= self.least) | (m <= split[starts]))
+            given[-1] = False
+            at = starts[given]
+            lang, *words = (texts.take(pa.array(c[at])) for c in codes[: m + 1])
             phrase = words[0] if m == 1 else pc.binary_join_element_wise(*words, " ")
-            tables.append(pa.table({"lang": columns[0].take(at), "phrase": phrase, "words": pa.array(np.full(int(given.sum()), m, dtype=np.int32)), "f": pa.array(sums[given].astype(np.int64))}))
-        self.last = tuple(c[size - 1].as_py() for c in columns)
+            tables.append(pa.table({"lang": lang, "phrase": phrase, "words": pa.array(np.full(len(at), m, dtype=np.int32)), "f": pa.array(sums[given].astype(np.int64))}))
+        self.last = text(size - 1)
         self.split = int(split[size - 1])
         return held, pa.concat_tables(tables)
 
 
 def phrase_counts(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST, lang_col: str = "lang", text_col: str = "text", share: int = HOT_SHARE) -> tuple[DataFrame, DataFrame]:
     """lang, phrase, words, f of every phrase of up to max_n words that occurs `least` times; and lang, n: all word occurrences."""
-    spark, narrow, words = docs.sparkSession, _narrow(docs, lang_col, text_col), word_columns(max_n)
+    spark, narrow = docs.sparkSession, _narrow(docs, lang_col, text_col)
     named = cut_table(frequent_prefixes(narrow, max_n, share))
     totals = named.filter("words = 0").groupBy("lang").agg(F.sum("n").alias("n"))
     whole = totals.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
@@ -291,7 +312,7 @@ def phrase_counts(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST, lang_
     by_length = [[(r["lang"], r["prefix"].split(" ")) for r in hot if r["words"] == m] for m in range(1, max_n)]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt_suffixes(narrow, by_length, parts, max_n).repartitionById(parts, "deal")
-    dealt = unpacked(dealt, max_n).sortWithinPartitions(*[F.desc(c) for c in ("lang", *words)])
+    dealt = unpacked(dealt).sortWithinPartitions(F.desc("suffix"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stack = Stack(max_n, least)
@@ -304,7 +325,7 @@ def phrase_counts(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST, lang_
 
         for batch in batches:
             if batch.num_rows:
-                held, ended = stack.push([batch.column(c) for c in ("lang", *words)], batch.column("n").to_numpy(), batch.column("split").to_numpy())
+                held, ended = stack.push(batch.column("suffix"), *[batch.column(c).to_numpy() for c in ("n", "split")])
                 yield from out(held)
                 yield from ended.to_batches()
         yield from out(stack.close())
