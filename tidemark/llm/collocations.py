@@ -23,14 +23,12 @@ are split into words piece by piece and are never cut elsewhere.
 
 from __future__ import annotations
 
-import io
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.csv as csv
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -191,7 +189,7 @@ def _split(columns: list[np.ndarray], own: Coded, hot: list[list[tuple[str, list
 
 
 def dealt_suffixes(docs: DataFrame, hot: list[list[tuple[str, list[str]]]], parts: int, max_n: int) -> DataFrame:
-    """deal, lang, data: the counted suffixes of a part of a task's texts for one of `parts` tasks, as compressed lines of words, count and split."""
+    """deal, lang, rows, bytes, suffixes, n, split: the counted suffixes of a part of a task's texts for one of `parts` tasks, as compressed lines of words and compressed numbers."""
 
     def pack(own: Coded) -> Iterator[pa.RecordBatch]:
         columns, n = own.distinct()
@@ -203,42 +201,40 @@ def dealt_suffixes(docs: DataFrame, hot: list[list[tuple[str, list[str]]]], part
         deal = (deal % np.uint64(parts)).astype(np.int64)
         order = np.argsort(deal * len(own.langs) + columns[0], kind="stable")
         key = pc.binary_join_element_wise(*[own.words.take(pa.array(c[order])) for c in columns[1:]], pa.scalar(JOINT, pa.large_string()))
-        lines = pc.binary_join_element_wise(key, *[pa.array(x[order]).cast(pa.large_string()) for x in (n, split)], pa.scalar(" ", pa.large_string()))
-        lines = pc.binary_join_element_wise(lines, pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string()))
+        lines = pc.binary_join_element_wise(key, pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string()))
+        n, split = n[order].astype(np.int64), split[order].astype(np.int8)
         bounds = np.frombuffer(lines.buffers()[1], dtype=np.int64)
         deal, lang = deal[order], columns[0][order]
         starts = np.flatnonzero(np.concatenate([[True], (deal[1:] != deal[:-1]) | (lang[1:] != lang[:-1])])) if len(deal) else np.empty(0, np.int64)
         ends = np.concatenate([starts[1:], [len(deal)]])
         data, codec = lines.buffers()[2], pa.Codec("zstd")
+        kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
         for a, b in zip(starts, ends, strict=False):
             raw = data.slice(int(bounds[a]), int(bounds[b] - bounds[a]))
-            row = [[int(deal[a])], [own.langs[int(lang[a])].as_py()], [len(raw)], [codec.compress(raw, asbytes=True)]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int32(), pa.string(), pa.int64(), pa.binary()), strict=True)], names=["deal", "lang", "bytes", "data"])
+            row = [int(deal[a])], [own.langs[int(lang[a])].as_py()], [int(b - a)], [len(raw)], *[[codec.compress(x, asbytes=True)] for x in (raw, n[a:b].tobytes(), split[a:b].tobytes())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, kinds, strict=True)], names=["deal", "lang", "rows", "bytes", "suffixes", "n", "split"])
 
-    return docs.mapInArrow(_by_chunk(pack, max_n), "deal int, lang string, bytes long, data binary")
+    return docs.mapInArrow(_by_chunk(pack, max_n), "deal int, lang string, rows long, bytes long, suffixes binary, n binary, split binary")
 
 
 def unpacked(dealt: DataFrame) -> DataFrame:
     """suffix (language and words), n, split: the rows of dealt suffixes."""
-    kinds = {"suffix": pa.string(), "n": pa.int64(), "split": pa.int32()}
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd")
         for batch in batches:
-            for lang, size, data in zip(*(batch.column(c) for c in ("lang", "bytes", "data")), strict=True):
-                text = codec.decompress(data.as_buffer(), size.as_py())
-                table = csv.read_csv(
-                    io.BytesIO(text),
-                    csv.ReadOptions(use_threads=False, block_size=len(text) + 1, column_names=list(kinds)),
-                    csv.ParseOptions(delimiter=" ", quote_char=False, double_quote=False, escape_char=False, newlines_in_values=False, ignore_empty_lines=False),
-                    csv.ConvertOptions(column_types=kinds, strings_can_be_null=False, null_values=[]),
-                )
-                first = escaped(pa.array([lang.as_py()], pa.string()))[0]
-                for part in table.to_batches(max_chunksize=20_000):
-                    suffix = pc.binary_join_element_wise(first, part.column("suffix"), JOINT)
-                    yield pa.RecordBatch.from_arrays([suffix, part.column("n"), part.column("split")], names=list(kinds))
-
-    return dealt.select("lang", "bytes", "data").mapInArrow(unpack, "suffix string, n long, split int")
+            for lang, rows, size, *packed in zip(*(batch.column(c) for c in ("lang", "rows", "bytes", "suffixes", "n", "split")), strict=True):
+                rows = rows.as_py()
+                lines, n, split = (np.frombuffer(codec.decompress(x.as_buffer(), k), dtype=kind) for x, k, kind in zip(packed, (size.as_py(), 8 * rows, rows), (np.uint8, np.int64, np.int8), strict=True))
+                ends = np.flatnonzero(lines == 0x0A)
+                bounds = np.concatenate([[0], ends - np.arange(rows)])
+                suffixes = pa.LargeStringArray.from_buffers(rows, pa.py_buffer(bounds), pa.py_buffer(lines[lines != 0x0A]))
+                first = escaped(pa.array([lang.as_py()], pa.large_string()))[0]
+                for at in range(0, rows, 20_000):
+                    suffix = pc.binary_join_element_wise(first, suffixes.slice(at, 20_000), pa.scalar(JOINT, pa.large_string()))
+                    yield pa.RecordBatch.from_arrays([suffix.cast(pa.string()), pa.array(n[at : at + 20_000]), pa.array(split[at : at + 20_000].astype(np.int32))], names=["suffix", "n", "split"])
+
+    return dealt.drop("deal").mapInArrow(unpack, "suffix string, n long, split int")
 
 
 class Stack:
