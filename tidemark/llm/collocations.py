@@ -134,13 +134,20 @@ def _by_chunk(of: Callable[[Coded], Iterator[pa.RecordBatch]], max_n: int) -> Ca
 
         held, size = [], 0
         for batch in batches:
-            size += batch.nbytes
-            held.append(batch)
-            if size >= chunk:
-                yield from of(coded(held))
-                held, size = [], 0
+            before = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+            first = 0
+            while first < batch.num_rows:  # rows that fill the part, one at least
+                done = int(before[first - 1]) if first else 0
+                last = min(batch.num_rows, max(first, int(np.searchsorted(before, done + chunk - size))) + 1)
+                held.append(batch.slice(first, last - first))
+                size += int(before[last - 1]) - done
+                first = last
+                if size >= chunk:
+                    yield from of(coded(held))
+                    held, size = [], 0
         if held:
             yield from of(coded(held))
+        pa.default_memory_pool().release_unused()
 
     return run
 
