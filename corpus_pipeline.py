@@ -5,7 +5,8 @@ near-dedup keeps one document of each group; benchmark decontamination drops doc
 lays the tokens of what is left into windows.
 
 Defined results: documents without text, or with a text that has no letter, go in the first stage, as their language can't be told;
-a text that loses all its lines stays as an empty document, and packing gives it one piece with its end alone. Documents without
+line dedup leaves a text that loses all its lines as an empty document, near-dedup takes these for copies of each other and keeps the first,
+and packing gives it one piece with its end alone. Documents without
 an id stay: line dedup leaves their lines, near-dedup keeps them unless they are like a document with an id, decontamination looks at documents
 with an id only. Of rows that repeat an id and a text one stays. Ties go to the least id. Empty tables pass through all stages. Columns of any
 name are carried along up to packing.

@@ -6,7 +6,8 @@ the benchmark items in a hash join; an item of fewer words is one window of its
 document. An item is found in a document that holds PERCENT of its distinct windows, by their own or by their second keys, in
 which every capitalised word is a name, also where it opens a sentence. Where such an item has placeholders, its values are
 laid beside the document's: at one alignment each value of the item must stand for one value of the document and the other way
-round; all alignments that show nearly all placeholders are judged. Equal values mean a copy, other consistent ones a
+round; all alignments that show nearly all placeholders are judged. Values are compared without the punctuation around them; a name that
+opens a sentence of the item counts as a value too where the item has it as a name elsewhere. Equal values mean a copy, other consistent ones a
 re-parameterised question, inconsistent ones no leak.
 
 Defined results: null text is empty and contains nothing; items without a word are found nowhere; repeated rows of a document
@@ -51,9 +52,14 @@ STEPS = (
 _WITHIN = (rf"({_WORD}) +(?:(and) +)?(?={_WORD})", "$1-$2")
 
 
+def _spaced(text: Column) -> Column:
+    """The text with one space between words: line breaks and wide spaces change no template."""
+    return F.regexp_replace(text, f"[{SPACE}]+", " ")
+
+
 def cased_words(text: Column) -> Column:
     """The words of the template before they are lower-cased."""
-    out = reduce(lambda c, step: F.regexp_replace(c, *step), STEPS, text)
+    out = reduce(lambda c, step: F.regexp_replace(c, *step), STEPS, _spaced(text))
     return F.filter(F.split(F.regexp_replace(out, rf"[^\p{{L}}\p{{N}}{SPACE}{NUMBER}{NAME}{UNIT}]+", ""), f"[{SPACE}]+"), lambda w: w != "")
 
 
@@ -65,7 +71,14 @@ def template_words(text: Column, opening: bool = False) -> Column:
 
 def raw_words(text: Column) -> Column:
     """The words behind template_words, one for one."""
-    return F.filter(F.split(F.regexp_replace(text, *_WITHIN), f"[{SPACE}]+"), lambda w: w.rlike(rf"[\p{{L}}\p{{N}}{NUMBER}{NAME}{UNIT}%]"))
+    return F.filter(F.split(F.regexp_replace(_spaced(text), *_WITHIN), " "), lambda w: w.rlike(rf"[\p{{L}}\p{{N}}{NUMBER}{NAME}{UNIT}%]"))
+
+
+def slot_value(raw: Column) -> Column:
+    """What a placeholder stands for: lower-case, without the punctuation around it and the commas inside large numbers; a number keeps its sign."""
+    plain = F.regexp_replace(F.lower(raw), r"(?<=\d),(?=\d{3}(?!\d))", "")
+    plain = F.regexp_replace(plain, r"[^\p{L}\p{N}%°]+$", "")
+    return F.regexp_replace(plain, r"^[^\p{L}\p{N}]*?(?=[+-]?\d)|^[^\p{L}\p{N}%°]+(?![\d+-])", "")
 
 
 def windows(words: Column, size: int = WINDOW) -> Column:
@@ -154,17 +167,27 @@ def slot_checks(pairs: DataFrame, docs: DataFrame, benchmark: DataFrame, opening
     def by_place(found: Column, k: Column) -> Column:
         return F.transform(found, lambda h, i: F.struct(i.alias("at"), h.alias("window"), k.alias("k")))
 
-    w = F.col("w")
-    item_at = by_place(own_windows(w), F.least(F.size(w), F.lit(WINDOW)))
-    doc_at = F.concat(*[by_place(windows(w, k), F.lit(k)) for k in item_sizes(benchmark)])
-    item_side = placed(slotted, "item_id", item_at).select("item_id", "window", "k", F.col("at").alias("item_at"), F.slice("r", F.col("at") + 1, F.col("k")).alias("item_raw"), F.slice("w", F.col("at") + 1, F.col("k")).alias("word"))
-    doc_side = placed(held, "doc_id", doc_at).select("doc_id", "window", "k", "at", F.slice("r", F.col("at") + 1, F.col("k")).alias("doc_raw"))
-    laid = wanted.join(doc_side, "doc_id").join(item_side, ["item_id", "window", "k"]).drop("k")
-    laid = laid.withColumn("shift", F.col("at") - F.col("item_at"))
-    slots = laid.select("doc_id", "item_id", "shift", "item_at", F.posexplode(F.arrays_zip("item_raw", "doc_raw", "word")).alias("k", "x"))
-    slots = slots.filter(F.col("x.word").rlike(f"[{NUMBER}{NAME}{UNIT}]")).select(
-        "doc_id", "item_id", "shift", (F.col("item_at") + F.col("k")).alias("place"), F.lower("x.item_raw").alias("ours"), F.lower("x.doc_raw").alias("theirs")
-    ).distinct()
+    def laid_out(slotted: DataFrame, held: DataFrame) -> DataFrame:
+        """doc_id, item_id, shift, place, word (of the item's template), ours and theirs, for the words of shared windows."""
+        w = F.col("w")
+        item_at = by_place(own_windows(w), F.least(F.size(w), F.lit(WINDOW)))
+        doc_at = F.concat(*[by_place(windows(w, k), F.lit(k)) for k in item_sizes(benchmark)])
+        item_side = placed(slotted, "item_id", item_at).select("item_id", "window", "k", F.col("at").alias("item_at"), F.slice("r", F.col("at") + 1, F.col("k")).alias("item_raw"), F.slice("w", F.col("at") + 1, F.col("k")).alias("word"))
+        doc_side = placed(held, "doc_id", doc_at).select("doc_id", "window", "k", "at", F.slice("r", F.col("at") + 1, F.col("k")).alias("doc_raw"))
+        laid = wanted.join(doc_side, "doc_id").join(item_side, ["item_id", "window", "k"]).drop("k")
+        laid = laid.withColumn("shift", F.col("at") - F.col("item_at"))
+        each = laid.select("doc_id", "item_id", "shift", "item_at", F.posexplode(F.arrays_zip("item_raw", "doc_raw", "word")).alias("k", "x"))
+        each = each.filter(F.col("x.word").rlike(f"[{NUMBER}{NAME}{UNIT}]"))
+        return each.select("doc_id", "item_id", "shift", (F.col("item_at") + F.col("k")).alias("place"), slot_value(F.col("x.item_raw")).alias("ours"), slot_value(F.col("x.doc_raw")).alias("theirs")).distinct()
+
+    slots = laid_out(slotted, held)
+    if not opening:
+        # names that open sentences: of the items that have them as names elsewhere too
+        names = F.array_distinct(F.transform(F.filter(F.arrays_zip("r", "w"), lambda x: x["w"] == NAME), lambda x: slot_value(x["r"])))
+        named = slotted.select("item_id", F.explode(names).alias("ours"))
+        opened = lambda df, key: df.join(wanted.select(key).distinct(), key, "left_semi").select(key, "text", template_words(text_of(), True).alias("w"), raw_words(text_of()).alias("r")).drop("text")
+        more = laid_out(opened(benchmark.filter(F.col("item_id").isNotNull()), "item_id").dropDuplicates(["item_id"]), opened(docs.select("doc_id", "text"), "doc_id").dropDuplicates(["doc_id", "w", "r"]))
+        slots = slots.unionByName(more.join(named, ["item_id", "ours"], "left_semi").select(*slots.columns)).distinct()
     # every alignment with nearly as many placeholders as the fullest one is judged; one consistent alignment is enough
     by_shift = slots.groupBy("doc_id", "item_id", "shift").agg(
         F.count("*").alias("n_slots"),

@@ -242,12 +242,17 @@ def find_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """One row of each component, in the columns that docs has: the first by id, of repeated rows any one."""
+    """One row of each component, in the columns that docs has: the first by id, of repeated rows any one.
+
+    Documents without words are copies of each other here, as whatever took their words left nothing to tell them apart: the first of them stays.
+    """
 
     def one_each(own: DataFrame) -> DataFrame:
-        found = cut_table(labelled_rows(own).withColumn("stays", F.col("row") == F.col("first")))
+        rows = cut_table(labelled_rows(own))
+        blank = rows.filter("n_shingles = 0").agg(F.min(_order()).alias("x")).select("x.row").first()["row"]
+        found = rows.withColumn("stays", F.when(F.col("n_shingles") > 0, F.col("row") == F.col("first")).otherwise(F.col("row").eqNullSafe(F.lit(blank))))
         gone = found.filter(~F.col("stays")).select(F.col("row").alias("__row")).distinct()
-        twice = cut_table(found.filter(F.col("stays") & (F.col("n_shingles") > 0)).groupBy(F.col("row").alias("__row")).count().filter("count > 1").select("__row"))
+        twice = cut_table(found.filter("stays").groupBy(F.col("row").alias("__row")).count().filter("count > 1").select("__row"))
         left = own.withColumn("__row", row_key()).join(by_size(gone, 16), "__row", "left_anti")
         if not twice.isEmpty():
             repeated = left.join(by_size(twice, 16), "__row", "left_semi").dropDuplicates(["__row"])
