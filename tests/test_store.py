@@ -132,7 +132,7 @@ def test_issues_instead_of_errors(spark, store):
 
 def test_stale_plan_and_other_contract(spark, store):
     a = plan(store, {"organization": orgs(spark, ("o1", "A"))}, Provenance("x", "a"))
-    b = plan(store, {"organization": orgs(spark, ("o2", "B"))}, Provenance("x", "b"))
+    b = plan(store, {"organization": orgs(spark, ("o1", "B"))}, Provenance("x", "b"))
     commit(store, a, "2024-01-01T00:00:00")
     with pytest.raises(StalePlanError):
         commit(store, b, "2024-01-01T00:00:00")

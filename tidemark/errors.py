@@ -45,3 +45,11 @@ class SnapshotError(RecordError):
 
 class MeasureError(RecordError):
     """A measure's definition or call isn't allowed."""
+
+
+class HistoryError(RecordError):
+    """A boundary of history doesn't exist or can't be read."""
+
+
+class SnapshotBoundaryError(SnapshotError, HistoryError):
+    """A boundary is later than the snapshot that is read."""

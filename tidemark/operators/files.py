@@ -1,33 +1,55 @@
-"""Records as a tree of Markdown files and back: text is built and parsed by column functions, files are Spark's."""
+"""Records as a tree of Markdown pages and back: text is built and parsed by column functions, files are Spark's.
+
+A synchronized page names the content digest that it was made from (`base`) and the digest of its own text (`page`), and the tree has an index page
+with its boundary. So a tree can be compared with a store that has moved on, record by record, without the tree that it once was.
+"""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import LimitError
+from ..errors import InvalidPlanError, LimitError
 from ..plans.plan import Plan, Provenance, plan
+from ..shared import cut
 from ..sources.store import Store
 
 #: Records that one export takes at most; a larger one is refused whole.
 MAX_RECORDS = 10_000
+#: Class of the page that holds the boundary of a tree.
+INDEX = ".index"
+#: What a comparison may find that a review can't propose.
+REFUSED = ("removed", "stale_base", "lost_base", "repeated")
+_STAMP = r"(?m)^%s: (sha256:[0-9a-f]{64})$"
 
 
-def pages(store: Store) -> DataFrame:
-    """class, record_id and content of a Markdown page for each current record: a front matter of its fields as JSON lines."""
+def _sha(text: str) -> Column:
+    return F.concat(F.lit("sha256:"), F.sha2(F.col(text).cast("binary"), 256))
+
+
+def _pages(store: Store) -> DataFrame:
+    """class, record_id, base and body of a page for each current record."""
     parts = []
     for name, own in store.contract.classes.items():
-        rows = store.records(name)
+        rows = store.records(name, digests=True)
         fields = [c for c in own.public_slots() if c in rows.columns]
         lines = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}: "), F.to_json(F.struct(F.col(c).alias("v"))))) for c in fields]
         title = F.coalesce(F.col(own.label_slot) if own.label_slot in fields else F.lit(None).cast("string"), F.col("record_id"))
         head = F.concat_ws("\n", F.lit("---"), F.concat(F.lit("id: "), F.col("record_id")), F.concat(F.lit("class: "), F.lit(name)), *lines, F.lit("---"))
-        parts.append(rows.select(F.lit(name).alias("class"), "record_id", F.concat(head, F.lit("\n\n# "), title, F.lit("\n")).alias("content")))
+        parts.append(rows.select(F.lit(name).alias("class"), "record_id", F.col("`.content_digest`").alias("base"), F.concat(head, F.lit("\n\n# "), title, F.lit("\n")).alias("body")))
     return reduce(DataFrame.unionByName, parts)
 
 
+def pages(store: Store) -> DataFrame:
+    """class, record_id and content of a Markdown page for each current record: a front matter of its fields as JSON lines, and its stamps."""
+    stamps = F.concat(F.lit("base: "), F.col("base"), F.lit("\npage: "), _sha("body"), F.lit("\n"))
+    after_id = F.length(F.concat(F.lit("---\nid: "), "record_id", F.lit("\n")))
+    content = F.concat(F.left("body", after_id), stamps, F.substr("body", after_id + 1))
+    return _pages(store).select("class", "record_id", content.alias("content"))
+
+
 def tree_digest(rows: DataFrame) -> str:
     """A digest of a tree that doesn't depend on the order of its pages."""
     one = F.sum(F.xxhash64("class", "record_id", "content").cast("decimal(38,0)"))
@@ -37,17 +59,22 @@ def tree_digest(rows: DataFrame) -> str:
 
 def sync(store: Store, path: str, limit: int = MAX_RECORDS) -> str:
     """Replace the tree at a path by the store's current records; its digest."""
-    rows = pages(store)
+    rows, at = pages(store), store.snapshot()
     if rows.limit(limit + 1).count() > limit:
         raise LimitError(f"more than {limit} records", rule="export_limit")
+    index = store.spark.createDataFrame([(INDEX, at.batch_id, f"---\ncommit_order: {at.commit_order}\n---\n")], "class string, record_id string, content string")
     # Hive-style folders, one for each class; ids may hold any character, so they stay inside the rows
-    rows.write.mode("overwrite").partitionBy("class").json(path)
+    rows.unionByName(index).write.mode("overwrite").partitionBy("class").json(path)
     return tree_digest(rows)
 
 
+def _tree(store: Store, path: str) -> DataFrame:
+    return store.spark.read.schema("record_id string, content string, class string").json(path)
+
+
 def edited(store: Store, path: str) -> DataFrame:
     """The pages at a path."""
-    return store.spark.read.schema("record_id string, content string, class string").json(path)
+    return _tree(store, path).filter(F.col("class") != INDEX)
 
 
 def status(store: Store, path: str, exported: str) -> str:
@@ -56,9 +83,46 @@ def status(store: Store, path: str, exported: str) -> str:
     return {(True, True): "current", (True, False): "stale", (False, True): "modified", (False, False): "modified and stale"}[tree == exported, now == exported]
 
 
+def compare(store: Store, path: str) -> DataFrame:
+    """class, record_id and kind for every record of the tree or the store, by the content that its page was made from:
+
+    unchanged; edited; added (a page without base, for a record that the store doesn't have); removed (no page, though the store had the record when
+    the tree was made); new_in_store (recorded since then); behind (changed in the store, not in the tree); converged (changed in both, alike);
+    stale_base (changed in both, or a page without base for a known record); lost_base (its record isn't in the store); repeated (several pages of one record).
+    """
+    index = _tree(store, path).filter(F.col("class") == INDEX)
+    exported = index.agg(F.max(F.regexp_extract("content", r"(?m)^commit_order: ([0-9]+)$", 1).try_cast("int"))).first()[0]
+    stamp = lambda name: F.nullif(F.regexp_extract("content", _STAMP % name, 1), F.lit(""))
+    body = F.regexp_replace("content", r"(?m)^(?:base|page): sha256:[0-9a-f]{64}\n", "")
+    tree = edited(store, path).select("class", "record_id", stamp("base").alias("base"), stamp("page").alias("page"), body.alias("body")).withColumn("now", _sha("body"))
+    tree = tree.groupBy("class", "record_id").agg(F.count("*").alias("copies"), *[F.min(c).alias(c) for c in ("base", "page", "now")])
+    current = _pages(store).select("class", "record_id", F.col("base").alias("head"), _sha("body").alias("shown"))
+    first = store.revisions().groupBy("class", "record_id").agg(F.min("commit_order").alias("first"))
+    both = tree.join(current, ["class", "record_id"], "full_outer").join(first, ["class", "record_id"], "left")
+    changed = ~F.coalesce(F.col("now") == F.col("page"), F.lit(False))
+    kind = (
+        F.when(F.col("copies") > 1, "repeated")
+        .when(F.col("now").isNull(), F.when(F.lit(exported).isNull() | (F.col("first") <= F.lit(exported)), "removed").otherwise("new_in_store"))
+        .when(F.col("head").isNull(), F.when(F.col("base").isNull(), "added").otherwise("lost_base"))
+        .when(F.col("base") == F.col("head"), F.when(changed, "edited").otherwise("unchanged"))
+        .when(F.col("now") == F.col("shown"), "converged")
+        .when(F.col("base").isNull() | changed, "stale_base")
+        .otherwise("behind")
+    )
+    return both.select("class", "record_id", kind.alias("kind"))
+
+
 def review(store: Store, path: str, provenance: Provenance) -> Plan:
-    """A plan for the edits of a tree: front matter becomes candidates, and the plan goes the way of any other."""
-    tree, candidates = edited(store, path), {}
+    """A plan for the edits of a tree: front matter becomes candidates, and the plan goes the way of any other.
+
+    Removed pages, edits of a page whose record changed since, pages of lost records and repeated pages are refused, each by its kind; pages that the
+    store has merely overtaken are left out.
+    """
+    found = cut(compare(store, path))
+    odd = found.filter(F.col("kind").isin(*REFUSED)).groupBy("kind").agg(F.count("*").alias("n"), F.min("record_id").alias("first")).orderBy("kind").first()
+    if odd:
+        raise InvalidPlanError(f"{odd['n']} pages are {odd['kind'].replace('_', ' ')}, {odd['first']} first", rule=odd["kind"], field=odd["first"])
+    tree, candidates = edited(store, path).join(found.filter(F.col("kind").isin("edited", "added", "unchanged")), ["class", "record_id"], "left_semi"), {}
     for name, own in store.contract.classes.items():
         rows = tree.filter(F.col("class") == name)
         cells = [F.col("record_id").alias("id")]

@@ -3,6 +3,9 @@
 The input frames are evaluated once: `plan` writes the staged candidates below the store's path and goes on from there, so a
 frame that isn't deterministic can't commit other content than its digest. Candidates without an id meet their records by
 registered identifiers and by their producer's origin keys; candidates that share such a key are one record.
+
+A plan is bound to what it touches, not to the whole store: a commit looks into the batches after the plan's base for revisions of its
+records, and for identifiers and origin keys of its candidates that were given to other records. Only these make it stale.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ import uuid
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..errors import InvalidPlanError, ReplayConflictError, StalePlanError
@@ -23,7 +27,17 @@ from ..sources.store import Commit, Store, columns_of, content_digest, union
 
 #: Column of a candidate frame with the producer's own key of a record; else it comes from the class's origin slots.
 ORIGIN = ".origin_key"
-ISSUE = ["class", "record_id", "field", "rule"]
+ISSUE = ["class", "input_row", "record_id", "field", "rule"]
+#: Rules whose breach is a matter of identity or of references; all others are of validation.
+IDENTITY_RULES = ("required_internal_id", "unique_batch_id", "class_compatible_id", "consistent_exact_identity", "internal_external_identity_agreement", "unique_origin", "origin_identity_agreement", "deterministic_key_complete")
+REFERENCE_RULES = ("reference_exists", "reference_class", "no_self_supersession")
+#: What a rule asks for, where its name alone doesn't tell.
+ASKS = {
+    "required": "needs a value", "known_field": "isn't a field of the class", "enum_membership": "isn't one of the permitted values", "reference_exists": "refers to no record", "reference_class": "refers to a record of a class that the field doesn't take",
+    "required_internal_id": "needs an id", "unique_batch_id": "stands in the batch more than once", "class_compatible_id": "belongs to a record of another class", "consistent_exact_identity": "stands for more than one record",
+    "internal_external_identity_agreement": "contradicts an identifier of the candidate", "unique_origin": "stands for more than one record", "origin_identity_agreement": "contradicts the candidate's other identity", "deterministic_key_complete": "needs all parts of its key",
+    "no_self_supersession": "refers to the record itself", "valid_time_order": "ends before it begins", "exactly_one_semantic_object": "needs one of the two objects", "minimum_value": "is below the least value", "maximum_value": "is above the greatest value",
+}
 OWN_SLOTS = ("id", "created_at", "updated_at")
 
 
@@ -171,9 +185,32 @@ def resolve(store: Store, staged: DataFrame, producer: str) -> tuple[DataFrame,
     return resolved.select("candidate", "record_id", "reason"), issues
 
 
+def numbered(staged: DataFrame) -> DataFrame:
+    """staged with input_row, from 1 in each class, in the order of the class's frame.
+
+    Rows of a partition are numbered as they come (`candidate`); only the counts of the partitions are added up, so no task sees all rows.
+    """
+    part = F.shiftright("candidate", 33)
+    sizes = staged.groupBy("class", part.alias("__part")).agg(F.count("*").alias("__n"), F.min("candidate").alias("__first"))
+    before = F.sum("__n").over(W.partitionBy("class").orderBy("__part").rowsBetween(W.unboundedPreceding, 0)) - F.col("__n")
+    starts = sizes.select(F.col("class"), F.col("__part"), (before - F.col("__first") + 1).alias("__start"))
+    # one row of three numbers for each task of the input
+    return staged.withColumn("__part", part).join(F.broadcast(starts), ["class", "__part"]).withColumn("input_row", F.col("__start") + F.col("candidate")).drop("__part", "__start")
+
+
+def _described(issues: DataFrame) -> DataFrame:
+    """issues with a message and the kind of error, in order: class, input row (none last), field, rule, message."""
+    asks = F.create_map(*[F.lit(x) for kv in ASKS.items() for x in kv])
+    message = F.concat("class", F.lit("."), "field", F.lit(" "), F.coalesce(F.element_at(asks, F.col("rule")), F.concat(F.lit("breaks "), "rule")))
+    kind = F.when(F.col("rule").isin(*IDENTITY_RULES), "identity_error").when(F.col("rule").isin(*REFERENCE_RULES), "reference_error").otherwise("validation_error")
+    return issues.select(*ISSUE, message.alias("message"), kind.alias("condition_class")).orderBy("class", F.asc_nulls_last("input_row"), "field", "rule", "message")
+
+
 def plan(store: Store, records: dict[str, DataFrame], provenance: Provenance) -> Plan:
     """A plan for candidate frames by class. Bad data becomes issues, never an error."""
     spark, folder = store.spark, f"{store.path}/staging/{uuid.uuid4().hex}"
+    base = store.snapshot().commit_order
+    known = Store(spark, store.path, store.contract, base)  # what comes meanwhile is for the commit to see
     staged = union([_staged(store.contract[name], frame) for name, frame in records.items()]).withColumn("candidate", F.monotonically_increasing_id())
     staged.write.parquet(f"{folder}/staged")
     staged = spark.read.parquet(f"{folder}/staged")
@@ -182,40 +219,40 @@ def plan(store: Store, records: dict[str, DataFrame], provenance: Provenance) ->
     if simple:  # nothing but supplied ids to go by
         resolved, found = staged.select("candidate", F.col("supplied").alias("record_id"), F.lit("id").alias("reason")), staged.filter("supplied is null").select("candidate", F.lit("id").alias("field"), F.lit("required_internal_id").alias("rule"))
     else:
-        resolved, found = resolve(store, staged, provenance.producer)
-    heads = store.heads().select("record_id", F.col("class").alias("head_class"), "revision_number", F.col("revision_id").alias("prior_revision_id"), F.col("content_digest").alias("head_digest"), "created_at")
-    made = staged.join(resolved, "candidate").withColumn("payload", payload(F.col("record_id"), F.col("rest"))).withColumn("content_digest", content_digest())
+        resolved, found = resolve(known, staged, provenance.producer)
+    heads = known.heads().select("record_id", F.col("class").alias("head_class"), "revision_number", F.col("revision_id").alias("prior_revision_id"), F.col("content_digest").alias("head_digest"), "created_at")
+    made = numbered(staged).join(resolved, "candidate").withColumn("payload", payload(F.col("record_id"), F.col("rest"))).withColumn("content_digest", content_digest())
     action = F.when(F.col("head_digest").isNull(), "insert").when(F.col("head_digest") == F.col("content_digest"), "match").otherwise("update")
     made.join(heads, "record_id", "left").withColumn("action", action).write.parquet(f"{folder}/changes")
     changes = spark.read.parquet(f"{folder}/changes")
 
     def on_records(df: DataFrame) -> DataFrame:
-        return df.join(changes.select("candidate", "class", "record_id"), "candidate").select(*ISSUE)
+        return df.join(changes.select("candidate", "class", "input_row", "record_id"), "candidate").select(*ISSUE)
 
-    listed = [changes.select("class", "record_id", F.explode("broken").alias("x")).select("class", "record_id", "x.field", "x.rule"), on_records(found)]
-    at_id = lambda df, rule: df.select("class", "record_id", F.lit("id").alias("field"), F.lit(rule).alias("rule"))
+    at_row = ["class", "input_row", "record_id"]
+    listed = [changes.select(*at_row, F.explode("broken").alias("x")).select(*at_row, "x.field", "x.rule"), on_records(found)]
+    at_id = lambda df, rule: df.select(*at_row, F.lit("id").alias("field"), F.lit(rule).alias("rule"))
     several = changes.filter("record_id is not null").groupBy("record_id").agg(F.count("*").alias("n")).filter("n > 1")
-    listed.append(at_id(changes.join(several, "record_id"), "unique_batch_id").distinct())
+    listed.append(at_id(changes.join(several, "record_id"), "unique_batch_id"))
     listed.append(at_id(changes.filter("head_class <> class"), "class_compatible_id"))
     if any(s.name == "superseded_by" for n in records for s in store.contract[n].slots):
-        selves = changes.select("class", "record_id", F.explode("refs").alias("x")).filter("x.field = 'superseded_by' and x.target = record_id")
-        listed.append(selves.select("class", "record_id", "x.field", F.lit("no_self_supersession").alias("rule")))
+        selves = changes.select(*at_row, F.explode("refs").alias("x")).filter("x.field = 'superseded_by' and x.target = record_id")
+        listed.append(selves.select(*at_row, "x.field", F.lit("no_self_supersession").alias("rule")))
     if any(s.reference for n in records for s in store.contract[n].slots):
-        listed.append(_broken_references(store, list(records), changes))
+        listed.append(_broken_references(known, list(records), changes))
     identifiers = changes.select("class", "record_id", F.explode("ids").alias("x")).select("class", "record_id", "x.namespace", "x.normalized").filter("record_id is not null").distinct()
     origin = F.coalesce("origin_key", F.concat(F.lit("record-v1:"), "record_id"))
     origins = changes.filter("record_id is not null").select("class", "record_id", F.lit(provenance.producer).alias("producer"), origin.alias("origin_key")).distinct()
     issues = union(listed)
-    base = store.snapshot().commit_order
     order_free = F.sum(F.xxhash64("class", "supplied", "origin_key", "rest").cast("decimal(38,0)"))
     seen = staged.agg(F.count("*").alias("n"), order_free.alias("h")).first()
     input_digest = _hash([str(seen["n"]), str(seen["h"]), json.dumps(asdict(provenance), sort_keys=True)])
-    return Plan(provenance, base, changes, issues, identifiers, origins, input_digest, _hash([input_digest, str(base), store.contract.build_digest()]), issues.isEmpty(), folder)
+    return Plan(provenance, base, changes, _described(issues), identifiers, origins, input_digest, _hash([input_digest, str(base), store.contract.build_digest()]), issues.isEmpty(), folder)
 
 
 def _broken_references(store: Store, names: list[str], changes: DataFrame) -> DataFrame:
     """References to nothing, or to a class that the slot doesn't take, among the batch and the store."""
-    refs = changes.select("class", "record_id", F.explode("refs").alias("x")).select("class", "record_id", "x.field", "x.target")
+    refs = changes.select("class", "input_row", "record_id", F.explode("refs").alias("x")).select("class", "input_row", "record_id", "x.field", "x.target")
     known = store.heads().select(F.col("class").alias("target_class"), F.col("record_id").alias("target"))
     known = known.join(refs.select("target").distinct(), "target", "left_semi").unionByName(changes.filter("record_id is not null").select(F.col("class").alias("target_class"), F.col("record_id").alias("target"))).distinct()
     takes = F.lit(False)
@@ -244,20 +281,52 @@ def verify(accepted: Plan, contract_digest: str) -> dict[str, int]:
     return {a: seen[a] for a in actions if seen[a]}
 
 
+def conflicts(store: Store, accepted: Plan) -> DataFrame:
+    """kind and key of what a plan touches and batches after its base changed: revisions of its records, identifiers and origin keys
+    that were given to other records. Only those batches are read."""
+    later = lambda name: store._table(name, after=accepted.base_order)
+    moved = accepted.changes.filter("record_id is not null").join(later("revisions").select("record_id").distinct(), "record_id", "left_semi")
+    found = [moved.select(F.lit("record").alias("kind"), F.col("record_id").alias("key"))]
+    for name, own, keys in (("identifiers", accepted.identifiers, ["class", "namespace", "normalized"]), ("origins", accepted.origins, ["class", "producer", "origin_key"])):
+        others = later(name).select(*keys, F.col("record_id").alias("__other")).distinct()
+        taken = own.join(others, keys).filter(F.col("__other") != F.col("record_id"))
+        found.append(taken.select(F.lit(name.removesuffix("s")).alias("kind"), F.concat_ws(" ", *keys).alias("key")))
+    return union(found).distinct()
+
+
+def discard(store: Store, proposed: Plan) -> None:
+    """Remove what a plan that won't be committed has staged."""
+    store.files.remove(proposed.folder.removeprefix(f"{store.path}/"))
+
+
 def commit(store: Store, accepted: Plan, committed_at: str) -> dict[str, int]:
-    """Commit a valid plan as one batch; a plan that was committed before is a replay and changes nothing."""
-    commits = store.commits()
-    made = [c for c in commits if c.producer == accepted.provenance.producer and c.idempotency_key == accepted.provenance.idempotency_key]
+    """Commit a valid plan as one batch; a plan that was committed before is a replay and changes nothing.
+
+    Batches after the plan's base don't matter unless they touch what it touches (`conflicts`). What a replay or a stale plan has staged is
+    removed; a refused plan keeps it, for its issues to be read, until `discard`.
+    """
+    same = (F.col("producer") == accepted.provenance.producer) & (F.col("idempotency_key") == accepted.provenance.idempotency_key)
+    last = F.max(F.struct("commit_order", "chain", "schema_digest"))
+    seen = store.log().agg(last.alias("last"), F.min(F.when(same, F.struct("commit_order", "batch_id", "plan_digest"))).alias("made")).first()
+    made, order = seen["made"], seen["last"]["commit_order"] if seen["last"] else 0
     if made:
-        if made[0].plan_digest != accepted.plan_digest and made[0].batch_id != _batch_id(accepted):
+        if made["plan_digest"] != accepted.plan_digest and made["batch_id"] != _batch_id(accepted):
             raise ReplayConflictError("the idempotency key was used for other content", rule="idempotency_key")
-        return counts(store, made[0].batch_id)
+        done = counts(store, made["batch_id"])
+        discard(store, accepted)
+        return done
     if not accepted.valid:
         raise InvalidPlanError("the plan has issues", rule="valid")
     done = verify(accepted, store.contract.build_digest())
-    if max([0, *[c.commit_order for c in commits]]) != accepted.base_order:
-        raise StalePlanError("the store moved on after the plan was made", rule="base_order")
-    order, batch = accepted.base_order + 1, _batch_id(accepted)
+    if order < accepted.base_order:
+        raise StalePlanError("the store doesn't have the commit that the plan rests on", rule="base_order")
+    if order > accepted.base_order:
+        if not store.contract.compatible(active := store.contract_of(seen["last"]["schema_digest"])) and not store.contract.extends(active):
+            raise StalePlanError("the store has another contract since the plan was made", rule="schema")
+        if touched := conflicts(store, accepted).limit(1).collect():
+            discard(store, accepted)
+            raise StalePlanError(f"the {touched[0]['kind']} {touched[0]['key']} changed after the plan was made", rule="touched", field=touched[0]["key"])
+    before, order, batch = seen["last"]["chain"] or "" if seen["last"] else "", order + 1, _batch_id(accepted)
     changed = accepted.changes.filter("action <> 'match'").withColumn("revision_number", F.coalesce("revision_number", F.lit(0)) + 1)
     fresh_id = F.concat(F.col("record_id"), F.lit("#"), F.col("revision_number").cast("string"))
     schema_digest = store.contract.build_digest()
@@ -270,8 +339,8 @@ def commit(store: Store, accepted: Plan, committed_at: str) -> dict[str, int]:
     origin = F.coalesce("origin_key", F.concat(F.lit("record-v1:"), "record_id"))
     observations = accepted.changes.select("class", "record_id", *[v.alias(k) for k, v in here.items()], F.col("action").alias("disposition"), pointed.alias("revision_id"), origin.alias("origin_key"))
     registries = [df.withColumns(here).select(*columns_of(name)) for name, df in (("identifiers", accepted.identifiers), ("origins", accepted.origins))]
-    store.publish(Commit(order, batch, accepted.provenance.producer, accepted.provenance.idempotency_key, accepted.plan_digest, schema_digest, committed_at), revisions, observations, *registries)
-    store.files.remove(accepted.folder.removeprefix(f"{store.path}/"))
+    store.publish(Commit(order, batch, accepted.provenance.producer, accepted.provenance.idempotency_key, accepted.plan_digest, schema_digest, committed_at), before, revisions, observations, *registries)
+    discard(store, accepted)
     return done
 
 

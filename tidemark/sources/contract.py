@@ -97,6 +97,17 @@ class Contract:
     def compatible(self, other: Contract) -> bool:
         return self.structural_digest() == other.structural_digest()
 
+    def extends(self, other: Contract) -> bool:
+        """Whether every class and slot of the other contract is here as it is there, and what is new may be empty."""
+        for name, old in other.classes.items():
+            own = self.classes.get(name)
+            if own is None or (own.ancestors, own.role, own.id_policy, own.origin_slots) != (old.ancestors, old.role, old.id_policy, old.origin_slots):
+                return False
+            have = {s.name: s for s in own.slots}
+            if any(have.get(s.name) != s for s in old.slots) or any(s.required for s in own.slots if s.name not in {o.name for o in old.slots}):
+                return False
+        return True
+
     def takes(self, reference: str) -> tuple[str, ...]:
         """Classes that a reference to a class may point to: itself and what descends from it."""
         return tuple(c.name for c in self.classes.values() if reference == c.name or reference in c.ancestors)
