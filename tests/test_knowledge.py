@@ -43,7 +43,7 @@ def known(spark, tmp_path_factory):
         "Fact": make([("f1", "t0", "near", "t3", None, "r1"), ("f2", "t0", "yield", None, "12", None), *[(f"g{i:02}", "t4", "feeds", f"t{i}", None, None) for i in range(5, 12)]], "id string, subject string, predicate string, object_entity string, object_value string, derived_from_statement string"),
         "Proof": make([("p1", "r1", "b1", "supports"), ("p2", "f1", "b2", "contradicts")], "id string, statement_id string, source_id string, support_type string"),
         "Spotted": make([("m1", "b1", "pear", "t0"), ("m2", "b1", "plum", None)], "id string, source_id string, surface_form string, entity_id string"),
-        "Measure": make([("q1", "rows", "Tree", "SUM(rows) / COUNT(*)", '[{"name": "which", "column": "label"}]', '["label"]')], "id string, name string, target_class string, expr string, parameters string, dimensions string"),
+        "Measure": make([("q1", "rows", "Tree", "SUM(rows) / COUNT(*)", '[{"name": "which", "type": "string", "description": "which label", "column": "label"}]', '["label"]')], "id string, name string, target_class string, expr string, parameters string, dimensions string"),
     }
     ingest(store, records, Provenance("orchard", "1"), "2024-01-01T00:00:00")
     return Knowledge(store)

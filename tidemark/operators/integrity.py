@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -72,11 +72,23 @@ def audit(*args, **kwargs) -> DataFrame:
     return reduce(DataFrame.unionByName, checks(*args, **kwargs).values())
 
 
+def unsafe_numbers(payload: Column) -> Column:
+    """Whether JSON text has a number outside its strings that no reader keeps: a whole one beyond 2^53 - 1, one that is infinite or becomes zero as a double."""
+    outside = F.regexp_replace(payload, r'"(?:[^"\\]|\\.)*+"', '""')
+    tokens = F.regexp_extract_all(outside, F.lit(r"(-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)"), F.lit(1))
+    whole = lambda t: t.rlike("^-?[0-9]+$")
+    digits = lambda t: F.regexp_replace(t, "^-?0*", "")
+    large = lambda t: whole(t) & ((F.length(digits(t)) > 16) | ((F.length(digits(t)) == 16) & (digits(t) > F.lit(str(2**53 - 1)))))
+    value = lambda t: t.try_cast("double")
+    lost = lambda t: (value(t) == 0) & F.regexp_replace(t, "[eE].*$", "").rlike("[1-9]")
+    return F.exists(tokens, lambda t: large(t) | F.coalesce(F.abs(value(t)) == float("inf"), F.lit(True)) | lost(t))
+
+
 def payload_issues(revisions: DataFrame, schema) -> DataFrame:
-    """Revisions whose JSON payload doesn't parse, or isn't the text that encoding its values again gives."""
+    """Revisions whose JSON payload doesn't parse, holds a number that its reader would change, or isn't the text that encoding its values again gives."""
     parsed = F.from_json("payload", schema, {"mode": "PERMISSIVE"})
     valid = F.get_json_object("payload", "$").isNotNull()
     again = F.to_json(parsed, {"ignoreNullFields": "false"})
-    rule = F.when(~valid, "invalid_revision_payload").when(again != F.col("payload"), "noncanonical_revision_payload")
+    rule = F.when(~valid, "invalid_revision_payload").when(unsafe_numbers(F.col("payload")), "unsafe_payload_number").when(again != F.col("payload"), "noncanonical_revision_payload")
     found = revisions.withColumn("issue", rule).filter("issue is not null")
     return found.select("issue", *[F.col(c).cast("string") for c in COLUMNS[1:5]], F.lit("").alias("detail"))

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import MeasureError
+from .ledger import bounded
 
 #: Aggregates with their functions, in the spelling of the language.
 AGGREGATES: dict[str, Callable[[Column], Column]] = {"SUM": F.sum, "COUNT": F.count, "AVG": F.avg, "MIN": F.min, "MAX": F.max}
@@ -201,6 +202,44 @@ def column(expression: str, types: dict[str, str]) -> Column:
     return made()
 
 
+#: What every parameter of a definition must say.
+PARAMETER = ("name", "type", "description", "column")
+
+
+def definition_issues(row: dict, classes: dict[str, dict[str, str]]) -> list[tuple[str, str]]:
+    """field and rule of what is wrong in a measure's record; classes: the scalar columns of each measurable class, with their types."""
+    target = row.get("target_class")
+    if target is None:
+        return []  # a required field, so an issue already
+    if target not in classes:
+        return [("target_class", "measure_target_class")]
+    columns = classes[target]
+    out = [("expr", rule) for rule in issues(row["expr"], columns)] if row.get("expr") else []
+    parameters, dimensions = _list(row.get("parameters")), _list(row.get("dimensions"))
+    if parameters is None:
+        out.append(("parameters", "measure_parameter_json"))
+    for p in parameters or []:
+        if not (isinstance(p, dict) and all(isinstance(p.get(k), str) and p[k] for k in PARAMETER)):
+            out.append(("parameters", "measure_parameter_contract"))
+        elif p["column"] not in columns:
+            out.append(("parameters", "measure_parameter_column"))
+    if dimensions is None:
+        out.append(("dimensions", "measure_dimension_json"))
+    for d in dimensions or []:
+        if not isinstance(d, str) or d not in columns:
+            out.append(("dimensions", "measure_dimension_column"))
+    return sorted(set(out))
+
+
+def _list(text: str | None) -> list | None:
+    """A JSON array, empty for no text; None where it is something else."""
+    try:
+        found = json.loads(text) if text else []
+    except ValueError:
+        return None
+    return found if isinstance(found, list) else None
+
+
 @dataclass(frozen=True)
 class Measure:
     name: str
@@ -215,11 +254,7 @@ class Measure:
         return cls(row["name"], row["target_class"], row["expr"], row.get("title") or "", json.loads(row.get("parameters") or "{}"), tuple(json.loads(row.get("dimensions") or "[]")))
 
 
-def evaluate(records: DataFrame, measure: Measure, arguments: dict[str, object] | None = None, by: tuple[str, ...] = ()) -> DataFrame:
-    """The measure's value, for each group of the dimensions in `by`, over the records that the arguments select.
-
-    By dimensions, the first MAX_ROWS groups come back, in the order of the dimensions; nulls are last.
-    """
+def _evaluated(records: DataFrame, measure: Measure, arguments: dict[str, object] | None, by: tuple[str, ...]) -> DataFrame:
     types = dict(records.dtypes)
     for name, value in (arguments or {}).items():
         if name not in measure.parameters:
@@ -228,6 +263,18 @@ def evaluate(records: DataFrame, measure: Measure, arguments: dict[str, object]
     if odd := [d for d in by if d not in measure.dimensions]:
         raise MeasureError(f"{odd[0]} is no dimension of {measure.name}", rule="measure_dimension", field=odd[0])
     value = column(measure.expr, types).alias("value")
-    if not by:
-        return records.agg(value)
-    return records.groupBy(*by).agg(value).orderBy(*[F.asc_nulls_last(d) for d in by]).limit(MAX_ROWS)
+    return records.groupBy(*by).agg(value) if by else records.agg(value)
+
+
+def evaluate(records: DataFrame, measure: Measure, arguments: dict[str, object] | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """The measure's value, for each group of the dimensions in `by`, over the records that the arguments select.
+
+    By dimensions, the first MAX_ROWS groups come back, in the order of the dimensions; nulls are last. `evaluate_bounded` also says whether there were more.
+    """
+    out = _evaluated(records, measure, arguments, by)
+    return out.orderBy(*[F.asc_nulls_last(d) for d in by]).limit(MAX_ROWS) if by else out
+
+
+def evaluate_bounded(records: DataFrame, measure: Measure, arguments: dict[str, object] | None = None, by: tuple[str, ...] = (), most: int = MAX_ROWS) -> tuple[DataFrame, DataFrame]:
+    """The first `most` groups, and one row that says whether there were more (`truncated`)."""
+    return bounded(_evaluated(records, measure, arguments, by), [F.asc_nulls_last(d) for d in by or ("value",)], most)

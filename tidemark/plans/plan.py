@@ -13,16 +13,18 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..errors import InvalidPlanError, ReplayConflictError, StalePlanError
 from ..functions import iso_micros, normalize_identifier, record_id
-from ..operators import identity, validation
-from ..sources.contract import STRICT, RecordClass, Slot
+from ..operators import identity, measures, validation
+from ..sources.contract import MEASURE, STRICT, RecordClass, Slot, measure_definitions
 from ..sources.store import Commit, Store, columns_of, content_digest, union
 
 #: Column of a candidate frame with the producer's own key of a record; else it comes from the class's origin slots.
@@ -240,6 +242,8 @@ def plan(store: Store, records: dict[str, DataFrame], provenance: Provenance) ->
         listed.append(selves.select(*at_row, "x.field", F.lit("no_self_supersession").alias("rule")))
     if any(s.reference for n in records for s in store.contract[n].slots):
         listed.append(_broken_references(known, list(records), changes))
+    if MEASURE in records:
+        listed.append(_measure_issues(store, changes))
     identifiers = changes.select("class", "record_id", F.explode("ids").alias("x")).select("class", "record_id", "x.namespace", "x.normalized").filter("record_id is not null").distinct()
     origin = F.coalesce("origin_key", F.concat(F.lit("record-v1:"), "record_id"))
     origins = changes.filter("record_id is not null").select("class", "record_id", F.lit(provenance.producer).alias("producer"), origin.alias("origin_key")).distinct()
@@ -250,6 +254,32 @@ def plan(store: Store, records: dict[str, DataFrame], provenance: Provenance) ->
     return Plan(provenance, base, changes, _described(issues), identifiers, origins, input_digest, _hash([input_digest, str(base), store.contract.build_digest()]), issues.isEmpty(), folder)
 
 
+def _measure_issues(store: Store, changes: DataFrame) -> DataFrame:
+    """What is wrong in the definitions of measures, each against the contract of its own target class; they are read where they are staged."""
+    classes = store.contract.measurable(MEASURE)
+    kind = "name string, target_class string, expr string, parameters string, dimensions string"
+    rows = changes.filter(F.col("class") == MEASURE).select("class", "input_row", "record_id", F.from_json("rest", kind).alias("p")).select("class", "input_row", "record_id", "p.*")
+    kinds = {"class": pa.string(), "input_row": pa.int64(), "record_id": pa.string(), "field": pa.string(), "rule": pa.string()}
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(r["class"], r["input_row"], r["record_id"], *found) for r in batch.to_pylist() for found in measures.definition_issues(r, classes)]
+            yield pa.RecordBatch.from_pydict({c: pa.array([o[i] for o in out], t) for i, (c, t) in enumerate(kinds.items())})
+
+    return rows.mapInArrow(judge, "class string, input_row long, record_id string, field string, rule string")
+
+
+def seed_measures(store: Store, dictionary: str, committed_at: str) -> dict[str, int]:
+    """Commit the measures that a table dictionary defines, once for each of its texts: doing it again is a replay."""
+    rows = measure_definitions(dictionary)
+    if not rows:
+        return {}
+    schema = "id string, name string, title string, description string, target_class string, expr string, parameters string, dimensions string"
+    frame = store.spark.createDataFrame([tuple(r.values()) for r in rows], schema)
+    key = "contract-measures:sha256:" + hashlib.sha256(dictionary.encode()).hexdigest()
+    return ingest(store, {MEASURE: frame}, Provenance("contract", key), committed_at)
+
+
 def _broken_references(store: Store, names: list[str], changes: DataFrame) -> DataFrame:
     """References to nothing, or to a class that the slot doesn't take, among the batch and the store."""
     refs = changes.select("class", "input_row", "record_id", F.explode("refs").alias("x")).select("class", "input_row", "record_id", "x.field", "x.target")

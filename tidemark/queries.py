@@ -794,7 +794,7 @@ def _new_knowledge(spark: SparkSession, sf: str):
         "Residence": c.join(first, "c_custkey", "left").select(t.key("residence", "c_custkey").alias("id"), t.key("customer", "c_custkey").alias("subject"), F.lit("in_nation").alias("predicate"), t.key("nation", "c_nationkey").alias("object_entity"), F.col("first").alias("derived_from_statement")),
         "Proof": labels.select(t.key("proof", "doc_id").alias("id"), F.concat(F.lit("residence:"), (F.col("doc_id") % 50 + 10).cast("string")).alias("statement_id"), t.key("doc", "doc_id").alias("source_id"), F.when(F.col("quality") == 1, "supports").otherwise("contradicts").alias("support_type")),
         "Spotted": labels.select(t.key("spotted", "doc_id").alias("id"), t.key("doc", "doc_id").alias("source_id"), F.lit("name").alias("surface_form"), F.when(F.col("quality") == 1, someone).alias("entity_id")),
-        "Measure": spark.createDataFrame([("measure:balance", "customers by segment", "Customer", "COUNT(*) - SUM(balance < 0)", '[{"name": "segment", "column": "segment"}]', '["segment"]')], "id string, name string, target_class string, expr string, parameters string, dimensions string"),
+        "Measure": spark.createDataFrame([("measure:balance", "customers by segment", "Customer", "COUNT(*) - SUM(balance < 0)", '[{"name": "segment", "type": "string", "description": "the segment", "column": "segment"}]', '["segment"]')], "id string, name string, target_class string, expr string, parameters string, dimensions string"),
     }
     ingest(store, records, Provenance("knowledge", "1"), "2024-01-01T00:00:00")
     return Knowledge(store)

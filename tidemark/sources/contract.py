@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
+import re
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,6 +30,8 @@ STRICT: dict[str, Callable[[Column], Column]] = {
 }
 #: Names of ranges in both kinds of source; others are classes, enums or unsupported.
 RANGES = {"string": "string", "uri": "string", "uriorcurie": "string", "integer": "integer", "decimal": "decimal", "double": "double", "float": "double", "number": "double", "number(quantity)": "double", "number(ordinal)": "double", "boolean": "boolean", "date": "date", "datetime": "datetime", "time": "time"}
+#: The class of measure records.
+MEASURE = "Measure"
 ROLES = ("node", "edge", "statement", "evidence", "source", "mention", "metadata")
 POLICIES = ("require", "mint", "resolve_exact", "deterministic")
 
@@ -108,6 +113,11 @@ class Contract:
                 return False
         return True
 
+    def measurable(self, but: str) -> dict[str, dict[str, str]]:
+        """The scalar public columns of every class but one, with their Spark types."""
+        own = lambda c: {s.name: SPARK_TYPES[s.type].simpleString() for s in c.slots if not (s.multivalued or s.sensitive) and s.name not in ("id", "created_at", "updated_at")}
+        return {c.name: own(c) for c in self.classes.values() if c.name != but}
+
     def takes(self, reference: str) -> tuple[str, ...]:
         """Classes that a reference to a class may point to: itself and what descends from it."""
         return tuple(c.name for c in self.classes.values() if reference == c.name or reference in c.ancestors)
@@ -164,7 +174,14 @@ def _load(text: str) -> dict:
                 raise ContractError("a key occurs twice", rule="duplicate_key")
             return dict(pairs)
 
-        return json.loads(text, object_pairs_hook=unique)
+        def safe(token: str) -> float:
+            """Numbers that a double holds as they are written; larger ones must be texts."""
+            value, lost = float(token), re.search("[1-9]", re.split("[eE]", token)[0])
+            if (value == 0 and lost) or math.isinf(value) or abs(Decimal(token)) > 2**53 - 1:
+                raise ContractError(f"the number {token} isn't safe", rule="unsafe_json_number")
+            return value
+
+        return json.loads(text, object_pairs_hook=unique, parse_float=safe, parse_int=lambda token: int(token) if safe(token) is not None else None)
     try:
         import yaml
     except ImportError as e:
@@ -172,6 +189,16 @@ def _load(text: str) -> dict:
     return yaml.safe_load(text)
 
 
+def measure_definitions(text: str) -> list[dict[str, str | None]]:
+    """The measures that a table dictionary defines beside its tables, as measure records."""
+    raw, out = _load(text), []
+    for table in raw["tables"]:
+        for d in table.get("definitions") or []:
+            own = {"id": f"measure:{d['name']}", "name": d["name"], "title": d.get("label"), "description": d.get("description"), "target_class": table["name"], "expr": d["expr"]}
+            out.append(own | {"parameters": "[]", "dimensions": "[]"})
+    return out
+
+
 def from_table_dictionary(text: str) -> Contract:
     """A contract from a table dictionary: one class of role node for each table, scalar foreign keys to `id`."""
     raw = _load(text)
@@ -201,13 +228,58 @@ def from_table_dictionary(text: str) -> Contract:
     return checked(Contract(raw["name"], classes, "sha256:" + hashlib.sha256(text.encode()).hexdigest()))
 
 
-_LINKML_REFUSED = ("mixins", "rules", "union_of", "slot_conditions", "classification_rules", "any_of", "all_of", "exactly_one_of", "none_of")
+#: What the LinkML subset reads, and what only describes. Anything else that is set would change what records mean, so it is refused.
+_DESCRIBES = ("name", "description", "title", "annotations", "comments", "notes", "examples", "aliases", "see_also", "todos", "source", "in_language", "rank", "keywords", "contributors", "created_by", "created_on", "last_updated_on", "modified_by", "status", "in_subset", "from_schema", "deprecated", "exact_mappings", "close_mappings", "related_mappings", "narrow_mappings", "broad_mappings", "mappings", "local_names", "alt_descriptions", "conforms_to", "definition_uri", "categories", "structured_aliases", "extensions")
+_READS = {
+    "schema": ("id", "version", "license", "prefixes", "default_prefix", "default_range", "default_curi_maps", "emit_prefixes", "imports", "classes", "slots", "enums", "types", "subsets", "settings", "metamodel_version", "source_file", "source_file_date", "source_file_size", "generation_date"),
+    "class": ("is_a", "abstract", "slots", "attributes", "slot_usage", "class_uri", "mixin", "mixins"),
+    "slot": ("range", "required", "multivalued", "identifier", "pattern", "minimum_value", "maximum_value", "slot_uri", "inlined", "inlined_as_list", "alias", "owner", "domain_of"),
+    "enum": ("permissible_values",),
+    "value": ("text", "meaning"),
+}
 
 
-def from_linkml(text: str, core: str | None = None, prefix: str | None = None) -> Contract:
+def _refuse(kind: str, where: str, spec: dict | None) -> None:
+    """An error for the first thing that an element sets and the subset doesn't have."""
+    for key, value in (spec or {}).items():
+        is_set = value is not None and value is not False and value != {} and value != []
+        if is_set and (key not in (*_DESCRIBES, *_READS[kind]) or (kind, key) in (("class", "mixins"), ("class", "mixin"), ("schema", "types"))):
+            raise ContractError(f"{where} uses {key}", rule="supported_linkml", field=key)
+
+
+def _closure(text: str, resolve: Callable[[str], str] | None) -> tuple[dict, list[tuple[str, str]]]:
+    """The schema of a text with all that it imports, each once, and the imported texts by name. What is nearer to the text wins;
+    `linkml:types` stands for the ranges that are known anyway. A schema that imports itself over others is an error."""
+    merged: dict[str, dict] = {"classes": {}, "slots": {}, "enums": {}}
+    seen: dict[str, str] = {}
+
+    def visit(own: str, raw: dict, above: tuple[str, ...]) -> None:
+        _refuse("schema", f"schema {raw.get('name', own)}", raw)
+        for part, of in merged.items():
+            for name, spec in (raw.get(part) or {}).items():
+                if name in of and of[name] != spec and own:
+                    raise ContractError(f"{name} is defined in several schemas", rule="unique_import_names", field=name)
+                of.setdefault(name, spec)
+        for name in raw.get("imports") or []:
+            if name in above:
+                raise ContractError(f"{name} imports itself", rule="import_cycle", field=name)
+            if name == "linkml:types" or name in seen:
+                continue
+            if resolve is None:
+                raise ContractError(f"the import {name} can't be resolved", rule="import_exists", field=name)
+            seen[name] = resolve(name)
+            visit(name, _load(seen[name]), (*above, name))
+
+    top = _load(text)
+    visit("", top, ())
+    return {**top, **merged}, sorted(seen.items())
+
+
+def from_linkml(text: str, core: str | None = None, prefix: str | None = None, resolve: Callable[[str], str] | None = None) -> Contract:
     """A contract from the supported LinkML subset. Annotations `<prefix>.<name>` set role, id_policy, label_slot,
-    search_slots, origin_key_slots, external_identifier and sensitive; classes of `core` are inherited from."""
-    raw, base = _load(text), _load(core) if core else {}
+    search_slots, origin_key_slots, external_identifier and sensitive; classes of `core` are inherited from. resolve gives the text of an
+    imported schema by its name; concrete classes of imported schemas are classes of the contract, and the digest of the source covers all texts."""
+    (raw, imported), base = _closure(text, resolve), _load(core) if core else {}
     every = {**(base.get("classes") or {}), **(raw.get("classes") or {})}
     slot_defs = {**(base.get("slots") or {}), **(raw.get("slots") or {})}
     enums = {**(base.get("enums") or {}), **(raw.get("enums") or {})}
@@ -227,7 +299,15 @@ def from_linkml(text: str, core: str | None = None, prefix: str | None = None) -
             name = (every[name] or {}).get("is_a")
         return out
 
+    for kind, defs in (("class", every), ("slot", slot_defs), ("enum", enums)):
+        for name, spec in defs.items():
+            _refuse(kind, name, spec)
+    for name, spec in enums.items():
+        for value, own in ((spec or {}).get("permissible_values") or {}).items():
+            _refuse("value", f"{name}.{value}", own)
+
     def made(owner: str, name: str, spec: dict) -> Slot:
+        _refuse("slot", f"{owner}.{name}", spec)
         kind = spec.get("range") or raw.get("default_range") or "string"
         values = tuple((enums[kind].get("permissible_values") or {})) if kind in enums else ()
         if spec.get("inlined"):
@@ -243,8 +323,6 @@ def from_linkml(text: str, core: str | None = None, prefix: str | None = None) -
     classes = {}
     for name, own in (raw.get("classes") or {}).items():
         own = own or {}
-        if refused := [k for k in _LINKML_REFUSED if own.get(k)]:
-            raise ContractError(f"{name} uses {refused[0]}", rule="supported_linkml", field=name)
         if own.get("abstract"):
             continue
         ancestors, specs = line(name), {}
@@ -265,4 +343,5 @@ def from_linkml(text: str, core: str | None = None, prefix: str | None = None) -
         for s in c.slots:
             if s.reference and s.reference not in all_names:
                 raise ContractError(f"{c.name}.{s.name} refers to a class without records", rule="slot_range_contract", field=s.name)
-    return checked(Contract(raw["name"], classes, "sha256:" + hashlib.sha256(text.encode()).hexdigest()))
+    sources = text if not imported else json.dumps([text, *imported])
+    return checked(Contract(raw["name"], classes, "sha256:" + hashlib.sha256(sources.encode()).hexdigest()))

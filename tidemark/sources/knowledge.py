@@ -15,13 +15,12 @@ from pyspark.sql import functions as F
 
 from ..errors import IdentityError, LimitError, MeasureError, RecordError, ReferenceError_, SnapshotError
 from ..operators import graph, measures, search
-from .contract import Contract, RecordClass, Slot
+from .contract import MEASURE, Contract, RecordClass, Slot
 from .store import Store
 
 #: Most rows of each read, most nodes, edges and hops of a graph read.
 CAPS = {"identifiers": 1000, "lookup": 1000, "claims": 1000, "evidence": 2000, "unresolved": 5000, "measures": 1000, "integrity": 1000, "find": 1000, "nodes": 500, "edges": 2000, "hops": 2}
 SUPPORT = ("supports", "contradicts", "mentions", "derived_from")
-MEASURE = "Measure"
 CLAIM = ["class", "record_id", "shape", "subject", "predicate", "object_entity", "object_value", "about", "statement_text", "status"]
 EVIDENCE = ["class", "record_id", "statement_id", "source_id", "support_type", "source_uri", "source_title"]
 
