@@ -6,6 +6,7 @@ from .columns import (
     first_label,
     iso_micros,
     normalize_identifier,
+    percent_encoded,
     record_id,
     snake_case,
     strict_boolean,
@@ -22,6 +23,7 @@ __all__ = [
     "first_label",
     "iso_micros",
     "normalize_identifier",
+    "percent_encoded",
     "record_id",
     "snake_case",
     "strict_boolean",

@@ -104,6 +104,13 @@ def iso_micros(value: Column) -> Column:
     return F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 
 
+def percent_encoded(value: Column | str) -> Column:
+    """The text with all but letters, digits and -._~ as percent signs and bytes."""
+    own = F.url_encode(F.col(value) if isinstance(value, str) else value)
+    # what form encoding does otherwise: spaces, stars and tildes
+    return F.replace(F.replace(F.replace(own, F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def first_label(*columns: Column) -> Column:
     """The first text that isn't blank."""
     return F.coalesce(*[F.nullif(F.trim(c.cast("string")), F.lit("")) for c in columns])

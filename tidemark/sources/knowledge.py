@@ -14,12 +14,15 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..errors import IdentityError, LimitError, MeasureError, RecordError, ReferenceError_, SnapshotError
+from ..functions import first_label
 from ..operators import graph, measures, search
 from .contract import MEASURE, Contract, RecordClass, Slot
 from .store import Store
 
 #: Most rows of each read, most nodes, edges and hops of a graph read.
 CAPS = {"identifiers": 1000, "lookup": 1000, "claims": 1000, "evidence": 2000, "unresolved": 5000, "measures": 1000, "integrity": 1000, "find": 1000, "nodes": 500, "edges": 2000, "hops": 2}
+#: Order of the edges of an answer.
+EDGE_ORDER = ("subject", "predicate", "object", "edge_class", "edge_id")
 SUPPORT = ("supports", "contradicts", "mentions", "derived_from")
 CLAIM = ["class", "record_id", "shape", "subject", "predicate", "object_entity", "object_value", "about", "statement_text", "status"]
 EVIDENCE = ["class", "record_id", "statement_id", "source_id", "support_type", "source_uri", "source_title"]
@@ -60,6 +63,11 @@ class Knowledge:
     def __init__(self, store: Store):
         self.store, self.contract = store, store.contract
 
+    @property
+    def measured(self) -> bool:
+        """Whether the contract has the class of measures."""
+        return MEASURE in self.contract.classes
+
     def classes(self, *roles: str) -> list[RecordClass]:
         return [c for c in self.contract.classes.values() if c.role in roles]
 
@@ -75,6 +83,30 @@ class Knowledge:
             out = out.unionByName(p)
         return out
 
+    # ---- search
+
+    def find_rows(self, query: str, record_class: str | None = None) -> DataFrame:
+        """id, class, label, matched_fields and record (JSON of the public slots) of all records that have the query, whatever its case, in their label or a searched slot."""
+        if not query.strip():
+            raise RecordError("the query is empty", rule="query", field="query")
+        own = [self.contract[record_class]] if record_class else list(self.contract.classes.values())
+        parts = []
+        for c in own:
+            fields = sorted({*c.search_slots, *([c.label_slot] if c.label_slot else [])} - {s.name for s in c.slots if s.sensitive})
+            if not fields:
+                continue
+            rows = self.store.records(c.name, holding=query)
+            shown = F.to_json(F.struct(F.col("record_id").alias("id"), *[F.col(f"`{s}`") for s in c.public_slots() if s in rows.columns]), {"ignoreNullFields": "false"})
+            label = first_label(*[F.col(f"`{s}`") for s in ([c.label_slot] if c.label_slot else [])], F.col("record_id"))
+            matched = F.array_compact(F.array(*[F.when(F.contains(F.lower(F.col(f"`{f}`")), F.lit(query.lower())), F.lit(f)) for f in fields]))
+            found = rows.select(F.col("record_id").alias("id"), F.lit(c.name).alias("class"), label.alias("label"), matched.alias("matched_fields"), shown.alias("record"))
+            parts.append(found.filter(F.size("matched_fields") > 0))
+        return self._union(parts, "id string, class string, label string, matched_fields array<string>, record string")
+
+    def find(self, query: str, record_class: str | None = None, limit: int = 20) -> Page:
+        """The first records that have the query, by class and id."""
+        return page(self.find_rows(query, record_class), ["class", "id"], limit, CAPS["find"])
+
     # ---- identifiers
 
     def identifiers(self, id: str, limit: int = 100) -> Page:  # noqa: A002
@@ -230,7 +262,7 @@ class Knowledge:
             by_id[n["id"]] = n
         if lost := sorted(visited - set(by_id)):
             raise ReferenceError_(f"no node {lost[0]}", rule="graph_endpoint_exists", field="graph")
-        return Subgraph([by_id[x] for x in sorted(by_id)], [kept[k] for k in sorted(kept)], truncated)
+        return Subgraph([by_id[x] for x in sorted(by_id)], sorted(kept.values(), key=lambda r: tuple(r[c] or "" for c in EDGE_ORDER)), truncated)
 
     def neighbors(self, id: str, predicate: str | None = None, direction: str = "both", hops: int = 1, projection: str = "combined", max_nodes: int = 100, max_edges: int = 500) -> Subgraph:  # noqa: A002
         return self._expand(id, [predicate] * hops, direction, projection, max_nodes, max_edges)
@@ -263,6 +295,16 @@ class Knowledge:
 
     def measure(self, name: str, arguments: dict[str, object] | None = None, by: tuple[str, ...] = ()) -> DataFrame:
         """The value of an accepted measure over the current records of its class."""
+        _, records, own = self._measure(name)
+        return measures.evaluate(records, own, arguments, tuple(by))
+
+    def measure_page(self, name: str, arguments: dict[str, object] | None = None, by: tuple[str, ...] = ()) -> tuple[Page, dict[str, str]]:
+        """The measure's rows within the cap, and the record and revision of its definition."""
+        row, records, own = self._measure(name)
+        first, more = measures.evaluate_bounded(records, own, arguments, tuple(by))
+        return Page(first.collect(), measures.MAX_ROWS, more.first()["truncated"]), {"id": row["record_id"], "revision_id": row["revision_id"]}
+
+    def _measure(self, name: str) -> tuple[Row, DataFrame, measures.Measure]:
         found = [r for r in self.measures().rows if r["name"] == name]
         if len(found) != 1:
             raise MeasureError(f"{len(found) or 'no'} accepted measures are named {name}", rule="measure_unique" if found else "measure_exists", field="name")
@@ -271,7 +313,7 @@ class Knowledge:
         own = measures.Measure.from_record(raw)
         target = self.contract[own.target_class]
         scalars = [s.name for s in target.slots if not (s.multivalued or s.sensitive) and s.name not in ("id", "created_at", "updated_at")]
-        return measures.evaluate(self.store.records(own.target_class).select(*scalars), own, arguments, tuple(by))
+        return found[0], self.store.records(own.target_class).select(*scalars), own
 
     def query(self, operation: str, request: dict | None = None, limit: int | None = None) -> object:
         """One of eight reads by name; members that a read doesn't have are refused."""

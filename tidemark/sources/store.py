@@ -281,11 +281,14 @@ class Store:
         """The latest revisions. Whoever reads a payload compares it with its digest; a forged one is an error of the read."""
         return checked_payload(ledger.latest(self.revisions(record_class)))
 
-    def records(self, name: str, public: bool = True, digests: bool = False) -> DataFrame:
-        """The current records of a class as typed columns; sensitive ones are left out. digests: with `.content_digest`."""
+    def records(self, name: str, public: bool = True, digests: bool = False, holding: str | None = None) -> DataFrame:
+        """The current records of a class as typed columns; sensitive ones are left out. digests: with `.content_digest`.
+        holding: a text, without those whose payload has it nowhere, whatever its case; they are left out before payloads are parsed."""
         own = self.contract[name]
         slots = own.public_slots() if public else [s.name for s in own.slots]
         heads = self.heads(name)
+        if holding is not None:
+            heads = heads.filter(F.contains(F.lower("payload"), F.lit(json.dumps(holding, ensure_ascii=False)[1:-1].lower())))
         kind = self.payload_type(name)
         parsed = heads.select("record_id", "revision_number", F.col("content_digest").alias(".content_digest"), F.from_json("payload", kind).alias("p"))
         typed = {s.name: typed_cell(F.col("p"), s) for s in own.slots if s.name in kind.names}

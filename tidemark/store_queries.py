@@ -163,7 +163,7 @@ def store_review(spark, sf):
     store = _new_sales_store_first(spark, sf)
     tree, work = _fresh(spark), _fresh(spark)
     files.sync(store, tree)
-    k = F.split("record_id", ":")[1].cast("long") % 11
+    k = F.get(F.split("record_id", ":"), F.lit(1)).cast("long") % 11
     of = lambda *kinds: (F.col("class") == "customer") & k.isin(*kinds)
     read = spark.read.schema("record_id string, content string, class string").json(tree)
     changed = read.filter(~of(1)).withColumn("content", F.when(of(2, 4), F.regexp_replace("content", "(?m)^segment: .*$", 'segment: {"v":"EDITED"}')).otherwise(F.col("content")))
@@ -227,3 +227,36 @@ def _copied(store: Store) -> Store:
     util = store.spark._jvm.org.apache.hadoop.fs.FileUtil
     util.copy(store.files.fs, store.files.path(""), own.files.fs, own.files.path(""), False, store.spark._jsc.hadoopConfiguration())
     return own
+
+
+@query(
+    "with x as (select c_custkey k, 'customer' as class, '* nation: [' || n_name || '](../../class=nation/page=nation_3A' || n_nationkey || ')' as line from customer join nation on c_nationkey = n_nationkey"
+    " union all select null, 'nation', '' from nation) select class, line, case when k % 10 = 1 then 'edited' else 'unchanged' end as kind, count(*) as n from x where k is null or k % 10 <> 2 group by 1, 2, 3"
+    " union all select 'customer', '', 'removed', count(*) from customer where c_custkey % 10 = 2"
+)
+def store_markdown(spark, sf):
+    """A tree of one file for each record, with what each record refers to, read back after some files were edited and some taken out."""
+    store = _new_sales_store_first(spark, sf)
+    tree, work = _fresh(spark), _fresh(spark)
+    files.publish(store, tree)
+    rows = files._tree(store, tree)
+    k = F.get(F.split("record_id", ":"), F.lit(1)).cast("long") % 10
+    customer = F.col("class") == "customer"
+    content = F.when(customer & (k == 1), F.regexp_replace("content", "(?m)^name: .*$", 'name: {"v":"Somebody"}')).otherwise(F.col("content"))
+    kept = rows.filter(~customer | (k != 2)).select(content.alias("value"), "class", F.regexp_replace("record_id", ":", "_3A").alias("page"))
+    kept.repartition("class", "page").write.partitionBy("class", "page").text(work)
+    lines = files.edited(store, work).select("class", "record_id", F.regexp_extract("content", r"(?m)^(\* nation: .*)$", 1).alias("line"))
+    return files.compare(store, work).join(lines, ["class", "record_id"], "left").groupBy("class", F.coalesce("line", F.lit("")).alias("line"), "kind").agg(F.count("*").alias("n"))
+
+
+@query(
+    "select x.class, x.id, x.label, x.matched from (select 'Customer' as class, 'customer:' || c_custkey as id, c_name as label, case when contains(lower(c_name), '1') and contains(lower(c_mktsegment), '1') then 'label,segment' else 'label' end as matched"
+    " from customer where contains(lower(c_name), '00001') union all select 'Order', 'order:' || o_orderkey, o_orderpriority, 'statement_text' from orders where contains(lower(o_orderpriority), '00001')"
+    " union all select 'Document', 'doc:' || doc_id, any_value(source), 'title' from documents where contains(lower(source), '00001') group by doc_id) x"
+)
+def store_find_all(spark, sf):
+    """Records of all classes whose label or searched fields hold a text, with the fields that do."""
+    from .queries import _knowledge
+
+    rows = _knowledge(spark, sf).find_rows("00001").filter(F.col("class").isin("Customer", "Order", "Document"))
+    return rows.select("class", "id", "label", F.concat_ws(",", "matched_fields").alias("matched"))
