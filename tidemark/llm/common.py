@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,13 +20,44 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Tables that the innermost `scratch` removes when it ends.
+_scratch: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scratch", default=None)
+
+
 def cut_table(df: DataFrame) -> DataFrame:
     """Like cut, as a Parquet table in the shared folder: for frames that several later steps read by column."""
     path = f"{shared_dir(df.sparkSession)}/tidemark/{uuid.uuid4().hex}"
+    if (own := _scratch.get()) is not None:
+        own.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are cut inside are removed at the end, also after an error, but for those that are cut by the function that this gives.
+
+    Only frames that read no other table of the inside may be used after it.
+    """
+    outer, own = _scratch.get(), []
+    token = _scratch.set(own)
+
+    def keep(df: DataFrame) -> DataFrame:
+        back = _scratch.set(outer)
+        try:
+            return cut_table(df)
+        finally:
+            _scratch.reset(back)
+
+    try:
+        yield keep
+    finally:
+        _scratch.reset(token)
+        for name in own:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_of(col: str | Column = "text") -> Column:
     """The text, a null one as the empty text."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, by_size, cut_table, text_of
+from .common import SPACE, by_size, cut_table, scratch, text_of
 
 WINDOW = 5
 PERCENT = 75
@@ -221,5 +221,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) ->
 
 def stage(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents into which no item leaked, in the columns that docs has."""
-    leaked = cut_table(find_leaks(docs, benchmark).select("doc_id").distinct())
+    with scratch(docs.sparkSession) as keep:
+        leaked = keep(find_leaks(docs, benchmark).select("doc_id").distinct())
     return docs.join(by_size(leaked, 16), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

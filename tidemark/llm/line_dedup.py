@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import setjoin
-from .common import SPACE, by_size, cut_table, shielded, text_of, without
+from .common import SPACE, by_size, cut_table, scratch, shielded, text_of, without
 
 PERCENT = 75
 
@@ -119,9 +119,10 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs with their text less the removed lines, n_lines (with a word), n_removed and removed (their numbers)."""
-    gone = removed_lines(docs, percent).groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("removed"))
+    with scratch(docs.sparkSession) as keep:
+        gone = keep(removed_lines(docs, percent).groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("removed")))
     names = ("removed", "n_lines", "n_removed", "__text", "__split")
-    found = without(docs, *names).join(by_size(cut_table(gone), 64), "doc_id", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
+    found = without(docs, *names).join(by_size(gone, 64), "doc_id", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
     left = lambda split: F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("removed")), lambda i: F.get(split, i))
     text = F.when(F.size("removed") > 0, F.array_join(setjoin.once(F.split(F.col("text"), "\n", -1), left), "\n")).otherwise(F.col("text"))
     n_lines = F.size(F.filter(F.split(text_of("text"), "\n", -1), lambda x: x.rlike(f"[^{SPACE}]")))

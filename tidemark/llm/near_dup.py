@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import setjoin
-from .common import by_size, cut_table, shielded, text_of
+from .common import by_size, cut_table, scratch, shielded, text_of
 from .shingles import U, mix, shingle_set
 
 PERCENT = 75
@@ -248,7 +248,8 @@ def stage(docs: DataFrame) -> DataFrame:
     """
 
     def one_each(own: DataFrame) -> DataFrame:
-        rows = cut_table(labelled_rows(own))
+        with scratch(own.sparkSession) as keep:
+            rows = keep(labelled_rows(own))
         blank = rows.filter("n_shingles = 0").agg(F.min(_order()).alias("x")).select("x.row").first()["row"]
         found = rows.withColumn("stays", F.when(F.col("n_shingles") > 0, F.col("row") == F.col("first")).otherwise(F.col("row").eqNullSafe(F.lit(blank))))
         gone = found.filter(~F.col("stays")).select(F.col("row").alias("__row")).distinct()
