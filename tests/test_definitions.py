@@ -137,3 +137,28 @@ def test_schemas_that_are_refused(texts, rule):
     with pytest.raises(ContractError) as e:
         C.from_linkml(TOP)
     assert e.value.rule == "import_exists"
+
+
+def test_contracts_are_read_by_what_they_are(spark, tmp_path):
+    put = lambda name, text: (tmp_path / name).write_text(text) and f"file://{tmp_path}/{name}"
+    boats = C.from_table_dictionary(json.dumps(YARD))
+    assert C.read_contract(spark, put("yard.json", json.dumps(YARD))).compatible(boats)
+    assert C.read_contract(spark, put("kept.contract.json", boats.to_json())) == boats
+    put("base.yaml", BASE), put("units.yaml", UNITS)
+    assert set(C.read_contract(spark, put("top.yaml", TOP)).classes) == {"Place", "Road"}
+    for name, text, rule in (("yard.txt", "{}", "schema_extension"), ("odd.json", '{"name": "x"}', "schema_kind"), ("both.yaml", "tables: []\nclasses: {}\n", "schema_kind")):
+        with pytest.raises(ContractError) as e:
+            C.read_contract(spark, put(name, text))
+        assert e.value.rule == rule
+
+
+def test_public_dictionaries_tell_nothing_of_data():
+    own = {"name": "x", "origin": "db", "tables": [{"name": "t", "origin": "o", "source": "s", "note": 1, "columns": [{"name": "id", "examples": ["a"], "range": {"min": 1}, "fields": [{"name": "in", "examples": [1], "type": "string"}]}]}]}
+    assert C.public_dictionary(json.dumps(own)) == {"name": "x", "tables": [{"name": "t", "note": 1, "columns": [{"name": "id", "fields": [{"name": "in", "type": "string"}]}]}]}
+
+
+def test_records_by_ids(spark, store):
+    boats = spark.createDataFrame([(f"b{i}", "sloop", "8") for i in range(9)], "id string, kind string, length string")
+    ingest(store, {"boat": boats}, Provenance("p", "1"), "2024-01-01T00:00:00")
+    assert sorted(r["record_id"] for r in store.records("boat", ids=["b3", "b5", "none"]).collect()) == ["b3", "b5"]
+    assert store.records("boat", ids=boats.selectExpr("id as record_id").filter("record_id < 'b2'")).count() == 2 and store.records("boat", ids=[]).count() == 0

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from decimal import Decimal
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -189,6 +189,44 @@ def _load(text: str) -> dict:
     return yaml.safe_load(text)
 
 
+def read_contract(spark: SparkSession, path: str, **options) -> Contract:
+    """A contract from a file, by what the file is: a written contract (`.contract.json`), a table dictionary (`.json`, or YAML with tables),
+    or LinkML (YAML with classes). Imports of a LinkML file are files beside it. options: those of from_linkml."""
+    folder, _, name = path.rpartition("/")
+    if not re.search(r"\.(json|ya?ml)$", name.lower()):
+        raise ContractError(f"{path} is neither .json nor .yaml", rule="schema_extension", field="path")
+
+    def text_at(at: str) -> str:
+        found = spark.read.text(at, wholetext=True).collect()
+        return "".join(r["value"] for r in found)  # one file
+
+    text = text_at(path)
+    if name.lower().endswith(".contract.json"):
+        return Contract.from_json(text)
+    raw = _load(text)
+    if not isinstance(raw, dict) or not ("tables" in raw) ^ ("classes" in raw or "imports" in raw):
+        raise ContractError(f"{path} has neither tables nor classes, or both", rule="schema_kind", field="path")
+    if "tables" in raw:
+        return from_table_dictionary(text)
+    return from_linkml(text, resolve=lambda other: text_at(f"{folder}/{other}.yaml"), **options)
+
+
+#: What a public copy of a dictionary leaves out, of the whole, of tables and of columns: where data comes from, and values of it.
+_PRIVATE = {"document": ("origin",), "table": ("origin", "source"), "column": ("examples", "range")}
+
+
+def public_dictionary(text: str) -> dict:
+    """A table dictionary without what tells of its data: origins and sources, and examples and ranges of columns at any depth."""
+
+    def column(own: dict) -> dict:
+        left = {k: v for k, v in own.items() if k not in _PRIVATE["column"]}
+        return left | {"fields": [column(c) for c in own["fields"]]} if isinstance(own.get("fields"), list) else left
+
+    raw = _load(text)
+    tables = [{k: v for k, v in t.items() if k not in _PRIVATE["table"]} | {"columns": [column(c) for c in t["columns"]]} for t in raw["tables"]]
+    return {k: v for k, v in raw.items() if k not in _PRIVATE["document"]} | {"tables": tables}
+
+
 def measure_definitions(text: str) -> list[dict[str, str | None]]:
     """The measures that a table dictionary defines beside its tables, as measure records."""
     raw, out = _load(text), []

@@ -281,12 +281,16 @@ class Store:
         """The latest revisions. Whoever reads a payload compares it with its digest; a forged one is an error of the read."""
         return checked_payload(ledger.latest(self.revisions(record_class)))
 
-    def records(self, name: str, public: bool = True, digests: bool = False, holding: str | None = None) -> DataFrame:
+    def records(self, name: str, public: bool = True, digests: bool = False, holding: str | None = None, ids: DataFrame | list[str] | None = None) -> DataFrame:
         """The current records of a class as typed columns; sensitive ones are left out. digests: with `.content_digest`.
-        holding: a text, without those whose payload has it nowhere, whatever its case; they are left out before payloads are parsed."""
+        holding: a text, without those whose payload has it nowhere, whatever its case; they are left out before payloads are parsed.
+        ids: only these, a list or a frame with a column record_id of any size."""
         own = self.contract[name]
         slots = own.public_slots() if public else [s.name for s in own.slots]
         heads = self.heads(name)
+        if ids is not None:
+            wanted = self.spark.createDataFrame([(x,) for x in ids], "record_id string") if isinstance(ids, list) else ids.select("record_id")
+            heads = heads.join(wanted, "record_id", "left_semi")
         if holding is not None:
             heads = heads.filter(F.contains(F.lower("payload"), F.lit(json.dumps(holding, ensure_ascii=False)[1:-1].lower())))
         kind = self.payload_type(name)
