@@ -241,19 +241,23 @@ def find_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def stage(docs: DataFrame) -> DataFrame:
+def stage(docs: DataFrame, one_blank: bool = False) -> DataFrame:
     """One row of each component, in the columns that docs has: the first by id, of repeated rows any one.
 
-    Documents without words are copies of each other here, as whatever took their words left nothing to tell them apart: the first of them stays.
+    Documents without words are linked with nothing and stay. With one_blank they are copies of each other, as after a step that took all words
+    of some: the first of them stays.
     """
 
     def one_each(own: DataFrame) -> DataFrame:
         with scratch(own.sparkSession) as keep:
             rows = keep(labelled_rows(own))
-        blank = rows.filter("n_shingles = 0").agg(F.min(_order()).alias("x")).select("x.row").first()["row"]
-        found = rows.withColumn("stays", F.when(F.col("n_shingles") > 0, F.col("row") == F.col("first")).otherwise(F.col("row").eqNullSafe(F.lit(blank))))
+        first = F.col("first")
+        if one_blank:
+            blank = rows.filter("n_shingles = 0").agg(F.min(_order()).alias("x")).select("x.row").first()["row"]
+            first = F.when(F.col("n_shingles") > 0, first).otherwise(F.lit(blank))
+        found = rows.withColumn("stays", F.coalesce(F.col("row") == first, F.lit(False)))
         gone = found.filter(~F.col("stays")).select(F.col("row").alias("__row")).distinct()
-        twice = cut_table(found.filter("stays").groupBy(F.col("row").alias("__row")).count().filter("count > 1").select("__row"))
+        twice = cut_table(found.filter(F.col("stays") & ((F.col("n_shingles") > 0) | F.lit(one_blank))).groupBy(F.col("row").alias("__row")).count().filter("count > 1").select("__row"))
         left = own.withColumn("__row", row_key()).join(by_size(gone, 16), "__row", "left_anti")
         if not twice.isEmpty():
             repeated = left.join(by_size(twice, 16), "__row", "left_semi").dropDuplicates(["__row"])
