@@ -29,7 +29,7 @@ from ..sources.store import Commit, Store, columns_of, content_digest, union
 
 #: Column of a candidate frame with the producer's own key of a record; else it comes from the class's origin slots.
 ORIGIN = ".origin_key"
-ISSUE = ["class", "input_row", "record_id", "field", "rule"]
+ISSUE = ["class", "candidate", "record_id", "field", "rule"]
 #: Rules whose breach is a matter of identity or of references; all others are of validation.
 IDENTITY_RULES = ("required_internal_id", "unique_batch_id", "class_compatible_id", "consistent_exact_identity", "internal_external_identity_agreement", "unique_origin", "origin_identity_agreement", "deterministic_key_complete")
 REFERENCE_RULES = ("reference_exists", "reference_class", "no_self_supersession")
@@ -187,25 +187,25 @@ def resolve(store: Store, staged: DataFrame, producer: str) -> tuple[DataFrame,
     return resolved.select("candidate", "record_id", "reason"), issues
 
 
-def numbered(staged: DataFrame) -> DataFrame:
-    """staged with input_row, from 1 in each class, in the order of the class's frame.
+def row_starts(staged: DataFrame) -> DataFrame:
+    """class, part and start: what turns a candidate's number into the row of its class's frame, from 1, in the order of the frame.
 
-    Rows of a partition are numbered as they come (`candidate`); only the counts of the partitions are added up, so no task sees all rows.
+    Rows of a partition are numbered as they come; only the counts of the partitions are added up, so no task sees all rows.
     """
-    part = F.shiftright("candidate", 33)
-    sizes = staged.groupBy("class", part.alias("__part")).agg(F.count("*").alias("__n"), F.min("candidate").alias("__first"))
-    before = F.sum("__n").over(W.partitionBy("class").orderBy("__part").rowsBetween(W.unboundedPreceding, 0)) - F.col("__n")
-    starts = sizes.select(F.col("class"), F.col("__part"), (before - F.col("__first") + 1).alias("__start"))
-    # one row of three numbers for each task of the input
-    return staged.withColumn("__part", part).join(F.broadcast(starts), ["class", "__part"]).withColumn("input_row", F.col("__start") + F.col("candidate")).drop("__part", "__start")
+    sizes = staged.groupBy("class", F.shiftright("candidate", 33).alias("part")).agg(F.count("*").alias("n"), F.min("candidate").alias("first"))
+    before = F.sum("n").over(W.partitionBy("class").orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")
+    return sizes.select("class", "part", (before - F.col("first") + 1).alias("start"))
 
 
-def _described(issues: DataFrame) -> DataFrame:
-    """issues with a message and the kind of error, in order: class, input row (none last), field, rule, message."""
+def _described(issues: DataFrame, staged: DataFrame) -> DataFrame:
+    """issues with the row of the input, a message and the kind of error, in order: class, input row (none last), field, rule, message."""
     asks = F.create_map(*[F.lit(x) for kv in ASKS.items() for x in kv])
     message = F.concat("class", F.lit("."), "field", F.lit(" "), F.coalesce(F.element_at(asks, F.col("rule")), F.concat(F.lit("breaks "), "rule")))
     kind = F.when(F.col("rule").isin(*IDENTITY_RULES), "identity_error").when(F.col("rule").isin(*REFERENCE_RULES), "reference_error").otherwise("validation_error")
-    return issues.select(*ISSUE, message.alias("message"), kind.alias("condition_class")).orderBy("class", F.asc_nulls_last("input_row"), "field", "rule", "message")
+    # one row of three numbers for each task of the input
+    rows = issues.withColumn("part", F.shiftright("candidate", 33)).join(F.broadcast(row_starts(staged)), ["class", "part"], "left")
+    rows = rows.select("class", (F.col("start") + F.col("candidate")).alias("input_row"), "record_id", "field", "rule", message.alias("message"), kind.alias("condition_class"))
+    return rows.orderBy("class", F.asc_nulls_last("input_row"), "field", "rule", "message")
 
 
 def plan(store: Store, records: dict[str, DataFrame], provenance: Provenance) -> Plan:
@@ -223,15 +223,15 @@ def plan(store: Store, records: dict[str, DataFrame], provenance: Provenance) ->
     else:
         resolved, found = resolve(known, staged, provenance.producer)
     heads = known.heads().select("record_id", F.col("class").alias("head_class"), "revision_number", F.col("revision_id").alias("prior_revision_id"), F.col("content_digest").alias("head_digest"), "created_at")
-    made = numbered(staged).join(resolved, "candidate").withColumn("payload", payload(F.col("record_id"), F.col("rest"))).withColumn("content_digest", content_digest())
+    made = staged.join(resolved, "candidate").withColumn("payload", payload(F.col("record_id"), F.col("rest"))).withColumn("content_digest", content_digest())
     action = F.when(F.col("head_digest").isNull(), "insert").when(F.col("head_digest") == F.col("content_digest"), "match").otherwise("update")
     made.join(heads, "record_id", "left").withColumn("action", action).write.parquet(f"{folder}/changes")
     changes = spark.read.parquet(f"{folder}/changes")
 
     def on_records(df: DataFrame) -> DataFrame:
-        return df.join(changes.select("candidate", "class", "input_row", "record_id"), "candidate").select(*ISSUE)
+        return df.join(changes.select("candidate", "class", "record_id"), "candidate").select(*ISSUE)
 
-    at_row = ["class", "input_row", "record_id"]
+    at_row = ["class", "candidate", "record_id"]
     listed = [changes.select(*at_row, F.explode("broken").alias("x")).select(*at_row, "x.field", "x.rule"), on_records(found)]
     at_id = lambda df, rule: df.select(*at_row, F.lit("id").alias("field"), F.lit(rule).alias("rule"))
     several = changes.filter("record_id is not null").groupBy("record_id").agg(F.count("*").alias("n")).filter("n > 1")
@@ -251,22 +251,22 @@ def plan(store: Store, records: dict[str, DataFrame], provenance: Provenance) ->
     order_free = F.sum(F.xxhash64("class", "supplied", "origin_key", "rest").cast("decimal(38,0)"))
     seen = staged.agg(F.count("*").alias("n"), order_free.alias("h")).first()
     input_digest = _hash([str(seen["n"]), str(seen["h"]), json.dumps(asdict(provenance), sort_keys=True)])
-    return Plan(provenance, base, changes, _described(issues), identifiers, origins, input_digest, _hash([input_digest, str(base), store.contract.build_digest()]), issues.isEmpty(), folder)
+    return Plan(provenance, base, changes, _described(issues, staged), identifiers, origins, input_digest, _hash([input_digest, str(base), store.contract.build_digest()]), issues.isEmpty(), folder)
 
 
 def _measure_issues(store: Store, changes: DataFrame) -> DataFrame:
     """What is wrong in the definitions of measures, each against the contract of its own target class; they are read where they are staged."""
     classes = store.contract.measurable(MEASURE)
     kind = "name string, target_class string, expr string, parameters string, dimensions string"
-    rows = changes.filter(F.col("class") == MEASURE).select("class", "input_row", "record_id", F.from_json("rest", kind).alias("p")).select("class", "input_row", "record_id", "p.*")
-    kinds = {"class": pa.string(), "input_row": pa.int64(), "record_id": pa.string(), "field": pa.string(), "rule": pa.string()}
+    rows = changes.filter(F.col("class") == MEASURE).select("class", "candidate", "record_id", F.from_json("rest", kind).alias("p")).select("class", "candidate", "record_id", "p.*")
+    kinds = {"class": pa.string(), "candidate": pa.int64(), "record_id": pa.string(), "field": pa.string(), "rule": pa.string()}
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(r["class"], r["input_row"], r["record_id"], *found) for r in batch.to_pylist() for found in measures.definition_issues(r, classes)]
+            out = [(r["class"], r["candidate"], r["record_id"], *found) for r in batch.to_pylist() for found in measures.definition_issues(r, classes)]
             yield pa.RecordBatch.from_pydict({c: pa.array([o[i] for o in out], t) for i, (c, t) in enumerate(kinds.items())})
 
-    return rows.mapInArrow(judge, "class string, input_row long, record_id string, field string, rule string")
+    return rows.mapInArrow(judge, "class string, candidate long, record_id string, field string, rule string")
 
 
 def seed_measures(store: Store, dictionary: str, committed_at: str) -> dict[str, int]:
@@ -282,7 +282,7 @@ def seed_measures(store: Store, dictionary: str, committed_at: str) -> dict[str,
 
 def _broken_references(store: Store, names: list[str], changes: DataFrame) -> DataFrame:
     """References to nothing, or to a class that the slot doesn't take, among the batch and the store."""
-    refs = changes.select("class", "input_row", "record_id", F.explode("refs").alias("x")).select("class", "input_row", "record_id", "x.field", "x.target")
+    refs = changes.select("class", "candidate", "record_id", F.explode("refs").alias("x")).select("class", "candidate", "record_id", "x.field", "x.target")
     known = store.heads().select(F.col("class").alias("target_class"), F.col("record_id").alias("target"))
     known = known.join(refs.select("target").distinct(), "target", "left_semi").unionByName(changes.filter("record_id is not null").select(F.col("class").alias("target_class"), F.col("record_id").alias("target"))).distinct()
     takes = F.lit(False)
