@@ -78,5 +78,39 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+#: Sizes, ranks and weights of sources; shares that stop at three times a source's size, found in the order in which they would stop; then three
+#: passes over a source's documents in the order of the digest of seed and id.
+MIXING_SQL = r"""
+with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size, substr(md5('2024:' || coalesce(cast(doc_id as varchar), '')), 1, 15) as k from documents),
+ s as (select source, cast(sum(size) as bigint) as source_size, 1 + (row_number() over (order by source nulls last) - 1) % 3 as w from d group by source),
+ r as (select *, row_number() over (order by 3 * source_size / w, source nulls last) as i from s),
+ c as (select *, cast((sum(source_size) over ()) - 3 * coalesce(sum(source_size) over (order by i rows between unbounded preceding and 1 preceding), 0) as bigint) as rest, cast(sum(w) over (order by i rows between current row and unbounded following) as bigint) as ws from r),
+ l as (select rest, ws from c where rest * w <= 3 * source_size * ws order by i limit 1),
+ t as (select c.source, c.source_size, case when l.rest * c.w > 3 * c.source_size * l.ws then cast(3 * c.source_size as double) else cast(l.rest * c.w as double) / l.ws end as target,
+   case when l.rest * c.w > 3 * c.source_size * l.ws then 3 * c.source_size else (l.rest * c.w) // l.ws end as quota from c, l),
+ b as (select *, coalesce(sum(size) over (partition by source order by k, doc_id, size rows between unbounded preceding and 1 preceding), 0) as before from d),
+ x as (select b.*, t.source_size, t.target, cast(greatest(0, least(b.size, t.quota - b.before)) + greatest(0, least(b.size, t.quota - t.source_size - b.before)) + greatest(0, least(b.size, t.quota - 2 * t.source_size - b.before)) as bigint) as taken
+   from b join t on b.source is not distinct from t.source)
+select doc_id, cast(size as bigint) as size, source_size, target, taken, source, case when size > 0 then taken // size end as repeats from x
+"""
+#: All phrases of all pieces, counted; parts joined to candidates; the best cut; what longer candidates cover goes.
+COLLOCATIONS_SQL = r"""
+with p as (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+ w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from p),
+ n as (select lang, cast(sum(len(ws)) as bigint) as n from w group by lang),
+ m as (select lang, ws, m, unnest(range(1, len(ws) - m + 2)) as i from w, (values (1), (2), (3), (4)) y(m) where len(ws) >= m),
+ f as (select lang, m, array_to_string(ws[i:i + m - 1], ' ') as phrase, count(*) as f from m group by all having count(*) >= 30),
+ c as (select lang, m, phrase, f as a, string_split(phrase, ' ') as ws from f where m > 1),
+ o as (select lang, a, ws, m, k, unnest(range(1, m - k + 2)) as i from c, (values (2), (3)) y(k) where k < m),
+ v as (select lang, array_to_string(ws[i:i + k - 1], ' ') as phrase, max(a) as longer from o group by all),
+ q as (select c.*, unnest(range(1, m)) as k from c left join v using (lang, phrase) where longer is null or 100 * longer < 80 * a),
+ z as (select q.lang, q.phrase, q.a, q.k, l.f as l, r.f as r, cast((2000000::hugeint * q.a) // (l.f + r.f) as bigint) as score from q
+   join f l on l.lang = q.lang and l.phrase = array_to_string(q.ws[1:q.k], ' ') join f r on r.lang = q.lang and r.phrase = array_to_string(q.ws[q.k + 1:q.m], ' ')),
+ e as (select * from z qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+ g as (select e.*, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from e)
+select g.lang, g.rank, g.phrase, g.a, g.l, g.r, n.n, g.score from g join n using (lang) where g.rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_mixing": MIXING_SQL, "op12_collocations": COLLOCATIONS_SQL}
