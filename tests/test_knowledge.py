@@ -107,3 +107,9 @@ def test_measures_of_a_store(known):
         known.measure("none")
 
 
+
+
+def test_capped_claims_of_a_record_are_of_all_its_classes(known):
+    """A class with more claims than the cap leaves room for the others; the answer is in order of class and id."""
+    got = known.get("t0", ("claims",), {"claims": 2})
+    assert [(r["class"], r["record_id"]) for r in got["related"]["claims"]] == [("Fact", "f1"), ("Remark", "r1")] and got["truncated"]["claims"]

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..errors import IdentityError, LimitError, MeasureError, RecordError, ReferenceError_, SnapshotError
@@ -151,6 +152,13 @@ class Knowledge:
         self._class_of(id)
         return page(search.claims(self.claim_rows(), id, predicate, include_superseded), ["class", "record_id"], limit, CAPS["claims"])
 
+    def _claims_of_all_classes(self, id: str, limit: int) -> Page:  # noqa: A002
+        """The active claims about a record, those of a class by id, as many of each class as fit: a class of many doesn't crowd out the others."""
+        place = F.row_number().over(W.partitionBy("class").orderBy("record_id"))
+        rows = search.claims(self.claim_rows(), id).withColumn("place", place).filter(F.col("place") <= limit + 1)
+        out = page(rows, ["place", "class", "record_id"], limit, CAPS["claims"])
+        return replace(out, rows=sorted((Row(**{c: r[c] for c in CLAIM}) for r in out.rows), key=lambda r: (r["class"], r["record_id"])))
+
     def evidence_rows(self) -> DataFrame:
         """All current evidence with its source's address and title."""
         parts = [self.store.records(c.name).select(F.lit(c.name).alias("class"), "record_id", *[F.col(n).cast("string").alias(n) for n in ("statement_id", "source_id", "support_type")]) for c in self.classes("evidence")]
@@ -282,7 +290,7 @@ class Knowledge:
         if "identifiers" in include:
             related["identifiers"] = self.identifiers(id, most["identifiers"])
         if "claims" in include:
-            related["claims"] = self.claims(id, limit=most["claims"])
+            related["claims"] = self._claims_of_all_classes(id, most["claims"])
         if "evidence" in include:
             scope = {"statement": "statement_id", "source": "source_id", "node": "entity_id"}.get(own.role)
             related["evidence"] = self.evidence(**{scope: id}, limit=most["evidence"]) if scope else Page([], most["evidence"], False)
