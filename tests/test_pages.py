@@ -1,5 +1,6 @@
 """One Markdown file for each record: lists, round trip with review, odd ids."""
 
+import inspect
 import json
 from pathlib import Path
 
@@ -59,3 +60,16 @@ def test_percent_encoding(spark):
     texts = ["a b", "ü/é?", "*~-._", "100%", "", "+&="]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(percent_encoded(F.col("t"))).collect()
     assert [r[0] for r in got] == [quote(t, safe="") for t in texts]
+
+
+def test_a_publication_takes_all_records_in_several_tasks(spark, tmp_path):
+    """The default had refused stores of more than 10,000 records, and small pages were all written by one task."""
+    assert inspect.signature(files.publish).parameters["limit"].default is None
+    pages = spark.range(40).selectExpr("concat('text ', id) as value", "'C' as class", "cast(id as string) as page")
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    try:
+        files.write_pages(pages, f"file://{tmp_path}/tree")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+    written = list(Path(f"{tmp_path}/tree").glob("class=C/page=*/*.txt"))
+    assert len(written) == 40 and len({p.name.split("-")[1] for p in written}) > 4

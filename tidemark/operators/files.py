@@ -124,18 +124,17 @@ def published_pages(store: Store) -> DataFrame:
     return _stamped(rows)
 
 
-def publish(store: Store, path: str, limit: int = MAX_RECORDS) -> str:
-    """Replace the tree at a path by one Markdown file for each current record; its digest.
+def publish(store: Store, path: str, limit: int | None = None) -> str:
+    """Replace the tree at a path by one Markdown file for each current record; its digest. limit: a larger store is refused whole.
 
     The files are written below `<path>.staged` and moved when they are complete, so a reader finds the former tree, or none for the moment of the change, or the new one.
     """
     rows, at = cut(published_pages(store)), store.snapshot()
-    if rows.limit(limit + 1).count() > limit:
+    if limit is not None and rows.limit(limit + 1).count() > limit:
         raise LimitError(f"more than {limit} records", rule="export_limit")
     staged = f"{path}.staged"
     whole = rows.unionByName(_index(store, at)).select(F.col("content").alias("value"), "class", _file_name("record_id").alias("page"))
-    # a task writes the pages of its part, each into a folder of its own
-    whole.repartition("class", "page").write.mode("overwrite").option("lineSep", "\n").partitionBy("class", "page").text(staged)
+    write_pages(whole, staged)
     here = Files(store.spark, path)
     here.fs.delete(here.path(""), True)
     if not here.fs.rename(here.path("").suffix(".staged"), here.path("")):
@@ -143,6 +142,13 @@ def publish(store: Store, path: str, limit: int = MAX_RECORDS) -> str:
     return tree_digest(rows)
 
 
+def write_pages(pages: DataFrame, path: str) -> None:
+    """Write the values of pages (value, class, page) as files, each in a folder of its own."""
+    # a file costs far more than its bytes, so the tasks are dealt by number: by size, small pages would all go to one task
+    tasks = 4 * pages.sparkSession.sparkContext.defaultParallelism
+    pages.repartition(tasks, "class", "page").write.mode("overwrite").option("lineSep", "\n").partitionBy("class", "page").text(path)
+
+
 def tree_digest(rows: DataFrame) -> str:
     """A digest of a tree that doesn't depend on the order of its pages."""
     one = F.sum(F.xxhash64("class", "record_id", "content").cast("decimal(38,0)"))

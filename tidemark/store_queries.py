@@ -244,7 +244,7 @@ def store_markdown(spark, sf):
     customer = F.col("class") == "customer"
     content = F.when(customer & (k == 1), F.regexp_replace("content", "(?m)^name: .*$", 'name: {"v":"Somebody"}')).otherwise(F.col("content"))
     kept = rows.filter(~customer | (k != 2)).select(content.alias("value"), "class", F.regexp_replace("record_id", ":", "_3A").alias("page"))
-    kept.repartition("class", "page").write.partitionBy("class", "page").text(work)
+    files.write_pages(kept, work)
     lines = files.edited(store, work).select("class", "record_id", F.regexp_extract("content", r"(?m)^(\* nation: .*)$", 1).alias("line"))
     return files.compare(store, work).join(lines, ["class", "record_id"], "left").groupBy("class", F.coalesce("line", F.lit("")).alias("line"), "kind").agg(F.count("*").alias("n"))
 
