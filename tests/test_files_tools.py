@@ -44,3 +44,12 @@ def test_tools_are_bounded_and_give_receipts(store):
         own["history"](id="p1", limit=5000)
     with pytest.raises(RecordError):
         own["get"](id="o1", sql="select 1")
+
+
+def test_sync_takes_a_store_of_any_size(spark, tmp_path):
+    """The default had refused more than 10,000 records."""
+    own = Store.open(spark, f"file://{tmp_path}/store", C.from_table_dictionary(TABLES))
+    many = spark.range(10_001).selectExpr("concat('o', id) as id", "concat('name ', id) as name")
+    ingest(own, {"organization": many}, Provenance("import", "k1"), "2024-01-01T00:00:00")
+    files.sync(own, f"file://{tmp_path}/tree")
+    assert files.edited(own, f"file://{tmp_path}/tree").count() == 10_001

@@ -24,8 +24,6 @@ from ..sources.contract import RecordClass
 from ..sources.knowledge import Knowledge
 from ..sources.store import Files, Snapshot, Store
 
-#: Records that one export takes at most; a larger one is refused whole.
-MAX_RECORDS = 10_000
 #: Evidence that a page lists of its record.
 EVIDENCE_LISTED = 100
 #: Class of the page that holds the boundary of a tree.
@@ -156,10 +154,10 @@ def tree_digest(rows: DataFrame) -> str:
     return f"tree:{found['n']}:{found['h']}"
 
 
-def sync(store: Store, path: str, limit: int = MAX_RECORDS) -> str:
-    """Replace the tree at a path by the store's current records; its digest."""
+def sync(store: Store, path: str, limit: int | None = None) -> str:
+    """Replace the tree at a path by the store's current records; its digest. limit: a larger store is refused whole."""
     rows, at = pages(store), store.snapshot()
-    if rows.limit(limit + 1).count() > limit:
+    if limit is not None and rows.limit(limit + 1).count() > limit:
         raise LimitError(f"more than {limit} records", rule="export_limit")
     # Hive-style folders, one for each class; ids may hold any character, so they stay inside the rows
     rows.unionByName(_index(store, at)).write.mode("overwrite").partitionBy("class").json(path)
