@@ -6,6 +6,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
+from tests.test_store import TABLES, orgs, people
 from tidemark.errors import HistoryError, InvalidPlanError, SnapshotBoundaryError, SnapshotError, StalePlanError
 from tidemark.operators import files
 from tidemark.plans.plan import Provenance, commit, discard, ingest, plan
@@ -180,3 +181,14 @@ def test_reviews_refuse_what_they_cannot_propose(spark, store, tmp_path):
         with pytest.raises(InvalidPlanError) as e:
             files.review(store, path, Provenance("r", rule))
         assert e.value.rule == rule
+
+
+def test_a_plan_by_supplied_ids_is_staged_once(spark, tmp_path):
+    """Its candidates are written with their changes, and nothing is dealt out to find that no id repeats and no reference is broken."""
+    store = Store.open(spark, f"file://{tmp_path}/store", C.from_table_dictionary(TABLES))
+    good = plan(store, {"organization": orgs(spark, ("o1", "Planet")), "person": people(spark, ("p1", "Lois", "senior", "33", "o1"))}, Provenance("p", "1"))
+    assert good.valid and [n for n in store.files.names(good.folder.removeprefix(f"{store.path}/"))] == ["changes"]
+    twice = [("p1", "Lois", "senior", "33", "o1"), ("p1", "Lane", "senior", "33", "none"), ("p2", "Clark", "senior", "33", "none")]
+    bad = plan(store, {"organization": orgs(spark, ("o1", "Planet")), "person": people(spark, *twice)}, Provenance("p", "2"))
+    found = sorted((r["rule"], r["input_row"]) for r in bad.issues.collect())
+    assert found == [("reference_exists", 2), ("reference_exists", 3), ("unique_batch_id", 1), ("unique_batch_id", 2)]

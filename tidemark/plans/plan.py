@@ -214,39 +214,52 @@ def plan(store: Store, records: dict[str, DataFrame], provenance: Provenance) ->
     base = store.snapshot().commit_order
     known = Store(spark, store.path, store.contract, base)  # what comes meanwhile is for the commit to see
     staged = union([_staged(store.contract[name], frame) for name, frame in records.items()]).withColumn("candidate", F.monotonically_increasing_id())
-    staged.write.parquet(f"{folder}/staged")
-    staged = spark.read.parquet(f"{folder}/staged")
     own = [store.contract[n] for n in records]
     simple = all(c.id_policy == "require" and not c.origin_slots and not any(s.namespace for s in c.slots) for c in own) and not any(ORIGIN in f.columns for f in records.values())
-    if simple:  # nothing but supplied ids to go by
-        resolved, found = staged.select("candidate", F.col("supplied").alias("record_id"), F.lit("id").alias("reason")), staged.filter("supplied is null").select("candidate", F.lit("id").alias("field"), F.lit("required_internal_id").alias("rule"))
+    if simple:  # nothing but supplied ids to go by: the changes are the only staged rows
+        made = staged.withColumn("record_id", F.col("supplied")).withColumn("reason", F.lit("id"))
     else:
+        staged.write.option("compression", "zstd").parquet(f"{folder}/staged")
+        staged = spark.read.parquet(f"{folder}/staged")
         resolved, found = resolve(known, staged, provenance.producer)
-    heads = known.heads().select("record_id", F.col("class").alias("head_class"), "revision_number", F.col("revision_id").alias("prior_revision_id"), F.col("content_digest").alias("head_digest"), "created_at")
-    made = staged.join(resolved, "candidate").withColumn("payload", payload(F.col("record_id"), F.col("rest"))).withColumn("content_digest", content_digest())
+        made = staged.join(resolved, "candidate")
+    if base:
+        heads = known.heads().select("record_id", F.col("class").alias("head_class"), "revision_number", F.col("revision_id").alias("prior_revision_id"), F.col("content_digest").alias("head_digest"), "created_at")
+        made = made.join(heads, "record_id", "left")
+    else:  # a store without batches has no heads
+        made = made.withColumns({c: F.lit(None).cast(t) for c, t in (("head_class", "string"), ("revision_number", "int"), ("prior_revision_id", "string"), ("head_digest", "string"), ("created_at", "string"))})
+    # payloads are made after the rows are dealt by record
+    made = made.withColumn("payload", payload(F.col("record_id"), F.col("rest"))).withColumn("content_digest", content_digest())
     action = F.when(F.col("head_digest").isNull(), "insert").when(F.col("head_digest") == F.col("content_digest"), "match").otherwise("update")
-    made.join(heads, "record_id", "left").withColumn("action", action).write.parquet(f"{folder}/changes")
+    made.withColumn("action", action).write.option("compression", "zstd").parquet(f"{folder}/changes")
     changes = spark.read.parquet(f"{folder}/changes")
+    if simple:
+        staged = changes
 
     def on_records(df: DataFrame) -> DataFrame:
         return df.join(changes.select("candidate", "class", "record_id"), "candidate").select(*ISSUE)
 
     at_row = ["class", "candidate", "record_id"]
-    listed = [changes.select(*at_row, F.explode("broken").alias("x")).select(*at_row, "x.field", "x.rule"), on_records(found)]
+    listed = [changes.select(*at_row, F.explode("broken").alias("x")).select(*at_row, "x.field", "x.rule")]
     at_id = lambda df, rule: df.select(*at_row, F.lit("id").alias("field"), F.lit(rule).alias("rule"))
+    listed.append(at_id(changes.filter("supplied is null"), "required_internal_id") if simple else on_records(found))
     several = changes.filter("record_id is not null").groupBy("record_id").agg(F.count("*").alias("n")).filter("n > 1")
-    listed.append(at_id(changes.join(several, "record_id"), "unique_batch_id"))
+    if not several.isEmpty():  # the rows themselves are dealt out only where ids repeat
+        listed.append(at_id(changes.join(several, "record_id"), "unique_batch_id"))
     listed.append(at_id(changes.filter("head_class <> class"), "class_compatible_id"))
     if any(s.name == "superseded_by" for n in records for s in store.contract[n].slots):
         selves = changes.select(*at_row, F.explode("refs").alias("x")).filter("x.field = 'superseded_by' and x.target = record_id")
         listed.append(selves.select(*at_row, "x.field", F.lit("no_self_supersession").alias("rule")))
     if any(s.reference for n in records for s in store.contract[n].slots):
-        listed.append(_broken_references(known, list(records), changes))
+        lost = _broken_references(known, list(records), changes)
+        listed += [lost] if lost is not None else []
     if MEASURE in records:
         listed.append(_measure_issues(store, changes))
-    identifiers = changes.select("class", "record_id", F.explode("ids").alias("x")).select("class", "record_id", "x.namespace", "x.normalized").filter("record_id is not null").distinct()
+    # a record of a valid plan has one candidate, so only a candidate's own identifiers can repeat
+    named = F.array_distinct(F.transform("ids", lambda x: F.struct(x["namespace"].alias("namespace"), x["normalized"].alias("normalized"))))
+    identifiers = changes.filter("record_id is not null").select("class", "record_id", F.explode(named).alias("x")).select("class", "record_id", "x.namespace", "x.normalized")
     origin = F.coalesce("origin_key", F.concat(F.lit("record-v1:"), "record_id"))
-    origins = changes.filter("record_id is not null").select("class", "record_id", F.lit(provenance.producer).alias("producer"), origin.alias("origin_key")).distinct()
+    origins = changes.filter("record_id is not null").select("class", "record_id", F.lit(provenance.producer).alias("producer"), origin.alias("origin_key"))
     issues = union(listed)
     order_free = F.sum(F.xxhash64("class", "supplied", "origin_key", "rest").cast("decimal(38,0)"))
     seen = staged.agg(F.count("*").alias("n"), order_free.alias("h")).first()
@@ -280,18 +293,23 @@ def seed_measures(store: Store, dictionary: str, committed_at: str) -> dict[str,
     return ingest(store, {MEASURE: frame}, Provenance("contract", key), committed_at)
 
 
-def _broken_references(store: Store, names: list[str], changes: DataFrame) -> DataFrame:
-    """References to nothing, or to a class that the slot doesn't take, among the batch and the store."""
+def _broken_references(store: Store, names: list[str], changes: DataFrame) -> DataFrame | None:
+    """References to nothing, or to a class that the slot doesn't take, among the batch and the store; None where all hold."""
     refs = changes.select("class", "candidate", "record_id", F.explode("refs").alias("x")).select("class", "candidate", "record_id", "x.field", "x.target")
-    known = store.heads().select(F.col("class").alias("target_class"), F.col("record_id").alias("target"))
-    known = known.join(refs.select("target").distinct(), "target", "left_semi").unionByName(changes.filter("record_id is not null").select(F.col("class").alias("target_class"), F.col("record_id").alias("target"))).distinct()
+    asked = refs.select("class", "field", "target").distinct()
+    known = changes.filter("record_id is not null").select(F.col("class").alias("target_class"), F.col("record_id").alias("target"))
+    if store.pinned:
+        heads = store.heads().select(F.col("class").alias("target_class"), F.col("record_id").alias("target"))
+        known = known.unionByName(heads.join(asked.select("target").distinct(), "target", "left_semi"))
     takes = F.lit(False)
     for n in names:
         for s in store.contract[n].slots:
             if s.reference:
                 takes = takes | ((F.col("class") == n) & (F.col("field") == s.name) & F.col("target_class").isin(*store.contract.takes(s.reference)))
     rule = F.when(F.col("target_class").isNull(), "reference_exists").when(~takes, "reference_class")
-    return refs.join(known, "target", "left").withColumn("rule", rule).filter("rule is not null").select(*ISSUE)
+    # each target is looked up once, whatever number of rows refers to it; rows are dealt out only where some target is broken
+    broken = asked.join(known, "target", "left").withColumn("rule", rule).filter("rule is not null").select("class", "field", "target", "target_class", "rule").distinct()
+    return None if broken.isEmpty() else refs.join(broken, ["class", "field", "target"]).select(*ISSUE)
 
 
 def _hash(parts: list[str]) -> str:

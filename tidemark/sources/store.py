@@ -277,9 +277,15 @@ class Store:
 
         return register(own.select("class", "record_id", "namespace", F.col("normalized").alias("value"), F.col("commit_order").alias("first_order")))
 
-    def heads(self, record_class: str | None = None) -> DataFrame:
-        """The latest revisions. Whoever reads a payload compares it with its digest; a forged one is an error of the read."""
-        return checked_payload(ledger.latest(self.revisions(record_class)))
+    def heads(self, record_class: str | None = None, ids: DataFrame | list[str] | None = None) -> DataFrame:
+        """The latest revisions, all or those of ids (a list, or a frame with a column record_id of any size), picked before rows are dealt by record.
+        Whoever reads a payload compares it with its digest; a forged one is an error of the read."""
+        found = self.revisions(record_class)
+        if isinstance(ids, list):
+            found = found.filter(F.col("record_id").isin(ids))
+        elif ids is not None:
+            found = found.join(ids.select("record_id"), "record_id", "left_semi").select(*found.columns)
+        return checked_payload(ledger.latest(found))
 
     def records(self, name: str, public: bool = True, digests: bool = False, holding: str | None = None, ids: DataFrame | list[str] | None = None) -> DataFrame:
         """The current records of a class as typed columns; sensitive ones are left out. digests: with `.content_digest`.
@@ -287,10 +293,7 @@ class Store:
         ids: only these, a list or a frame with a column record_id of any size."""
         own = self.contract[name]
         slots = own.public_slots() if public else [s.name for s in own.slots]
-        heads = self.heads(name)
-        if ids is not None:
-            wanted = self.spark.createDataFrame([(x,) for x in ids], "record_id string") if isinstance(ids, list) else ids.select("record_id")
-            heads = heads.join(wanted, "record_id", "left_semi")
+        heads = self.heads(name, ids)
         if holding is not None:
             heads = heads.filter(F.contains(F.lower("payload"), F.lit(json.dumps(holding, ensure_ascii=False)[1:-1].lower())))
         kind = self.payload_type(name)
@@ -378,7 +381,8 @@ class Store:
         commit = replace(commit, chain=chain_digest(before, commit))
 
         def write(name: str, rows: DataFrame) -> None:
-            rows.write.partitionBy("class").parquet(f"{self.path}/{name}/batch={commit.folder}")
+            # digests are half of a row and hexadecimal text: zstd halves them
+            rows.write.option("compression", "zstd").partitionBy("class").parquet(f"{self.path}/{name}/batch={commit.folder}")
 
         with ThreadPoolExecutor(len(TABLES)) as pool:  # four jobs at once; the first error is raised
             list(pool.map(write, TABLES, (revisions, observations, identifiers, origins)))
