@@ -196,11 +196,12 @@ class Knowledge:
 
     # ---- graph
 
-    def nodes(self) -> DataFrame:
+    def nodes(self, ids: list[str] | None = None) -> DataFrame:
+        """All nodes, or those of a list of ids."""
         parts = []
         for c in self.classes(*graph.NODE_ROLES):
             label = F.col(c.label_slot).cast("string") if c.label_slot else F.lit(None).cast("string")
-            parts.append(self.store.records(c.name).select(F.col("record_id").alias("id"), F.lit(c.name).alias("class"), label.alias("label"), F.lit(c.role).alias("role")))
+            parts.append(self.store.records(c.name, ids=ids).select(F.col("record_id").alias("id"), F.lit(c.name).alias("class"), label.alias("label"), F.lit(c.role).alias("role")))
         return self._union(parts, "id string, class string, label string, role string")
 
     def edges(self, projection: str = "combined") -> DataFrame:
@@ -262,7 +263,7 @@ class Knowledge:
             inside = [r for r in fresh if r["subject"] in visited and r["object"] in visited]
             truncated |= len(inside) < len(fresh)
             kept |= {(r["layer"], r["edge_id"]): r for r in inside}
-        nodes = self.nodes().join(F.broadcast(spark.createDataFrame([(x,) for x in visited], "id string")), "id").select("id", "class", "label", "role").collect()
+        nodes = self.nodes(sorted(visited)).select("id", "class", "label", "role").collect()
         by_id: dict[str, Row] = {}
         for n in nodes:
             if n["id"] in by_id:
