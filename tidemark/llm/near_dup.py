@@ -128,9 +128,10 @@ def node_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def star_pairs(rows: DataFrame) -> DataFrame:
-    """rows (key, node) of groups with two nodes or more, each with the group's least node as center."""
-    groups = rows.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last")).filter("center != last")
-    return rows.join(groups.select("key", "center"), "key")
+    """rows (key, node) of groups with two nodes or more, each with the group's least node as center; of groups of the same nodes one."""
+    members = {"center": F.min("node"), "last": F.max("node"), "n": F.count("*"), "all": F.bit_xor(F.xxhash64("node"))}
+    groups = rows.groupBy("key").agg(*[v.alias(k) for k, v in members.items()]).filter("center != last")
+    return rows.join(groups.groupBy(*members).agg(F.min("key").alias("key")).select("key", "center"), "key")
 
 
 def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -200,8 +201,8 @@ def missed_links(docs: DataFrame, left: DataFrame, nodes: DataFrame, percent: in
     sets = cut_table(node_sets(docs, cut_table(left.join(nodes, "node").select("node", "row"))))
     levels = setjoin.rarity_levels(sets.select(F.explode_outer("shingles").alias("h")), "h")
     described = setjoin.described(F.col("t"), percent)
-    rows = setjoin.tokens(sets.withColumnRenamed("node", "id"), F.col("shingles"), levels, "t").select("id", *[v.alias(k) for k, v in described.items() if k != "parts"])
-    pairs, hot = setjoin.join(cut_table(rows.join(left.withColumnRenamed("node", "id"), "id")), percent, "label")
+    rows = setjoin.tokens(sets.withColumnRenamed("node", "id"), F.col("shingles"), levels, "t").select("id", *[v.alias(k) for k, v in described.items()])
+    pairs, hot = setjoin.join(cut_table(rows.join(left.withColumnRenamed("node", "id"), "id")), percent, "label", once=True)
     if hot is not None:
         pairs = cut_table(pairs.unionByName(setjoin.self_join(hot, percent, setjoin.levels_of(percent), "label")).distinct())
     return cut_table(verified(plausible(pairs, nodes, percent), sets, percent))

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,8 @@ LEVELS = 3
 WIDE = 64
 #: Columns of a set that its keys carry.
 OWN = ("id", "n", "pos", "low", "high")
+#: The tokens before a key's, the nearest first and two to a number, where rows carry them.
+BEFORE = ("before0", "before1")
 
 
 def bin_of(hashed: Column) -> Column:
@@ -105,36 +108,61 @@ def may_match(a: Callable[[str], Column], b: Callable[[str], Column], percent: i
     return lengths & places & ((100 + percent) * differ <= (100 - percent) * both)
 
 
+def before(prefix: Column, pos: Column) -> dict[str, Column]:
+    """BEFORE of the token at pos of a prefix."""
+    at = lambda k: F.coalesce(F.get(prefix, pos - k), F.lit(0)).cast("long")
+    return {c: F.shiftleft(at(2 * k + 1), 32).bitwiseOR(at(2 * k + 2).bitwiseAND(F.lit(0xFFFFFFFF))) for k, c in enumerate(BEFORE)}
+
+
+def met_before(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+    """Whether two sets at a key of one token share one of the tokens that stand just before it: they meet there as well, and with fewer tokens behind them."""
+
+    def at(x: Callable[[str], Column], k: int) -> Column:
+        two = x(BEFORE[(k - 1) // 2])
+        return F.shiftrightunsigned(two, 32) if k % 2 else two.bitwiseAND(F.lit(0xFFFFFFFF))
+
+    places = range(1, 2 * len(BEFORE) + 1)
+    return reduce(Column.__or__, [(a("pos") >= i) & (b("pos") >= j) & (at(a, i) == at(b, j)) for i in places for j in places])
+
+
 def _side(name: str) -> Callable[[str], Column]:
     return lambda c: F.col(f"{name}.{c}")
 
 
-def met(x: DataFrame, y: DataFrame, percent: int, shared: int, further: Column) -> DataFrame:
-    """Distinct pairs (a, b) of the ids of rows x and y that meet at a key and pass the filters and a further condition."""
+def meetings(x: DataFrame, y: DataFrame, percent: int, shared: int, further: Column) -> DataFrame:
+    """Pairs (a, b) of the ids of rows x and y for each key at which they meet and pass the filters and a further condition."""
     holds = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & may_match(_side("x"), _side("y"), percent, shared)
     pairs = x.alias("x").join(y.alias("y"), holds & further)
-    return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+
+def met(x: DataFrame, y: DataFrame, percent: int, shared: int, further: Column) -> DataFrame:
+    """Distinct pairs of meetings."""
+    return meetings(x, y, percent, shared, further).distinct()
 
 
 def self_join(keyed: DataFrame, percent: int, shared: int, group: str | None) -> DataFrame:
     """Distinct pairs (a < b) of ids that meet at a key, pass the filters and, with group, are of different groups."""
     further = F.col("x.id") < F.col("y.id")
+    if BEFORE[0] in keyed.columns:
+        further = further & ~met_before(_side("x"), _side("y"))
     if group:
         further = further & (F.col(f"x.{group}") != F.col(f"y.{group}"))
     return met(keyed, keyed, percent, shared, further)
 
 
-def join(nodes: DataFrame, percent: int, group: str | None = None) -> tuple[DataFrame, DataFrame | None]:
+def join(nodes: DataFrame, percent: int, group: str | None = None, once: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """Candidate pairs (a, b), and the rows of keys that are hot at every length, None where there are none.
 
     nodes: a row for each id with the columns of described() and, if given, group. A pair that reaches the threshold is among the
-    candidates or meets at a key of the hot rows.
+    candidates or meets at a key of the hot rows. once: pairs that share many tokens don't meet at each of them: rows also carry the
+    tokens before theirs, and of shared tokens that stand close to each other only the first makes a pair. The first that two sets share always does.
     """
     extra = [group] if group else []
     top = levels_of(percent)
     whole = nodes.select("id", "n", "low", "high", *extra, "prefix", "levels")
     rows = whole.select("*", F.posexplode(F.slice("prefix", F.lit(1), prefix_length(F.col("n"), percent))).alias("pos", "token"))
-    rows = rows.withColumns({"key": F.col("token").cast("long"), "level": F.get("levels", F.col("pos"))}).drop("levels", "token")
+    rows = rows.withColumns({"key": F.col("token").cast("long"), "level": F.get("levels", F.col("pos")), **(before(F.col("prefix"), F.col("pos")) if once else {})}).drop("levels", "token")
     found: list[DataFrame] = []
     for shared in range(1, top + 1):
         # a token in a bin of at most HOT rows isn't hot
@@ -142,7 +170,7 @@ def join(nodes: DataFrame, percent: int, group: str | None = None) -> tuple[Data
         hot = cut_table(some.groupBy("key").count().filter(F.col("count") > HOT).select("key"))
         none = hot.isEmpty()
         hot = hot if none else by_size(hot, 16)
-        keyed = rows.select(*OWN, *extra, "key")
+        keyed = rows.select(*OWN, *extra, *(BEFORE if once and shared == 1 else ()), "key")
         found.append(self_join(keyed if none else keyed.join(hot, "key", "left_anti"), percent, shared, group))
         if none:
             return _all(found), None
