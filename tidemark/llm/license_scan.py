@@ -32,8 +32,8 @@ PERCENT = 75
 BANDS = 64
 #: Templates of more bytes in all are refused.
 TEMPLATE_BYTES = 16 << 20
-#: Shingles that are hashed at once.
-PART = 1 << 15
+#: Shingles that are hashed at once, a power of two.
+PART = 1 << 12
 
 # Texts and notices of common licenses, as their stewards publish them.
 TEMPLATES = {
@@ -103,10 +103,13 @@ TEMPLATES = {
 
 #: Bytes between words: ASCII that is neither letter nor digit.
 _BETWEEN = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
-_KEYS = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * U(0xC2B2AE3D27D4EB4F))
-_FACTORS = mix(_KEYS) | U(1)
+_SEEDS = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * U(0xC2B2AE3D27D4EB4F))
+_KEYS = _SEEDS.astype(np.uint32)
+_FACTORS = mix(_SEEDS).astype(np.uint32) | np.uint32(1)
 #: High bits of a least value that a band's table of templates is looked up by.
 _TABLE_BITS = 14
+_SHIFT = np.uint32(32 - _TABLE_BITS)
+_OF_BAND = np.arange(BANDS, dtype=np.uint32) << np.uint32(_TABLE_BITS)
 
 
 def least_similarity(percent: int = PERCENT) -> float:
@@ -116,19 +119,33 @@ def least_similarity(percent: int = PERCENT) -> float:
 
 
 def permuted(shingles: np.ndarray) -> np.ndarray:
-    """The shingles (hashes already) under each permutation."""
-    return (shingles[None, :] ^ _KEYS[:, None]) * _FACTORS[:, None]
+    """A row for each shingle (hashes already): its low half under each permutation."""
+    out = shingles.astype(np.uint32)[:, None] ^ _KEYS
+    out *= _FACTORS
+    return out
 
 
 def least_values(shingles: np.ndarray) -> np.ndarray:
     """The least value of the shingles under each permutation."""
-    return permuted(shingles).min(axis=1)
+    return permuted(shingles).min(axis=0)
+
+
+def halved(minima: np.ndarray) -> np.ndarray:
+    """Least values of blocks of twice the size: two rows make one, an odd last one stays."""
+    even = len(minima) // 2 * 2
+    two = np.minimum(minima[:even:2], minima[1:even:2])
+    return two if even == len(minima) else np.concatenate([two, minima[-1:]])
 
 
 def block_minima(s: np.ndarray, size: int) -> np.ndarray:
-    """Least values under each permutation of the blocks of `size` shingles, the last of which may be shorter."""
-    step = max(size, PART // size * size)
-    return np.concatenate([np.minimum.reduceat(permuted(s[k : k + step]), np.arange(0, min(step, len(s) - k), size), axis=1) for k in range(0, len(s), step)], axis=1)
+    """Least values under each permutation of the blocks of `size` shingles (a power of two), the last of which may be shorter."""
+    parts, step = [], max(size, PART)
+    for k in range(0, len(s), step):
+        part, at = permuted(s[k : k + step]), 1
+        while at < size:
+            part, at = halved(part), 2 * at
+        parts.append(part)
+    return np.concatenate(parts)
 
 
 class Scanner:
@@ -141,10 +158,11 @@ class Scanner:
                 self.sets.append(np.unique(shingle_list(words)))
         self.classes: dict[int, tuple[dict[tuple[int, int], list[int]], np.ndarray]] = {}
         for i, s in enumerate(self.sets):
-            keys, table = self.classes.setdefault(1 << (len(s) - 1).bit_length(), (defaultdict(list), np.zeros((BANDS, 1 << _TABLE_BITS), dtype=bool)))
-            for band, value in enumerate(least_values(s).tolist()):
-                keys[band, value].append(i)
-                table[band, value >> (64 - _TABLE_BITS)] = True
+            keys, table = self.classes.setdefault(1 << (len(s) - 1).bit_length(), (defaultdict(list), np.zeros(BANDS << _TABLE_BITS, dtype=bool)))
+            least = least_values(s)
+            table[(least >> _SHIFT) + _OF_BAND] = True
+            for key in enumerate(least.tolist()):
+                keys[key].append(i)
 
     def scan(self, text: str | None) -> list[tuple[str, int, float, int, int]]:
         """(license, template, containment, first word, end word) for the templates that the text holds."""
@@ -157,22 +175,20 @@ class Scanner:
         for c in sorted(self.classes):
             if minima is None:
                 minima, at = block_minima(s, c), c
-            while at < c:  # two blocks make one of the next size
-                odd = minima.shape[1] % 2
-                minima = np.minimum(minima[:, ::2], np.concatenate([minima[:, 1::2], minima[:, -1:]], axis=1) if odd else minima[:, 1::2])
-                at *= 2
-            windows = np.minimum(minima[:, :-1], minima[:, 1:]) if minima.shape[1] > 1 else minima
+            while at < c:
+                minima, at = halved(minima), 2 * at
+            windows = np.minimum(minima[:-1], minima[1:]) if len(minima) > 1 else minima
             keys, table = self.classes[c]
-            met = table[np.arange(BANDS)[:, None], windows >> U(64 - _TABLE_BITS)].any(axis=0)
-            for k in np.flatnonzero(met).tolist():
-                found = {i for key in enumerate(windows[:, k].tolist()) for i in keys.get(key, ())}
-                for i in sorted(found):
-                    window = s[k * c : (k + 2) * c]
-                    own = np.isin(window, self.sets[i])
-                    share = len(np.unique(window[own])) / len(self.sets[i])
-                    if 100 * share >= self.percent and share > best.get(i, (0.0,))[0]:
-                        places = np.flatnonzero(own)
-                        best[i] = (share, int(k * c + places[0]), int(k * c + places[-1] + SHINGLE))
+            met = np.flatnonzero(table[(windows >> _SHIFT) + _OF_BAND])
+            places, values = np.divmod(met, BANDS), windows.reshape(-1)[met].tolist()
+            found = {(k, i) for k, band, value in zip(places[0].tolist(), places[1].tolist(), values, strict=True) for i in keys.get((band, value), ())}
+            for k, i in sorted(found):
+                window = s[k * c : (k + 2) * c]
+                own = np.isin(window, self.sets[i])
+                share = len(np.unique(window[own])) / len(self.sets[i])
+                if 100 * share >= self.percent and share > best.get(i, (0.0,))[0]:
+                    held = np.flatnonzero(own)
+                    best[i] = (share, int(k * c + held[0]), int(k * c + held[-1] + SHINGLE))
         return [(*self.names[i], *best[i]) for i in sorted(best)]
 
 
