@@ -80,6 +80,6 @@ def shielded(docs: DataFrame, used: tuple[str, ...], f: Callable[[DataFrame], Da
 BROADCAST_BYTES = 8 << 20
 
 
-def by_size(df: DataFrame, row_bytes: int) -> DataFrame:
-    """df, marked for broadcast if its counted rows of about row_bytes bytes stay below the bound; else it's shuffled."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+def by_size(df: DataFrame, row_bytes: int, most: int | None = None) -> DataFrame:
+    """df, marked for broadcast if its counted rows of about row_bytes bytes stay below a bound, BROADCAST_BYTES if none is given; else it's shuffled."""
+    return F.broadcast(df) if df.count() * row_bytes <= (BROADCAST_BYTES if most is None else most) else df

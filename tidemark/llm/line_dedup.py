@@ -4,8 +4,8 @@ Documents are split at line feeds. A line with a word is the set of its distinct
 their rarity over all lines. It is removed if an earlier line, in order of (doc_id, line number), has a set with a Jaccard
 similarity of PERCENT / 100 or more. Lines with equal sets are one node, at the place of the first, however many there are.
 Nodes meet through the tokens of their prefixes (setjoin), pass length, positional and parity filters, and are verified on
-their full sets. At keys that are common however long they are made, nodes first meet the first node there; only those
-that aren't like it meet the other earlier ones.
+their full sets. First a semi-join leaves the rows that pass with any other at their key. Of these, nodes meet the first node of
+their key, those that aren't like it the first one that is left, and only what is left then meets all earlier ones.
 
 Defined results: null text counts as empty (no lines, stays null); white space alone is no line; rows that repeat a doc_id are
 one document in order, so lines at the same place don't remove one another; documents without an id neither lose lines nor
@@ -21,6 +21,10 @@ from . import setjoin
 from .common import SPACE, by_size, cut_table, scratch, shielded, text_of, without
 
 PERCENT = 75
+#: Rounds in which nodes meet one earlier node of each key, before those that are left meet all.
+STARS = 2
+#: Removed line numbers of at most so many bytes are broadcast to the texts, which would be shuffled else.
+GONE_BYTES = 32 << 20
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -45,7 +49,7 @@ def line_sets(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, Colum
     words = docs.filter(F.col("doc_id").isNotNull()).select(F.explode(_words(F.replace(text_of("text"), F.lit("\n"), F.lit(" ")))).alias("w"))
     levels = setjoin.rarity_levels(words.filter("w <> ''").select(F.xxhash64("w").alias("h")), "h")
     sets = _with_tokens(_lines(docs), levels)
-    return cut_table(sets.select("doc_id", "line", F.xxhash64("t").alias("id"), *[v.alias(k) for k, v in setjoin.described(F.col("t"), percent).items()])), levels
+    return cut_table(sets.select("doc_id", "line", F.xxhash64("t").alias("id"), *[v.alias(k) for k, v in setjoin.described(F.col("t"), percent, fine=True).items()])), levels
 
 
 def line_nodes(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -54,56 +58,49 @@ def line_nodes(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     several = cut_table(lines.groupBy("id").agg(F.count("*").alias("k"), F.min(place).alias("first")).filter("k > 1").select("id", "first"))
     marked = lines.join(by_size(several, 32), "id", "left")
     once = marked.filter(F.col("first").isNull()).drop("first")
-    firsts = marked.filter(F.col("first") == place).drop("first").dropDuplicates(["id"])
+    firsts = cut_table(marked.filter(F.col("first") == place).drop("first").dropDuplicates(["id"]))
     return once.unionByName(firsts), several
 
 
-def placed(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """id and first of the later node of each pair, earlier and other of the earlier one; nodes at one place are no pair."""
-    ends = cut_table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    at = nodes.select("id", F.struct("doc_id", "line").alias("at")).join(by_size(ends, 16), "id")
-    at = by_size(cut_table(at), 48)
-    both = pairs.join(at.select(F.col("id").alias("a"), F.col("at").alias("at_a")), "a").join(at.select(F.col("id").alias("b"), F.col("at").alias("at_b")), "b")
-    swap = F.col("at_b") < F.col("at_a")
-    sides = {"id": ("a", "b"), "first": ("at_a", "at_b"), "earlier": ("b", "a"), "other": ("at_b", "at_a")}
-    return cut_table(both.filter("at_a != at_b").select(*[F.when(swap, F.col(x)).otherwise(F.col(y)).alias(k) for k, (x, y) in sides.items()]))
-
-
-def alike(docs: DataFrame, pairs: DataFrame, levels: Column, percent: int) -> DataFrame:
-    """id, first and other of the later nodes of placed pairs, with the earliest node that is like them on full sets."""
-    ends = pairs.select(F.explode(F.array(F.struct("id", F.col("first").alias("at")), F.struct(F.col("earlier").alias("id"), F.col("other").alias("at")))).alias("x")).select("x.id", "x.at.doc_id", "x.at.line").distinct()
-    wanted = cut_table(ends)
-    texts = docs.select("doc_id", "text").join(by_size(wanted.select("doc_id").distinct(), 16), "doc_id", "left_semi")
+def node_sets(docs: DataFrame, at: DataFrame, levels: Column) -> DataFrame:
+    """id and t, its tokens, of the nodes at places (id, at)."""
+    wanted = at.select("id", "at.doc_id", "at.line")
+    texts = docs.select("doc_id", "text").join(by_size(cut_table(wanted.select("doc_id").distinct()), 16), "doc_id", "left_semi")
     sets = _with_tokens(_lines(texts).join(by_size(wanted, 40), ["doc_id", "line"]), levels).select("id", "t")
     # of rows that repeat a doc_id, the one whose line has this set
-    sets = by_size(cut_table(sets.filter(F.xxhash64("t") == F.col("id")).dropDuplicates(["id"])), 600)
+    return cut_table(sets.filter(F.xxhash64("t") == F.col("id")).dropDuplicates(["id"]))
+
+
+def alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """id and other of the later nodes of pairs (id, earlier, other), with the earliest node that is like them on full sets."""
+    sets = by_size(sets, 600)
     both = pairs.join(sets, "id").join(sets.select(F.col("id").alias("earlier"), F.col("t").alias("u")), "earlier")
     both = both.filter(setjoin.similar(F.size(F.array_intersect("t", "u")), F.size("t"), F.size("u"), percent))
-    return cut_table(both.groupBy("id").agg(F.first("first").alias("first"), F.min("other").alias("other")))
+    return cut_table(both.groupBy("id").agg(F.min("other").alias("other")))
 
 
-def settled(docs: DataFrame, pairs: DataFrame, levels: Column, percent: int) -> DataFrame:
-    """alike, in two steps: a node first meets its earliest candidate; only nodes that aren't like it meet the others."""
-    first = cut_table(pairs.groupBy("id").agg(F.min_by(F.struct("first", "earlier", "other"), "other").alias("x")).select("id", "x.*"))
-    found = alike(docs, first, levels, percent)
-    left = pairs.join(first.select("id", "earlier"), ["id", "earlier"], "left_anti").join(found.select("id"), "id", "left_anti")
-    left = cut_table(left)
-    return found if left.isEmpty() else cut_table(found.unionByName(alike(docs, left, levels, percent)))
+def met(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
+    """id of rows y that pass the filters with an earlier row x of their key, and that one's id and place: earlier and other."""
+    side = lambda name: lambda c: F.col(f"{name}.{c}")
+    holds = (F.col("x.key") == F.col("y.key")) & (F.col("x.shared") == F.col("y.shared")) & (F.col("x.at") < F.col("y.at"))
+    pairs = x.alias("x").join(y.alias("y"), holds & setjoin.may_match(side("x"), side("y"), percent, F.col("x.shared"), fine=True))
+    return cut_table(pairs.select("y.id", F.col("x.id").alias("earlier"), F.col("x.at").alias("other")).distinct())
 
 
 def like_earlier(docs: DataFrame, nodes: DataFrame, levels: Column, percent: int) -> DataFrame:
-    """id, first and other of the nodes that have an earlier node like them."""
-    pairs, hot = setjoin.join(nodes, percent)
-    found = settled(docs, placed(nodes, pairs), levels, percent)
-    if hot is None:
-        return found
-    rows = cut_table(hot.join(nodes.select("id", F.struct("doc_id", "line").alias("at")), "id"))
-    top = setjoin.levels_of(percent)
-    centers = rows.groupBy("key").agg(F.min(F.struct("at", *setjoin.OWN)).alias("c")).select("key", "c.*")
-    met = lambda x, y: placed(nodes, cut_table(setjoin.met(x, y, percent, top, F.col("x.at") < F.col("y.at"))))
-    found = cut_table(found.unionByName(alike(docs, met(centers, rows), levels, percent)))
-    left = rows.join(found.select("id"), "id", "left_anti")
-    return found.unionByName(alike(docs, met(rows, left), levels, percent))
+    """id and other of the nodes that have an earlier node like them, and the place of one."""
+    rows = setjoin.partnered_rows(nodes, percent)
+    ids = cut_table(rows.select("id").distinct())
+    at = cut_table(nodes.select("id", F.struct("doc_id", "line").alias("at")).join(by_size(ids, 16), "id"))
+    sets = node_sets(docs, at, levels)
+    rows = left = cut_table(rows.join(by_size(at, 48), "id"))
+    found = None
+    for _ in range(STARS):
+        centers = left.groupBy("shared", "key").agg(F.min(F.struct("at", *setjoin.OWN, *setjoin.FINE)).alias("c")).select("shared", "key", "c.*")
+        more = alike(met(centers, left, percent), sets, percent)
+        found = more if found is None else cut_table(found.unionByName(more))
+        left = cut_table(left.join(by_size(found.select("id"), 16), "id", "left_anti"))
+    return found.unionByName(alike(met(rows, left, percent), sets, percent))
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -122,7 +119,7 @@ def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     with scratch(docs.sparkSession) as keep:
         gone = keep(removed_lines(docs, percent).groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("removed")))
     names = ("removed", "n_lines", "n_removed", "__text", "__split")
-    found = without(docs, *names).join(by_size(gone, 64), "doc_id", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
+    found = without(docs, *names).join(by_size(gone, 64, GONE_BYTES), "doc_id", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
     left = lambda split: F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("removed")), lambda i: F.get(split, i))
     text = F.when(F.size("removed") > 0, F.array_join(setjoin.once(F.split(F.col("text"), "\n", -1), left), "\n")).otherwise(F.col("text"))
     n_lines = F.size(F.filter(F.split(text_of("text"), "\n", -1), lambda x: x.rlike(f"[^{SPACE}]")))
