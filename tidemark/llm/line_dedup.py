@@ -73,7 +73,8 @@ def node_sets(docs: DataFrame, at: DataFrame, levels: Column) -> DataFrame:
 
 def alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """id and other of the later nodes of pairs (id, earlier, other), with the earliest node that is like them on full sets."""
-    sets = by_size(sets, 600)
+    ends = cut_table(pairs.select(F.explode(F.array("id", "earlier")).alias("id")).distinct())
+    sets = by_size(sets.join(by_size(ends, 16), "id", "left_semi"), 600)
     both = pairs.join(sets, "id").join(sets.select(F.col("id").alias("earlier"), F.col("t").alias("u")), "earlier")
     both = both.filter(setjoin.similar(F.size(F.array_intersect("t", "u")), F.size("t"), F.size("u"), percent))
     return cut_table(both.groupBy("id").agg(F.min("other").alias("other")))
