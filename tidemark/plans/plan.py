@@ -41,6 +41,8 @@ ASKS = {
     "no_self_supersession": "refers to the record itself", "valid_time_order": "ends before it begins", "exactly_one_semantic_object": "needs one of the two objects", "minimum_value": "is below the least value", "maximum_value": "is above the greatest value",
 }
 OWN_SLOTS = ("id", "created_at", "updated_at")
+#: Batches of more candidates are dealt out by key in every join.
+DEALT = 1 << 15
 
 
 @dataclass(frozen=True)
@@ -135,8 +137,13 @@ def _staged(own: RecordClass, frame: DataFrame) -> DataFrame:
     )
 
 
-def resolve(store: Store, staged: DataFrame, producer: str) -> tuple[DataFrame, DataFrame]:
-    """candidate, record_id and reason for every candidate; and issues (candidate, field, rule) of identity.
+def dealt(staged: DataFrame) -> DataFrame:
+    """staged, never broadcast where it has many rows: its files are compressed, so by their size Spark takes it for a small table."""
+    return staged.hint("merge") if staged.count() > DEALT else staged
+
+
+def resolve(store: Store, staged: DataFrame, producer: str) -> DataFrame:
+    """candidate, record_id, reason and odd (field and rule of each issue of identity) for every candidate.
 
     What is known of a candidate: its supplied id, the records of its identifiers and of its origin key. Candidates that
     share an identifier or an origin key are one component, and so are their known ids: one is taken, several are an issue, none is left to the class's policy.
@@ -162,10 +169,10 @@ def resolve(store: Store, staged: DataFrame, producer: str) -> tuple[DataFrame,
         own = own.withColumn("component", F.col("candidate"))
     else:
         own = own.join(identity.components(shared), "candidate", "left").withColumn("component", F.coalesce("component", "candidate"))
-    own = own.join(keys.filter("key like 'i%'").groupBy("candidate").agg(F.min("key").alias("key")), "candidate", "left")
+    keyed = own.join(keys.filter("key like 'i%'").groupBy("candidate").agg(F.min("key").alias("key")), "candidate", "left")
     found = own.select("candidate", "component").join(known, "candidate").groupBy("component").agg(F.count_distinct("known_id").alias("n"), F.min("known_id").alias("known_id"), F.min("how").alias("how"))
     # the candidate after which a component of new records is named
-    named = own.groupBy("component").agg(F.min("key").alias("least_key"), F.min(F.struct("candidate", "keys", "origin_key", "rest")).alias("a"))
+    named = keyed.groupBy("component").agg(F.min("key").alias("least_key"), F.min(F.struct("candidate", "keys", "origin_key", "rest")).alias("a"))
     out = own.select("candidate", "class", "policy", "keys", "component").join(named, "component").join(found, "component", "left")
     minted = record_id(F.col("class"), F.lit("mint"), F.lit(producer), F.coalesce("a.origin_key", "a.rest"))
     fresh = F.when(F.col("policy") == "deterministic", F.when(F.col("a.keys").isNotNull(), record_id(F.col("class"), F.lit("keys"), F.to_json("a.keys"))))
@@ -182,9 +189,8 @@ def resolve(store: Store, staged: DataFrame, producer: str) -> tuple[DataFrame,
         ("id", "deterministic_key_complete", F.col("n").isNull() & (F.col("policy") == "deterministic") & F.col("a_keys").isNull()),
     ]
     judged = resolved.join(per, "candidate", "left")
-    each = F.array_compact(F.array(*[F.when(F.coalesce(b, F.lit(False)), F.struct(F.lit(f).alias("field"), F.lit(r).alias("rule"))) for f, r, b in rules]))
-    issues = judged.select("candidate", F.explode(each).alias("x")).select("candidate", "x.field", "x.rule")
-    return resolved.select("candidate", "record_id", "reason"), issues
+    odd = F.array_compact(F.array(*[F.when(F.coalesce(b, F.lit(False)), F.struct(F.lit(f).alias("field"), F.lit(r).alias("rule"))) for f, r, b in rules]))
+    return judged.select("candidate", "record_id", "reason", odd.alias("odd"))
 
 
 def row_starts(staged: DataFrame) -> DataFrame:
@@ -220,9 +226,8 @@ def plan(store: Store, records: dict[str, DataFrame], provenance: Provenance) ->
         made = staged.withColumn("record_id", F.col("supplied")).withColumn("reason", F.lit("id"))
     else:
         staged.write.option("compression", "zstd").parquet(f"{folder}/staged")
-        staged = spark.read.parquet(f"{folder}/staged")
-        resolved, found = resolve(known, staged, provenance.producer)
-        made = staged.join(resolved, "candidate")
+        staged = dealt(spark.read.parquet(f"{folder}/staged"))
+        made = staged.join(resolve(known, staged, provenance.producer), "candidate")
     if base:
         heads = known.heads().select("record_id", F.col("class").alias("head_class"), "revision_number", F.col("revision_id").alias("prior_revision_id"), F.col("content_digest").alias("head_digest"), "created_at")
         made = made.join(heads, "record_id", "left")
@@ -236,13 +241,11 @@ def plan(store: Store, records: dict[str, DataFrame], provenance: Provenance) ->
     if simple:
         staged = changes
 
-    def on_records(df: DataFrame) -> DataFrame:
-        return df.join(changes.select("candidate", "class", "record_id"), "candidate").select(*ISSUE)
-
     at_row = ["class", "candidate", "record_id"]
-    listed = [changes.select(*at_row, F.explode("broken").alias("x")).select(*at_row, "x.field", "x.rule")]
+    of = lambda odd: changes.select(*at_row, F.explode(odd).alias("x")).select(*at_row, "x.field", "x.rule")
+    listed = [of("broken")]
     at_id = lambda df, rule: df.select(*at_row, F.lit("id").alias("field"), F.lit(rule).alias("rule"))
-    listed.append(at_id(changes.filter("supplied is null"), "required_internal_id") if simple else on_records(found))
+    listed.append(at_id(changes.filter("supplied is null"), "required_internal_id") if simple else of("odd"))
     several = changes.filter("record_id is not null").groupBy("record_id").agg(F.count("*").alias("n")).filter("n > 1")
     if not several.isEmpty():  # the rows themselves are dealt out only where ids repeat
         listed.append(at_id(changes.join(several, "record_id"), "unique_batch_id"))
