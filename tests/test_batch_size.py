@@ -40,3 +40,19 @@ def test_a_large_batch_is_dealt_by_key(spark, tmp_path, monkeypatch):
     large = made(plans.dealt(read()))
     assert not broadcast_scans(large)
     assert large.select("record_id").distinct().count() == 200 and large.filter(F.size("odd") > 0).isEmpty()
+
+
+def test_all_evidence_counts_beyond_a_page(spark, tmp_path):
+    few = "/root/testdata/sf0.001"
+    for name in os.listdir(few):
+        os.symlink(f"{few}/{name}", tmp_path / name)
+    ids = pa.array([50 * i + 7 for i in range(2101)])  # all of them are evidence for a claim about one customer
+    documents = {"doc_id": ids, "text": ["x"] * len(ids), "lang": ["en"] * len(ids), "source": ["web"] * len(ids), "n_chars": [1] * len(ids)}
+    for name, columns in (("documents", documents), ("labels", {"doc_id": ids, "quality": [1] * len(ids), "toxic": [0] * len(ids)})):
+        os.unlink(tmp_path / f"{name}.parquet")
+        pq.write_table(pa.table(columns), tmp_path / f"{name}.parquet")
+    con = duckdb.connect()
+    for p in tmp_path.glob("*.parquet"):
+        con.register(p.stem, ds.dataset(str(p)).to_table())
+    got = {(r["part"], r["n"]) for r in queries.store_get(spark, str(tmp_path)).collect()}
+    assert got == set(con.sql(queries.SQL["store_get"]).fetchall()) and ("evidence", 2101) in got

@@ -1,6 +1,6 @@
 """Reads of a store by the roles of its classes: claims, evidence, mentions, the graph, measures, and one call for all of them.
 
-Frames (`nodes`, `edges`, `claim_rows`, `evidence_rows`) are whole and lazy. The reads beside them answer one question within caps
+Frames (`nodes`, `edges`, `claim_rows`, `evidence_rows`, `evidence_of`) are whole and lazy. The reads beside them answer one question within caps
 and say in `truncated` whether more was there. A pinned store gives the same reads at its boundary.
 """
 
@@ -170,8 +170,8 @@ class Knowledge:
             texts.append(self.store.records(c.name).select(F.col("record_id").alias("source_id"), either("uri").alias("source_uri"), F.coalesce(either("title"), either(c.label_slot or "title")).alias("source_title"), F.lit(True).alias("there")))
         return own.join(self._union(texts, "source_id string, source_uri string, source_title string, there boolean"), "source_id", "left")
 
-    def evidence(self, statement_id: str | None = None, source_id: str | None = None, entity_id: str | None = None, support_type: str | None = None, limit: int = 100) -> Page:
-        """Evidence of a statement, from a source, or for the claims about an entity."""
+    def evidence_of(self, statement_id: str | None = None, source_id: str | None = None, entity_id: str | None = None, support_type: str | None = None) -> DataFrame:
+        """All evidence of a statement, from a source, or for the claims about an entity, however much there is."""
         if statement_id is source_id is entity_id is None:
             raise RecordError("evidence needs a statement, a source or an entity", rule="evidence_scope")
         if support_type is not None and support_type not in SUPPORT:
@@ -182,7 +182,11 @@ class Knowledge:
                 rows = rows.filter(F.col(name) == value)
         if entity_id is not None:
             rows = rows.join(search.claims(self.claim_rows(), entity_id).select(F.col("record_id").alias("statement_id")).distinct(), "statement_id", "left_semi")
-        out = page(rows, ["class", "record_id"], limit, CAPS["evidence"])
+        return rows
+
+    def evidence(self, statement_id: str | None = None, source_id: str | None = None, entity_id: str | None = None, support_type: str | None = None, limit: int = 100) -> Page:
+        """The first of `evidence_of` by class and id."""
+        out = page(self.evidence_of(statement_id, source_id, entity_id, support_type), ["class", "record_id"], limit, CAPS["evidence"])
         if lost := [r for r in out.rows if r["source_id"] is not None and not r["there"]]:
             raise ReferenceError_(f"no source {lost[0]['source_id']}", rule="reference_exists", field="source_id")
         return replace(out, rows=[Row(**{c: r[c] for c in EVIDENCE}) for r in out.rows])
