@@ -9,6 +9,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from tidemark import queries
+from tidemark.operators import files
 from tidemark.plans import plan as plans
 from tidemark.sources.contract import from_linkml
 from tidemark.sources.store import Store
@@ -56,3 +57,25 @@ def test_all_evidence_counts_beyond_a_page(spark, tmp_path):
         con.register(p.stem, ds.dataset(str(p)).to_table())
     got = {(r["part"], r["n"]) for r in queries.store_get(spark, str(tmp_path)).collect()}
     assert got == set(con.sql(queries.SQL["store_get"]).fetchall()) and ("evidence", 2101) in got
+
+
+def test_pages_are_read_by_few_tasks(spark, tmp_path):
+    class Here:
+        pass
+
+    store = Here()
+    store.spark = spark
+    pages = spark.range(120).select(F.concat(F.lit("---\nid: "), F.col("id"), F.lit("\n---\n")).alias("value"), F.lit("a=b").alias("class"), F.concat(F.lit("p_3A"), F.col("id")).alias("page"))
+    index = spark.createDataFrame([("---\ncommit_order: 1\n---\n", files.INDEX, "batch")], "value string, class string, page string")
+    files.write_pages(pages.unionByName(index), f"file://{tmp_path}/tree")
+    (tmp_path / "tree" / "class=a%3Db" / "page=p_3A7" / ".other.crc").write_text("no page")
+    spark.sparkContext.setJobGroup("pages", "pages")
+    got = files.edited(store, f"file://{tmp_path}/tree").collect()
+    spark.sparkContext.setJobGroup("", "")
+    assert {(r["class"], r["record_id"], r["content"]) for r in got} == {("a=b", str(i), f"---\nid: {i}\n---\n") for i in range(120)} and len(got) == 120
+    known = spark.sparkContext.statusTracker()
+    stages = [s for j in known.getJobIdsForGroup("pages") for s in known.getJobInfo(j).stageIds]
+    assert sum(known.getStageInfo(s).numTasks for s in stages if known.getStageInfo(s)) < 60  # one for each folder before
+    plain = spark.read.schema("value string, class string, page string").text(f"file://{tmp_path}/tree", wholetext=True)
+    assert plain.filter(F.col("class") == "a=b").select("value", "page").distinct().count() == 120  # Spark reads the same tree
+    assert [r["content"] for r in files._tree(store, f"file://{tmp_path}/tree", index=True).collect()] == ["---\ncommit_order: 1\n---\n"]

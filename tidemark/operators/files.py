@@ -6,12 +6,21 @@ with its boundary. So a tree can be compared with a store that has moved on, rec
 There are two layouts, and every read takes either: rows of JSON by class (`sync`), and one Markdown file for each record (`publish`), in folders
 `class=<class>/page=<name>/`, whose pages also list what a record refers to and the evidence for it. Spark writes the files of a publication into a
 staged folder, which takes the place of the former one by a rename.
+
+On a local or mounted file system (`file:`) tasks write and read the files of a publication themselves: Hadoop's layer starts several processes there for
+each file and a task for each folder that it lists. On other file systems they are Spark's text files; both have the same folders and texts.
 """
 
 from __future__ import annotations
 
+import os
+import re
+import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -143,8 +152,89 @@ def publish(store: Store, path: str, limit: int | None = None) -> str:
 def write_pages(pages: DataFrame, path: str) -> None:
     """Write the values of pages (value, class, page) as files, each in a folder of its own."""
     # a file costs far more than its bytes, so the tasks are dealt by number: by size, small pages would all go to one task
-    tasks = 4 * pages.sparkSession.sparkContext.defaultParallelism
-    pages.repartition(tasks, "class", "page").write.mode("overwrite").option("lineSep", "\n").partitionBy("class", "page").text(path)
+    spark = pages.sparkSession
+    rows = pages.repartition(4 * spark.sparkContext.defaultParallelism, "class", "page")
+    here = Files(spark, path)
+    root = _local(here)
+    if root is None:
+        rows.write.mode("overwrite").option("lineSep", "\n").partitionBy("class", "page").text(path)
+        return
+    here.remove("")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, out, n = None, None, 0
+        name = f"part-{TaskContext.get().partitionId():05d}.txt"
+        own = f".{uuid.uuid4().hex}"  # a file appears under its name when it is complete, whichever attempt of the task wrote it
+
+        def end() -> None:
+            if out is not None:
+                out.close()
+                os.replace(f"{last}/{own}", f"{last}/{name}")
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                at = f"{root}/class={_escaped(r['class'])}/page={_escaped(r['page'])}"
+                if at != last:
+                    end()
+                    os.makedirs(at, exist_ok=True)
+                    last, out, n = at, open(f"{at}/{own}", "wb"), n + 1
+                out.write((r["value"] or "").encode() + b"\n")
+        end()
+        yield pa.RecordBatch.from_pydict({"n": [n]}, pa.schema([("n", pa.int64())]))
+
+    rows.select("value", "class", "page").sortWithinPartitions("class", "page").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    here.create("_SUCCESS", "")
+
+
+def _local(here: Files) -> str | None:
+    """The path of a folder on a local or mounted file system, None on others."""
+    uri = here.path("").makeQualified(here.fs.getUri(), here.fs.getWorkingDirectory()).toUri()
+    return uri.getPath() if uri.getScheme() == "file" else None
+
+
+def _escaped(value: str | None) -> str:
+    """A value as Spark names the folder of a partition."""
+    return re.sub(r"[\x01-\x1f\"#%'*/:=?\\\x7f{\[\]^]", lambda m: f"%{ord(m[0]):02X}", value) if value else "__HIVE_DEFAULT_PARTITION__"
+
+
+def _read_pages(spark: SparkSession, root: str, index: bool | None) -> DataFrame:
+    """value, class and page of the files below a local folder: the folders of a class are listed by one task, all files are dealt out and read by many."""
+    classes = [(_unescaped(n.removeprefix("class=")), f"{root}/{n}") for n in sorted(os.listdir(root)) if n.startswith("class=")]
+    classes = [c for c in classes if index in (None, c[0] == INDEX)]
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.schema([("class", pa.string()), ("page", pa.string()), ("folder", pa.string())])
+        for batch in batches:
+            for r in batch.to_pylist():
+                some = []
+                for f in os.scandir(r["folder"]):
+                    if f.name.startswith("page="):
+                        some.append({"class": r["class"], "page": _unescaped(f.name.removeprefix("page=")), "folder": f.path})
+                    if len(some) == 10_000:
+                        yield pa.RecordBatch.from_pylist(some, kind)
+                        some = []
+                yield pa.RecordBatch.from_pylist(some, kind)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.schema([("value", pa.binary()), ("class", pa.string()), ("page", pa.string())])
+        for batch in batches:
+            rows = batch.to_pylist()
+            for i in range(0, len(rows), 500):
+                out = []
+                for r in rows[i : i + 500]:
+                    for f in sorted(os.listdir(r["folder"])):
+                        if not f.startswith(("_", ".")):
+                            with open(f"{r['folder']}/{f}", "rb") as file:
+                                out.append({"value": file.read(), "class": r["class"], "page": r["page"]})
+                yield pa.RecordBatch.from_pylist(out, kind)
+
+    folders = spark.createDataFrame(classes, "class string, folder string").repartition(max(1, len(classes)), "class").mapInArrow(listed, "class string, page string, folder string")
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    return folders.repartition(tasks, "folder").mapInArrow(read, "value binary, class string, page string").select(F.col("value").cast("string").alias("value"), "class", "page")
+
+
+def _unescaped(name: str) -> str | None:
+    return None if name == "__HIVE_DEFAULT_PARTITION__" else re.sub("%([0-9A-Fa-f]{2})", lambda m: chr(int(m[1], 16)), name)
 
 
 def tree_digest(rows: DataFrame) -> str:
@@ -164,19 +254,22 @@ def sync(store: Store, path: str, limit: int | None = None) -> str:
     return tree_digest(rows)
 
 
-def _tree(store: Store, path: str) -> DataFrame:
-    """The pages and the index at a path, in either layout."""
-    if Files(store.spark, path).exist("class=*/page=*"):
-        files = store.spark.read.schema("value string, class string, page string").text(path, wholetext=True)
+def _tree(store: Store, path: str, index: bool | None = None) -> DataFrame:
+    """The pages and the index at a path, or one of them, in either layout."""
+    of = F.lit(True) if index is None else (F.col("class") == INDEX) == index
+    here = Files(store.spark, path)
+    if here.exist("class=*/page=*"):
+        root = _local(here)
+        files = store.spark.read.schema("value string, class string, page string").text(path, wholetext=True) if root is None else _read_pages(store.spark, root, index)
         # a page without an id is named by its folder; a text ends with a line's end of the writer's
         record_id = F.coalesce(F.nullif(F.regexp_extract("value", r"\A---\nid: ([^\n]*)\n", 1), F.lit("")), "page")
-        return files.select(record_id.alias("record_id"), F.regexp_replace("value", r"\n\z", "").alias("content"), "class")
-    return store.spark.read.schema("record_id string, content string, class string").json(path)
+        return files.select(record_id.alias("record_id"), F.regexp_replace("value", r"\n\z", "").alias("content"), "class").filter(of)
+    return store.spark.read.schema("record_id string, content string, class string").json(path).filter(of)
 
 
 def edited(store: Store, path: str) -> DataFrame:
     """The pages at a path."""
-    return _tree(store, path).filter(F.col("class") != INDEX)
+    return _tree(store, path, index=False)
 
 
 def status(store: Store, path: str, exported: str) -> str:
@@ -192,7 +285,7 @@ def compare(store: Store, path: str) -> DataFrame:
     the tree was made); new_in_store (recorded since then); behind (changed in the store, not in the tree); converged (changed in both, with the same fields);
     stale_base (changed in both, or a page without base for a known record); lost_base (its record isn't in the store); repeated (several pages of one record).
     """
-    index = _tree(store, path).filter(F.col("class") == INDEX)
+    index = _tree(store, path, index=True)
     exported = index.agg(F.max(F.regexp_extract("content", r"(?m)^commit_order: ([0-9]+)$", 1).try_cast("int"))).first()[0]
     stamp = lambda name: F.nullif(F.regexp_extract("content", _STAMP % name, 1), F.lit(""))
     body = F.regexp_replace("content", r"(?m)^(?:base|page): sha256:[0-9a-f]{64}\n", "")
