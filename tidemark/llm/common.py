@@ -80,6 +80,15 @@ def shielded(docs: DataFrame, used: tuple[str, ...], f: Callable[[DataFrame], Da
 BROADCAST_BYTES = 8 << 20
 
 
+#: Tables of more rows are dealt out by key: Spark goes by the size of the files, and a table of 10 MB may be a relation of more than 100 MB on the driver.
+DEALT = 1 << 15
+
+
 def by_size(df: DataFrame, row_bytes: int, most: int | None = None) -> DataFrame:
-    """df, marked for broadcast if its counted rows of about row_bytes bytes stay below a bound, BROADCAST_BYTES if none is given; else it's shuffled."""
-    return F.broadcast(df) if df.count() * row_bytes <= (BROADCAST_BYTES if most is None else most) else df
+    """df, marked for broadcast if its counted rows of about row_bytes bytes stay below a bound, BROADCAST_BYTES if none is given; else it's marked for a shuffle."""
+    return F.broadcast(df) if df.count() * row_bytes <= (BROADCAST_BYTES if most is None else most) else df.hint("merge")
+
+
+def dealt(table: DataFrame) -> DataFrame:
+    """A written table, marked for a shuffle if it has many rows; of a small one Spark may broadcast either side of a join."""
+    return table.hint("merge") if table.count() > DEALT else table

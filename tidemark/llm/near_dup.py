@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import setjoin
-from .common import by_size, cut_table, scratch, shielded, text_of
+from .common import DEALT, by_size, cut_table, dealt, scratch, shielded, text_of
 from .shingles import U, mix, shingle_set
 
 PERCENT = 75
@@ -166,11 +166,12 @@ def components(links: DataFrame) -> DataFrame:
     def star(e: DataFrame, large: bool) -> DataFrame:
         sides = swapped(e) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = sides.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        joined = sides.join(least, "a")
+        joined = (sides.hint("merge") if many else sides).join(least, "a")
         out = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")) if large else joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         return out.filter("a != b").distinct()
 
     edges, before = cut_table(links.filter("a != b")), None
+    many = edges.count() > DEALT
     while True:
         edges = cut_table(star(star(edges, True), False))
         seen = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -190,10 +191,10 @@ def still_open(groups: DataFrame, labels: DataFrame) -> DataFrame:
 
 def linked(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs that are links: those the sketches allow, verified on the sets of their texts."""
-    pairs = cut_table(plausible(pairs, nodes, percent))
+    pairs = dealt(cut_table(plausible(pairs, nodes, percent)))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = cut_table(node_sets(docs, cut_table(ends.join(nodes, "node").select("node", "row"))))
-    return cut_table(verified(pairs, sets, percent))
+    return dealt(cut_table(verified(pairs, sets, percent)))
 
 
 def missed_links(docs: DataFrame, left: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -205,25 +206,25 @@ def missed_links(docs: DataFrame, left: DataFrame, nodes: DataFrame, percent: in
     pairs, hot = setjoin.join(cut_table(rows.join(left.withColumnRenamed("node", "id"), "id")), percent, "label", once=True)
     if hot is not None:
         pairs = cut_table(pairs.unionByName(setjoin.self_join(hot, percent, setjoin.levels_of(percent), "label")).distinct())
-    return cut_table(verified(plausible(pairs, nodes, percent), sets, percent))
+    return cut_table(verified(plausible(dealt(pairs), nodes, percent), sets, percent))
 
 
 def labelled_rows(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, row, n_shingles, component_id (the least id of the row's component) and first (the row that stands for it) for every row."""
     own = cut_table(sketches(docs))
     nodes = cut_table(own.filter("n_shingles > 0").groupBy("node").agg(F.min("row").alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")))
-    groups = cut_table(star_pairs(own.select(F.explode("keys").alias("key"), "node").distinct()))
+    groups = dealt(cut_table(star_pairs(own.select(F.explode("keys").alias("key"), "node").distinct())))
     pairs = groups.filter("node != center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
     links = linked(docs, pairs, nodes, percent)
-    labels = cut_table(components(links))
-    left = cut_table(still_open(groups, labels))
+    labels = dealt(cut_table(components(links)))
+    left = dealt(cut_table(still_open(groups, labels)))
     if not left.isEmpty():
         more = missed_links(docs, left, nodes, percent)
         if not more.isEmpty():
-            labels = components(links.unionByName(more))
+            labels = dealt(cut_table(components(links.unionByName(more))))
     # the least row of a node before those of a component: copies are folded first
     firsts = own.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min(_order()).alias("first"))
-    known = cut_table(firsts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    known = dealt(cut_table(firsts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))))
     least = known.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.min("first").alias("first"))
     of_node = cut_table(known.select("node", "label").join(least, "label").select("node", "component_id", F.col("first.row").alias("first")))
     out = own.select("doc_id", "row", "node", "n_shingles").join(by_size(of_node, 48), "node", "left")

@@ -145,7 +145,8 @@ def _side(name: str) -> Callable[[str], Column]:
 def meetings(x: DataFrame, y: DataFrame, percent: int, shared: int, further: Column) -> DataFrame:
     """Pairs (a, b) of the ids of rows x and y for each key at which they meet and pass the filters and a further condition."""
     holds = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & may_match(_side("x"), _side("y"), percent, shared)
-    pairs = x.alias("x").join(y.alias("y"), holds & further)
+    # rows of keys are exploded from a table: Spark would go by the size of that table and broadcast them
+    pairs = x.hint("merge").alias("x").join(y.alias("y"), holds & further)
     return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
@@ -216,7 +217,7 @@ def partnered(rows: DataFrame, percent: int, shared: int) -> DataFrame:
     Both sides are the same frame, which is shuffled once.
     """
     holds = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & may_match(_side("x"), _side("y"), percent, shared, FINE[0] in rows.columns)
-    return rows.alias("x").join(rows.alias("y"), holds, "left_semi")
+    return rows.hint("merge").alias("x").join(rows.alias("y"), holds, "left_semi")
 
 
 def partnered_rows(nodes: DataFrame, percent: int) -> DataFrame:
