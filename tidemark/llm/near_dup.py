@@ -131,7 +131,7 @@ def star_pairs(rows: DataFrame) -> DataFrame:
     """rows (key, node) of groups with two nodes or more, each with the group's least node as center; of groups of the same nodes one."""
     members = {"center": F.min("node"), "last": F.max("node"), "n": F.count("*"), "all": F.bit_xor(F.xxhash64("node"))}
     groups = rows.groupBy("key").agg(*[v.alias(k) for k, v in members.items()]).filter("center != last")
-    return rows.join(groups.groupBy(*members).agg(F.min("key").alias("key")).select("key", "center"), "key")
+    return rows.hint("merge").join(groups.groupBy(*members).agg(F.min("key").alias("key")).select("key", "center"), "key")
 
 
 def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
